@@ -75,7 +75,7 @@ def repeat_filter(hashes: DataFrame, rows: int) -> bytes:
     parts = hashes.coalesce(spark.sparkContext.defaultParallelism).mapInArrow(build, "block int, one binary, two binary")
     merged = parts.repartition(min(blocks, 4 * spark.sparkContext.defaultParallelism), "block").mapInArrow(merge, "block int, two binary")
     out = bytearray(SEGMENTS * bits // 8)
-    for r in merged.toLocalIterator():
+    for r in merged.collect():
         out[r["block"] * BLOCK : (r["block"] + 1) * BLOCK] = r["two"]
     return bytes(out)
 
