@@ -5,6 +5,7 @@ from tallyspark.llm.exact_dedup import OP7_SQL, op7_exact_dedup
 from tallyspark.llm.html_extract import op9_html_extract
 from tallyspark.llm.language_id import op5_language_id
 from tallyspark.llm.mixing import OP4_SQL, op4_curriculum_mix
+from tallyspark.llm.ngram_join import OP8_SQL, op8_ngram_jaccard
 from tallyspark.llm.pii import op6_pii
 from tallyspark.llm.quality import op1_quality
 from tallyspark.llm.token_count import op3_token_count
@@ -18,7 +19,8 @@ QUERIES = {
     "op5_language_id": op5_language_id,
     "op6_pii": op6_pii,
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_ngram_jaccard": op8_ngram_jaccard,
     "op9_html_extract": op9_html_extract,
     "op10_decontaminate": op10_decontaminate,
 }
-SQL = {"op2_warc": OP2_SQL, "op4_curriculum_mix": OP4_SQL, "op7_exact_dedup": OP7_SQL, "op10_decontaminate": OP10_SQL}
+SQL = {"op2_warc": OP2_SQL, "op4_curriculum_mix": OP4_SQL, "op7_exact_dedup": OP7_SQL, "op8_ngram_jaccard": OP8_SQL, "op10_decontaminate": OP10_SQL}

@@ -39,8 +39,11 @@ def _places(h: np.ndarray, segment: int, bits: int) -> np.ndarray:
     return ((x >> np.uint64(20)) % np.uint64(bits)).astype(np.int64)
 
 
-def repeat_filter(hashes: DataFrame, rows: int) -> bytes:
-    """Plane two over all rows of ``hashes`` (one bigint column), at most MAX_BYTES in all."""
+def repeat_filter(hashes: DataFrame, rows: int, once: bool = False) -> bytes:
+    """Plane two over all rows of ``hashes`` (one bigint column), at most MAX_BYTES in all.
+
+    With ``once`` a hash enters plane two when it is first met: a plain membership filter.
+    """
     bits, spark = _size(rows), hashes.sparkSession
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -51,7 +54,7 @@ def repeat_filter(hashes: DataFrame, rows: int) -> bytes:
             for s in range(SEGMENTS if len(h) else 0):
                 at, n = np.unique(_places(h, s, bits), return_counts=True)
                 byte, bit = at >> 3, (1 << (at & 7)).astype(np.uint8)
-                again = ((one[s][byte] & bit) != 0) | (n > 1)
+                again = ((one[s][byte] & bit) != 0) | (n > 1) | once
                 np.bitwise_or.at(one[s], byte, bit)
                 np.bitwise_or.at(two[s], byte[again], bit[again])
         one, two = one.reshape(-1, BLOCK), two.reshape(-1, BLOCK)
