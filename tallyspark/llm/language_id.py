@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
 from tallyspark.llm.common import fresh, table
 
@@ -269,10 +270,8 @@ def identified(docs: DataFrame, identifier: Identifier | None, text_col: str = "
                 lang, score, out = [UND] * len(texts), np.zeros(len(texts)), np.ones(len(texts), bool)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score), pa.array(out)], [*batch.schema.names, *names])
 
-    schema = docs.schema
-    for name, kind in zip(names, ("string", "double", "boolean"), strict=True):
-        schema = type(schema)(schema.fields).add(name, kind)
-    return docs.mapInArrow(predict, schema)
+    added = [StructField(name, kind) for name, kind in zip(names, (StringType(), DoubleType(), BooleanType()), strict=True)]
+    return docs.mapInArrow(predict, StructType([*docs.schema.fields, *added]))
 
 
 def in_known_languages(docs: DataFrame, held_back: int = 5, text_col: str = "text") -> DataFrame:

@@ -90,7 +90,7 @@ class TokenCounter:
             while True:
                 begin = max(done, end - overlap)
                 if begin == done:  # no boundary in the whole chunk: encode on from its own start
-                    end += self.chunk
+                    end += end - begin
                     starts, ids = self.encoded(text[begin:end])
                     starts += begin
                     break
