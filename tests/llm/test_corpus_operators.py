@@ -1,0 +1,338 @@
+"""The corpus operators on small fixtures: edge cases, SQL and brute force."""
+
+import hashlib
+import random
+import re
+from collections import Counter
+
+import duckdb
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tallyspark.llm import decontaminate, exact_dedup, html_extract, language_id, mixing, ngram_join, pii, quality, token_count, warc
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, digest string, h long, words string, id long, Key string"
+WORDS = [a + b for a in ("ta", "ri", "mo", "lu", "ke", "zo", "Ne", "É") for b in ("ba", "so", "ti", "ven", "Qu", "x9")]
+
+
+def prose(rng, n):
+    return " ".join(rng.choice(WORDS) for _ in range(n))
+
+
+@pytest.fixture(scope="module")
+def rows():
+    """Copies, near copies, short, empty, blank and null texts, null ids, repeated rows, a long text, benchmark passages."""
+    rng, texts = random.Random(3), []
+    for n in (1, 2, 3, 12, 13, 40, 60, 200):
+        texts += [prose(rng, n) for _ in range(4)]
+    base = prose(rng, 120).split()
+    for k in range(14):
+        w = base[:]
+        for _ in range(k // 3):
+            w[rng.randrange(len(w))] = rng.choice(WORDS)
+        texts.append(" ".join(w))
+    texts += [" ".join(base), " \t".join(base), "\n".join(base).upper(), "", " \n ", None, None, "!!! ???", prose(rng, 20_000), "x" * 50_000]
+    bench = [prose(rng, n) for n in (30, 13, 8, 3, 400)] + ["", None]
+    texts += [prose(rng, 50) + " " + bench[0] + ", " + prose(rng, 5), bench[0].split(" ", 2)[2], bench[1], "So: " + bench[2].upper() + "!", bench[3], prose(rng, 40) + bench[4], "a " + " ".join(bench[4].split()[100:160])]
+    docs = [(i, t, "en", [None, "b", "a", "c"][i % 4], len(t or ""), "d", 1, "w", 7, "k") for i, t in enumerate(texts)]
+    docs += [docs[5], docs[5], docs[40], (None, "no id at all", None, None, None, None, None, None, None, None), (None, None, None, "z", None, None, None, None, None, None)]
+    return docs, [(i, t) for i, t in enumerate(bench)] + [(0, bench[0]), (None, "null id item with quite a few words in it for one window")]
+
+
+@pytest.fixture(scope="module")
+def docs(spark, rows):
+    return spark.createDataFrame(rows[0], DOCS).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def bench(spark, rows):
+    return spark.createDataFrame(rows[1], "item_id long, text string")
+
+
+@pytest.fixture(scope="module")
+def unique(spark, rows):
+    """Without repeated ids, for the SQL, which tells rows apart by doc_id."""
+    seen = [r for k, r in enumerate(rows[0]) if r[0] is not None and r not in rows[0][:k]]
+    return spark.createDataFrame(seen, DOCS).repartition(3)
+
+
+def same(got, want):
+    key = lambda r: tuple((x is None, str(x)) for x in r)
+    assert sorted(map(tuple, got), key=key) == sorted(map(tuple, want), key=key)
+
+
+def by_sql(sql, **tables):
+    con = duckdb.connect()
+    for name, frame in tables.items():
+        con.register(name, frame.toArrow())
+    out = con.execute(sql)
+    names = [d[0] for d in out.description]
+    return names, out.fetchall()
+
+
+def test_exact_dedup_counts_each_group_once(docs, rows):
+    got = exact_dedup.copies(docs).collect()
+    assert len(got) == len(rows[0])
+    norm = lambda t: re.sub(r"[ \t\n\x0b\f\r]+", " ", t or "")
+    groups = Counter(norm(r[1]) for r in rows[0])
+    for r in rows[0]:
+        x = next(g for g in got if g.doc_id == r[0] and g.text_sha256 == hashlib.sha256(norm(r[1]).encode()).hexdigest())
+        assert x.group_size == groups[norm(r[1])]
+        assert x.keep_id == min((y[0] for y in rows[0] if norm(y[1]) == norm(r[1]) and y[0] is not None), default=None)
+    assert sum(g.kept for g in got) == len(groups)
+
+
+def test_exact_dedup_filter_keeps_one_whole_row_of_each_group(docs, rows):
+    left = exact_dedup.without_copies(docs)
+    assert left.columns == docs.columns
+    texts = [re.sub(r"[ \t\n\x0b\f\r]+", " ", r.text or "") for r in left.collect()]
+    assert len(texts) == len(set(texts)) == len({re.sub(r"[ \t\n\x0b\f\r]+", " ", r[1] or "") for r in rows[0]})
+
+
+@pytest.mark.parametrize("size,num,den", [(3, 90, 100), (5, 80, 100), (1, 50, 100)])
+def test_ngram_join_finds_every_link(docs, rows, size, num, den):
+    sets = []
+    for r in rows[0]:
+        w = (r[1] or "").encode().lower().split()
+        sets.append({tuple(w[i : i + size]) for i in range(len(w) - size + 1)} if len(w) >= size else {tuple(w)} if w else set())
+    root = list(range(len(sets)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(sets)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both and den * both >= num * (len(sets[i]) + len(sets[j]) - both):
+                root[find(i)] = find(j)
+    want = []
+    for i, r in enumerate(rows[0]):
+        ids = [rows[0][j][0] for j in range(len(sets)) if sets[j] and find(j) == find(i) and rows[0][j][0] is not None]
+        want.append((r[0], len(sets[i]), (min(ids, default=None) if sets[i] else r[0])))
+    same(ngram_join.joined(docs, size, num, den).drop("digest").collect(), want)
+    left = ngram_join.one_of_each(docs, size, num, den)
+    assert left.columns == docs.columns
+    assert {r.doc_id for r in left.collect()} == {c for _, _, c in want}
+
+
+def test_ngram_join_splits_large_groups(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "TILE", 8)
+    rng = random.Random(5)
+    base, texts = prose(rng, 150).split(), []
+    for _ in range(70):
+        w = base[: rng.randrange(120, 151)]
+        w[rng.randrange(len(w))] = rng.choice(WORDS)
+        texts.append(" ".join(w))
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    tiled = {(r.doc_id, r.component_id) for r in ngram_join.joined(frame).collect()}
+    names, want = by_sql(ngram_join.OP8_SQL, documents=frame)
+    assert tiled == {(r[names.index("doc_id")], r[names.index("component_id")]) for r in want}
+
+
+def test_group_signatures_share_a_key_for_every_linked_pair():
+    rng = np.random.default_rng(1)
+    for num, den in ((90, 100), (80, 100)):
+        sign = ngram_join.Signer(num, den)
+        for _ in range(400):
+            n = int(rng.integers(5, 700))
+            a = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+            gone = rng.random(len(a)) < rng.random() * 0.2
+            b = np.unique(np.concatenate([a[~gone], rng.integers(0, 2**63, int(rng.integers(0, n // 6 + 1))).astype(np.uint64)]))
+            both = len(np.intersect1d(a, b))
+            if den * both >= num * (len(a) + len(b) - both) and len(np.setxor1d(a, b)):
+                assert len(np.intersect1d(sign.keys(a), sign.keys(b)))
+
+
+def test_count_vector_tree_admits_every_linked_pair():
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 2**63, 300).astype(np.uint64)
+    sets = [np.unique(np.concatenate([base[rng.random(300) > 0.1 * rng.random()], rng.integers(0, 2**63, 10).astype(np.uint64)])) for _ in range(90)]
+    i, j, _ = ngram_join.candidates(ngram_join.vectors(sets), np.arange(90), None, 80, 100)
+    pairs = set(zip(i.tolist(), j.tolist(), strict=True)) | set(zip(j.tolist(), i.tolist(), strict=True))
+    for x in range(90):
+        for y in range(x):
+            both = len(np.intersect1d(sets[x], sets[y]))
+            assert 100 * both < 80 * (len(sets[x]) + len(sets[y]) - both) or (x, y) in pairs
+    assert (ngram_join._products(sets, i, j) == [len(np.intersect1d(sets[x], sets[y])) for x, y in zip(i, j, strict=True)]).all()
+
+
+def test_components_of_chains_and_stars(spark):
+    edges = [(f"{i:04}", f"{i + 1:04}") for i in range(40)] + [("z1", f"y{i}") for i in range(30)] + [("q", "q")]
+    got = dict(ngram_join.components(spark.createDataFrame(edges, "a string, b string")).collect())
+    assert got == {f"{i:04}": "0000" for i in range(1, 41)} | {f"y{i}": "y0" for i in range(1, 30)} | {"z1": "y0"}
+
+
+def test_decontamination_matches_sql(unique, bench, rows):
+    names, want = by_sql(decontaminate.OP10_SQL, documents=unique, benchmark=bench.where("item_id is not null"))
+    got = decontaminate.contamination(unique, bench.where("item_id is not null")).select(*names).collect()
+    same(got, want)
+    assert sum(r.contaminated for r in got) >= 5
+
+
+def test_decontamination_in_blocks_with_repeated_rows(docs, unique, bench, rows, monkeypatch):
+    names = ["doc_id", "n_words", "n_hit", "n_items", "contaminated"]
+    whole = decontaminate.contamination(docs, bench).select(*names).collect()
+    assert len(whole) == len(rows[0])
+    monkeypatch.setattr(decontaminate, "BLOCK_ROWS", 40)
+    same(decontaminate.contamination(docs, bench).select(*names).collect(), whole)
+    left = decontaminate.without_contaminated(docs, bench)
+    assert left.columns == docs.columns and left.count() == sum(not r.contaminated for r in whole)
+    assert decontaminate.contamination(docs, bench.limit(0)).where("n_hit = 0 and not contaminated").count() == len(rows[0])
+
+
+def test_mixing_matches_sql_and_meets_targets(unique, docs, rows):
+    names, want = by_sql(mixing.OP4_SQL, documents=unique)
+    got = mixing.mix(unique)
+    same(got.select(*names).collect(), want)
+    for r in got.groupBy("source").agg(F.sum("taken").alias("taken"), F.max("target").alias("target")).collect():
+        assert 0 <= r.target - r.taken < 1
+    assert got.where("taken > 2 * size").count() == 0
+    places = [r.position for r in got.collect() if r.position is not None]
+    assert places == sorted(places)
+    assert mixing.mix(docs).count() == len(rows[0])
+    assert mixing.mix(unique.where("text is null")).where("taken = 0 and target = 0").count() > 0
+
+
+def test_token_counts_match_the_library(docs, rows):
+    import public_tokenizers
+
+    for file in ("word_bpe_49k.json", "byte_bpe_50k.json", "piece_bpe_32k.model"):
+        path = public_tokenizers.path(file)
+        whole = token_count.TokenCounter(path)
+        want = [(r[0], len((r[1] or "").encode()), n) for r, n in zip(rows[0], whole.count_all([r[1] or "" for r in rows[0]]), strict=True)]
+        same(token_count.token_counts(docs, path).select("doc_id", "n_bytes", "n_tokens").collect(), want)
+        same(token_count.token_counts(docs, path, chunk=600, overlap=30).select("doc_id", "n_bytes", "n_tokens").collect(), want)
+
+
+def test_special_strings_and_long_words_resynchronise():
+    import public_tokenizers
+
+    counter = token_count.TokenCounter(public_tokenizers.path("word_bpe_49k.json"), chunk=50, overlap=4)
+    for t in ("<|endoftext|>" * 30, "ab<|startoftext|> " * 20, "w" * 400 + " end", "don't " * 50, "é" * 120 + " " + "́" * 60, "漢字" * 90):
+        assert counter.counts([t]) == counter.count_all([t])
+
+
+def test_personal_data_matches_regular_expressions(docs, rows):
+    rng = random.Random(1)
+    patterns = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+    def base(t):
+        out = []
+        for kind, p in patterns.items():
+            for m in re.finditer(p, t):
+                digits = [int(c) for c in m[0] if c.isdigit()]
+                luhn = sum(d if i % 2 == 0 else sum(divmod(2 * d, 10)) for i, d in enumerate(reversed(digits))) % 10 == 0
+                ok = {"email": True, "ip": kind != "ip" or all(int(x) <= 255 for x in m[0].split(".")), "card": 13 <= len(digits) <= 19 and luhn, "phone": 9 <= len(digits) <= 15}[kind]
+                if ok:
+                    out.append(f"{kind}:{m.start()}:{m.end()}")
+        return ",".join(out)
+
+    anchors = pii.automaton()
+    texts = ["".join(rng.choice("a.@+-0123456789 (b@.1+é") for _ in range(rng.randint(1, 90))) for _ in range(8000)]
+    texts += ["write to jo.doe@mail.example.com, 10.0.0.255 or 1.2.3.256, 4111 1111 1111 1111, +1 (555) 010-9999."]
+    for t in texts:
+        assert pii.joined(pii.spans(t, anchors), pii.BASE) == base(t)
+    got = {(r.doc_id, r.base_sha256) for r in pii.personal_data(docs).collect()}
+    assert got == {(r[0], hashlib.sha256(base(r[1] or "").encode()).hexdigest()) for r in rows[0]}
+    extra = pii.spans('see https://user@host.example.org/x?y=1. IBAN DE89 3704 0044 0532 0130 00 token = "24be64439e3e49cf46b2"', anchors)
+    assert [len(extra[k]) for k in ("address", "account")] == [1, 2]
+
+
+def test_languages_are_told_apart_and_noise_is_rejected(spark):
+    rng = random.Random(2)
+    speak = {"aa": ["lor", "em", "ip", "sum", "dol"], "bb": ["züg", "rän", "öff", "nung"], "cc": ["привет", "мир", "дом"]}
+    text = lambda lang: " ".join("".join(rng.choice(speak[lang]) for _ in range(2)) for _ in range(60))
+    rows = [(i, text(lang), lang if i % 7 else None) for i, lang in enumerate(["aa", "bb", "cc"] * 60)]
+    rows += [(900, None, "aa"), (901, "", "bb"), (902, "123 !!", "cc"), (903, "漢字" * 80, None), (904, "ok", None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    held = language_id.crc_bucket(F.col("doc_id"), 5) == 0
+    got = {r.doc_id: r for r in language_id.identified(frame, language_id.learn(frame, ~held)).collect()}
+    assert all(got[i].lang_pred == lang for i, lang in enumerate(["aa", "bb", "cc"] * 60))
+    assert [got[i].lang_pred for i in (900, 901, 902)] == ["und"] * 3 and got[903].rejected and not got[0].rejected
+    assert language_id.in_known_languages(frame).columns == frame.columns
+    assert {r.doc_id for r in language_id.in_known_languages(frame).collect()}.isdisjoint({900, 901, 902, 903})
+    assert language_id.identified(frame, language_id.learn(frame.limit(0), ~held)).where("lang_pred <> 'und'").count() == 0
+
+
+def test_kneser_ney_is_a_distribution():
+    model = language_id.KneserNey({"x": ["abra cadabra alakazam", "abba baba"], "y": ["zuz zaz"]}, order=3)
+    letters = np.arange(len(model.alphabet) + 2)
+    for context in (0, 2 << 8 | 3, 4 << 8 | 2, 3 << 8 | 3):
+        p = 2.0 ** -model.bits((np.int64(context) << 8) | letters).astype(float)
+        assert np.allclose(p.sum(axis=0), 1, atol=1e-3)
+
+
+def test_quality_machine_learns_and_scores_edge_cases(spark, docs, rows):
+    rng = random.Random(4)
+    data = [(i, prose(rng, 80) + "." if i % 2 else (prose(rng, 8).upper() + "!! ") * 10, 300) for i in range(400)]
+    frame = spark.createDataFrame(data, "doc_id long, text string, n_chars long")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(400)] + [(3, None), (5, 1), (None, 1)], "doc_id long, quality int")
+    usable = language_id.crc_bucket(F.col("doc_id"), 4) != 2
+    machine = quality.learn(frame, labels, usable)
+    scores = {r.doc_id: r.score for r in quality.scored(frame, machine).collect()}
+    assert np.mean([(scores[i] >= 0.5) == (i % 2 == 1) for i in range(400)]) > 0.97
+    edge = quality.scored(docs, machine).collect()
+    assert len(edge) == len(rows[0]) and all(0 <= r.score <= 1 for r in edge)
+    assert {r.score for r in quality.scored(docs, quality.learn(frame, labels.limit(0), usable)).collect()} == {0.5}
+
+
+def test_sum_of_squares_identity():
+    rng = np.random.default_rng(0)
+    m = quality.Machine(np.zeros((0, 11)))
+    m.w[:9] = rng.normal(size=9)
+    x, i = rng.random(9).astype(np.float32), np.arange(9)
+    plain = m.w0 + (m.w[:9] * x).sum() + sum(m.v[a] @ m.v[b] * x[a] * x[b] for a in range(9) for b in range(a))
+    assert np.isclose(m.margin(np.array([0, 9 - 9]), i, x)[0][-1], plain, atol=1e-4)
+
+
+def test_archives_round_trip(spark):
+    page = "<p>é 漢\r\n\r\nWARC/1.1\r\n" + "x" * 200
+    data = [(5, "http://www.b.example.com/x", page), (2, "http://a.example.org:8080/y?q=1#z", page), (9, "http://b.example.com/x", page), (3, "u v\r\n", "short"), (4, "u", "short"), (6, None, None), (7, "http://[bad", ""), (8, "http://a.example.org/y", page + "!"), (2, "http://a.example.org/y", page), (None, "n", page)]
+    frame = spark.createDataFrame(data, "page_id long, url string, html string").repartition(3)
+    folder = warc.write_archives(frame)
+    got = warc.capture_history(spark, folder, rows_per_range=3)
+    rows = got.collect()
+    assert len(rows) == len(data)
+    for i, _, h in data:
+        r = next(x for x in rows if x.page_id == i and x.payload_bytes == len((h or "").encode()))
+        assert r.payload_digest == hashlib.sha256((h or "").encode()).hexdigest()
+        assert (r.record_type, r.refers_to) == (("revisit", 2) if h == page and i != 2 else ("response", None))
+    keys = [(r.url_key, r.timestamp) for r in rows]
+    assert keys == sorted(keys) and keys[0][0].startswith("com,example,b)/x")
+    whole = {f.rsplit("/", 1)[-1]: bytes(c) for f, c in spark.read.format("binaryFile").load(folder).select("path", "content").collect()}
+    for r in rows:
+        assert whole[r.archive][r.offset : r.offset + r.length].startswith(b"WARC/1.1\r\nWARC-Type: " + r.record_type.encode())
+    empty = warc.write_archives(frame.limit(0))
+    assert warc.capture_history(spark, empty).count() == 0
+
+
+def test_loser_tree_merges_sorted_runs():
+    rng = random.Random(6)
+    for k in range(1, 12):
+        runs = [sorted(rng.randrange(50) for _ in range(rng.randrange(20))) for _ in range(k)]
+        assert list(warc.LoserTree([iter([(x,) for x in r]) for r in runs], lambda r: r)) == sorted((x,) for r in runs for x in r)
+
+
+def test_html_extraction(spark):
+    page = """<!DOCTYPE html><html><head><title>T</title><script>var a="</p>";</script></head><body><header><h1>Site</h1></header>
+    <nav><ul><li><a href="/a">Home</a></li></ul></nav><div class="cookie-notice">We use cookies for many things that you may like.</div>
+    <article><h1>A &amp; B</h1><p>One\n  <b>two</b>&nbsp;three<p>Four <a href="#">five</a>.<form><label>Name</label></form><!-- <p>no</p> -->
+    <div class="ad">Buy this thing now and here</div><pre>code  x</pre><section id="comments"><p>Nice post with many words, really.</p></section></article>
+    <aside>Side</aside><footer>&copy; me</footer></body></html>"""
+    frame = spark.createDataFrame([(1, "u", page, "x"), (2, None, None, None), (3, "v", "", "y"), (4, "w", "<" * 20_000, None)], "page_id long, url string, html string, text string")
+    got = {r.page_id: r for r in html_extract.extracted(frame).collect()}
+    assert got[1].text == "A & B\nOne two three\nFour five.\ncode x" and got[1].n_chars == len(got[1].text)
+    assert got[2].text == got[3].text == "" and got[2].url is None
+
+
+def test_empty_tables_give_empty_results(docs, bench):
+    import public_tokenizers
+
+    none = docs.limit(0)
+    assert exact_dedup.copies(none).count() == exact_dedup.without_copies(none).count() == 0
+    assert ngram_join.joined(none).count() == mixing.mix(none).count() == decontaminate.contamination(none, bench).count() == 0
+    assert pii.personal_data(none).count() == token_count.token_counts(none, public_tokenizers.path("word_bpe_49k.json")).count() == 0
+    assert quality.scored(none, None).count() == language_id.identified(none, None).count() == 0
