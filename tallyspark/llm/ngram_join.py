@@ -13,8 +13,9 @@ shingles. The join finds every link in these steps.
    together in at least one group.
 2. Count vectors. In a group, the counts of shingles by hash residue are points of an R-tree; the
    intersection of two sets, and of all sets below two nodes, is at most the sum of the coordinate minima, which
-   rules out nodes and then pairs.
-3. Verification. What survives is intersected in full, except pairs that are connected already.
+   rules out nodes and then pairs. Only the points travel to this step, not the sets.
+3. Verification. The sets of what survives are read again and intersected in full, except pairs that are
+   connected already. Equal groups of candidates from several hubs are verified once.
 4. Components of the verified edges, by large-star and small-star rounds.
 
 Equal sets are one node throughout, however many copies there are. A group larger than TILE is cut into
@@ -41,7 +42,7 @@ from tallyspark.llm.repeats import hit, repeat_filter
 
 TILE = 512
 LEAF = 16
-AXES = 32
+AXES = 128
 MEMO = 400_000
 SEEN = 500_000
 ONE, TWO = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -221,41 +222,70 @@ def _short(name: str) -> int:
     return int.from_bytes(bytes.fromhex(name[:16]), "big", signed=True)
 
 
-def _emit(rows: DataFrame, size: int, num: int, den: int, plane=None):
-    """A task's scan: without ``plane`` (key, sig) rows; with it a row for each document, and the sets of those that have a shared key."""
+def _scan(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple]:
+    """For slices of a task's batches: the slice, and (set, name, whether this task sees it first) of each text."""
+    shingle, seen = Shingler(size), set()
+    for batch in batches:
+        for at in range(0, batch.num_rows, 512):
+            part, out = batch.slice(at, 512), []
+            if len(seen) > SEEN:
+                seen.clear()
+            for t in part.column(2).to_pylist():
+                s = shingle(t)
+                name = xxhash.xxh3_128_hexdigest(s.tobytes()) if len(s) else None
+                out.append((s, name, name is not None and name not in seen))
+                seen.add(name)
+            yield part, out
+
+
+def _keys(rows: DataFrame, size: int, num: int, den: int) -> DataFrame:
+    """First scan: (key, sig) of each set that a task meets."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingle, sign, seen = Shingler(size), Signer(num, den), set()
-        shared = np.frombuffer(plane.value, np.uint8) if plane else None
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                if len(seen) > SEEN:
-                    seen.clear()
-                n, names, sigs, keys, held = [], [], [], [], []
-                for t in part.column(2).to_pylist():
-                    s = shingle(t)
-                    name = xxhash.xxh3_128_hexdigest(s.tobytes()) if len(s) else None
-                    new = name is not None and name not in seen
-                    k = sign.keys(s) if new else np.zeros(0, np.int64)
-                    seen.add(name)
-                    if shared is not None:
-                        k = np.unique(k[hit(shared, k)]) if len(k) else k
-                    n.append(len(s)), names.append(name), sigs.append(_short(name) if name else 0), keys.append(k), held.append(s.tobytes() if len(k) else None)
-                count = np.array([len(k) for k in keys])
-                flat = pa.array(np.concatenate(keys))
-                if shared is None:
-                    yield pa.RecordBatch.from_arrays([flat, pa.array(np.repeat(np.array(sigs, np.int64), count))], ["key", "sig"])
-                else:
-                    lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]).astype(np.int32)), flat)
-                    yield pa.RecordBatch.from_arrays(
-                        [part.column(0), part.column(1), pa.array(n, pa.int64()), pa.array(names, pa.string()), pa.array(sigs, pa.int64()), lists, pa.array(held, pa.binary())],
-                        ["id", "digest", "n", "name", "sig", "keys", "shingles"],
-                    )
-
-    if plane is None:
-        return rows.mapInArrow(scan, "key long, sig long")
-    return rows.mapInArrow(scan, f"id {rows.schema['id'].dataType.simpleString()}, digest long, n long, name string, sig long, keys array<long>, shingles binary")
+        sign = Signer(num, den)
+        for _, sets in _scan(batches, size):
+            keys = [(sign.keys(s), _short(name)) for s, name, new in sets if new]
+            if keys:
+                sigs = np.repeat(np.array([x for _, x in keys], np.int64), [len(k) for k, _ in keys])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([k for k, _ in keys])), pa.array(sigs)], ["key", "sig"])
+
+    return rows.mapInArrow(scan, "key long, sig long")
+
+
+def _points(rows: DataFrame, size: int, num: int, den: int, plane) -> DataFrame:
+    """Second scan: a row for each document; shared keys and the count vector once for each set and task."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sign, shared = Signer(num, den), np.frombuffer(plane.value, np.uint8)
+        for part, sets in _scan(batches, size):
+            keys = [np.unique(sign.keys(s)) if new else np.zeros(0, np.int64) for s, _, new in sets]
+            keys = [k[hit(shared, k)] if len(k) else k for k in keys]
+            ends = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
+            points = [vectors([s])[0].astype(np.uint16).tobytes() if len(k) else None for k, (s, _, _) in zip(keys, sets, strict=True)]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    part.column(0), part.column(1), pa.array([len(s) for s, _, _ in sets], pa.int64()), pa.array([n for _, n, _ in sets], pa.string()), pa.array([_short(n) if n else 0 for _, n, _ in sets], pa.int64()),
+                    pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys))), pa.array(points, pa.binary()),
+                ],
+                ["id", "digest", "n", "name", "sig", "keys", "point"],
+            )
+
+    return rows.mapInArrow(scan, f"id {rows.schema['id'].dataType.simpleString()}, digest long, n long, name string, sig long, keys array<long>, point binary")
+
+
+def _sets(rows: DataFrame, size: int, plane) -> DataFrame:
+    """Third scan: (s, name, shingles) of the sets that have a candidate."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = np.frombuffer(plane.value, np.uint8)
+        for _, sets in _scan(batches, size):
+            new = [(_short(name), name, s) for s, name, first in sets if first]
+            keep = hit(wanted, np.array([x for x, _, _ in new], np.int64)) if new else []
+            out = [x for x, k in zip(new, keep, strict=True) if k]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _, _ in out], pa.int64()), pa.array([n for _, n, _ in out], pa.string()), pa.array([s.tobytes() for _, _, s in out], pa.binary())], ["s", "name", "shingles"])
+
+    return rows.mapInArrow(scan, "s long, name string, shingles binary")
 
 
 def _tiled(members: DataFrame, num: int, den: int) -> DataFrame:
@@ -280,38 +310,79 @@ def _tiled(members: DataFrame, num: int, den: int) -> DataFrame:
     return m.select("hub", "sig", F.explode_outer(F.when(F.col("tiles").isNull(), alone).otherwise(tasks)).alias("t")).select("hub", "sig", "t.*")
 
 
-def _edges(tasks: DataFrame, num: int, den: int) -> DataFrame:
-    """(a, b) names of linked sets, a spanning forest for each task; ``tasks`` have their shingles."""
+def _runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[tuple]]:
+    """Rows of each group of equal first ``keys`` columns, which follow one another."""
+    now, held = None, []
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if row[:keys] != now:
+                if held:
+                    yield held
+                now, held = row[:keys], []
+            held.append(row[keys:])
+    if held:
+        yield held
 
-    def solve(names, sides, sets):
-        sides = np.array(sides)
-        here = np.arange(len(sets))
-        left, right = (here, None) if not sides.any() else (here[sides == 1], here[sides == 2])
-        if len(sets) < 2 or not len(left) or (right is not None and not len(right)):
-            return
-        forest = verified(sets, left, right, num, den)
-        for x in range(len(sets)):
-            if (r := forest.root(x)) != x:
-                yield names[x], names[r]
+
+def _halves(sides: list[int]) -> tuple[np.ndarray, np.ndarray | None]:
+    """Positions of the two tiles of a task, or of its only tile."""
+    s, here = np.array(sides), np.arange(len(sides))
+    return (here[s == 1], here[s == 2]) if s.any() else (here, None)
+
+
+def _survivors(tasks: DataFrame, num: int, den: int) -> DataFrame:
+    """group, side, sig: members of a task that the R-tree's bound connects. Groups met in several tasks are one."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held, out = None, ([], [], []), []
-        for batch in batches:
-            for *task, side, name, shingles in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if task != now:
-                    out.extend(solve(*held))
-                    now, held = task, ([], [], [])
-                for x, y in zip(held, (name, side, np.frombuffer(shingles, np.uint64)), strict=True):
-                    x.append(y)
-            if out:
-                yield pa.RecordBatch.from_pydict({"a": [x for x, _ in out], "b": [x for _, x in out]})
+        out: list[tuple] = []
+        for rows in _runs(batches, 5):
+            sides, sigs, raw = zip(*rows, strict=True)
+            left, right = _halves(sides)
+            if len(rows) < 2 or not len(left) or (right is not None and not len(right)):
+                continue
+            points = np.frombuffer(b"".join(raw), np.uint16).reshape(len(rows), AXES).astype(np.int32)
+            forest, met = Forest(len(rows)), set()
+            i, j, _ = candidates(points, left, right, num, den)
+            for x, y in zip(i.tolist(), j.tolist(), strict=True):
+                forest.join(x, y)
+            met.update(i.tolist(), j.tolist())
+            groups: dict[int, list[tuple]] = {}
+            for x in met:
+                groups.setdefault(forest.root(x), []).append((sides[x], sigs[x]))
+            for g in groups.values():
+                name = xxhash.xxh3_128_hexdigest(repr(sorted(g)))
+                out += [(name, side, sig) for side, sig in g]
+            if len(out) > 20_000:
+                yield _columns(out, ("group", "side", "sig"))
                 out = []
-        out.extend(solve(*held))
         if out:
-            yield pa.RecordBatch.from_pydict({"a": [x for x, _ in out], "b": [x for _, x in out]})
+            yield _columns(out, ("group", "side", "sig"))
 
     key = ["hub", "b1", "s1", "b2", "s2"]
-    dealt = tasks.select(*key, "side", "name", "shingles").repartition(*key).sortWithinPartitions(*key, "side", "name")
+    dealt = tasks.select(*key, "side", "sig", "point").repartition(*key).sortWithinPartitions(*key, "side", "sig")
+    return dealt.mapInArrow(scan, "group string, side int, sig long").distinct()
+
+
+def _columns(rows: list[tuple], names: tuple[str, ...]) -> pa.RecordBatch:
+    kinds = {"side": pa.int32(), "sig": pa.int64()}
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds.get(n, pa.string())) for c, n in zip(zip(*rows, strict=True), names, strict=True)], list(names))
+
+
+def _edges(groups: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b) names of linked sets: a spanning forest for each group of candidates."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _runs(batches, 1):
+            sides, names, raw = zip(*rows, strict=True)
+            left, right = _halves(sides)
+            if right is not None and not (len(left) and len(right)):
+                continue
+            forest = verified([np.frombuffer(x, np.uint64) for x in raw], left, right, num, den)
+            edges = [(names[x], names[r]) for x in range(len(rows)) if (r := forest.root(x)) != x]
+            if edges:
+                yield _columns(edges, ("a", "b"))
+
+    dealt = groups.select("group", "side", "name", "shingles").repartition("group").sortWithinPartitions("group", "side", "name")
     return dealt.mapInArrow(scan, "a string, b string")
 
 
@@ -337,15 +408,17 @@ def components(edges: DataFrame) -> DataFrame:
 def joined(docs: DataFrame, size: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, digest (of the text), n_shingles, component_id of each document: links at similarity num / den or more."""
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("digest"), F.col(text_col).cast("binary").alias("text"))
-    keys = _emit(rows, size, num, den).groupBy("key").agg(F.min("sig").alias("hub"), F.max("sig").alias("last")).where("hub <> last").select(F.col("key").alias("k"), "hub")
+    sent = docs.sparkSession.sparkContext.broadcast
+    keys = _keys(rows, size, num, den).groupBy("key").agg(F.min("sig").alias("hub"), F.max("sig").alias("last")).where("hub <> last").select(F.col("key").alias("k"), "hub")
     keys = written(keys, "keys")
-    plane = docs.sparkSession.sparkContext.broadcast(repeat_filter(keys.select("k"), keys.count(), once=True))
-    read = written(_emit(rows, size, num, den, plane), "sets")
+    read = written(_points(rows, size, num, den, sent(repeat_filter(keys.select("k"), keys.count(), once=True))), "points")
     members = read.where(F.size("keys") > 0).select("sig", "n", F.explode("keys").alias("key"))
     members = written(members.join(keys, F.col("key") == F.col("k")).select("hub", "sig", "n").distinct(), "members")
-    sets = read.where(F.col("shingles").isNotNull()).select(F.col("sig").alias("s"), "name", "shingles").dropDuplicates(["s", "name"])
-    tasks = _tiled(members, num, den).join(sets, F.col("sig") == F.col("s"))
-    found = components(_edges(tasks, num, den))
+    points = read.where(F.col("point").isNotNull()).select(F.col("sig").alias("s"), "point").dropDuplicates(["s"])
+    groups = written(_survivors(_tiled(members, num, den).join(points, F.col("sig") == F.col("s")), num, den), "groups")
+    wanted = groups.select("sig").distinct()
+    sets = _sets(rows, size, sent(repeat_filter(wanted, groups.count(), once=True))).dropDuplicates(["s", "name"])
+    found = components(_edges(groups.join(sets, F.col("sig") == F.col("s")), num, den))
     labels = read.select("id", "digest", "n", "name").join(found, F.col("name") == F.col("node"), "left")
     labels = written(labels.select("id", "digest", "n", F.coalesce("root", "name").alias("label")), "labels")
     first = written(labels.where(F.col("label").isNotNull()).groupBy(F.col("label").alias("l")).agg(F.min("id").alias("first")), "firsts")
