@@ -1,0 +1 @@
+"""Portfolio research as Spark plans: market panels, returns, reports, signals, allocation and ledgers."""
