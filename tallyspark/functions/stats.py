@@ -14,7 +14,7 @@ def correlation(x, y) -> Column:
     """Pearson correlation from one pass of moments, clamped to [-1, 1]; null for a constant sample."""
     x, y = col(x), col(y)
     r = F.try_divide(F.covar_samp(x, y), F.stddev_samp(x) * F.stddev_samp(y))
-    return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r))
+    return F.when(r.isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)))
 
 
 def slope(x, y) -> Column:

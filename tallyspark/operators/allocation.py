@@ -72,7 +72,7 @@ def information_ratio_weights(pair: DataFrame, periods: float, low: float = 0.0,
     """
     x = pair.select((F.col("a") - F.col("m")).alias("x"), (F.col("b") - F.col("m")).alias("y"))
     s = x.agg(F.avg("x").alias("mx"), F.avg("y").alias("my"), F.var_samp("x").alias("vx"), F.var_samp("y").alias("vy"), F.covar_samp("x", "y").alias("c"))
-    clip = lambda w: F.greatest(F.lit(low), F.least(F.lit(high), w))
+    clip = lambda w: F.when(w.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), w)))
     p, q = F.col("mx") * F.col("vy") - F.col("my") * F.col("c"), F.col("my") * F.col("vx") - F.col("mx") * F.col("c")
     least = F.try_divide(F.col("vy") - F.col("c"), F.col("vx") + F.col("vy") - 2 * F.col("c"))
     cands = [("lower", F.lit(low)), ("upper", F.lit(high)), ("stationary", clip(F.try_divide(p, p + q))), ("least_tracking_error", clip(least))]

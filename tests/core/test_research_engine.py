@@ -86,7 +86,7 @@ def test_tail_rank_is_exact(spark):
 
 
 def test_rank_ic_and_quantiles(spark):
-    rows = [(D(0), a, s, f) for a, s, f in zip("ABCD", (1.0, 2, 3, 4), (0.01, 0.02, 0.03, 0.04))] + [(D(1), a, s, f) for a, s, f in zip("ABCD", (1.0, 2, 3, 4), (0.04, 0.03, 0.02, 0.01))] + [(D(2), a, 1.0, f) for a, f in zip("AB", (0.1, 0.2))]
+    rows = [(D(0), a, s, f) for a, s, f in zip("ABCD", (1.0, 2.0, 3.0, 4.0), (0.01, 0.02, 0.03, 0.04))] + [(D(1), a, s, f) for a, s, f in zip("ABCD", (1.0, 2.0, 3.0, 4.0), (0.04, 0.03, 0.02, 0.01))] + [(D(2), a, 1.0, f) for a, f in zip("AB", (0.1, 0.2))]
     p = spark.createDataFrame(rows, "signal_date date, asset string, signal double, forward_return double")
     ic = {r.signal_date: (r.rank_ic, r.status) for r in research.rank_ic(p).collect()}
     assert np.isclose(ic[D(0)][0], 1) and np.isclose(ic[D(1)][0], -1) and ic[D(2)] == (None, "constant_signal")
