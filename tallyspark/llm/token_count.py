@@ -94,13 +94,14 @@ class TokenCounter:
                     starts, ids = self.encoded(text[begin:end])
                     starts += begin
                     break
-                nxt, nxt_ids = self.encoded(text[begin : begin + self.chunk])
+                stop = max(begin + self.chunk, end + self.chunk // 2)  # a widened overlap must not stop the advance
+                nxt, nxt_ids = self.encoded(text[begin:stop])
                 nxt += begin
                 at = self._boundary(text, starts, ids, nxt, nxt_ids, end)
                 if at is not None:
                     total += int(np.searchsorted(starts, at))
                     keep = np.searchsorted(nxt, at)
-                    starts, ids, done, end = nxt[keep:], nxt_ids[keep:], at, begin + self.chunk
+                    starts, ids, done, end = nxt[keep:], nxt_ids[keep:], at, stop
                     break
                 overlap *= 2
         return total + len(starts)

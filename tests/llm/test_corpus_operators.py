@@ -215,6 +215,16 @@ def test_special_strings_and_long_words_resynchronise():
         assert counter.counts([t]) == counter.count_all([t])
 
 
+def test_widened_overlaps_advance():
+    import public_tokenizers
+
+    rng = random.Random(8)
+    for file in ("word_bpe_49k.json", "piece_bpe_32k.model"):
+        counter = token_count.TokenCounter(public_tokenizers.path(file), chunk=60, overlap=4)
+        texts = [" ".join("w" * rng.choice((1, 3, 50, 70, 300)) for _ in range(rng.randrange(1, 40))) for _ in range(150)]
+        assert counter.counts(texts) == counter.count_all(texts)
+
+
 def test_personal_data_matches_regular_expressions(docs, rows):
     rng = random.Random(1)
     patterns = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
