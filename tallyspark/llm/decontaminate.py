@@ -54,6 +54,8 @@ def _minima(grams: str, span: int) -> Column:
     return F.array_distinct(F.transform(_positions(F.size(grams) - (span - 1)), low))
 
 
+# An inner explode would have the optimiser infer a filter on its array and push it down, which writes the
+# expression of every gram into each element's lambda; explode_outer infers none, and nulls are dropped behind it.
 def _fingerprints(df: DataFrame, gram: int, span: int) -> DataFrame:
     """Adds ``grams`` and ``prints`` to rows with ``words``."""
     df = df.withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w))).withColumn("grams", _grams("hashes", gram))
@@ -85,14 +87,14 @@ def hit_spans(docs: DataFrame, benchmark: DataFrame, id_col="doc_id", text_col="
     out, first = [], True
     for gram, span, low, high in _plan(items):
         some = _fingerprints(items.where(F.col("length").between(low, high)), gram, span)
-        some = some.select("item", F.col("words").alias("item_words"), "length", "grams", F.explode("prints").alias("item_print"))
-        some = some.select("item", "item_words", "length", "item_print", F.explode(F.filter(_positions(F.size("grams")), lambda i: F.get(F.col("grams"), i) == F.col("item_print"))).alias("item_at"))
+        some = some.select("item", F.col("words").alias("item_words"), "length", "grams", F.explode_outer("prints").alias("item_print")).where(F.col("item_print").isNotNull())
+        some = some.select("item", "item_words", "length", "item_print", F.explode_outer(F.filter(_positions(F.size("grams")), lambda i: F.get(F.col("grams"), i) == F.col("item_print"))).alias("item_at"))
         some = written(some, "prints")
         blocks = max(1, -(-some.count() // BLOCK_ROWS))
         for k in range(blocks):
             block = some if blocks == 1 else some.where(F.pmod(F.xxhash64("item", "item_words"), F.lit(blocks)) == k)
             d = _fingerprints(base, gram, span)
-            d = d.select("id", "digest", "n_words", "words", "grams", F.explode(head(F.col("prints")) if first else F.col("prints")).alias("print"))
+            d = d.select("id", "digest", "n_words", "words", "grams", F.explode_outer(head(F.col("prints")) if first else F.col("prints")).alias("print"))
             d = d.join(F.broadcast(block), F.col("print") == F.col("item_print"), "left" if first else "inner")
             d = d.where(F.col("print").isNull() | F.col("item_print").isNotNull()) if first else d
             out.append(_extended(d))

@@ -243,6 +243,10 @@ def learn(docs: DataFrame, learn_from: Column, per_language: int = DOCS_PER_LANG
     """Fit on at most ``per_language`` whole documents of each language among rows where ``learn_from`` holds."""
     rows = docs.where(learn_from & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     rows = rows.select(F.col(lang_col).alias("lang"), F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.col(text_col)).alias("h"))
+    # Only ids whose hash is small enough for about four times the bound go on, so what meets in a language's task does not grow.
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("size"))
+    share = (F.col("h").cast("double") + 2.0**63) / 2.0**64
+    rows = rows.join(F.broadcast(sizes), "lang").where(share * F.col("size") <= 4.0 * per_language)
     picked = rows.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("n") <= per_language)
     # at most per_language rows for each language, so this broadcast is bounded
     sample = docs.where(learn_from).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.col(text_col)).alias("h"))

@@ -91,8 +91,7 @@ class TokenCounter:
                 begin = max(done, end - overlap)
                 if begin == done:  # no boundary in the whole chunk: encode on from its own start
                     end += end - begin
-                    starts, ids = self.encoded(text[begin:end])
-                    starts += begin
+                    starts, ids = self._resumed(text, begin, end)
                     break
                 stop = max(begin + self.chunk, end + self.chunk // 2)  # a widened overlap must not stop the advance
                 nxt, nxt_ids = self.encoded(text[begin:stop])
@@ -106,6 +105,18 @@ class TokenCounter:
                 overlap *= 2
         return total + len(starts)
 
+    def _resumed(self, text: str, at: int, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens of text[at:end] for a stable boundary ``at``, with text before it, as some tokenizers mark a text's start."""
+        back = self.overlap
+        while True:
+            begin = max(0, at - back)
+            starts, ids = self.encoded(text[begin:end])
+            starts += begin
+            k = int(np.searchsorted(starts, at))
+            if begin == 0 or (0 < k < len(starts) and starts[k] == at):
+                return starts[k:], ids[k:]
+            back *= 2
+
     def _boundary(self, text: str, a, a_ids, b, b_ids, end: int) -> int | None:
         """The last place before ``end`` where both encodings start a token at an edge and agree on what follows."""
         _, i, j = np.intersect1d(a, b, return_indices=True)
