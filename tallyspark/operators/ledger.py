@@ -16,16 +16,19 @@ from pyspark.sql import functions as F
 
 @dataclass(frozen=True)
 class Financing:
-    """Annual cash and borrowing rates by calendar day, and the equity ratio below which a run stops."""
+    """Annual cash, borrowing and stock-borrow rates by calendar day (the last on the previous close's short value),
+    the equity ratio below which a run stops, and whether paid dividends buy more of their payer."""
 
     cash_rate: float = 0.0
     borrowing_rate: float = 0.0
     day_count: int = 365
     maintenance_equity_ratio: float | None = None
+    stock_borrow_rate: float = 0.0
+    reinvest_dividends: bool = False
 
     def __post_init__(self):
         ratio = self.maintenance_equity_ratio
-        if self.cash_rate < 0 or self.borrowing_rate < 0 or self.day_count not in (360, 365):
+        if min(self.cash_rate, self.borrowing_rate, self.stock_borrow_rate) < 0 or self.day_count not in (360, 365):
             raise ValueError("rates must not be negative and day_count must be 360 or 365")
         if ratio is not None and not 0 < ratio <= 1:
             raise ValueError("maintenance_equity_ratio must be in (0, 1]")
@@ -115,6 +118,7 @@ def _kernel(pdf: pd.DataFrame, terms: dict) -> pd.DataFrame:
     held: dict[str, float] = {}
     price: dict[str, float] = {}
     due: list[tuple] = []
+    budget: dict[str, float] = {}
     cash, debt, day = terms["capital"], 0.0, min(by_day)
     first_target = min(pdf.loc[pdf["what"] == "target", "session"], default=None)
     last = max(pdf.loc[pdf["what"] == "price", "session"])
@@ -136,6 +140,9 @@ def _kernel(pdf: pd.DataFrame, terms: dict) -> pd.DataFrame:
                 post("cash_interest", dc=cash * terms["cash_rate"] / terms["day_count"])
             if debt > 0 and terms["borrowing_rate"]:
                 post("borrowing_interest", dd=debt * terms["borrowing_rate"] / terms["day_count"])
+            short = -sum(q * price[a] for a, q in held.items() if q < 0)
+            if short > 0 and terms["stock_borrow_rate"]:
+                post("stock_borrow_fee", dc=-short * terms["stock_borrow_rate"] / terms["day_count"])
         rows = by_day.get(day)
         if rows is not None and day > first_target:
             for r in rows[rows["what"] == "split"].itertuples():
@@ -146,7 +153,9 @@ def _kernel(pdf: pd.DataFrame, terms: dict) -> pd.DataFrame:
                     due.append((r.d, r.asset, q * r.x))
         for item in [x for x in due if x[0] <= day]:
             due.remove(item)
-            post("dividend_payment", item[1], dc=item[2])
+            post("dividend_payment" if item[2] >= 0 else "short_dividend_payment", item[1], dc=item[2])
+            if item[2] > 0 and terms["reinvest_dividends"]:
+                budget[item[1]] = budget.get(item[1], 0.0) + item[2]
         prices = rows[rows["what"] == "price"] if rows is not None else None
         if prices is not None and len(prices):
             price |= dict(zip(prices["asset"], prices["x"], strict=True))
@@ -165,6 +174,14 @@ def _kernel(pdf: pd.DataFrame, terms: dict) -> pd.DataFrame:
                     if abs(notional) > 1e-12:
                         post("trade", a, notional / price[a], -notional)
                         post("trade_cost", a, dc=-abs(notional) * terms["rate"])
+            if not len(basket) and day < last:  # a scheduled basket takes the cash; at the end it is held
+                for a in sorted(x for x in budget if x in set(prices["asset"]) and held.get(x, 0.0) > 0):
+                    if (spend := min(budget.pop(a), cash)) > 0:
+                        post("dividend_reinvestment", a, spend / price[a], -spend)
+            elif len(basket):
+                budget.clear()
+            if cash < -1e-9:
+                post("borrowing", dc=-cash, dd=-cash)
             if debt > 0 and cash > 1e-9:
                 pay = min(cash, debt)
                 post("debt_repayment", dc=-pay, dd=-pay)
