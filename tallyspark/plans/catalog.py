@@ -473,3 +473,64 @@ def long_short_audit(spark, d):
 @query("SELECT asset, round(corr(lp, lv), 9) AS correlation, count(*) AS n_obs FROM (SELECT asset, ln(close) AS lp, ln(dollar_volume) AS lv FROM v1) GROUP BY asset")
 def price_volume_correlation(spark, d):
     return rounded(views.events_panel(spark, d).groupBy("asset").agg(correlation(F.ln("close"), F.ln("dollar_volume")).alias("correlation"), F.count("*").alias("n_obs")))
+
+
+@query(", c AS (SELECT session, count(*) AS n, max(asset) AS latest FROM v3 GROUP BY session) SELECT session, CAST(session AS VARCHAR) || ' ' || CAST(15 + CAST(substr(latest, 1, 1) AS INTEGER) AS VARCHAR) || ':00:00' AS close_at FROM c WHERE n = (SELECT count(DISTINCT asset) FROM v3)")
+def calendar_intersection(spark, d):
+    """Months quoted for every priority, with the latest of their closes (later for a higher priority number)."""
+    p = views.orders_panel(spark, d).withColumn("close_at", hours(F.substring("asset", 1, 1).cast("int") + 15, "session"))
+    names = [r[0] for r in p.select("asset").distinct().orderBy("asset").collect()]
+    out = intervals.combined_calendar([p.where(F.col("asset") == a).select("session", "close_at") for a in names], "intersection")
+    return out.withColumn("close_at", F.date_format("close_at", "yyyy-MM-dd HH:mm:ss"))
+
+
+@query(""", c AS (SELECT s.session, a.asset FROM (SELECT DISTINCT session FROM v3) s CROSS JOIN (SELECT DISTINCT asset FROM v3) a)
+SELECT c.asset, c.session, CASE WHEN NOT c.session BETWEEN DATE '1995-03-01' AND DATE '2001-03-01' THEN 'outside_coverage' WHEN month(c.session) = 7 AND c.asset LIKE '5%' THEN 'excluded' WHEN v3.asset IS NULL THEN 'missing' WHEN month(c.session) = 12 AND c.asset LIKE '4%' THEN 'unexpected' ELSE 'ok' END AS status
+FROM c LEFT JOIN v3 ON c.session = v3.session AND c.asset = v3.asset WHERE v3.asset IS NOT NULL OR NOT (month(c.session) = 12 AND c.asset LIKE '4%') OR (month(c.session) = 7 AND c.asset LIKE '5%')""")
+def provider_coverage(spark, d):
+    from tallyspark.sources import provider
+
+    p = views.orders_panel(spark, d)
+    grid = p.select("session").distinct().join(F.broadcast(p.select("asset").distinct()))
+    expected = grid.where("not (month(session) = 12 and asset like '4%')")
+    return provider.coverage(p, expected, "1995-03-01", "2001-03-01", grid.where("month(session) = 7 and asset like '5%'"))
+
+
+@query(HOLD + "SELECT session, asset, round(q * (close - p), 6) AS price_pnl FROM (SELECT session, asset, close, lag(close) OVER (PARTITION BY asset ORDER BY session) AS p, 0.2::DOUBLE * (100000 / (1 + 0.001::DOUBLE)) / first_value(close) OVER (PARTITION BY asset ORDER BY session) AS q FROM n1) WHERE p IS NOT NULL")
+def position_attribution(spark, d):
+    """Price P&L of each holding of an equal-weight basket bought at the first close."""
+    w = Window.partitionBy("asset").orderBy("session")
+    p = views.events_panel(spark, d).withColumn("before", F.lag("close").over(w)).withColumn("q", F.lit(0.2) * (CAPITAL / 1.001) / F.first("close").over(w))
+    return p.where(F.col("before").isNotNull()).select("session", "asset", F.round(F.col("q") * (F.col("close") - F.col("before")), 6).alias("price_pnl"))
+
+
+@query(PAIRS + "SELECT signal_date, count(*) AS n_assets, min(n_assets) AS n_matched FROM m4 JOIN i4 USING (signal_date) GROUP BY signal_date")
+def signal_coverage(spark, d):
+    """Signals by date, and those with an outcome, after the strict key check."""
+    p = _pairs(spark, d)
+    both = research.matched(p.drop("forward_return"), p.drop("signal"))
+    counts = both.groupBy("signal_date").agg(F.count("*").alias("n_matched"))
+    return p.groupBy("signal_date").agg(F.count("*").alias("n_assets")).join(counts, "signal_date")
+
+
+@query("SELECT session, round(sum(abs(0.2::DOUBLE - 0.2::DOUBLE * (1 + r1.r) / (1 + p1.r))) / 2, 9) AS one_way_turnover FROM r1 JOIN p1 USING (session) WHERE r1.r IS NOT NULL GROUP BY session")
+def rebalance_turnover(spark, d):
+    """One-way turnover of restoring equal weights at each close."""
+    r = rets.returns(views.events_panel(spark, d)).where(F.col("value").isNotNull())
+    x = r.join(equal_weight(spark, d).select("session", "r"), "session")
+    drift = F.lit(0.2) * (1 + F.col("value")) / (1 + F.col("r"))
+    return rounded(x.groupBy("session").agg((F.sum(F.abs(F.lit(0.2) - drift)) / 2).alias("one_way_turnover")))
+
+
+@query(SPLIT + """, c AS (SELECT 'momentum' AS candidate, target, close__lag0 / close__lag1 - 1 AS prediction FROM p WHERE partition = 'validation' AND reason = 'included' UNION ALL SELECT 'zero', target, 0 FROM p WHERE partition = 'validation' AND reason = 'included')
+SELECT CAST(row_number() OVER (ORDER BY candidate) AS BIGINT) AS sequence, 'validation_selection' AS event, candidate, 'mae' AS metric, round(avg(abs(prediction - target)), 9) AS value, count(*) AS n_obs, 'validation' AS status FROM c GROUP BY candidate""")
+def study_audit(spark, d):
+    """The audit of one selection by mean absolute error."""
+    from tallyspark.operators.study import ResearchStudy
+
+    split = _split(spark, d)
+    v = split.where("partition = 'validation' and reason = 'included'")
+    made = {"momentum": F.col("close__lag0") / F.col("close__lag1") - 1, "zero": F.lit(0.0)}
+    study = ResearchStudy(split, "events")
+    study.select(v.select("session", "asset", F.explode(F.array(*(F.struct(F.lit(k).alias("candidate"), x.alias("prediction")) for k, x in made.items()))).alias("c")).select("session", "asset", "c.*"), {}, metric="mae")
+    return rounded(study.audit.select("sequence", "event", "candidate", "metric", "value", "n_obs", "status"))
