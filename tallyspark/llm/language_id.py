@@ -34,7 +34,7 @@ DOCS_PER_LANGUAGE = 400
 #: Codes: 0 separator, 1 letter unknown in training, 2.. the letters of the training texts by frequency.
 LETTERS = 250
 UND = "und"
-SLICE = 1 << 20
+SLICE = 1 << 18
 
 
 def crc_bucket(doc_id: Column, n: int) -> Column:

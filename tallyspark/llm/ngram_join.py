@@ -43,8 +43,8 @@ from tallyspark.llm.repeats import hit, repeat_filter
 TILE = 512
 LEAF = 16
 AXES = 128
-MEMO = 400_000
-SEEN = 500_000
+MEMO = 100_000
+SEEN = 100_000
 ONE, TWO = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -226,8 +226,8 @@ def _scan(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple]:
     """For slices of a task's batches: the slice, and (set, name, whether this task sees it first) of each text."""
     shingle, seen = Shingler(size), set()
     for batch in batches:
-        for at in range(0, batch.num_rows, 512):
-            part, out = batch.slice(at, 512), []
+        for at in range(0, batch.num_rows, 256):
+            part, out = batch.slice(at, 256), []
             if len(seen) > SEEN:
                 seen.clear()
             for t in part.column(2).to_pylist():
