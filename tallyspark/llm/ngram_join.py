@@ -417,7 +417,7 @@ def joined(docs: DataFrame, size: int = 3, num: int = 90, den: int = 100, id_col
     points = read.where(F.col("point").isNotNull()).select(F.col("sig").alias("s"), "point").dropDuplicates(["s"])
     groups = written(_survivors(_tiled(members, num, den).join(points, F.col("sig") == F.col("s")), num, den), "groups")
     wanted = groups.select("sig").distinct()
-    sets = _sets(rows, size, sent(repeat_filter(wanted, groups.count(), once=True))).dropDuplicates(["s", "name"])
+    sets = _sets(rows, size, sent(repeat_filter(wanted, groups.count(), once=True))).repartition("s").dropDuplicates(["s", "name"])  # dealt as the join needs them
     found = components(_edges(groups.join(sets, F.col("sig") == F.col("s")), num, den))
     labels = read.select("id", "digest", "n", "name").join(found, F.col("name") == F.col("node"), "left")
     labels = written(labels.select("id", "digest", "n", F.coalesce("root", "name").alias("label")), "labels")
