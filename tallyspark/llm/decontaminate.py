@@ -29,7 +29,8 @@ from tallyspark.llm.common import fresh, semi, table, written
 WINDOW = 13
 GRAM = 5
 PIECE = 256
-BLOCK_ROWS = 100_000
+#: Each row carries its piece, about 5 kB, so a block is about 100 MB.
+BLOCK_ROWS = 20_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
