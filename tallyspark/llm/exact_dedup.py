@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import SPACES, fresh, table, written
+from tallyspark.llm.common import SPACES, fresh, semi, table, written
 from tallyspark.llm.repeats import may_repeat, repeat_filter
 
 
@@ -48,15 +48,16 @@ def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each group of equal texts: the one with the smallest id.
 
-    Rows that surely are unique are not shuffled. The rest meet by (digest, id), so a large group of
-    copies spreads over all partitions.
+    Rows that surely are unique are not shuffled. The rest meet the rows that stay by (digest, id), in a broadcast
+    if those are counted few, else spread over all partitions however large a group is; only rows that
+    stay, and their repetitions, shuffle with their texts.
     """
     _, sent, _, groups = _prepared(docs, id_col, text_col)
     d, h = fresh(docs, "digest", "h")
     marked = docs.withColumn(d, digest(F.col(text_col))).withColumn(h, F.xxhash64(d))
     alone = marked.where(~may_repeat(sent, F.col(h)))
-    maybe = marked.where(may_repeat(sent, F.col(h))).dropDuplicates([d, id_col])
-    first = maybe.join(groups, (maybe[d] == groups["digest"]) & maybe[id_col].eqNullSafe(groups["keep"]), "left_semi")
+    first = semi(marked.where(may_repeat(sent, F.col(h))), groups.select("digest", "keep"), [(d, "digest"), (id_col, "keep")])
+    first = first.dropDuplicates([d, id_col])
     return alone.unionByName(first).select(*docs.columns)
 
 
