@@ -15,7 +15,8 @@ shingles. The join finds every link in these steps.
    intersection of two sets, and of all sets below two nodes, is at most the sum of the coordinate minima, which
    rules out nodes and then pairs. Only the points travel to this step, not the sets.
 3. Verification. The sets of what survives are read again and intersected in full, except pairs that are
-   connected already. Equal groups of candidates from several hubs are verified once.
+   connected already. Equal groups of candidates from several hubs are verified once, and overlapping ones
+   together if all their members fit a tile, so that a set travels once and not once for each hub.
 4. Components of the verified edges, by large-star and small-star rounds.
 
 Equal sets are one node throughout, however many copies there are. A group larger than TILE is cut into
@@ -363,6 +364,18 @@ def _survivors(tasks: DataFrame, num: int, den: int) -> DataFrame:
     return dealt.mapInArrow(scan, "group string, side int, sig long").distinct()
 
 
+def _merged(groups: DataFrame) -> DataFrame:
+    """Overlapping groups as one where all their members fit a tile; the others, and halves of tile pairs, as they are."""
+    whole = groups.where("side = 0")
+    low = whole.groupBy("group").agg(F.min("sig").alias("b"))
+    found = components(whole.join(low, "group").select(F.col("sig").alias("a"), "b"))
+    found = found.unionByName(found.select(F.col("root").alias("node"), "root").distinct())
+    fits = found.groupBy("root").count().where(F.col("count") <= TILE)
+    small = written(found.join(fits, "root").select(F.concat(F.lit("merged "), F.col("root").cast("string")).alias("group"), F.lit(0).alias("side"), F.col("node").alias("sig")), "merged")
+    rest = whole.join(small.select("sig"), "sig", "left_anti")
+    return written(small.unionByName(rest).unionByName(groups.where("side <> 0")), "candidates")
+
+
 def _columns(rows: list[tuple], names: tuple[str, ...]) -> pa.RecordBatch:
     kinds = {"side": pa.int32(), "sig": pa.int64()}
     return pa.RecordBatch.from_arrays([pa.array(c, kinds.get(n, pa.string())) for c, n in zip(zip(*rows, strict=True), names, strict=True)], list(names))
@@ -415,7 +428,7 @@ def joined(docs: DataFrame, size: int = 3, num: int = 90, den: int = 100, id_col
     members = read.where(F.size("keys") > 0).select("sig", "n", F.explode("keys").alias("key"))
     members = written(members.join(keys, F.col("key") == F.col("k")).select("hub", "sig", "n").distinct(), "members")
     points = read.where(F.col("point").isNotNull()).select(F.col("sig").alias("s"), "point").dropDuplicates(["s"])
-    groups = written(_survivors(_tiled(members, num, den).join(points, F.col("sig") == F.col("s")), num, den), "groups")
+    groups = _merged(written(_survivors(_tiled(members, num, den).join(points, F.col("sig") == F.col("s")), num, den), "groups"))
     wanted = groups.select("sig").distinct()
     sets = _sets(rows, size, sent(repeat_filter(wanted, groups.count(), once=True))).repartition("s").dropDuplicates(["s", "name"])  # dealt as the join needs them
     found = components(_edges(groups.join(sets, F.col("sig") == F.col("s")), num, den))
