@@ -5,8 +5,9 @@ A page is cut into flat blocks at block-level tags. Each block has its number of
 container that is furniture (navigation, footer, form, advert ...), the article, a heading. A decision
 tree, grown by Gini impurity from the small labelled table EXAMPLES, tells article text from the rest.
 
-The scanner reads tags with quoted attributes, comments, and raw-text elements (scripts, styles), and
-closes what is left open when an outer element ends. Character references are decoded, white space in
+The scanner reads tags with quoted attributes, comments, and raw-text elements (scripts, styles), adds the
+end tags that HTML lets authors leave out (list items, paragraphs, cells, rows), and closes what is left
+open when an outer element ends, however deep it lies. Character references are decoded, white space in
 a block becomes one blank, and the blocks of the article are joined in page order by a line feed.
 
 Edge cases: null counts as an empty page and gives an empty text; text outside any tag is a block of its
@@ -18,7 +19,9 @@ from __future__ import annotations
 
 import html
 import re
+from collections import defaultdict
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +38,26 @@ BLOCK = frozenset(
 )
 FURNITURE = frozenset("nav footer aside form head title menu dialog button".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Implied end tags, as in HTML's rules for building trees: a start tag closes the innermost element of a scope
+#: if that has one of the names given. Scopes are the names at which a look outwards stops: for list items, for
+#: paragraphs, for parts of a table, and for the end tags of INLINE (which close nothing outside of them).
+ITEM, PARAGRAPH, PART, WALL = range(4)
+SCOPES = (
+    BLOCK - {"address", "div", "p"},
+    frozenset("p button caption html table td th".split()),
+    frozenset("table caption colgroup tbody thead tfoot tr td th".split()),
+    frozenset("article main body table".split()),
+)
+SCOPED = frozenset().union(*SCOPES)
+INLINE = frozenset("p li b i a span em strong".split())
+CELLS = frozenset("td th caption colgroup".split())
+IMPLIED = {
+    "li": [(ITEM, {"li"})], "dt": [(ITEM, {"dt", "dd"})], "dd": [(ITEM, {"dt", "dd"})], "option": [(ITEM, {"option"})],
+    **dict.fromkeys(("td", "th"), [(PART, CELLS)]), "tr": [(PART, CELLS | {"tr"})],
+    **dict.fromkeys("caption colgroup tbody thead tfoot".split(), [(PART, CELLS | {"tr", "tbody", "thead", "tfoot"})]),
+}
+for _name in "address article aside blockquote center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main menu nav ol p pre section summary table ul".split():
+    IMPLIED[_name] = [*IMPLIED.get(_name, []), (PARAGRAPH, {"p"})]
 #: Words in class, id or role that mark furniture.
 FURNITURE_NAMES = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner\w*|cookies?|consent|gdpr|notice|alert|sidebar|side|menu|nav\w*|breadcrumbs?|footer|header|masthead|topbar|toolbar|comments?|respond|replies|disqus|share|social|related|recommend\w*|subscribe|newsletter|signup|login|search|popup|modal|widget|pagination|pager|skip|tags|complementary|contentinfo|dialog)(?:$|[\s_-])",
@@ -100,6 +123,19 @@ def decide(tree, x: np.ndarray) -> np.ndarray:
     return out
 
 
+class Open(NamedTuple):
+    """An open element with what holds inside it."""
+
+    name: str
+    furniture: bool
+    article: bool
+    outermost: str  # name of the outermost open element that is furniture
+    scopes: tuple[int, ...]  # where the innermost open element of each of SCOPES stands, -1 for none
+
+
+OUTSIDE = Open("", False, False, "", (-1,) * len(SCOPES))
+
+
 class Scanner:
     """Flat blocks of one page: text, words inside links, furniture, article, heading."""
 
@@ -107,50 +143,59 @@ class Scanner:
         self.blocks: list[tuple[str, int, bool, bool, bool]] = []
         self.pieces: list[str] = []
         self.link_words = 0
-        self.open: list[tuple[str, bool, bool]] = []  # name, furniture, article: what holds inside
+        self.open: list[Open] = []
+        self.places: defaultdict[str, list[int]] = defaultdict(list)  # where the open elements of each name stand
 
     def flush(self, heading: bool = False) -> None:
         text = " ".join("".join(self.pieces).split())
         if text:
-            _, furniture, article = self.open[-1] if self.open else ("", False, False)
-            self.blocks.append((text, self.link_words, furniture, article, heading or any(n in HEADINGS for n, _, _ in self.open[-3:])))
+            inside = self.open[-1] if self.open else OUTSIDE
+            self.blocks.append((text, self.link_words, inside.furniture, inside.article, heading or any(o.name in HEADINGS for o in self.open[-3:])))
         self.pieces, self.link_words = [], 0
 
     def text(self, raw: str) -> None:
         if raw:
             t = html.unescape(raw) if "&" in raw else raw
             self.pieces.append(t)
-            if any(n == "a" for n, _, _ in self.open[-4:]):
+            if any(o.name == "a" for o in self.open[-4:]):
                 self.link_words += len(t.split())
 
+    def cut(self, k: int) -> None:
+        """Close the elements from place k on."""
+        for o in self.open[k:]:
+            self.places[o.name].pop()
+        del self.open[k:]
+
     def start(self, name: str, attributes: str) -> None:
         if name in BLOCK:
             self.flush()
+        for scope, names in IMPLIED.get(name, ()):
+            while self.open and (k := self.open[-1].scopes[scope]) >= 0 and self.open[k].name in names:
+                self.cut(k)
         if name in VOID:
             return
-        if name in ("p", "li", "td", "th", "tr", "dt", "dd", "option") and self.open and self.open[-1][0] == name:
-            self.open.pop()
-        _, furniture, article = self.open[-1] if self.open else ("", False, False)
+        _, furniture, article, outermost, scopes = self.open[-1] if self.open else OUTSIDE
         named = " ".join(next(filter(None, m.groups()), "") for m in NAMED.finditer(attributes)) if attributes else ""
         marked = bool(named and name not in ("html", "body", "main", "article", "h1") and FURNITURE_NAMES.search(named)) or bool(attributes and HIDDEN.search(attributes))
         if name == "article" and re.search("comment|reply", named, re.I):
             marked = True
         if name in ("article", "main") and not marked:
-            plain = [n for n, f, _ in self.open if f]
-            furniture = furniture and plain[0] not in FURNITURE  # an element that was left open does not swallow the article
+            furniture = furniture and outermost not in FURNITURE  # an element that was left open does not swallow the article
             article = True
         furniture = furniture or marked or name in FURNITURE or (name == "header" and not article)
-        self.open.append((name, furniture, article))
+        at = len(self.open)
+        if name in SCOPED:
+            scopes = tuple(at if name in names else k for names, k in zip(SCOPES, scopes, strict=True))
+        self.open.append(Open(name, furniture, article, outermost or (name if furniture else ""), scopes))
+        self.places[name].append(at)
 
     def end(self, name: str) -> None:
         if name in BLOCK:
             self.flush()
-        for k in range(len(self.open) - 1, max(-1, len(self.open) - 200), -1):
-            if self.open[k][0] == name:
-                del self.open[k:]
-                return
-            if self.open[k][0] in ("article", "main", "body", "table") and name in ("p", "li", "b", "i", "a", "span", "em", "strong"):
-                return
+        if self.places.get(name):
+            k = self.places[name][-1]
+            if name not in INLINE or k > self.open[-1].scopes[WALL]:
+                self.cut(k)
 
     def scan(self, page: str) -> list[tuple[str, int, bool, bool, bool]]:
         at, last = 0, page.rfind(">")

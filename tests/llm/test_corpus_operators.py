@@ -338,6 +338,18 @@ def test_html_extraction(spark):
     assert got[2].text == got[3].text == "" and got[2].url is None
 
 
+@pytest.mark.parametrize("item", ["<li><p>Entry {}", "<dt>Entry {}<dd>more", "<li>Entry <b>{}", "<tr><td>Entry<td>{}", "<p><b>Entry {}", "<span>Entry {}"])
+def test_long_lists_without_end_tags_stay_in_their_container(item):
+    tree = html_extract.grow(np.array(html_extract.EXAMPLES, float))
+    story = "Here stands the running text of this page, in many plain words that no menu would ever hold, line after line after line."
+    page = f'<div class="sidebar">{"".join(item.format(k) for k in range(300))}</div><p>{story}</p>'
+    assert html_extract.main_text(page, tree) == story
+    if "span" not in item:
+        scanner = html_extract.Scanner()
+        scanner.scan("<table>" * ("<td>" in item) + "".join(item.format(k) for k in range(300)))
+        assert len(scanner.open) < 6
+
+
 def test_empty_tables_give_empty_results(docs, bench):
     import public_tokenizers
 
