@@ -1,6 +1,7 @@
 """Language ID (5): interpolated Kneser-Ney character language models in sorted hash arrays.
 
 A text becomes a row of letter codes: letters in lower case, everything else one separator between words.
+Every letter of the training texts has codes of its own; one code is left to letters never seen in training.
 For each language and order 1..ORDER the model has the discounted share of a character after its context and
 the weight left to the shorter context; raw counts at the highest order, numbers of distinct left
 neighbours below it. All languages share, for each order, one sorted array of hashed grams with a matrix of
@@ -31,8 +32,10 @@ from tallyspark.llm.common import fresh, table
 
 ORDER = 4
 DOCS_PER_LANGUAGE = 400
-#: Codes: 0 separator, 1 letter unknown in training, 2.. the letters of the training texts by frequency.
-LETTERS = 250
+#: Codes: 0 separator, 1 letter unknown in training, 2.. the letters of the training texts by frequency. Up to
+#: NARROW codes take 8 bits each, more take 16. The last 2 * PAIRED of the WIDE codes are for alphabets that
+#: are larger still: each letter past the others is a code of the first half followed by one of the second.
+NARROW, WIDE, PAIRED = 1 << 8, 1 << 16, 1 << 9
 UND = "und"
 SLICE = 1 << 18
 
@@ -63,9 +66,13 @@ class Coder:
 
     def __init__(self, alphabet: np.ndarray):
         low = letter_table()
-        codes = np.full(0x110000, 1, np.uint8)
+        codes = np.full(0x110000, 1, np.uint32)
         codes[alphabet] = np.arange(2, 2 + len(alphabet))
-        self.codes = np.where(low == 0, 0, codes[low]).astype(np.uint8)
+        self.width = 8 if len(alphabet) + 2 <= NARROW else 16
+        self.single = WIDE - 2 * PAIRED  # codes from here on stand for two
+        self.paired = len(alphabet) + 2 > self.single
+        kind = np.uint8 if self.width == 8 else np.uint32 if self.paired else np.uint16
+        self.codes = np.where(low == 0, 0, codes[low]).astype(kind)
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Codes of all texts, runs of separators as one, and where each text starts (it starts with a separator)."""
@@ -75,19 +82,29 @@ class Coder:
         keep[1:] |= codes[:-1] != 0
         keep[starts] = True
         at = np.cumsum(keep) - 1
-        return codes[keep], at[starts]
+        codes, starts = codes[keep], at[starts]
+        return self._in_pairs(codes, starts) if self.paired else (codes, starts)
 
+    def _in_pairs(self, codes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        rare = codes >= self.single
+        place = np.arange(len(codes)) + np.cumsum(rare) - rare
+        first, second = np.divmod(codes - np.uint32(self.single), np.uint32(PAIRED))
+        out = np.zeros(len(codes) + int(rare.sum()), np.uint16)
+        out[place] = np.where(rare, self.single + first, codes)
+        out[place[rare] + 1] = self.single + PAIRED + second[rare]
+        return out, place[starts]
 
-def grams(codes: np.ndarray, n: int, starts: np.ndarray | None = None) -> np.ndarray:
+
+def grams(codes: np.ndarray, n: int, starts: np.ndarray | None = None, width: int = 8) -> np.ndarray:
     """For each place the last n codes packed into one integer; codes before the start count as separators."""
-    out = np.zeros(len(codes), np.int64)
+    out = np.zeros(len(codes), np.uint64)
     for k in range(n):
-        shifted = np.concatenate([np.zeros(min(k, len(codes)), np.int64), codes[: max(0, len(codes) - k)].astype(np.int64)])
+        shifted = np.concatenate([np.zeros(min(k, len(codes)), np.uint64), codes[: max(0, len(codes) - k)].astype(np.uint64)])
         if k and starts is not None:
             for j in range(k):
                 edge = starts + j
                 shifted[edge[edge < len(codes)]] = 0
-        out |= shifted << (8 * k)
+        out |= shifted << (width * k)
     return out
 
 
@@ -105,42 +122,41 @@ class KneserNey:
         low = letter_table()
         seen = [low[code_points(t)[0]] for t in texts.values()]
         letters, n = np.unique(np.concatenate([s[s > 0] for s in seen] or [np.zeros(0, np.uint32)]), return_counts=True)
-        self.alphabet = letters[np.lexsort((letters, -n))][:LETTERS]
+        self.alphabet = letters[np.lexsort((letters, -n))]
         coder = Coder(self.alphabet)
+        self.width = coder.width
+        if order * self.width > 64:
+            raise ValueError(f"grams of {order} codes of {self.width} bits do not fit in 64 bits")
         raw = []
         for lang in self.languages:
-            packed = grams(*self._arg(coder, texts[lang], order))
+            codes, starts = coder(texts[lang])
+            packed = grams(codes, order, starts, self.width)
             raw.append(np.unique(packed, return_counts=True))
-        self.uniform = -np.log2(1 / (len(self.alphabet) + 2))
+        self.uniform = -np.log2(1 / (WIDE if coder.paired else len(self.alphabet) + 2))
         self.tables: list[tuple[np.ndarray, np.ndarray]] = []  # by order from 1: hashes and bits [gram, language]
         self.backoff: list[tuple[np.ndarray, np.ndarray]] = []  # by order from 1: hashes of contexts and bits
         below: dict[int, np.ndarray] = {}
-        counted = [self._counts(g, c, order) for g, c in raw]
+        counted = [self._counts(g, c, order, self.width) for g, c in raw]
         for m in range(1, order + 1):
             union = np.unique(np.concatenate([c[m][0] for c in counted]))
-            contexts = np.unique(union >> 8)
+            contexts = np.unique(union >> self.width)
             prob = np.zeros((len(union), len(self.languages)))
             left = np.ones((len(contexts), len(self.languages)))
-            shorter = union & ((1 << (8 * (m - 1))) - 1)
+            shorter = union & ((1 << (self.width * (m - 1))) - 1)
             base = np.full((len(union), len(self.languages)), 2.0**-self.uniform) if m == 1 else below["p"][np.searchsorted(below["g"], shorter)]
             for k, c in enumerate(counted):
                 g, n, ones = c[m]
                 discount = ones
-                ctx, at = np.unique(g >> 8, return_inverse=True)
+                ctx, at = np.unique(g >> self.width, return_inverse=True)
                 total, kinds = np.bincount(at, n), np.bincount(at)
                 own = np.zeros(len(union))
                 own[np.searchsorted(union, g)] = np.maximum(n - discount, 0) / total[at]
                 left[np.searchsorted(contexts, ctx), k] = discount * kinds / total
-                prob[:, k] = own + left[np.searchsorted(contexts, union >> 8), k] * base[:, k]
+                prob[:, k] = own + left[np.searchsorted(contexts, union >> self.width), k] * base[:, k]
             below = {"g": union, "p": prob}
             self.tables.append(self._sorted(union, prob))
             self.backoff.append(self._sorted(contexts, left))
 
-    @staticmethod
-    def _arg(coder: Coder, texts: list[str], order: int):
-        codes, starts = coder(texts)
-        return codes, order, starts
-
     @staticmethod
     def _sorted(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         h = hashed(keys)
@@ -148,13 +164,13 @@ class KneserNey:
         return h[by], -np.log2(np.maximum(values[by], 1e-30)).astype(np.float32)
 
     @staticmethod
-    def _counts(g: np.ndarray, n: np.ndarray, order: int) -> dict[int, tuple[np.ndarray, np.ndarray, float]]:
+    def _counts(g: np.ndarray, n: np.ndarray, order: int, width: int) -> dict[int, tuple[np.ndarray, np.ndarray, float]]:
         """By order: grams, counts (raw at the top, distinct left neighbours below) and the absolute discount."""
         out = {}
         for m in range(order, 0, -1):
             one, two = int((n == 1).sum()), int((n == 2).sum())
             out[m] = g, n.astype(np.float64), one / (one + 2 * two) if one and two else 0.5
-            g, n = np.unique(g & ((1 << (8 * (m - 1))) - 1), return_counts=True) if m > 1 else (g, n)
+            g, n = np.unique(g & ((1 << (width * (m - 1))) - 1), return_counts=True) if m > 1 else (g, n)
         return out
 
     @staticmethod
@@ -165,9 +181,9 @@ class KneserNey:
     def bits(self, packed: np.ndarray) -> np.ndarray:
         """-log2 of the probability of each gram's last character after the others, for each language."""
         out = np.zeros((len(packed), len(self.languages)), np.float32)
-        rest = np.arange(len(packed))
+        packed, rest = packed.astype(np.uint64), np.arange(len(packed))
         for m in range(self.order, 0, -1):
-            g = packed[rest] & ((1 << (8 * m)) - 1)
+            g = packed[rest] & ((1 << (self.width * m)) - 1)
             keys, values = self.tables[m - 1]
             at, found = self._find(keys, hashed(g))
             out[rest[found]] += values[at[found]]
@@ -175,7 +191,7 @@ class KneserNey:
             if not len(rest):
                 return out
             keys, values = self.backoff[m - 1]
-            at, found = self._find(keys, hashed(g >> 8))
+            at, found = self._find(keys, hashed(g >> self.width))
             out[rest[found]] += values[at[found]]
         out[rest] += self.uniform
         return out
@@ -185,9 +201,10 @@ class KneserNey:
         h, n = np.zeros((len(texts), len(self.languages))), np.zeros(len(texts), np.int64)
         for some in _parts([len(t) for t in texts]):
             codes, starts = coder([texts[k] for k in some])
-            h[some] = np.add.reduceat(self.bits(grams(codes, self.order, starts)), starts, axis=0, dtype=np.float64)
+            h[some] = np.add.reduceat(self.bits(grams(codes, self.order, starts, self.width)), starts, axis=0, dtype=np.float64)
             size = np.diff(np.append(starts, len(codes)))
-            n[some] = np.add.reduceat((codes != 0).astype(np.int64), starts)
+            letters = (codes != 0) & (codes < coder.single + PAIRED)  # a letter of two codes counts once
+            n[some] = np.add.reduceat(letters.astype(np.int64), starts)
             h[some] /= np.maximum(size, 1)[:, None]
         return h, n
 

@@ -275,6 +275,29 @@ def test_kneser_ney_is_a_distribution():
         assert np.allclose(p.sum(axis=0), 1, atol=1e-3)
 
 
+def test_large_alphabets_are_told_apart_and_unlearnt_scripts_are_rejected():
+    rng = random.Random(5)
+
+    def speaker(first, size):
+        words = ["".join(chr(first + rng.randrange(size)) for _ in range(rng.randrange(2, 5))) for _ in range(400)]
+        return lambda n: [" ".join(rng.choice(words) for _ in range(60)) for _ in range(n)]
+
+    han, hangul, unlearnt = speaker(0x4E00, 600), speaker(0xAC00, 600), speaker(0x5D0, 27)
+    known = language_id.Identifier({"han": han(60), "hangul": hangul(60)})
+    names, _, _, rejected = known.predict(language_id.Coder(known.model.alphabet), han(9) + hangul(9) + unlearnt(9))
+    assert len(known.model.alphabet) > 500 and names[:18] == ["han"] * 9 + ["hangul"] * 9
+    assert rejected.tolist() == [False] * 18 + [True] * 9
+
+
+def test_every_letter_has_codes_of_its_own():
+    every = np.unique(language_id.letter_table())[1:]
+    coder = language_id.Coder(every)
+    codes, starts = coder([chr(c) for c in every])
+    assert len(every) > language_id.WIDE and len({tuple(c.tolist()) for c in np.split(codes, starts[1:])}) == len(every)
+    model = language_id.KneserNey({"x": ["".join(map(chr, every))]})
+    assert model.entropies(coder, [chr(every[5]) * 3 + chr(every[-1]) * 2])[1].tolist() == [5]
+
+
 def test_quality_machine_learns_and_scores_edge_cases(spark, docs, rows):
     rng = random.Random(4)
     data = [(i, prose(rng, 80) + "." if i % 2 else (prose(rng, 8).upper() + "!! ") * 10, 300) for i in range(400)]
