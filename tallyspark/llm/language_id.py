@@ -14,8 +14,8 @@ hash of their id), a bound that is a parameter. A quarter of them is held back t
 that turns cross-entropies into a score, and the cross-entropy beyond which a text is rejected.
 
 Edge cases: null text, and text without a letter, is ``und`` with score 0 and rejected; rows with a null
-language are never learnt from; ties go to the language first in order; repeated rows each get a row; if
-nothing can be learnt, every text is ``und``; an empty table gives an empty result.
+language are never learnt from; ties go to the language first in order; repeated rows each get a row, and are
+learnt from once; if nothing can be learnt, every text is ``und``; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -261,13 +261,14 @@ def learn(docs: DataFrame, learn_from: Column, per_language: int = DOCS_PER_LANG
     rows = docs.where(learn_from & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     rows = rows.select(F.col(lang_col).alias("lang"), F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.col(text_col)).alias("h"))
     # Only ids whose hash is small enough for about four times the bound go on, so what meets in a language's task does not grow.
-    sizes = rows.groupBy("lang").agg(F.count("*").alias("size"))
+    # Repeated rows count once in all of this; the size only has to be about right, so it is estimated without a shuffle of hashes.
+    sizes = rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("size"))
     share = (F.col("h").cast("double") + 2.0**63) / 2.0**64
-    rows = rows.join(F.broadcast(sizes), "lang").where(share * F.col("size") <= 4.0 * per_language)
+    rows = rows.join(F.broadcast(sizes), "lang").where(share * F.col("size") <= 4.0 * per_language).select("lang", "h").distinct()
     picked = rows.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("n") <= per_language)
     # at most per_language rows for each language, so this broadcast is bounded
     sample = docs.where(learn_from).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.col(text_col)).alias("h"))
-    sample = sample.join(F.broadcast(picked.select("lang", "h").distinct()), ["lang", "h"], "left_semi")
+    sample = sample.join(F.broadcast(picked.select("lang", "h")), ["lang", "h"], "left_semi").groupBy("lang", "h").agg(F.min("text").alias("text"))
     texts: dict[str, dict[int, str]] = {}
     for r in sample.collect():
         texts.setdefault(r["lang"], {})[r["h"]] = r["text"]

@@ -11,8 +11,8 @@ it is read: no row is shuffled.
 
 Edge cases: null counts as empty text; an empty text has no words and is scored by its statistics; null
 metadata fall in a bin of their own; documents labelled more than once take their largest label and null
-labels are passed over; with no usable label every score is the prior, 0.5; repeated rows each get a row;
-an empty table gives an empty result.
+labels are passed over; with no usable label every score is the prior, 0.5; repeated rows each get a row, but
+of the rows of one id only one (that with the smallest hash) is learnt from; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -152,7 +152,9 @@ def learn(docs: DataFrame, labels: DataFrame, usable: Column, meta: tuple[str, .
     lab = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("double").alias("label")).where(usable & F.col("doc_id").isNotNull() & F.col("label").isNotNull())
     lab = lab.groupBy("doc_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"), *(F.col(c).cast("double").alias(f"meta{k}") for k, c in enumerate(meta)))
-    rows = rows.join(F.broadcast(lab), "doc_id").select("doc_id", "label", "text", *(f"meta{k}" for k in range(len(meta))))  # at most ``sample`` labels
+    rows = rows.join(F.broadcast(lab), "doc_id")  # at most ``sample`` labels
+    kept = ["text", *(f"meta{k}" for k in range(len(meta)))]
+    rows = rows.groupBy("doc_id", "label").agg(F.min(F.struct(F.xxhash64(*kept).alias("h"), *kept)).alias("row")).select("doc_id", "label", *(f"row.{c}" for c in kept))
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         featurise = Featuriser()

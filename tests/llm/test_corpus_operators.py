@@ -312,6 +312,22 @@ def test_quality_machine_learns_and_scores_edge_cases(spark, docs, rows):
     assert {r.score for r in quality.scored(docs, quality.learn(frame, labels.limit(0), usable)).collect()} == {0.5}
 
 
+def test_repeated_rows_are_learnt_from_once(spark):
+    rng = random.Random(6)
+    data = [(i, prose(rng, 40), "aa" if i % 2 else "bb", 300) for i in range(60)]
+    frame = spark.createDataFrame(data, "doc_id long, text string, lang string, n_chars long")
+    copies = lambda row, n: spark.range(n, numPartitions=3).select(*(F.lit(v).alias(c) for c, v in zip(frame.columns, row, strict=True)))
+    more = frame.unionByName(copies(data[7], 3000)).unionByName(copies((700, "une seule ligne", "cc", 15), 40_000))
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    one, other = (quality.learn(f, labels, F.lit(True)) for f in (frame, more))
+    assert one.w0 == other.w0 and np.array_equal(one.w, other.w) and np.array_equal(one.v, other.v)
+    known = language_id.learn(more, F.lit(True))
+    assert known.model.languages == ["aa", "bb", "cc"]
+    once = language_id.learn(frame.unionByName(copies((700, "une seule ligne", "cc", 15), 1)), F.lit(True), per_language=20)
+    many = language_id.learn(more, F.lit(True), per_language=20)
+    assert once.most == many.most and all(np.array_equal(a[1], b[1]) for a, b in zip(once.model.tables, many.model.tables, strict=True))
+
+
 def test_sum_of_squares_identity():
     rng = np.random.default_rng(0)
     m = quality.Machine(np.zeros((0, 11)))
