@@ -64,6 +64,8 @@ FURNITURE_NAMES = re.compile(
     re.I,
 )
 NAMED = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+#: An <a> that only names a place, without a target, is no link, and is often left open.
+PLACE, TARGET = (re.compile(rf"(?:^|\s)(?:{names})(?=\s|$|=)", re.I) for names in ("name|id", "href"))
 HIDDEN = re.compile(r"""(?:^|\s)(?:hidden(?=\s|$|=)|aria-hidden\s*=\s*["']?true|style\s*=\s*["'][^"']*display\s*:\s*none)""", re.I)
 MARK = re.compile(r"<(?:(!--)|(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>|([!?/][^>]*+)>)")
 CLOSERS = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*+>?", re.I) for name in RAW}
@@ -129,11 +131,13 @@ class Open(NamedTuple):
     name: str
     furniture: bool
     article: bool
+    heading: bool
+    link: int  # number of the link it stands in, 0 for none
     outermost: str  # name of the outermost open element that is furniture
     scopes: tuple[int, ...]  # where the innermost open element of each of SCOPES stands, -1 for none
 
 
-OUTSIDE = Open("", False, False, "", (-1,) * len(SCOPES))
+OUTSIDE = Open("", False, False, False, 0, "", (-1,) * len(SCOPES))
 
 
 class Scanner:
@@ -143,6 +147,8 @@ class Scanner:
         self.blocks: list[tuple[str, int, bool, bool, bool]] = []
         self.pieces: list[str] = []
         self.link_words = 0
+        self.links = 0  # number of the last link
+        self.link = 0  # the link that is not yet ended: a new <a> ends the one before
         self.open: list[Open] = []
         self.places: defaultdict[str, list[int]] = defaultdict(list)  # where the open elements of each name stand
 
@@ -150,14 +156,14 @@ class Scanner:
         text = " ".join("".join(self.pieces).split())
         if text:
             inside = self.open[-1] if self.open else OUTSIDE
-            self.blocks.append((text, self.link_words, inside.furniture, inside.article, heading or any(o.name in HEADINGS for o in self.open[-3:])))
+            self.blocks.append((text, self.link_words, inside.furniture, inside.article, heading or inside.heading))
         self.pieces, self.link_words = [], 0
 
     def text(self, raw: str) -> None:
         if raw:
             t = html.unescape(raw) if "&" in raw else raw
             self.pieces.append(t)
-            if any(o.name == "a" for o in self.open[-4:]):
+            if self.link and self.open and self.open[-1].link == self.link:
                 self.link_words += len(t.split())
 
     def cut(self, k: int) -> None:
@@ -172,9 +178,11 @@ class Scanner:
         for scope, names in IMPLIED.get(name, ()):
             while self.open and (k := self.open[-1].scopes[scope]) >= 0 and self.open[k].name in names:
                 self.cut(k)
+        if name in HEADINGS and self.open and self.open[-1].name in HEADINGS:
+            self.cut(len(self.open) - 1)
         if name in VOID:
             return
-        _, furniture, article, outermost, scopes = self.open[-1] if self.open else OUTSIDE
+        _, furniture, article, heading, link, outermost, scopes = self.open[-1] if self.open else OUTSIDE
         named = " ".join(next(filter(None, m.groups()), "") for m in NAMED.finditer(attributes)) if attributes else ""
         marked = bool(named and name not in ("html", "body", "main", "article", "h1") and FURNITURE_NAMES.search(named)) or bool(attributes and HIDDEN.search(attributes))
         if name == "article" and re.search("comment|reply", named, re.I):
@@ -186,12 +194,19 @@ class Scanner:
         at = len(self.open)
         if name in SCOPED:
             scopes = tuple(at if name in names else k for names, k in zip(SCOPES, scopes, strict=True))
-        self.open.append(Open(name, furniture, article, outermost or (name if furniture else ""), scopes))
+        if name == "a":
+            self.links += 1
+            self.link = link = 0 if PLACE.search(attributes) and not TARGET.search(attributes) else self.links
+        self.open.append(Open(name, furniture, article, heading or name in HEADINGS, link, outermost or (name if furniture else ""), scopes))
         self.places[name].append(at)
 
     def end(self, name: str) -> None:
         if name in BLOCK:
             self.flush()
+        if name == "a":
+            self.link = 0
+        elif name in HEADINGS:  # the end tag of one heading ends any other
+            name = max(HEADINGS, key=lambda h: self.places[h][-1] if self.places[h] else -1)
         if self.places.get(name):
             k = self.places[name][-1]
             if name not in INLINE or k > self.open[-1].scopes[WALL]:

@@ -389,6 +389,20 @@ def test_long_lists_without_end_tags_stay_in_their_container(item):
         assert len(scanner.open) < 6
 
 
+def test_links_and_headings_hold_at_any_depth():
+    deep = "<div>" * 9, "</div>" * 9
+    blocks = lambda page: [(b[0], b[1], b[4]) for b in html_extract.Scanner().scan(page)]
+    assert blocks(f'<a href="#">{deep[0]}two words{deep[1]}</a>plain') == [("two words", 2, False), ("plain", 0, False)]
+    assert blocks(f"<h2>{'<span>' * 9}Head{'</span>' * 9}</h2>plain") == [("Head", 0, True), ("plain", 0, False)]
+    assert blocks("<h2>Head</h3><p>plain") == [("Head", 0, True), ("plain", 0, False)]
+    assert blocks('<a name="top"><p>plain <a href="#">link</a> plain<div>plain') == [("plain link plain", 1, False), ("plain", 0, False)]
+    assert blocks('<a href="#" id="x"><b><i><u><s>link</a>') == blocks('<a id="x" href="#">link') == [("link", 1, False)]
+    assert blocks('<a href="#"><main>link</a> plain</main>plain') == [("link plain", 1, False), ("plain", 0, False)]
+    tree = html_extract.grow(np.array(html_extract.EXAMPLES, float))
+    card = f'<a href="#">{deep[0]}A card that leads on to some other page of this site, with a teaser of as many words as a paragraph{deep[1]}</a>'
+    assert html_extract.main_text(card * 4, tree) == ""
+
+
 def test_empty_tables_give_empty_results(docs, bench):
     import public_tokenizers
 
