@@ -223,6 +223,15 @@ def _short(name: str) -> int:
     return int.from_bytes(bytes.fromhex(name[:16]), "big", signed=True)
 
 
+def _packed(point: np.ndarray) -> bytes:
+    """A count vector in two bytes a count if all fit, else in four."""
+    return point.astype(np.uint16 if point.max() < 1 << 16 else np.int32).tobytes()
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, np.uint16 if len(raw) == 2 * AXES else np.int32)
+
+
 def _scan(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple]:
     """For slices of a task's batches: the slice, and (set, name, whether this task sees it first) of each text."""
     shingle, seen = Shingler(size), set()
@@ -262,7 +271,7 @@ def _points(rows: DataFrame, size: int, num: int, den: int, plane) -> DataFrame:
             keys = [np.unique(sign.keys(s)) if new else np.zeros(0, np.int64) for s, _, new in sets]
             keys = [k[hit(shared, k)] if len(k) else k for k in keys]
             ends = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
-            points = [vectors([s])[0].astype(np.uint16).tobytes() if len(k) else None for k, (s, _, _) in zip(keys, sets, strict=True)]
+            points = [_packed(vectors([s])[0]) if len(k) else None for k, (s, _, _) in zip(keys, sets, strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [
                     part.column(0), part.column(1), pa.array([len(s) for s, _, _ in sets], pa.int64()), pa.array([n for _, n, _ in sets], pa.string()), pa.array([_short(n) if n else 0 for _, n, _ in sets], pa.int64()),
@@ -341,7 +350,7 @@ def _survivors(tasks: DataFrame, num: int, den: int) -> DataFrame:
             left, right = _halves(sides)
             if len(rows) < 2 or not len(left) or (right is not None and not len(right)):
                 continue
-            points = np.frombuffer(b"".join(raw), np.uint16).reshape(len(rows), AXES).astype(np.int32)
+            points = np.array([_unpacked(p) for p in raw], np.int32)
             forest, met = Forest(len(rows)), set()
             i, j, _ = candidates(points, left, right, num, den)
             for x, y in zip(i.tolist(), j.tolist(), strict=True):

@@ -159,6 +159,15 @@ def test_count_vector_tree_admits_every_linked_pair():
     assert (ngram_join._products(sets, i, j) == [len(np.intersect1d(sets[x], sets[y])) for x, y in zip(i, j, strict=True)]).all()
 
 
+def test_counts_beyond_two_bytes_keep_their_candidates(spark):
+    points = np.zeros((3, ngram_join.AXES), np.int32)
+    points[:, 5] = 65_500, 65_600, 64
+    raw = [ngram_join._packed(p) for p in points]
+    assert [len(r) // ngram_join.AXES for r in raw] == [2, 4, 2] and all(np.array_equal(ngram_join._unpacked(r), p) for r, p in zip(raw, points, strict=True))
+    tasks = spark.createDataFrame([(1, 0, 0, 0, 0, 0, k, r) for k, r in enumerate(raw)], "hub long, b1 int, s1 int, b2 int, s2 int, side int, sig long, point binary")
+    assert {r.sig for r in ngram_join._survivors(tasks, 9, 10).collect()} == {0, 1}
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(f"{i:04}", f"{i + 1:04}") for i in range(40)] + [("z1", f"y{i}") for i in range(30)] + [("q", "q")]
     got = dict(ngram_join.components(spark.createDataFrame(edges, "a string, b string")).collect())
