@@ -1,9 +1,13 @@
 """HTML extraction (9): flat text blocks, classified by a decision tree on their and their neighbours' shape.
 
 A page is cut into flat blocks at block-level tags. Each block has its number of words and its link density
-(share of words inside links), those of the blocks before and after it, and what it stands in: a
-container that is furniture (navigation, footer, form, advert ...), the article, a heading. A decision
-tree, grown by Gini impurity from the small labelled table EXAMPLES, tells article text from the rest.
+(share of words inside links), those of the blocks before and after it, and three hints: how strongly the
+containers it stands in are marked as furniture (2: by their tag, as navigation, footers and forms are, or by an
+unmistakable name; 1: by a name that articles use too, such as ``notice`` or ``widget``), whether they are marked as
+the article, and whether it is a heading. A decision tree, grown by Gini impurity from the small labelled
+table PAGES, tells article text from the rest. Names and tags are inputs to it like the others: runs of links inside
+an article are a menu, long text without links in a container of a doubtful name is text, and pages that mark
+nothing are told by words and link density of a block and its neighbours alone.
 
 The scanner reads tags with quoted attributes, comments, and raw-text elements (scripts, styles), adds the
 end tags that HTML lets authors leave out (list items, paragraphs, cells, rows), and closes what is left
@@ -58,42 +62,71 @@ IMPLIED = {
 }
 for _name in "address article aside blockquote center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main menu nav ol p pre section summary table ul".split():
     IMPLIED[_name] = [*IMPLIED.get(_name, []), (PARAGRAPH, {"p"})]
-#: Words in class, id or role that mark furniture.
+#: Words in class, id or role that mark furniture for sure, those that articles use too, and those of articles.
+_NAME = r"(?:^|[\s_-])(?:{})(?:$|[\s_-])"
 FURNITURE_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner\w*|cookies?|consent|gdpr|notice|alert|sidebar|side|menu|nav\w*|breadcrumbs?|footer|header|masthead|topbar|toolbar|comments?|respond|replies|disqus|share|social|related|recommend\w*|subscribe|newsletter|signup|login|search|popup|modal|widget|pagination|pager|skip|tags|complementary|contentinfo|dialog)(?:$|[\s_-])",
+    _NAME.format(
+        r"ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner\w*|cookies?|consent|gdpr|sidebar|menu|nav\w*|breadcrumbs?"
+        r"|footer|masthead|topbar|toolbar|comments?|respond|replies|disqus|share|social|related|recommend\w*"
+        r"|subscribe|newsletter|signup|login|search|popup|modal|pagination|pager|complementary|contentinfo|dialog"
+    ),
     re.I,
 )
+DOUBTFUL_NAMES = re.compile(_NAME.format(r"notice|alert|side|header|widget|skip|tags"), re.I)
+ARTICLE_NAMES = re.compile(_NAME.format(r"article\w*|story\w*|post|entry|content|prose|bodytext"), re.I)
+#: Elements too small to be a container of furniture by a doubtful name.
+PHRASES = frozenset("p li b i a span em strong q cite small h1 h2 h3 h4 h5 h6 td th".split())
 NAMED = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 #: An <a> that only names a place, without a target, is no link, and is often left open.
 PLACE, TARGET = (re.compile(rf"(?:^|\s)(?:{names})(?=\s|$|=)", re.I) for names in ("name|id", "href"))
+COMMENT = re.compile("comment|reply", re.I)
 HIDDEN = re.compile(r"""(?:^|\s)(?:hidden(?=\s|$|=)|aria-hidden\s*=\s*["']?true|style\s*=\s*["'][^"']*display\s*:\s*none)""", re.I)
 MARK = re.compile(r"<(?:(!--)|(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>|([!?/][^>]*+)>)")
 CLOSERS = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*+>?", re.I) for name in RAW}
 
-FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "furniture", "article", "heading")
-#: The labelled table: features in the order above, then 1 for article text.
-EXAMPLES = (
-    # furniture by its container: menus, footers, adverts, forms, comments, also long or without links
-    (1, 1.0, 0, 0.0, 1, 1.0, 1, 0, 0, 0), (1, 1.0, 1, 1.0, 1, 1.0, 1, 0, 0, 0), (2, 1.0, 1, 1.0, 9, 0.0, 1, 0, 0, 0),
-    (9, 0.0, 1, 1.0, 12, 0.0, 1, 0, 0, 0), (14, 0.0, 40, 0.0, 0, 0.0, 1, 0, 0, 0), (40, 0.0, 80, 0.0, 30, 0.0, 1, 0, 0, 0),
-    (60, 0.1, 120, 0.0, 0, 0.0, 1, 0, 0, 0), (6, 0.5, 0, 0.0, 4, 0.0, 1, 0, 0, 0), (3, 0.0, 2, 0.0, 90, 0.0, 1, 0, 1, 0),
-    (25, 0.0, 60, 0.0, 25, 0.0, 1, 1, 0, 0), (4, 0.0, 70, 0.0, 25, 0.0, 1, 1, 1, 0), (8, 1.0, 50, 0.0, 50, 0.0, 1, 1, 0, 0),
-    # the article: any length, headings, short paragraphs, list items, links inside
-    (10, 0.0, 9, 0.0, 12, 0.0, 0, 1, 1, 1), (2, 0.0, 9, 0.0, 1, 0.0, 0, 1, 1, 1), (1, 0.0, 40, 0.0, 60, 0.0, 0, 1, 0, 1),
-    (3, 0.0, 2, 0.0, 1, 0.0, 0, 1, 0, 1), (80, 0.0, 10, 0.0, 75, 0.0, 0, 1, 0, 1), (150, 0.05, 80, 0.0, 14, 0.0, 0, 1, 0, 1),
-    (12, 0.4, 50, 0.0, 50, 0.0, 0, 1, 0, 1), (2, 1.0, 60, 0.0, 40, 0.0, 0, 1, 0, 1), (20, 0.0, 9, 0.0, 14, 0.0, 0, 1, 0, 1),
-    (1, 0.0, 0, 0.0, 0, 0.0, 0, 1, 0, 1), (5, 0.0, 1, 1.0, 0, 0.0, 0, 1, 0, 1), (4, 0.0, 5, 0.0, 2, 0.5, 0, 1, 0, 1),
-    (2, 0.5, 5, 0.0, 1, 0.0, 0, 1, 0, 1), (6, 0.0, 3, 1.0, 4, 1.0, 0, 1, 0, 1), (3, 1.0, 2, 1.0, 3, 1.0, 0, 1, 0, 1),
-    (2, 0.0, 3, 1.0, 2, 1.0, 0, 1, 1, 1), (9, 0.9, 30, 0.7, 8, 1.0, 0, 1, 0, 1), (1, 1.0, 0, 0.0, 6, 0.6, 0, 1, 0, 1),
-    (7, 0.2, 1, 1.0, 20, 0.5, 0, 1, 0, 1), (3, 0.0, 70, 0.0, 2, 1.0, 0, 1, 0, 1), (5, 0.6, 70, 0.0, 25, 0.4, 0, 1, 0, 1),
-    # pages without such marks: long text with few links, and headings or short lines beside it
-    (45, 0.0, 3, 1.0, 60, 0.0, 0, 0, 0, 1), (70, 0.05, 45, 0.0, 30, 0.0, 0, 0, 0, 1), (30, 0.1, 70, 0.0, 3, 1.0, 0, 0, 0, 1),
-    (20, 0.0, 35, 0.0, 40, 0.0, 0, 0, 0, 1), (6, 0.0, 2, 1.0, 50, 0.0, 0, 0, 1, 1), (4, 0.0, 60, 0.0, 45, 0.0, 0, 0, 0, 1),
-    (8, 0.0, 5, 0.0, 30, 0.0, 0, 0, 1, 1), (25, 0.2, 40, 0.0, 50, 0.0, 0, 0, 0, 1), (18, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0, 1),
-    (2, 1.0, 2, 1.0, 2, 1.0, 0, 0, 0, 0), (3, 1.0, 0, 0.0, 2, 1.0, 0, 0, 0, 0), (2, 0.0, 3, 1.0, 3, 1.0, 0, 0, 0, 0),
-    (5, 0.8, 60, 0.0, 3, 1.0, 0, 0, 0, 0), (12, 0.9, 10, 0.9, 11, 0.8, 0, 0, 0, 0), (6, 0.2, 4, 0.9, 2, 1.0, 0, 0, 0, 0),
-    (30, 0.7, 5, 1.0, 8, 1.0, 0, 0, 0, 0), (3, 0.0, 2, 0.0, 2, 1.0, 0, 0, 0, 0), (7, 0.0, 3, 0.0, 0, 0.0, 0, 0, 0, 0),
-    (4, 1.0, 50, 0.0, 45, 0.0, 0, 0, 0, 0), (2, 0.0, 1, 0.0, 1, 0.0, 0, 0, 0, 0), (3, 1.0, 4, 0.0, 5, 1.0, 0, 0, 1, 0),
+FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "mark", "article", "heading")
+#: The labelled table: pages of blocks (words, link density, mark, article, heading, 1 for article text) in page order.
+PAGES = (
+    # menu, advert, article with short and long paragraphs, footer
+    ((1, 1, 2, 0, 0, 0), (1, 1, 2, 0, 0, 0), (1, 1, 2, 0, 0, 0), (8, 0, 2, 0, 0, 0), (7, 0, 0, 1, 1, 1), (3, 0, 0, 1, 0, 1),
+     (45, 0, 0, 1, 0, 1), (1, 0, 0, 1, 0, 1), (90, 0, 0, 1, 0, 1), (2, 0, 0, 1, 0, 1), (14, 0, 2, 0, 0, 0)),
+    # an article with one paragraph, then comments, long and without links, and a form
+    ((2, 1, 2, 0, 0, 0), (2, 1, 2, 0, 0, 0), (5, 0, 0, 1, 1, 1), (60, 0.1, 0, 1, 0, 1), (2, 0, 2, 0, 1, 0), (35, 0, 2, 0, 0, 0),
+     (120, 0, 2, 0, 0, 0), (28, 0.05, 2, 0, 0, 0), (4, 0, 2, 0, 0, 0), (1, 0, 2, 0, 0, 0)),
+    # adverts and a box of related links within the article
+    ((9, 0, 0, 1, 1, 1), (70, 0.05, 0, 1, 0, 1), (6, 0, 2, 1, 0, 0), (55, 0, 0, 1, 0, 1), (25, 0, 2, 1, 0, 0), (4, 0, 2, 1, 1, 0),
+     (5, 1, 2, 1, 0, 0), (6, 1, 2, 1, 0, 0), (40, 0, 0, 1, 0, 1), (2, 0.5, 0, 1, 0, 1)),
+    # comments within the main element, as long as its text
+    ((7, 0, 0, 1, 1, 1), (33, 0, 0, 1, 0, 1), (70, 0.1, 0, 1, 0, 1), (2, 0, 2, 1, 1, 0), (45, 0, 2, 1, 0, 0), (80, 0.1, 2, 1, 0, 0), (28, 0, 2, 1, 0, 0),
+     (130, 0, 2, 1, 0, 0), (31, 0, 2, 1, 0, 0), (40, 0, 2, 1, 0, 0)),
+    # short lines before a link in the article
+    ((4, 0, 0, 1, 0, 1), (3, 1, 0, 1, 0, 1), (22, 0, 0, 1, 0, 1), (2, 0, 0, 1, 0, 1), (5, 1, 0, 1, 0, 1), (60, 0, 0, 1, 0, 1), (3, 0, 0, 1, 1, 1),
+     (1, 1, 0, 1, 0, 1), (12, 0.1, 0, 1, 0, 1)),
+    # a menu within the article that nothing marks, and links in its text
+    ((6, 0, 0, 1, 1, 1), (2, 1, 0, 1, 0, 0), (1, 1, 0, 1, 0, 0), (3, 1, 0, 1, 0, 0), (2, 1, 0, 1, 0, 0), (50, 0.2, 0, 1, 0, 1),
+     (12, 0.4, 0, 1, 0, 1), (3, 1, 0, 1, 0, 1), (30, 0.1, 0, 1, 0, 1), (7, 0.6, 0, 1, 0, 1), (41, 0, 0, 1, 0, 1)),
+    ((80, 0, 0, 1, 0, 1), (4, 0, 0, 1, 1, 1), (9, 0.2, 0, 1, 0, 1), (5, 0.4, 0, 1, 0, 1), (6, 0.3, 0, 1, 0, 1), (3, 1, 0, 1, 0, 0),
+     (4, 1, 0, 1, 0, 0), (3, 1, 0, 1, 0, 0), (2, 1, 0, 1, 0, 0)),
+    # doubtful names: long text among text is text, short or linked blocks are not, nor is any outside of the article
+    ((30, 0, 0, 1, 0, 1), (34, 0, 1, 1, 0, 1), (52, 0.1, 1, 1, 0, 1), (40, 0, 0, 1, 0, 1), (5, 0, 1, 1, 0, 0), (28, 0, 0, 1, 0, 1),
+     (12, 0.5, 1, 1, 0, 0), (9, 0.9, 1, 1, 0, 0), (60, 0, 0, 1, 0, 1), (25, 0.8, 1, 1, 0, 0), (26, 0, 1, 1, 0, 1)),
+    ((12, 0, 1, 0, 0, 0), (3, 0, 1, 0, 0, 0), (2, 1, 1, 0, 0, 0), (50, 0, 0, 0, 0, 1), (45, 0, 0, 0, 0, 1), (20, 0, 1, 0, 0, 0),
+     (15, 0.2, 1, 0, 0, 0), (4, 0, 1, 0, 1, 0), (30, 0, 1, 0, 0, 0)),
+    # pages that mark nothing: menus are links among links, text is words among words
+    ((2, 1, 0, 0, 0, 0), (3, 1, 0, 0, 0, 0), (2, 1, 0, 0, 0, 0), (8, 0, 0, 0, 1, 1), (45, 0, 0, 0, 0, 1), (70, 0.05, 0, 0, 0, 1),
+     (6, 0, 0, 0, 0, 1), (30, 0.1, 0, 0, 0, 1), (3, 1, 0, 0, 0, 0), (5, 0.8, 0, 0, 0, 0), (4, 1, 0, 0, 0, 0)),
+    ((5, 0.8, 0, 0, 0, 0), (12, 0.9, 0, 0, 0, 0), (11, 0.8, 0, 0, 0, 0), (6, 0.2, 0, 0, 0, 0), (2, 1, 0, 0, 0, 0), (30, 0.7, 0, 0, 0, 0),
+     (8, 1, 0, 0, 0, 0), (2, 0, 0, 0, 0, 0), (2, 1, 0, 0, 0, 0), (4, 0, 0, 0, 0, 0), (2, 1, 0, 0, 0, 0)),
+    ((4, 0, 0, 0, 1, 1), (7, 0, 0, 0, 0, 1), (9, 0, 0, 0, 0, 1)),
+    ((6, 0, 0, 0, 0, 1), (8, 0, 0, 0, 0, 1)),
+    ((18, 0, 0, 0, 0, 1),),
+    ((2, 1, 0, 0, 0, 0), (2, 1, 0, 0, 0, 0), (11, 0, 0, 0, 0, 1), (7, 0, 0, 0, 0, 1), (60, 0, 0, 0, 0, 1), (4, 0, 0, 0, 0, 1), (33, 0.1, 0, 0, 0, 1)),
+    ((3, 1, 0, 0, 0, 0), (2, 0, 0, 0, 0, 0), (3, 1, 0, 0, 0, 0), (5, 0, 0, 0, 0, 0), (3, 1, 0, 0, 0, 0), (3, 1, 0, 0, 1, 0), (25, 0.2, 0, 0, 0, 1),
+     (20, 0, 0, 0, 0, 1), (40, 0, 0, 0, 0, 1), (6, 0.9, 0, 0, 0, 0), (2, 1, 0, 0, 0, 0)),
+    # headings of articles stand before text, those of menus before links
+    ((2, 1, 0, 0, 0, 0), (3, 0, 0, 0, 1, 0), (2, 1, 0, 0, 0, 0), (2, 1, 0, 0, 0, 0), (5, 0, 0, 0, 1, 1), (50, 0, 0, 0, 0, 1), (3, 0, 0, 0, 1, 1),
+     (22, 0, 0, 0, 0, 1), (4, 0.2, 0, 0, 1, 0), (3, 1, 0, 0, 0, 0), (4, 1, 0, 0, 0, 0)),
+    ((9, 0, 0, 1, 1, 1), (1, 0, 0, 1, 0, 1), (5, 0, 0, 1, 1, 1), (2, 0, 0, 1, 0, 1), (12, 0, 2, 0, 0, 0), (1, 1, 2, 0, 0, 0)),
 )
 
 
@@ -129,22 +162,27 @@ class Open(NamedTuple):
     """An open element with what holds inside it."""
 
     name: str
-    furniture: bool
+    mark: int  # how strongly it is marked as furniture, 0 to 2
     article: bool
     heading: bool
     link: int  # number of the link it stands in, 0 for none
-    outermost: str  # name of the outermost open element that is furniture
+    outermost: str  # name of the outermost open element that is surely furniture
     scopes: tuple[int, ...]  # where the innermost open element of each of SCOPES stands, -1 for none
 
 
-OUTSIDE = Open("", False, False, False, 0, "", (-1,) * len(SCOPES))
+OUTSIDE = Open("", 0, False, False, 0, "", (-1,) * len(SCOPES))
+
+
+def _names(attributes: str) -> str:
+    """What class, id and role say."""
+    return " ".join(next(filter(None, m.groups()), "") for m in NAMED.finditer(attributes)) if attributes else ""
 
 
 class Scanner:
-    """Flat blocks of one page: text, words inside links, furniture, article, heading."""
+    """Flat blocks of one page: text, words inside links, mark, article, heading."""
 
     def __init__(self):
-        self.blocks: list[tuple[str, int, bool, bool, bool]] = []
+        self.blocks: list[tuple[str, int, int, bool, bool]] = []
         self.pieces: list[str] = []
         self.link_words = 0
         self.links = 0  # number of the last link
@@ -156,7 +194,7 @@ class Scanner:
         text = " ".join("".join(self.pieces).split())
         if text:
             inside = self.open[-1] if self.open else OUTSIDE
-            self.blocks.append((text, self.link_words, inside.furniture, inside.article, heading or inside.heading))
+            self.blocks.append((text, self.link_words, inside.mark, inside.article, heading or inside.heading))
         self.pieces, self.link_words = [], 0
 
     def text(self, raw: str) -> None:
@@ -182,24 +220,35 @@ class Scanner:
             self.cut(len(self.open) - 1)
         if name in VOID:
             return
-        _, furniture, article, heading, link, outermost, scopes = self.open[-1] if self.open else OUTSIDE
-        named = " ".join(next(filter(None, m.groups()), "") for m in NAMED.finditer(attributes)) if attributes else ""
-        marked = bool(named and name not in ("html", "body", "main", "article", "h1") and FURNITURE_NAMES.search(named)) or bool(attributes and HIDDEN.search(attributes))
-        if name == "article" and re.search("comment|reply", named, re.I):
-            marked = True
-        if name in ("article", "main") and not marked:
-            furniture = furniture and outermost not in FURNITURE  # an element that was left open does not swallow the article
+        _, mark, article, heading, link, outermost, scopes = self.open[-1] if self.open else OUTSIDE
+        own = self._mark(name, attributes, article)
+        if own < 2 and (name in ("article", "main") or (not mark and name in ("div", "section", "td") and ARTICLE_NAMES.search(_names(attributes)))):
+            mark = 0 if outermost in FURNITURE else mark  # an element that was left open does not swallow the article
             article = True
-        furniture = furniture or marked or name in FURNITURE or (name == "header" and not article)
+        mark = max(mark, own)
         at = len(self.open)
         if name in SCOPED:
             scopes = tuple(at if name in names else k for names, k in zip(SCOPES, scopes, strict=True))
         if name == "a":
             self.links += 1
             self.link = link = 0 if PLACE.search(attributes) and not TARGET.search(attributes) else self.links
-        self.open.append(Open(name, furniture, article, heading or name in HEADINGS, link, outermost or (name if furniture else ""), scopes))
+        self.open.append(Open(name, mark, article, heading or name in HEADINGS, link, outermost or (name if mark == 2 else ""), scopes))
         self.places[name].append(at)
 
+    @staticmethod
+    def _mark(name: str, attributes: str, article: bool) -> int:
+        """How strongly an element marks what it holds as furniture."""
+        names = _names(attributes)
+        if name in FURNITURE or (attributes and HIDDEN.search(attributes)) or (name == "article" and COMMENT.search(names)):
+            return 2
+        if name in ("html", "body", "main", "article", "h1"):
+            return 0
+        if name == "header":
+            return 0 if article else 2
+        if FURNITURE_NAMES.search(names):
+            return 2
+        return int(name not in PHRASES and bool(DOUBTFUL_NAMES.search(names)))
+
     def end(self, name: str) -> None:
         if name in BLOCK:
             self.flush()
@@ -212,7 +261,7 @@ class Scanner:
             if name not in INLINE or k > self.open[-1].scopes[WALL]:
                 self.cut(k)
 
-    def scan(self, page: str) -> list[tuple[str, int, bool, bool, bool]]:
+    def scan(self, page: str) -> list[tuple[str, int, int, bool, bool]]:
         at, last = 0, page.rfind(">")
         while True:
             low = page.find("<", at)
@@ -248,25 +297,38 @@ class Scanner:
         return self.blocks
 
 
-def features(blocks: list[tuple[str, int, bool, bool, bool]]) -> np.ndarray:
-    out = np.zeros((len(blocks), len(FEATURES)))
-    if len(blocks):
-        words = np.array([len(b[0].split()) for b in blocks], float)
-        links = np.minimum(np.array([b[1] for b in blocks]) / np.maximum(words, 1), 1)
-        out[:, 0], out[:, 1] = words, links
-        out[1:, 2], out[1:, 3], out[:-1, 4], out[:-1, 5] = words[:-1], links[:-1], words[1:], links[1:]
-        out[:, 6:] = [[b[2], b[3], b[4]] for b in blocks]
+def features(words: np.ndarray, links: np.ndarray, hints: np.ndarray) -> np.ndarray:
+    """FEATURES of the blocks of a page: words and link density of each, of those beside it, and its hints."""
+    out = np.zeros((len(words), len(FEATURES)))
+    out[:, 0], out[:, 1], out[:, 6:] = words, links, hints
+    out[1:, 2], out[1:, 3], out[:-1, 4], out[:-1, 5] = words[:-1], links[:-1], words[1:], links[1:]
     return out
 
 
+def labelled(pages=PAGES) -> np.ndarray:
+    """Rows of features and label of a labelled table."""
+    parts = []
+    for page in pages:
+        rows = np.array(page, float)
+        parts.append(np.column_stack([features(rows[:, 0], rows[:, 1], rows[:, 2:5]), rows[:, 5]]))
+    return np.concatenate(parts)
+
+
+def described(blocks: list[tuple[str, int, int, bool, bool]]) -> np.ndarray:
+    words = np.array([len(b[0].split()) for b in blocks], float)
+    return features(words, np.minimum(np.array([b[1] for b in blocks]) / np.maximum(words, 1), 1), np.array([b[2:] for b in blocks], float))
+
+
 def main_text(page: str, tree) -> str:
     blocks = Scanner().scan(page)
-    return "\n".join(b[0] for b, keep in zip(blocks, decide(tree, features(blocks)), strict=True) if keep)
+    if not blocks:
+        return ""
+    return "\n".join(b[0] for b, keep in zip(blocks, decide(tree, described(blocks)), strict=True) if keep)
 
 
-def extracted(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", examples=EXAMPLES) -> DataFrame:
+def extracted(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", examples=PAGES) -> DataFrame:
     """id, url, text, n_chars of each page."""
-    tree = grow(np.array(examples, float))
+    tree = grow(labelled(examples))
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
