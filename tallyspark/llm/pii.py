@@ -1,10 +1,12 @@
 """Personal data (6): anchors found by Aho-Corasick, expanded and validated by local parsers.
 
-One pass of an Aho-Corasick automaton finds at-signs, plus signs, URL schemes and identifier cues; each
-anchor has a parser that expands it to the left and right and validates what it got. Numbers without an
-anchor character (IP addresses, cards) are expanded from digit runs. Every parser is linear in the
-text, also for texts of one character repeated. Kinds in their order: email, ip, card, phone (the base
-kinds), then address (URLs) and account (numbers and secrets after a cue, IBANs), which the method adds.
+One pass of an Aho-Corasick automaton over the text in lower case finds at-signs, plus signs, URL schemes,
+identifier cues, prefixes of known secrets, and pairs of digits (side by side, or with a dot, a blank or a hyphen
+between them); each anchor has a parser that expands it to the left and right and validates what it got.
+Every parser is linear in the text, also for texts of one character repeated, and none has a limit to the length
+of what it finds. Kinds in their order: email, ip, card, phone (the base kinds), then those that the method adds:
+address (URLs), account (numbers and words with digits after a cue, IBANs) and secret (keys and tokens of a known
+shape, PEM blocks, whatever stands behind ``password`` and its like after a colon or an equals sign).
 
 Edge cases: null and empty texts have no spans (``base_sha256`` is that of the empty string, ``spans`` is
 empty); spans are in code points, end exclusive; repeated rows each get a row; extra columns are passed
@@ -25,31 +27,55 @@ from pyspark.sql import functions as F
 from tallyspark.llm.common import table
 
 BASE = ("email", "ip", "card", "phone")
-KINDS = (*BASE, "address", "account")
+KINDS = (*BASE, "address", "account", "secret")
+NUMBERS = (*(f"n_{k}" for k in KINDS), "n_spans")
 SCHEMES = ("http://", "https://", "ftp://", "ssh://", "sftp://")
-#: Words that announce an account number or a secret.
+#: Words that announce an account number, and those that announce a secret.
 CUES = (
     "account", "acct", "konto", "cuenta", "compte", "iban", "passport", "reisepass", "pasaporte", "passeport", "ssn", "customer",
-    "kunde", "cliente", "client", "token", "secret", "password", "api key", "api_key", "apikey", "access key", "user id", "userid",
+    "kunde", "cliente", "client", "user id", "userid", "card number",
 )
+SECRET_CUES = ("token", "secret", "password", "passwd", "passwort", "api key", "api_key", "api-key", "apikey", "access key", "access_key", "private key")
+#: How secrets of known shape begin, and all of their form.
+SHAPES = {
+    "akia": r"AKIA[0-9A-Z]{16}", "asia": r"ASIA[0-9A-Z]{16}", "aiza": r"AIza[0-9A-Za-z_-]{35}", "ghp_": r"ghp_[0-9A-Za-z]{36}", "gho_": r"gho_[0-9A-Za-z]{36}",
+    "ghs_": r"ghs_[0-9A-Za-z]{36}", "github_pat_": r"github_pat_[0-9A-Za-z_]{22,}+", "glpat-": r"glpat-[0-9A-Za-z_-]{20,}+", "sk_live_": r"sk_live_[0-9A-Za-z]{16,}+",
+    "xoxb-": r"xoxb-[0-9A-Za-z-]{10,}+", "xoxp-": r"xoxp-[0-9A-Za-z-]{10,}+", "eyj": r"eyJ[0-9A-Za-z_-]{8,}+\.[0-9A-Za-z_-]{8,}+\.[0-9A-Za-z_-]{8,}+",
+    "-----begin ": r"-----BEGIN [A-Z0-9 ]*+-----(?:[^-]++-----END [A-Z0-9 ]*+-----)?",
+}
+FORMS = {k: re.compile(f"{v}(?![0-9A-Za-z])") for k, v in SHAPES.items()}
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
-DOTTED = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++)*")
+DOTTED = re.compile(r"[0-9]++(?:\.[0-9]++)*")
 RUN = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-HOST = re.compile(r"(?:[^\s/?#<>\"'@]{1,128}@)?[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+(?::[0-9]{1,5})?(?:[/?#][^\s<>\"']*)?")
-AFTER_CUE = re.compile(r"[ \t]{0,4}(?:(?:no|nr|num|number|id|code)\b\.?)?[ \t]{0,4}[:=#]?[ \t]{0,4}[\"']?((?:[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?|[A-Za-z0-9][A-Za-z0-9-]{5,127}))(?![A-Za-z0-9])")
+HOST = re.compile(r"(?:[^\s/?#<>\"'@]++@)?(?:\[[0-9A-Fa-f:.]+\]|[^\W_][\w-]*+(?:\.[\w-]++)*)(?::[0-9]{1,5})?(?:[/?#][^\s<>\"']*)?")
+CUE = r"[ \t]{0,4}(?:(?:no|nr|num|number|id|code)\b\.?)?[ \t]{0,4}[:=#]?[ \t]{0,4}[\"']?"
+IBAN = r"[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
+AFTER_CUE = re.compile(rf"{CUE}(?:({IBAN})|([A-Za-z0-9][A-Za-z0-9-]*+))")
+#: Behind a secret's cue: anything quoted or not after a colon or an equals sign, else a long word with a digit.
+AFTER_SECRET = re.compile(r"[ \t]{0,4}[\"']?[ \t]{0,4}[:=][ \t]{0,4}[\"']?([^\s\"'<>,;]{6,}+)|[ \t]{1,4}([A-Za-z0-9_+/-]{16,}+)", re.A)
 
 
 def automaton() -> ahocorasick.Automaton:
+    digits = "0123456789"
+    words = [("@", "email"), ("+", "phone"), *((s, "address") for s in SCHEMES), *((c, "account") for c in CUES)]
+    words += [*((c, "cue") for c in SECRET_CUES), *((c, "secret") for c in SHAPES)]
+    words += [(a + between + b, "card") for between in ("", " ", "-") for a in digits for b in digits]
+    words += [(f"{a}.{b}", "ip") for a in digits for b in digits]
     found = ahocorasick.Automaton()
-    for word, what in [("@", "email"), ("+", "phone"), *((s, "address") for s in SCHEMES), *((c, "account") for c in CUES)]:
-        for form in {word, word.upper(), word.capitalize()}:
-            found.add_word(form, (what, len(form)))
+    for word, what in words:
+        found.add_word(word, (what, word))
     found.make_automaton()
     return found
 
 
+def lower(text: str) -> str:
+    """Lower case in which every character keeps its place."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(c if len(x := c.lower()) > 1 else x for c in text)
+
+
 def luhn(digits: str) -> bool:
     odd, even = digits[::-1][::2], digits[::-1][1::2]
     return (sum(map(int, odd)) + sum(sum(divmod(2 * int(c), 10)) for c in even)) % 10 == 0
@@ -74,50 +100,72 @@ def _account(text: str, cue: int, end: int) -> tuple[int, int] | None:
     m = AFTER_CUE.match(text, end)
     if m is None:
         return None
-    found = m[1]
-    if re.match("[A-Z]{2}[0-9]{2}", found) and iban(found):
+    if m[1] and iban(m[1]):
         return m.span(1)
-    word = re.match("[A-Za-z0-9-]+", found)[0]
-    return (m.start(1), m.start(1) + len(word)) if sum(c.isdigit() for c in word) >= 4 and len(word) >= 6 else None
+    word = re.compile("[A-Za-z0-9-]+").match(text, m.start(m.lastindex))
+    return word.span() if sum(c.isdigit() for c in word[0]) >= 4 and len(word[0]) >= 6 else None
+
+
+def _secret(text: str, cue: int, end: int) -> tuple[int, int] | None:
+    if cue and text[cue - 1].isalnum():
+        return None
+    m = AFTER_SECRET.match(text, end)
+    if m is None or (m[2] and not any(map(str.isdigit, m[2]))):
+        return None
+    a, b = m.span(m.lastindex)
+    return a, a + len(text[a:b].rstrip(".!?)]}"))
+
+
+def _ips(text: str, at: int, low: int) -> tuple[list[tuple[int, int]], int]:
+    """The addresses in a run of digits and dots around a place, and where the run ends."""
+    while at > low and "0" <= text[at - 1] <= "9":
+        at -= 1
+    m, out = DOTTED.match(text, at), []
+    parts = m[0].split(".")
+    for k in range(0, len(parts) - 3, 4):
+        four = parts[k : k + 4]
+        end = at + sum(map(len, four)) + 3
+        if all(len(p.lstrip("0")) <= 3 and int(p[-4:]) <= 255 for p in four):
+            out.append((at, end))
+        at = end + 1
+    return out, m.end()
 
 
 def spans(text: str, anchors: ahocorasick.Automaton) -> dict[str, list[tuple[int, int]]]:
     """Spans of each kind, in order of their start; none overlap within a kind."""
     out: dict[str, list[tuple[int, int]]] = {k: [] for k in KINDS}
-    over = dict.fromkeys(KINDS, 0)
-    for last, (what, size) in anchors.iter(text):
-        at = last - size + 1
-        if at < over[what]:
+    over = dict.fromkeys(KINDS, 0)  # how far each kind has read
+    for last, (what, word) in anchors.iter(lower(text)):
+        at, end = last - len(word) + 1, last + 1
+        kind = "secret" if what == "cue" else what
+        if at < over[kind]:
             continue
+        got = None
         if what == "email":
-            got = _email(text, at, over[what])
+            got = _email(text, at, over[kind])
         elif what == "phone":
-            m = PHONE.match(text, at)
-            if got := m and m.span():
-                over[what] = got[1]
-                got = got if 9 <= sum(c.isdigit() for c in m[0]) <= 15 else None
+            if m := PHONE.match(text, at):
+                over[kind] = m.end()
+                got = m.span() if 9 <= sum(c.isdigit() for c in m[0]) <= 15 else None
+        elif what == "card":
+            m = RUN.match(text, at)
+            over[kind] = m.end()
+            digits = m[0].replace(" ", "").replace("-", "")
+            got = m.span() if 13 <= len(digits) <= 19 and luhn(digits) else None
+        elif what == "ip":
+            found, over[kind] = _ips(text, at, over[kind])
+            out[kind] += found
         elif what == "address":
-            m = HOST.match(text, last + 1)
-            got = m and (at, last + 1 + len(m[0].rstrip(".,;:!?)]}")))
+            m = HOST.match(text, end)
+            got = m and (at, end + len(m[0].rstrip(".,;:!?)]}")))
+        elif what == "secret":
+            m = FORMS[word].match(text, at) if not (at and text[at - 1].isalnum()) else None
+            got = m and m.span()
         else:
-            got = _account(text, at, last + 1)
-            got = got if got and got[0] >= over[what] else None
-        if got:
-            out[what].append(got)
-            over[what] = got[1]
-    for m in DOTTED.finditer(text):
-        if m[0].count(".") >= 3:
-            parts, at = m[0].split("."), m.start()
-            for k in range(0, len(parts) - 3, 4):
-                four = parts[k : k + 4]
-                end = at + sum(map(len, four)) + 3
-                if all(len(p.lstrip("0")) <= 3 and int(p[-4:]) <= 255 for p in four):
-                    out["ip"].append((at, end))
-                at = end + 1
-    for m in RUN.finditer(text):
-        digits = m[0].replace(" ", "").replace("-", "")
-        if 13 <= len(digits) <= 19 and luhn(digits):
-            out["card"].append(m.span())
+            got = (_secret if what == "cue" else _account)(text, at, end)
+        if got and got[0] >= over[kind] or got and kind in ("phone", "card"):
+            out[kind].append(got)
+            over[kind] = got[1]
     return out
 
 
@@ -126,19 +174,20 @@ def joined(found: dict[str, list[tuple[int, int]]], kinds) -> str:
 
 
 def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_email, n_ip, n_card, n_phone, n_address, n_account, base_sha256, spans of each document."""
+    """id, n_email, n_ip, n_card, n_phone, n_address, n_account, n_secret, n_spans, base_sha256, spans of each document."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         anchors = automaton()
         for batch in batches:
             found = [spans(t.as_py() or "", anchors) for t in batch.column(1)]
             counts = [pa.array([len(f[k]) for f in found], pa.int64()) for k in KINDS]
+            counts.append(pa.array([sum(map(len, f.values())) for f in found], pa.int64()))
             digests = [hashlib.sha256(joined(f, BASE).encode()).hexdigest() for f in found]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *counts, pa.array(digests, pa.string()), pa.array([joined(f, KINDS) for f in found], pa.string())], ["id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *counts, pa.array(digests, pa.string()), pa.array([joined(f, KINDS) for f in found], pa.string())], ["id", *NUMBERS, "base_sha256", "spans"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(scan, f"id {kind}, {', '.join(f'n_{k} long' for k in KINDS)}, base_sha256 string, spans string").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(scan, f"id {kind}, {', '.join(f'{n} long' for n in NUMBERS)}, base_sha256 string, spans string").withColumnRenamed("id", id_col)
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
