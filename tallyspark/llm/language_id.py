@@ -10,12 +10,18 @@ language has seen are backed off through the context weights. The language with
 for each character wins.
 
 Models are fitted on at most DOCS_PER_LANGUAGE whole documents of each language (those with the smallest
-hash of their id), a bound that is a parameter. A quarter of them is held back to calibrate: the temperature
-that turns cross-entropies into a score, and the cross-entropy beyond which a text is rejected.
+hash of their id), a bound that is a parameter. A quarter of them is held back to calibrate. The temperature turns
+cross-entropies into shares of the languages. Rejection compares two kinds of texts, at lengths from a word to pages:
+held-back texts in their own language, and held-back texts when their language is not among the models, which is how
+a text in a language never learnt looks. The limit at each length lies halfway between the highest cross-entropy of
+the first kind and the lowest of the second, but never below the first: what is like the training texts stays. The
+score is the share of the language times how surely the text is within that limit (a half at the limit itself), so
+rejected texts score below a half.
 
 Edge cases: null text, and text without a letter, is ``und`` with score 0 and rejected; rows with a null
 language are never learnt from; ties go to the language first in order; repeated rows each get a row, and are
-learnt from once; if nothing can be learnt, every text is ``und``; an empty table gives an empty result.
+learnt from once; if nothing can be learnt, every text is ``und``; an empty table gives an empty result; columns of
+the table that have the name of an added one stay, and the added one gets underscores until its name is free.
 """
 
 from __future__ import annotations
@@ -222,6 +228,10 @@ def _parts(sizes: list[int]) -> Iterator[list[int]]:
         yield some
 
 
+#: Lengths in characters at which rejection is calibrated, and snippets of each held-back text at each.
+LENGTHS, SNIPPETS = (8, 16, 32, 64, 128, 256, 512, 1024, 4096), 4
+
+
 class Identifier:
     """Models with their calibration."""
 
@@ -229,16 +239,30 @@ class Identifier:
         held = {k: t[::4] if len(t) > 8 else t for k, t in texts.items()}
         fit = {k: [x for i, x in enumerate(t) if i % 4] if len(t) > 8 else t for k, t in texts.items()}
         self.model = KneserNey(fit)
-        coder, best = Coder(self.model.alphabet), (np.inf, 1.0)
-        seen = [(self.model.entropies(coder, held[lang]), k) for k, lang in enumerate(self.model.languages)]
+        self.coder, best = Coder(self.model.alphabet), (np.inf, 1.0)
+        seen = [(self.model.entropies(self.coder, held[lang]), k) for k, lang in enumerate(self.model.languages)]
         for power in np.linspace(0.1, 6, 30):
             loss = -sum(np.log(np.maximum(self._shares(h, n, power)[:, k], 1e-9)).sum() for (h, n), k in seen)
             best = min(best, (loss, power))
         self.power = best[1]
-        #: Bits for each character beyond which a text is in none of the languages, between the largest of the
-        #: calibration texts and that of letters by chance; short texts get more room.
-        most = max((h.min(axis=1)[n >= 100].max(initial=0) for (h, n), _ in seen), default=0.0)
-        self.most = most + 0.6 * max(0.0, self.model.uniform - most)
+        self.limits, self.spread = self._calibrated(held)
+
+    def _calibrated(self, held: dict[str, list[str]]) -> tuple[np.ndarray, float]:
+        """Bits for each character beyond which a text is in none of the languages, at each of LENGTHS; and their scale."""
+        limits, spread, high = [], [], 0.0
+        for size in LENGTHS[::-1]:
+            own, foreign = [], []
+            for k, lang in enumerate(self.model.languages):
+                some = [t[a : a + size] for t in held[lang] for a in np.linspace(0, max(0, len(t) - size), SNIPPETS).astype(int).tolist()]
+                h, n = self.model.entropies(self.coder, sorted(set(some)))
+                h = h[n > 0]
+                own.append(h.min(axis=1))
+                foreign.append(np.delete(h, k, axis=1).min(axis=1) if h.shape[1] > 1 else np.full(len(h), self.model.uniform))
+            own, foreign = np.concatenate(own), np.concatenate(foreign)
+            high = max(high, own.max(initial=0.0))  # shorter texts vary more, so their limit is no lower
+            limits.append(max(high, (high + foreign.min(initial=self.model.uniform)) / 2))
+            spread.append(own.std() if len(own) else 0.0)
+        return np.array(limits[::-1]), max(float(np.mean(spread)), 1e-3)
 
     @staticmethod
     def _shares(h: np.ndarray, n: np.ndarray, power: float) -> np.ndarray:
@@ -246,14 +270,17 @@ class Identifier:
         e = np.exp(x - x.max(axis=1, keepdims=True))
         return e / e.sum(axis=1, keepdims=True)
 
-    def predict(self, coder: Coder, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
         """Language, score, bits for each character and rejection of each text."""
-        h, n = self.model.entropies(coder, texts)
+        h, n = self.model.entropies(self.coder, texts)
         best = h.argmin(axis=1)
         rows = np.arange(len(texts))
-        score, low = np.where(n > 0, self._shares(h, n, self.power)[rows, best], 0.0), h[rows, best]
+        low = h[rows, best]
+        beyond = low - np.interp(np.log(np.maximum(n, 1)), np.log(LENGTHS), self.limits)
+        within = 1 / (1 + np.exp(np.clip(beyond / self.spread, -50, 50)))
+        score = np.where(n > 0, self._shares(h, n, self.power)[rows, best] * within, 0.0)
         names = [self.model.languages[b] if k else UND for b, k in zip(best, n, strict=True)]
-        return names, score, low, (n == 0) | (low > self.most + 6 / np.sqrt(np.maximum(n, 1)))
+        return names, score, low, (n == 0) | (beyond > 0)
 
 
 def learn(docs: DataFrame, learn_from: Column, per_language: int = DOCS_PER_LANGUAGE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Identifier | None:
@@ -280,19 +307,24 @@ def learn(docs: DataFrame, learn_from: Column, per_language: int = DOCS_PER_LANG
 def identified(docs: DataFrame, identifier: Identifier | None, text_col: str = "text", names: tuple[str, str, str] = ("lang_pred", "score", "rejected")) -> DataFrame:
     """``docs`` with the predicted language, its score and whether it is rejected; no row is shuffled."""
     sent = docs.sparkSession.sparkContext.broadcast(identifier)
+    taken, free = {c.lower() for c in docs.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        free.append(name)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = sent.value
-        coder = Coder(known.model.alphabet) if known else None
         for batch in batches:
             texts = [t or "" for t in batch.column(batch.schema.get_field_index(text_col)).to_pylist()]
             if known and texts:
-                lang, score, _, out = known.predict(coder, texts)
+                lang, score, _, out = known.predict(texts)
             else:
                 lang, score, out = [UND] * len(texts), np.zeros(len(texts)), np.ones(len(texts), bool)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score), pa.array(out)], [*batch.schema.names, *names])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score), pa.array(out)], [*batch.schema.names, *free])
 
-    added = [StructField(name, kind) for name, kind in zip(names, (StringType(), DoubleType(), BooleanType()), strict=True)]
+    added = [StructField(name, kind) for name, kind in zip(free, (StringType(), DoubleType(), BooleanType()), strict=True)]
     return docs.mapInArrow(predict, StructType([*docs.schema.fields, *added]))
 
 
