@@ -12,8 +12,10 @@ right without memory, and merges inside pieces only. Two scans that both start a
 continue alike; no piece reaches over that edge (behind the white space where pieces drop it, before it
 where they keep it), so what precedes is not changed by the end of the left chunk either.
 
-For tokenizers whose pieces never contain white space (``pieces_drop_blanks``), the count of a text is the
-sum over its blank-separated words, and each task remembers the counts of words it has met.
+Shorter texts need no splicing. For tokenizers whose pieces never contain white space (``pieces_drop_blanks``)
+their count is the sum over their blank-separated words, and each task remembers the counts of short words it
+has met, which is faster than encoding each text and gives the same. ``n_chunks`` and ``n_widened`` tell, for each
+document, how many chunks were encoded (1 for a short text) and how often an overlap was widened.
 
 Edge cases: null counts as empty (no tokens); texts of white space only have none; strings of special
 tokens inside a text are handled as the library does by default; an empty table gives an empty result;
@@ -32,11 +34,11 @@ from pyspark.sql import functions as F
 
 from tallyspark.llm.common import table
 
-CHUNK = 32_768
+CHUNK = 16_384
 OVERLAP = 256
 AGREE = 3
-#: Words whose counts a task remembers; beyond it the memory is emptied.
-MEMO = 400_000
+#: Words whose counts a task remembers, and their bytes at most; beyond the number the memory is emptied.
+MEMO, MEMO_BYTES = 400_000, 48
 SLICE = 256
 #: Fixed value: the pattern of a word tokenizer's pieces, none of which can contain white space.
 WORD_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -81,9 +83,9 @@ class TokenCounter:
         place = np.cumsum((np.frombuffer(text.encode(), np.uint8) & 0xC0) != 0x80) - 1  # these offsets count bytes
         return np.append(place, len(text))[[p.begin for p in found]], np.array([p.id for p in found], np.int64)
 
-    def spliced(self, text: str) -> int:
-        """The count of a huge text, from overlapping chunks."""
-        total, done, end = 0, 0, self.chunk
+    def spliced(self, text: str) -> tuple[int, int, int]:
+        """The count of a huge text, from overlapping chunks; their number, and how many overlaps were widened."""
+        total, done, end, chunks, widened = 0, 0, self.chunk, 1, 0
         starts, ids = self.encoded(text[:end])
         while end < len(text):
             overlap = self.overlap
@@ -92,18 +94,19 @@ class TokenCounter:
                 if begin == done:  # no boundary in the whole chunk: encode on from its own start
                     end += end - begin
                     starts, ids = self._resumed(text, begin, end)
+                    chunks += 1
                     break
                 stop = max(begin + self.chunk, end + self.chunk // 2)  # a widened overlap must not stop the advance
                 nxt, nxt_ids = self.encoded(text[begin:stop])
-                nxt += begin
+                nxt, chunks = nxt + begin, chunks + 1
                 at = self._boundary(text, starts, ids, nxt, nxt_ids, end)
                 if at is not None:
                     total += int(np.searchsorted(starts, at))
                     keep = np.searchsorted(nxt, at)
                     starts, ids, done, end = nxt[keep:], nxt_ids[keep:], at, stop
                     break
-                overlap *= 2
-        return total + len(starts)
+                overlap, widened = overlap * 2, widened + 1
+        return total + len(starts), chunks, widened
 
     def _resumed(self, text: str, at: int, end: int) -> tuple[np.ndarray, np.ndarray]:
         """Tokens of text[at:end] for a stable boundary ``at``, with text before it, as some tokenizers mark a text's start."""
@@ -132,27 +135,33 @@ class TokenCounter:
         return before and not here if self.by_word else here and not before
 
     def counts(self, texts: list[str]) -> list[int]:
-        out = [0] * len(texts)
-        short = [k for k, t in enumerate(texts) if len(t) <= self.chunk]
-        for k in set(range(len(texts))).difference(short):
-            out[k] = self.spliced(texts[k])
-        if not self.by_word:
-            for k, n in zip(short, self.count_all([texts[k] for k in short]), strict=True):
-                out[k] = n
-            return out
-        words = [texts[k].encode("utf-8", "surrogatepass").split() for k in short]
+        return [n for n, _, _ in self.counted(texts)]
+
+    def counted(self, texts: list[str]) -> list[tuple[int, int, int]]:
+        """Tokens, chunks and widened overlaps of each text."""
+        out = [self.spliced(t) if len(t) > self.chunk else None for t in texts]
+        short = [k for k, x in enumerate(out) if x is None]
+        counted = self._by_word if self.by_word else self.count_all
+        for k, n in zip(short, counted([texts[k] for k in short]), strict=True):
+            out[k] = n, 1, 0
+        return out
+
+    def _by_word(self, texts: list[str]) -> list[int]:
+        words = [t.encode("utf-8", "surrogatepass").split() for t in texts]
         if len(self.memo) > MEMO:
             self.memo.clear()
-        memo = self.memo
-        new = list({w for ws in words for w in ws if w not in memo})
-        memo.update(zip(new, self.count_all([w.decode("utf-8", "replace") for w in new]), strict=True))
-        for k, ws in zip(short, words, strict=True):
-            out[k] = sum(map(memo.__getitem__, ws))
+        new = list({w for ws in words for w in ws if w not in self.memo})
+        known = dict(zip(new, self.count_all([w.decode("utf-8", "replace") for w in new]), strict=True))
+        self.memo.update(known)
+        out = [sum(map(self.memo.__getitem__, ws)) for ws in words]
+        for w in new:
+            if len(w) > MEMO_BYTES:
+                del self.memo[w]
         return out
 
 
 def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 2048, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
-    """id, n_bytes, n_tokens, over_limit of each document. The tokenizer's file is read where each executor finds it."""
+    """id, n_bytes, n_tokens, n_chunks, n_widened, over_limit of each document. The tokenizer's file is read where each executor finds it."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
@@ -163,11 +172,12 @@ def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 2048, id_col
             for at in range(0, batch.num_rows, SLICE):
                 part = batch.slice(at, SLICE)
                 texts = [t or "" for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(counter.counts(texts), pa.int64())], ["id", "n_bytes", "n_tokens"])
+                counts = [pa.array(c, pa.int64()) for c in zip(*counter.counted(texts), strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), *counts], ["id", "n_bytes", "n_tokens", "n_chunks", "n_widened"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.octet_length(F.coalesce(F.col(text_col), F.lit(""))).cast("long").alias("n_bytes"))
-    out = rows.mapInArrow(count, f"id {kind}, n_bytes long, n_tokens long")
+    out = rows.mapInArrow(count, f"id {kind}, n_bytes long, n_tokens long, n_chunks long, n_widened long")
     return out.withColumn("over_limit", F.col("n_tokens") > limit).withColumnRenamed("id", id_col)
 
 
