@@ -4,7 +4,7 @@ Every source gets a target number of words by water-filling: its weight's share
 at ``max_epochs`` times its size, the excess reshared by weight. Over training time t in [0, 1] the source
 is drawn at the rate ``target * (1 + slope * (2 t - 1))``; the integral of that rate is its cumulative
 demand ``target * (t + slope * (t^2 - t))``. A source's documents stand in a fixed pseudo-random order (by
-MD5 of the id), repeated for each epoch; a document that starts after ``c`` words of its source is
+MD5 of the id, or of the text where that is null), repeated for each epoch; a document that starts after ``c`` words of its source is
 assigned the time at which the demand reaches ``c``, by inverting that quadratic, and all documents are
 range-sorted by position.
 
@@ -55,7 +55,7 @@ def mix(docs: DataFrame, share: float = 1.5, weights=WEIGHTS, slopes=SLOPES, max
     which a source's target is reached. ``position_again`` is the time of its last further copy.
     ``order_hex``: hexadecimal digits of the order key that make a bucket (3: 4,096 for each source).
     """
-    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.col("text"), F.lit("")))
     d = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(NOT_SPACES)), F.lit(0)).cast("long").alias("size"), key.alias("key"))
     d = written(d.withColumn("bucket", F.substring("key", 1, order_hex)), "sizes")
     totals = d.groupBy("source", "bucket").agg(F.sum("size").alias("size"))
@@ -87,7 +87,7 @@ def op4_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP4_SQL = r"""
 WITH d AS (
-  SELECT doc_id, source, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS key,
+  SELECT doc_id, source, md5(coalesce(CAST(doc_id AS VARCHAR), text, '')) AS key,
          CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size
   FROM documents
 ), r AS (
