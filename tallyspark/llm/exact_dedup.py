@@ -15,9 +15,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import SPACES, fresh, semi, table, written
+from tallyspark.llm.common import BROADCAST_ROWS, SPACES, fresh, semi, table, written
 from tallyspark.llm.repeats import may_repeat, repeat_filter
 
+#: A group of more rows is never shuffled to one task.
+HOT = 100_000
+
 
 def digest(text: Column) -> Column:
     """Bare hexadecimal SHA-256 of the text with each run of white space as one blank."""
@@ -41,10 +44,22 @@ def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     alone = hashed.where(~may_repeat(sent, F.col("h"))).select(
         "id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.col("digest").alias("text_sha256")
     )
-    met = maybe.join(groups, "digest").select("id", F.col("keep").alias("keep_id"), F.col("n").alias("group_size"), (F.col("row") == F.col("keep_row")).alias("kept"), F.col("digest").alias("text_sha256"))
+    met = _met(maybe, groups).select("id", F.col("keep").alias("keep_id"), F.col("n").alias("group_size"), (F.col("row") == F.col("keep_row")).alias("kept"), F.col("digest").alias("text_sha256"))
     return alone.unionByName(met).withColumnRenamed("id", id_col)
 
 
+def _met(maybe: DataFrame, groups: DataFrame) -> DataFrame:
+    """Rows with their groups. Groups are sent to the rows if they are few; beyond that at least the large ones are.
+
+    There are at most rows / HOT large groups, so a text that a third of all rows have never meets in one task.
+    """
+    if groups.count() <= BROADCAST_ROWS:
+        return maybe.join(F.broadcast(groups), "digest")
+    hot = F.broadcast(groups.where(F.col("n") > HOT))
+    cold = maybe.join(hot, "digest", "left_anti").join(groups.where(F.col("n") <= HOT), "digest")
+    return maybe.join(hot, "digest").unionByName(cold)
+
+
 def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each group of equal texts: the one with the smallest id.
 
