@@ -25,10 +25,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as named by spark.checkpoint.dir.
 
-    Only where the setting is absent (local tests) a temporary folder of this machine is set.
+    Only where the setting is absent and the session runs in this process (local tests), a temporary folder of
+    this machine is set; a cluster without the setting is an error, as its executors would not see each other's files.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         local = tempfile.mkdtemp(prefix="tally-")
         atexit.register(shutil.rmtree, local, ignore_errors=True)
         spark.sparkContext.setCheckpointDir(f"file://{local}")
