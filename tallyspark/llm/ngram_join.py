@@ -34,17 +34,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import fresh, semi, table, written
+from tallyspark.llm.common import BROADCAST_ROWS, fresh, semi, table, written
+from tallyspark.llm.count_tree import candidates, packed, point, unpacked
 from tallyspark.llm.repeats import hit, repeat_filter
 
 TILE = 512
-LEAF = 16
-AXES = 128
-MEMO = 100_000
+#: Bytes of text shingled at once.
+PART = 1 << 20
 SEEN = 100_000
 ONE, TWO = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
@@ -54,27 +55,58 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
+#: By byte: whether it is ASCII white space, and its lower case.
+SPACE = np.isin(np.arange(256), [32, *range(9, 14)])
+LOWER = np.frombuffer(bytes(range(256)).lower(), np.uint8)
+
+
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted without repetitions."""
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])[: len(x)]]
+
+
 class Shingler:
-    """Sets of shingle hashes; made once in each task."""
+    """Sets of shingle hashes (64 bits, sorted) of texts: words parted by ASCII white space, A-Z in lower case."""
 
     def __init__(self, size: int):
-        self.size, self.memo = size, {}
-
-    def __call__(self, text: bytes | None) -> np.ndarray:
-        """Sorted distinct shingles (64 bits each) of a text, words parted by ASCII white space, A-Z in lower case."""
-        words, memo = (text or b"").lower().split(), self.memo
-        if not words:
-            return np.zeros(0, np.uint64)
-        if len(memo) > MEMO:
-            memo.clear()
-        for w in set(words).difference(memo):
-            memo[w] = xxhash.xxh3_64_intdigest(w)
-        h = np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
-        n = min(self.size, len(h))
+        self.size = size
+
+    def __call__(self, texts: pa.Array) -> list[np.ndarray]:
+        texts = pc.fill_null(texts, "")
+        at = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1]
+        raw = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[at[0] : at[-1]]
+        h, ends = self._words(raw, at - at[0])
+        whole = self._windows(h, self.size) if len(h) >= self.size else None
+        out = []
+        for a, b in zip(ends[:-1], ends[1:], strict=True):
+            if b - a >= self.size:
+                out.append(distinct(whole[a : b - self.size + 1]))
+            else:
+                out.append(self._windows(h[a:b], int(b - a)) if b > a else np.zeros(0, np.uint64))
+        return out
+
+    @staticmethod
+    def _words(raw: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of all words, each a sum over its bytes and their places, and how many end before each edge of a text."""
+        inside = ~SPACE[raw]
+        begins = inside.copy()
+        begins[1:] &= ~inside[:-1]
+        first = edges[:-1][edges[:-1] < len(raw)]
+        begins[first] = inside[first]
+        ends = np.searchsorted(np.flatnonzero(begins), edges)
+        letters, starts = LOWER[raw[inside]].astype(np.uint64), np.flatnonzero(begins[inside])
+        if not len(starts):
+            return np.zeros(0, np.uint64), ends
+        place = np.arange(len(letters)) - np.repeat(starts, np.diff(np.append(starts, len(letters))))
+        return mix(np.add.reduceat(mix((place.astype(np.uint64) << np.uint64(8) | letters) * ONE + TWO), starts) * ONE), ends
+
+    @staticmethod
+    def _windows(h: np.ndarray, n: int) -> np.ndarray:
         x = np.full(len(h) - n + 1, n, np.uint64)
         for j in range(n):
             x = mix((x ^ h[j : len(h) - n + 1 + j]) * ONE)
-        return np.unique(x)
+        return x
 
 
 class Signer:
@@ -102,54 +134,12 @@ class Signer:
         need = self.differences(len(s), most) + 1
         m = mix(s * ONE + np.uint64(c))
         g = (m % np.uint64(groups)).astype(np.int64)
-        by = np.argsort(g, kind="stable")
-        held, first = np.unique(g[by], return_index=True)
-        content = np.add.reduceat(mix(m)[by], first)
-        salt = lambda k: mix((k.astype(np.uint64) + np.uint64(c << 32)) * TWO)
-        keys = mix((content + salt(held)) * ONE)[:need]
-        if len(held) < need:  # so few groups hold anything that the equal one may be empty
-            keys = np.concatenate([keys, mix(salt(np.setdiff1d(np.arange(groups), held)) * ONE)])
-        return keys.view(np.int64)
-
-
-def vectors(sets: list[np.ndarray]) -> np.ndarray:
-    """The points: counts of shingles by residue."""
-    return np.array([np.bincount((s % np.uint64(AXES)).astype(np.int64), minlength=AXES) for s in sets], np.int32)
-
-
-class Tree:
-    """A packed R-tree over count vectors: leaves of LEAF points, sorted by size, then by half of the axes."""
-
-    def __init__(self, points: np.ndarray):
-        n = points.sum(axis=1)
-        slab = np.argsort(np.argsort(n, kind="stable"), kind="stable") // (LEAF * LEAF)
-        self.order = np.lexsort((points[:, : AXES // 2].sum(axis=1), slab))
-        cuts = np.arange(0, len(points), LEAF)
-        self.leaves = [self.order[k : k + LEAF] for k in cuts]
-        self.high = np.maximum.reduceat(points[self.order], cuts, axis=0)
-        self.small, self.large = np.minimum.reduceat(n[self.order], cuts), np.maximum.reduceat(n[self.order], cuts)
-
-
-def candidates(points: np.ndarray, left: np.ndarray, right: np.ndarray | None, num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs (i, j) that the bound admits, and the bound: within ``left``, or between ``left`` and ``right``."""
-    a, sizes = Tree(points[left]), points.sum(axis=1)
-    b = a if right is None else Tree(points[right])
-    right = left if right is None else right
-    out_i, out_j, out_b = [], [], []
-    for k, leaf in enumerate(a.leaves):
-        start = k if b is a else 0
-        most = np.minimum(a.high[k], b.high[start:]).sum(axis=1)
-        fits = (most * (den + num) >= num * (a.small[k] + b.small[start:])) & (a.large[k] * den >= num * b.small[start:]) & (b.large[start:] * den >= num * a.small[k])
-        for q in np.flatnonzero(fits) + start:
-            i, j = left[leaf], right[b.leaves[q]]
-            bound = np.minimum(points[i][:, None, :], points[j][None, :, :]).sum(axis=2)
-            ok = bound * (den + num) >= num * (sizes[i][:, None] + sizes[j][None, :])
-            if b is a and q == k:
-                ok &= np.arange(len(i))[:, None] < np.arange(len(j))[None, :]
-            x, y = np.nonzero(ok)
-            out_i.append(i[x]), out_j.append(j[y]), out_b.append(bound[x, y])
-    none = np.zeros(0, np.int64)
-    return tuple(np.concatenate(x) if x else none for x in (out_i, out_j, out_b))
+        size, content = np.bincount(g, minlength=groups), np.zeros(groups, np.uint64)
+        np.add.at(content, g, mix(m))
+        keys = mix((content + mix((np.arange(groups, dtype=np.uint64) + np.uint64(c << 32)) * TWO)) * ONE)
+        # Fullest groups first: an order that depends on the key alone, so the first equal one is in both prefixes.
+        keys = (np.uint64(255) - np.minimum(size, 255).astype(np.uint64) << np.uint64(56)) | (keys >> np.uint64(8))
+        return np.partition(keys, need - 1)[:need].view(np.int64)
 
 
 class Forest:
@@ -176,7 +166,7 @@ BLOCK = 4096
 def verified(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray | None, num: int, den: int) -> Forest:
     """The forest of all links within ``left``, or between ``left`` and ``right`` (positions in ``sets``)."""
     forest, sizes = Forest(len(sets)), [len(s) for s in sets]
-    i, j, bound = candidates(vectors(sets), left, right, num, den)
+    i, j, bound = candidates([point(s) for s in sets], left, right, num, den)
     for at in range(0, len(i), 1 << 20):
         part = slice(at, at + (1 << 20))
         order = np.argsort(-bound[part], kind="stable")
@@ -223,29 +213,27 @@ def _short(name: str) -> int:
     return int.from_bytes(bytes.fromhex(name[:16]), "big", signed=True)
 
 
-def _packed(point: np.ndarray) -> bytes:
-    """A count vector in two bytes a count if all fit, else in four."""
-    return point.astype(np.uint16 if point.max() < 1 << 16 else np.int32).tobytes()
-
-
-def _unpacked(raw: bytes) -> np.ndarray:
-    return np.frombuffer(raw, np.uint16 if len(raw) == 2 * AXES else np.int32)
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Slices of about PART bytes of text; a longer text is one of its own."""
+    for batch in filter(lambda b: b.num_rows, batches):
+        sizes = pc.fill_null(pc.binary_length(batch.column(2)), 0).to_numpy()
+        cuts = np.flatnonzero(np.diff(np.cumsum(sizes) // PART, prepend=-1))
+        for a, b in zip(cuts, [*cuts[1:], batch.num_rows], strict=True):
+            yield batch.slice(a, b - a)
 
 
 def _scan(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple]:
     """For slices of a task's batches: the slice, and (set, name, whether this task sees it first) of each text."""
     shingle, seen = Shingler(size), set()
-    for batch in batches:
-        for at in range(0, batch.num_rows, 256):
-            part, out = batch.slice(at, 256), []
-            if len(seen) > SEEN:
-                seen.clear()
-            for t in part.column(2).to_pylist():
-                s = shingle(t)
-                name = xxhash.xxh3_128_hexdigest(s.tobytes()) if len(s) else None
-                out.append((s, name, name is not None and name not in seen))
-                seen.add(name)
-            yield part, out
+    for part in _parts(batches):
+        if len(seen) > SEEN:
+            seen.clear()
+        out = []
+        for s in shingle(part.column(2)):
+            name = xxhash.xxh3_128_hexdigest(s.tobytes()) if len(s) else None
+            out.append((s, name, name is not None and name not in seen))
+            seen.add(name)
+        yield part, out
 
 
 def _keys(rows: DataFrame, size: int, num: int, den: int) -> DataFrame:
@@ -271,7 +259,7 @@ def _points(rows: DataFrame, size: int, num: int, den: int, plane) -> DataFrame:
             keys = [np.unique(sign.keys(s)) if new else np.zeros(0, np.int64) for s, _, new in sets]
             keys = [k[hit(shared, k)] if len(k) else k for k in keys]
             ends = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
-            points = [_packed(vectors([s])[0]) if len(k) else None for k, (s, _, _) in zip(keys, sets, strict=True)]
+            points = [packed(point(s)) if len(k) else None for k, (s, _, _) in zip(keys, sets, strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [
                     part.column(0), part.column(1), pa.array([len(s) for s, _, _ in sets], pa.int64()), pa.array([n for _, n, _ in sets], pa.string()), pa.array([_short(n) if n else 0 for _, n, _ in sets], pa.int64()),
@@ -283,41 +271,112 @@ def _points(rows: DataFrame, size: int, num: int, den: int, plane) -> DataFrame:
     return rows.mapInArrow(scan, f"id {rows.schema['id'].dataType.simpleString()}, digest long, n long, name string, sig long, keys array<long>, point binary")
 
 
-def _sets(rows: DataFrame, size: int, plane) -> DataFrame:
-    """Third scan: (s, name, shingles) of the sets that have a candidate."""
+def _sets(rows: DataFrame, size: int, wanted: DataFrame) -> DataFrame:
+    """Third scan: (s, name, shingles) of the texts whose digests are in ``wanted``; others are not shingled again."""
+    sent = rows.sparkSession.sparkContext.broadcast(repeat_filter(wanted, wanted.count(), once=True))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = np.frombuffer(plane.value, np.uint8)
-        for _, sets in _scan(batches, size):
-            new = [(_short(name), name, s) for s, name, first in sets if first]
-            keep = hit(wanted, np.array([x for x, _, _ in new], np.int64)) if new else []
-            out = [x for x, k in zip(new, keep, strict=True) if k]
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array([x for x, _, _ in out], pa.int64()), pa.array([n for _, n, _ in out], pa.string()), pa.array([s.tobytes() for _, _, s in out], pa.binary())], ["s", "name", "shingles"])
+        plane = np.frombuffer(sent.value, np.uint8)
+        some = (b.filter(pa.array(hit(plane, b.column(1).to_numpy()))) for b in batches)
+        for _, sets in _scan(some, size):
+            new = [(_short(name), name, s.tobytes()) for s, name, first in sets if first]
+            if new:
+                kinds = (pa.int64(), pa.string(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*new, strict=True), kinds, strict=True)], ["s", "name", "shingles"])
 
     return rows.mapInArrow(scan, "s long, name string, shingles binary")
 
 
-def _tiled(members: DataFrame, num: int, den: int) -> DataFrame:
-    """hub, task, sig, side: each member of a group in every task (pair of tiles) that needs it."""
+def _mapped(df: DataFrame, row, schema: str) -> DataFrame:
+    """``df`` with each row's first columns, and ``row`` of its last two (binary) columns in place of these."""
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                out = [row(x.as_py(), y.as_py()) for x, y in zip(*batch.columns[-2:], strict=True)]
+                added = [pa.array(c) for c in zip(*out, strict=True)]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-2], *added], names)
+
+    return df.mapInArrow(scan, schema)
+
+
+def _spokes(members: DataFrame, hubs: DataFrame, values: DataFrame, value: str) -> DataFrame:
+    """``members`` of large groups with their own ``value`` and their hub's, which meet in as many tasks as a group has tiles."""
+    salts = F.ceil(F.col("total") / TILE).cast("int")
+    spokes = members.join(hubs, "hub").where("sig <> hub").withColumn("salt", F.pmod(F.xxhash64("sig"), salts).cast("int")).drop("total")
+    spokes = spokes.join(values.select(F.col("s").alias("sig"), F.col(value).alias("own")), "sig")
+    centres = hubs.join(values.select(F.col("s").alias("hub"), F.col(value).alias("of_hub")), "hub")
+    centres = centres.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("total")
+    return spokes.join(centres, ["hub", "salt"]).drop("salt")
+
+
+def _roles(members: DataFrame, hubs: DataFrame, points: DataFrame, sets_of, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """For members of large groups: (hub, sig, n, linked, near), and the edges (a, b) between hubs and those linked.
+
+    Linked ones are connected through the hub. By the triangle inequality of the Jaccard distance the others can
+    only link to them if they are within twice the greatest distance of a link from the hub, which is ``near``.
+    """
+
+    def bounded(own: bytes, of_hub: bytes) -> tuple[bool, bool]:
+        p, q = unpacked(own), unpacked(of_hub)
+        k, total = min(len(p), len(q)), int(p.sum()) + int(q.sum())
+        most = int(np.minimum(p.reshape(-1, k).sum(axis=0), q.reshape(-1, k).sum(axis=0)).sum())
+        return most * (den + num) >= num * total, most * den >= (2 * num - den) * (total - most)
+
+    def links(own: bytes, of_hub: bytes) -> tuple[bool]:
+        p, q = np.frombuffer(own, np.uint64), np.frombuffer(of_hub, np.uint64)
+        return (len(np.intersect1d(p, q, assume_unique=True)) * (den + num) >= num * (len(p) + len(q)),)
+
+    if hubs.count() <= BROADCAST_ROWS:
+        hubs = F.broadcast(hubs)
+    spokes = _spokes(members.select("hub", "sig", "n"), hubs, points, "point").select("hub", "sig", "n", "own", "of_hub")
+    spokes = written(_mapped(spokes, bounded, "hub long, sig long, n long, fits boolean, near boolean"), "spokes")
+    fits = spokes.where("fits").select("hub", "sig")
+    sets = written(sets_of(fits.select("sig").unionByName(hubs.select(F.col("hub").alias("sig")))), "hub_sets")
+    pairs = _spokes(fits, hubs, sets, "shingles").join(sets.select(F.col("s").alias("sig"), F.col("name").alias("a")), "sig")
+    pairs = pairs.join(sets.select(F.col("s").alias("hub"), F.col("name").alias("b")), "hub")
+    met = _mapped(pairs.select("hub", "sig", "a", "b", "own", "of_hub"), links, "hub long, sig long, a string, b string, linked boolean")
+    linked = written(met.where("linked"), "linked")
+    centres = members.where("sig = hub").join(hubs, "hub", "left_semi").select("hub", "sig", "n", F.lit(True).alias("linked"), F.lit(True).alias("near"))
+    others = spokes.join(linked.select("hub", "sig", "linked"), ["hub", "sig"], "left")
+    others = others.select("hub", "sig", "n", F.coalesce("linked", F.lit(False)).alias("linked"), "near")
+    return written(centres.unionByName(others), "roles"), linked.select("a", "b")
+
+
+TASK = ["hub", "kind", "b1", "s1", "b2", "s2"]
+
+
+def _tiled(roles: DataFrame, num: int, den: int) -> DataFrame:
+    """Tasks of large groups: pairs of tiles of members that are not linked to the hub, and of near ones with linked ones."""
     band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(den / num))).cast("int")
-    members = members.withColumn("band", band)
-    counts = members.groupBy("hub", "band").count()
-    total = counts.groupBy("hub").agg(F.sum("count").alias("total"), F.map_from_entries(F.collect_list(F.struct("band", F.ceil(F.col("count") / TILE).cast("int").alias("k")))).alias("tiles"))
-    plan = written(total.where("total > 1").select(F.col("hub").alias("p_hub"), F.when(F.col("total") > TILE, F.col("tiles")).alias("tiles")), "tiles")
-    m = members.join(plan, F.col("hub") == F.col("p_hub")).drop("p_hub")
-    k = lambda d: F.coalesce(F.try_element_at("tiles", F.col("band") + d), F.lit(0))
-    m = m.withColumn("own", F.pmod(F.xxhash64("sig"), F.greatest(k(0), F.lit(1)).cast("long")).cast("int"))
-    upto = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-    pair = lambda b1, s1, b2, s2, side: F.struct(b1.alias("b1"), s1.alias("s1"), b2.alias("b2"), s2.alias("s2"), side.alias("side"))
-    b, own = F.col("band"), F.col("own")
-    tasks = F.concat(
-        F.transform(upto(k(0)), lambda s: pair(b, F.least(own, s), b, F.greatest(own, s), F.when(own == s, 0).when(own < s, 1).otherwise(2))),
-        F.transform(upto(k(1)), lambda s: pair(b, own, b + 1, s, F.lit(1))),
-        F.transform(upto(k(-1)), lambda s: pair(b - 1, s, b, own, F.lit(2))),
+    roles = roles.withColumn("band", band)
+    tiles = lambda c: F.map_from_entries(F.collect_list(F.struct("band", F.ceil(F.col(c) / TILE).cast("int").alias("k")))).alias(c)
+    counts = roles.groupBy("hub", "band").agg(
+        F.count_if(~F.col("linked")).alias("free"), F.count_if(~F.col("linked") & F.col("near")).alias("close"), F.count_if("linked").alias("held")
     )
-    alone = F.array(pair(*(F.lit(0) for _ in range(5))))
-    return m.select("hub", "sig", F.explode_outer(F.when(F.col("tiles").isNull(), alone).otherwise(tasks)).alias("t")).select("hub", "sig", "t.*")
+    plan = written(counts.groupBy("hub").agg(tiles("free"), tiles("close"), tiles("held")), "tiles")
+    if plan.count() <= BROADCAST_ROWS // 25:  # each row has a few numbers for each size band
+        plan = F.broadcast(plan)
+    m, b = roles.join(plan, "hub"), F.col("band")
+    k = lambda c, d: F.coalesce(F.try_element_at(c, b + d), F.lit(0))
+    upto = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    own = lambda c: F.pmod(F.xxhash64("sig"), F.greatest(k(c, 0), F.lit(1)).cast("long")).cast("int")
+    names = ("kind", "b1", "s1", "b2", "s2", "side")
+
+    def task(*values):
+        return F.struct(*((F.lit(v) if isinstance(v, int) else v).cast("int").alias(n) for n, v in zip(names, values, strict=True)))
+
+    free, close, held = own("free"), own("close"), own("held")
+    among = [
+        F.transform(upto(k("free", 0)), lambda s: task(0, b, F.least(free, s), b, F.greatest(free, s), F.when(free == s, 0).when(free < s, 1).otherwise(2))),
+        F.transform(upto(k("free", 1)), lambda s: task(0, b, free, b + 1, s, 1)),
+        F.transform(upto(k("free", -1)), lambda s: task(0, b - 1, s, b, free, 2)),
+    ]
+    across = [F.transform(upto(k("held", d)), lambda s, d=d: task(1, b, close, b + d, s, 1)) for d in (-1, 0, 1)]
+    back = [F.transform(upto(k("close", d)), lambda s, d=d: task(1, b + d, s, b, held, 2)) for d in (-1, 0, 1)]
+    tasks = F.when(F.col("linked"), F.concat(*back)).when(F.col("near"), F.concat(*among, *across)).otherwise(F.concat(*among))
+    return m.select("hub", "sig", F.explode(tasks).alias("t")).select("hub", "sig", "t.*")
 
 
 def _runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[tuple]]:
@@ -345,12 +404,12 @@ def _survivors(tasks: DataFrame, num: int, den: int) -> DataFrame:
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
-        for rows in _runs(batches, 5):
+        for rows in _runs(batches, len(TASK)):
             sides, sigs, raw = zip(*rows, strict=True)
             left, right = _halves(sides)
             if len(rows) < 2 or not len(left) or (right is not None and not len(right)):
                 continue
-            points = np.array([_unpacked(p) for p in raw], np.int32)
+            points = [unpacked(p) for p in raw]
             forest, met = Forest(len(rows)), set()
             i, j, _ = candidates(points, left, right, num, den)
             for x, y in zip(i.tolist(), j.tolist(), strict=True):
@@ -368,8 +427,7 @@ def _survivors(tasks: DataFrame, num: int, den: int) -> DataFrame:
         if out:
             yield _columns(out, ("group", "side", "sig"))
 
-    key = ["hub", "b1", "s1", "b2", "s2"]
-    dealt = tasks.select(*key, "side", "sig", "point").repartition(*key).sortWithinPartitions(*key, "side", "sig")
+    dealt = tasks.select(*TASK, "side", "sig", "point").repartition(*TASK).sortWithinPartitions(*TASK, "side", "sig")
     return dealt.mapInArrow(scan, "group string, side int, sig long").distinct()
 
 
@@ -429,7 +487,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 def joined(docs: DataFrame, size: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, digest (of the text), n_shingles, component_id of each document: links at similarity num / den or more."""
-    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("digest"), F.col(text_col).cast("binary").alias("text"))
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("digest"), F.col(text_col).cast("string").alias("text"))
     sent = docs.sparkSession.sparkContext.broadcast
     keys = _keys(rows, size, num, den).groupBy("key").agg(F.min("sig").alias("hub"), F.max("sig").alias("last")).where("hub <> last").select(F.col("key").alias("k"), "hub")
     keys = written(keys, "keys")
@@ -437,10 +495,22 @@ def joined(docs: DataFrame, size: int = 3, num: int = 90, den: int = 100, id_col
     members = read.where(F.size("keys") > 0).select("sig", "n", F.explode("keys").alias("key"))
     members = written(members.join(keys, F.col("key") == F.col("k")).select("hub", "sig", "n").distinct(), "members")
     points = read.where(F.col("point").isNotNull()).select(F.col("sig").alias("s"), "point").dropDuplicates(["s"])
-    groups = _merged(written(_survivors(_tiled(members, num, den).join(points, F.col("sig") == F.col("s")), num, den), "groups"))
-    wanted = groups.select("sig").distinct()
-    sets = _sets(rows, size, sent(repeat_filter(wanted, groups.count(), once=True))).repartition("s").dropDuplicates(["s", "name"])  # dealt as the join needs them
-    found = components(_edges(groups.join(sets, F.col("sig") == F.col("s")), num, den))
+
+    def sets_of(sigs: DataFrame) -> DataFrame:
+        wanted = read.select("digest", "sig").join(sigs.distinct(), "sig", "left_semi").select("digest")
+        return _sets(rows, size, written(wanted, "wanted")).repartition("s").dropDuplicates(["s", "name"])  # dealt as the joins need them
+
+    hubs = written(members.groupBy("hub").agg(F.count("*").alias("total")).where(F.col("total") > TILE), "large")
+    whole = members.select("hub", *(F.lit(0).alias(c) for c in (*TASK[1:], "side")), "sig")
+    if hubs.isEmpty():
+        tasks, edges = whole, None
+    else:
+        roles, edges = _roles(members, hubs, points, sets_of, num, den)
+        few = F.broadcast(hubs) if hubs.count() <= BROADCAST_ROWS else hubs
+        tasks = whole.join(few, "hub", "left_anti").unionByName(_tiled(roles, num, den))
+    groups = _merged(written(_survivors(tasks.join(points, F.col("sig") == F.col("s")), num, den), "groups"))
+    found = _edges(groups.join(sets_of(groups.select("sig")), F.col("sig") == F.col("s")), num, den)
+    found = components(found if edges is None else found.unionByName(edges))
     labels = read.select("id", "digest", "n", "name").join(found, F.col("name") == F.col("node"), "left")
     labels = written(labels.select("id", "digest", "n", F.coalesce("root", "name").alias("label")), "labels")
     first = written(labels.where(F.col("label").isNotNull()).groupBy(F.col("label").alias("l")).agg(F.min("id").alias("first")), "firsts")
