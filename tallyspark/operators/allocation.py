@@ -13,19 +13,67 @@ def lookback(rows: DataFrame, decision: str, sessions: int) -> DataFrame:
     return d.join(F.broadcast(last), "session", "left_semi")
 
 
-def inverse_volatility_weights(rets: DataFrame, decision: str, sessions: int, cap: float) -> DataFrame:
-    """asset, volatility, weight: proportional to 1 / volatility; excess over ``cap`` is shared among the others.
-
-    Closed form of the water-filling rule: by descending share, the first k are at the cap where k is the
-    smallest number that leaves the next one at or below it. One row for each asset.
+def equal_weights(assets: DataFrame, cap: float = 1.0) -> DataFrame:
+    """asset, weight: one over the number of distinct assets; raises where that is above ``cap``."""
+    d = assets.select("asset").distinct().withColumn("weight", 1 / F.count("*").over(Window.partitionBy(F.lit(0))).cast("double"))
+    if d.where(F.col("weight") > cap + 1e-12).limit(1).count():
+        raise ValueError("infeasible concentration cap: asset_count * cap < 1")
+    return d
+
+
+def weight_problems(weights: DataFrame, cap: float = 1.0) -> DataFrame:
+    """asset, problem of a weight table: repeated_asset, missing_weight, negative_weight, above_cap, or a sum that is not one."""
+    w, n = F.col("weight"), F.count("*").over(Window.partitionBy("asset"))
+    problem = (
+        F.when(n > 1, "repeated_asset")
+        .when(w.isNull() | F.isnan(w), "missing_weight")
+        .when(w < 0, "negative_weight")
+        .when(w > cap + 1e-12, "above_cap")
+    )
+    rows = weights.select("asset", problem.alias("problem")).where(F.col("problem").isNotNull())
+    total = weights.agg(F.coalesce(F.sum("weight"), F.lit(0.0)).alias("total")).where(F.abs(F.col("total") - 1) > 1e-9)
+    return rows.unionByName(total.select(F.lit(None).cast("string").alias("asset"), F.lit("sum_not_one").alias("problem")))
+
+
+def inverse_volatility_weights(
+    rets: DataFrame, decision: str, sessions: int, cap: float, periods: float = 1.0, cap_policy: str = "redistribute"
+) -> DataFrame:
+    """asset, volatility, n_obs, uncapped_weight, weight, at_cap: proportional to 1 / volatility.
+
+    Volatility is that of ``periods`` periods (252 for annual from daily). With the policy ``redistribute`` excess over
+    ``cap`` is shared among the others, in closed form: by descending share, the first k are at the cap where k is the
+    smallest number that leaves the next one at or below it. With ``raise`` a weight over the cap is an error, as
+    are a cap that cannot hold (assets * cap < 1), fewer sessions than asked for and a volatility that is not
+    positive. One row for each asset.
     """
-    v = lookback(rets, decision, sessions).groupBy("asset").agg(F.stddev_samp("value").alias("volatility")).withColumn("inv", 1 / F.col("volatility"))
+    if cap_policy not in ("raise", "redistribute") or not 0 < cap <= 1:
+        raise ValueError("cap_policy must be raise or redistribute, and cap in (0, 1]")
+    v = lookback(rets, decision, sessions).groupBy("asset").agg(
+        (F.stddev_samp("value") * float(periods) ** 0.5).alias("volatility"), F.count("value").alias("n_obs")
+    )
+    s = v.agg(
+        F.count("*").alias("assets"), F.min("n_obs").alias("least"),
+        F.count_if(F.coalesce(F.col("volatility"), F.lit(0.0)) <= 0).alias("flat"), F.sum(F.try_divide(F.lit(1.0), "volatility")).alias("total"),
+        F.max(F.try_divide(F.lit(1.0), "volatility")).alias("largest"),
+    ).first()
+    if not s["assets"] or s["least"] < sessions:
+        raise ValueError(f"insufficient return observations before the decision: {s['least']} of {sessions}")
+    if s["flat"]:
+        raise ValueError("inverse volatility requires finite, strictly positive asset volatility")
+    if s["assets"] * cap < 1 - 1e-12:
+        raise ValueError("infeasible concentration cap: asset_count * cap < 1")
+    if cap_policy == "raise" and s["largest"] / s["total"] > cap + 1e-12:
+        raise ValueError("a weight exceeds the concentration cap")
     one = Window.partitionBy(F.lit(0))
     order = one.orderBy(F.desc("inv"), "asset")
-    v = v.withColumn("k", F.row_number().over(order) - 1).withColumn("rest", F.sum("inv").over(order.rowsBetween(0, Window.unboundedFollowing)))
+    v = v.withColumn("inv", F.try_divide(F.lit(1.0), "volatility")).withColumn("k", F.row_number().over(order) - 1)
+    v = v.withColumn("rest", F.sum("inv").over(order.rowsBetween(0, Window.unboundedFollowing)))
+    v = v.withColumn("uncapped_weight", F.col("inv") / F.sum("inv").over(one))
     level = (1 - F.col("k") * cap) / F.col("rest")
     v = v.withColumn("level", F.min(F.when(F.col("inv") * level <= cap + 1e-15, F.struct("k", level.alias("level")))).over(one))
-    return v.select("asset", "volatility", F.when(F.col("k") < F.col("level.k"), cap).otherwise(F.col("inv") * F.col("level.level")).alias("weight"))
+    weight = F.when(F.col("k") < F.coalesce("level.k", F.lit(1 << 30)), cap).otherwise(F.col("inv") * F.col("level.level"))
+    out = v.select("asset", "volatility", "n_obs", "uncapped_weight", weight.alias("weight"))
+    return out.withColumn("at_cap", F.abs(F.col("weight") - cap) <= 1e-12)
 
 
 def risk_contributions(rets: DataFrame, weights: DataFrame, decision: str, sessions: int, periods: float) -> DataFrame:

@@ -52,3 +52,54 @@ def joint_ols(series: DataFrame, factors: tuple[str, ...], portfolio: str = "r")
             b = np.linalg.solve(r[:k, :k], r[:k, k]) / scale[:k]
             coefficient = [float(mean[k] - mean[:k] @ b), *map(float, b)]
     return session.createDataFrame([(t, c, status) for t, c in zip(["intercept", *factors], coefficient, strict=True)], "term string, coefficient double, status string")
+
+
+def fitted(series: DataFrame, factors: tuple[str, ...], coefficients: DataFrame, portfolio: str = "r") -> DataFrame:
+    """``series`` with ``fitted`` and ``residual`` of a joint fit; null where the fit has no coefficients."""
+    c = {r["term"]: r["coefficient"] for r in coefficients.collect()}  # one row for each factor and the intercept
+    value = F.lit(c["intercept"]).cast("double")
+    for f in factors:
+        value = value + F.lit(c[f]).cast("double") * F.col(f)
+    return series.withColumn("fitted", value).withColumn("residual", F.col(portfolio) - F.col("fitted"))
+
+
+def fit_summary(fit: DataFrame, factors: tuple[str, ...], periods: float, portfolio: str = "r") -> DataFrame:
+    """metric, value, unit, n_obs, status of a table of ``fitted``: sizes, r_squared, sse, idiosyncratic volatility.
+
+    Volatility of the residuals is over n - k - 1 degrees of freedom, annual.
+    """
+    k, n = len(factors), F.col("n")
+    a = fit.agg(
+        F.count("*").alias("n"), F.sum(F.col("residual") * F.col("residual")).alias("sse"),
+        (F.var_samp(portfolio) * (F.count("*") - 1)).alias("sst"), F.count("fitted").alias("known"),
+    ).withColumn("df", n - k - 1)
+    none = F.when(F.col("known") < n, "no_fit")
+    idio = F.when(F.col("df") > 0, F.sqrt(F.col("sse") * float(periods) / F.nullif("df", F.lit(0))))
+    rows = [
+        ("n_obs", n, "intervals", F.lit("ok")), ("n_factors", F.lit(k), "count", F.lit("ok")), ("residual_df", F.col("df"), "count", F.lit("ok")),
+        ("r_squared", 1 - F.try_divide("sse", "sst"), "fraction", none.when(F.col("sst") == 0, "constant_dependent").otherwise("ok")),
+        ("sse", F.col("sse"), "fraction^2", none.otherwise("ok")),
+        ("annualized_idiosyncratic_volatility", idio, "fraction/sqrt(year)", none.when(F.col("df") <= 0, "insufficient_residual_degrees_of_freedom").otherwise("ok")),
+    ]
+    structs = [F.struct(F.lit(m).alias("metric"), v.cast("double").alias("value"), F.lit(u).alias("unit"), n.alias("n_obs"), s.alias("status")) for m, v, u, s in rows]
+    return a.select(F.explode(F.array(*structs)).alias("m")).select("m.*")
+
+
+def series_correlations(series: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """series, other_series, correlation, n_obs, status of all pairs of columns, from one pass over the rows."""
+    pairs = [(x, y) for x in columns for y in columns]
+    a = series.agg(F.count("*").alias("n"), *(correlation(x, y).alias(f"c{k}") for k, (x, y) in enumerate(pairs)))
+    few = F.when(F.col("n") < 2, "insufficient_samples")
+    rows = [
+        F.struct(
+            F.lit(x).alias("series"), F.lit(y).alias("other_series"), F.col(f"c{k}").alias("correlation"), F.col("n").alias("n_obs"),
+            few.when(F.col(f"c{k}").isNull(), "zero_volatility").otherwise("ok").alias("status"),
+        )
+        for k, (x, y) in enumerate(pairs)
+    ]
+    return a.select(F.explode(F.array(*rows)).alias("p")).select("p.*")
+
+
+def excess(series: DataFrame, columns: tuple[str, ...], risk_free: str = "rf") -> DataFrame:
+    """``series`` with the risk-free return taken from the given (total-return) columns; others are as supplied."""
+    return series.withColumns({c: F.col(c) - F.col(risk_free) for c in columns})

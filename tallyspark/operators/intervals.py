@@ -39,14 +39,17 @@ def rate_plan(days: DataFrame, rates: DataFrame, spread_bps: float, max_age_days
 def resolve_aliases(observations: DataFrame, aliases: DataFrame, ticker: str = "ticker", day: str = "date") -> DataFrame:
     """``observations`` with ``asset`` and ``n_matches``: windows (ticker, valid_from, valid_to or open) that hold the day.
 
-    An equi-join on the ticker carries the range as a residual condition. Exactly one match resolves; none or
-    several leave asset null, and ``require_resolved`` raises for them.
+    An equi-join on the ticker carries the range as a residual condition. Exactly one matching asset resolves, also
+    where several windows name it; none or several leave asset null, and ``require_resolved`` raises for them. Matches
+    are counted once for each distinct (ticker, day) and joined back, so repeated observations stay as many rows.
     """
     a = aliases.select(F.col(ticker).alias("__ticker"), "asset", "valid_from", "valid_to")
     on = (F.col(ticker) == F.col("__ticker")) & (F.col(day) >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col(day) <= F.col("valid_to")))
-    keys = observations.columns
-    d = observations.join(a, on, "left").groupBy(*keys).agg(F.count("asset").alias("n_matches"), F.min("asset").alias("asset"))
-    return d.select(*keys, F.when(F.col("n_matches") == 1, F.col("asset")).alias("asset"), "n_matches")
+    days = observations.select(ticker, day).distinct()
+    found = days.join(a, on, "left").groupBy(ticker, day).agg(F.count_distinct("asset").alias("n_matches"), F.min("asset").alias("asset"))
+    found = found.select(F.col(ticker).alias("__t"), F.col(day).alias("__d"), F.when(F.col("n_matches") == 1, F.col("asset")).alias("asset"), "n_matches")
+    same = F.col(ticker).eqNullSafe(F.col("__t")) & F.col(day).eqNullSafe(F.col("__d"))
+    return observations.join(found, same).drop("__t", "__d")
 
 
 def require_resolved(resolved: DataFrame) -> DataFrame:

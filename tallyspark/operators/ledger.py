@@ -1,30 +1,32 @@
-"""Portfolio ledgers: a closed form for unlevered holdings and a grouped kernel for everything path-dependent.
+"""Portfolio books in closed form: windows, joins and grouped sums over all runs at once.
 
-The kernel runs one task per ``run_id`` (scenarios are what runs in parallel), reads one prejoined row for each
-calendar date and asset, and returns one tagged table of events and daily balances. An independent audit in
-Catalyst re-derives each balance as the running sum of the posted deltas.
+A book of scheduled baskets looks path-dependent, as each basket is bought with what the last one left. But between
+two baskets everything scales with the equity after the first: holdings grow by the growth of their assets, cash and
+debt by their rates, and the costs of the next basket are proportional too. So each span between baskets is
+valued for one unit of equity, each basket's ratio of equity after to equity before is solved for one unit, and
+the running product of these ratios gives the equity of every span.
 """
 
 from __future__ import annotations
 
-from dataclasses import asdict, dataclass
+from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyspark.operators.returns import returns
+
 
 @dataclass(frozen=True)
 class Financing:
-    """Annual cash, borrowing and stock-borrow rates by calendar day (the last on the previous close's short value),
-    the equity ratio below which a run stops, and whether paid dividends buy more of their payer."""
+    """Annual rates of cash, of debt and of lent shares by calendar day (the last on the value of what is sold short at the
+    previous close), and the share of equity in the holdings below which a run stops."""
 
     cash_rate: float = 0.0
     borrowing_rate: float = 0.0
     day_count: int = 365
     maintenance_equity_ratio: float | None = None
     stock_borrow_rate: float = 0.0
-    reinvest_dividends: bool = False
 
     def __post_init__(self):
         ratio = self.maintenance_equity_ratio
@@ -75,132 +77,128 @@ def buy_and_hold_unlevered(panel: DataFrame, weights: DataFrame, capital: float,
     return day.select("session", "equity", "cash", "market_value", (F.col("equity") - F.coalesce(F.lag("equity").over(run), F.lit(capital))).alias("pnl"))
 
 
-LEDGER = "run_id string, kind string, sequence long, session date, event string, asset string, quantity double, cash double, debt double, equity double, market_value double"
-
-
-def _solve_basket(equity: float, values: dict[str, float], weights: dict[str, float], leverage: float, rate: float) -> float:
-    """Equity after costs: x + sum k |w L x - v| = equity, by bisection on a monotone function."""
-    spent = lambda x: x + rate * sum(abs(weights.get(a, 0.0) * leverage * x - values.get(a, 0.0)) for a in {*weights, *values})
-    low, high = 0.0, equity
-    for _ in range(100):
-        mid = (low + high) / 2
-        low, high = (mid, high) if spent(mid) < equity else (low, mid)
-    return (low + high) / 2
+def growth_index(panel: DataFrame, splits: DataFrame | None = None, dividends: DataFrame | None = None) -> DataFrame:
+    """session, asset, index: the growth of one unit of each asset since its first session; dividends buy more of their payer at the ex close."""
+    r = returns(panel, splits=splits, dividends=dividends)
+    run = Window.partitionBy("asset").orderBy("session").rowsBetween(Window.unboundedPreceding, 0)
+    return r.select("session", "asset", F.product(1 + F.coalesce("value", F.lit(0.0))).over(run).alias("index"))
 
 
-def run_ledger(panel: DataFrame, targets: DataFrame, capital: float, financing: Financing, costs: TradeCosts, splits: DataFrame | None = None, dividends: DataFrame | None = None) -> DataFrame:
-    """Events and daily rows of every run in ``targets`` (run_id, session, asset, weight, gross_leverage).
+def _after_costs(before: DataFrame, targets: DataFrame, rate: float) -> DataFrame:
+    """run_id, session, ratio, cost: what is left of one unit when a basket replaces what is held, and what it costs.
 
-    Weights may be negative (short). Order within a calendar date: interest on the previous balances, splits,
-    dividends on holdings from before, payments, then at a session's close the valuation, a scheduled
-    basket (costs solved so that the target holds after them), the sweep of cash against debt and the stop
-    test. A run that breaches its maintenance ratio, or has no equity left, stops there.
+    ``before`` has (run_id, session, asset, unit, worth): holdings and equity for one unit at the last basket. The ratio
+    solves ratio + rate * sum |p ratio - u| = worth, where p is the new basket for one unit and u what is held. The left
+    side is linear between the points u / p; the last point at which it is not above ``worth`` gives the piece.
     """
-    frames = [panel.select("session", "asset", F.lit("price").alias("what"), F.col("close").alias("x"), F.lit(None).cast("date").alias("d"))]
-    if splits is not None:
-        frames.append(splits.select(F.col("effective_session").alias("session"), "asset", F.lit("split").alias("what"), F.col("ratio").alias("x"), F.lit(None).cast("date").alias("d")))
-    if dividends is not None:
-        frames.append(dividends.select(F.col("ex_session").alias("session"), "asset", F.lit("dividend").alias("what"), F.col("cash_per_share").alias("x"), F.col("pay_date").alias("d")))
-    inputs = frames[0]
-    for f in frames[1:]:
-        inputs = inputs.unionByName(f)
-    runs = targets.select("run_id").distinct()
-    rows = inputs.join(F.broadcast(runs)).select("run_id", "session", "asset", "what", "x", "d", F.lit(None).cast("double").alias("leverage"))
-    rows = rows.unionByName(targets.select("run_id", "session", "asset", F.lit("target").alias("what"), F.col("weight").alias("x"), F.lit(None).cast("date").alias("d"), F.col("gross_leverage").alias("leverage")))
-    terms = asdict(financing) | {"rate": costs.rate, "capital": capital}
-    return rows.groupBy("run_id").applyInPandas(lambda pdf: _kernel(pdf, terms), LEDGER)
-
-
-def _kernel(pdf: pd.DataFrame, terms: dict) -> pd.DataFrame:
-    run, out, seq = pdf["run_id"].iloc[0], [], 0
-    pdf = pdf.assign(session=pd.to_datetime(pdf["session"]), d=pd.to_datetime(pdf["d"])).sort_values(["session", "asset", "what", "x"])
-    by_day = {day: g for day, g in pdf.groupby("session")}
-    held: dict[str, float] = {}
-    price: dict[str, float] = {}
-    due: list[tuple] = []
-    budget: dict[str, float] = {}
-    cash, debt, day = terms["capital"], 0.0, min(by_day)
-    first_target = min(pdf.loc[pdf["what"] == "target", "session"], default=None)
-    last = max(pdf.loc[pdf["what"] == "price", "session"])
-
-    def post(event, asset=None, quantity=0.0, dc=0.0, dd=0.0):
-        nonlocal cash, debt, seq
-        seq += 1
-        cash, debt = cash + dc, debt + dd
-        if quantity:
-            held[asset] = held.get(asset, 0.0) + quantity
-        out.append((run, "event", seq, day, event, asset, quantity, dc, dd, None, None))
-
-    if first_target is None:
-        return pd.DataFrame(out, columns=[c.split()[0] for c in LEDGER.split(", ")])
-    day = first_target
-    while day <= last:
-        if day > first_target:
-            if cash > 0 and terms["cash_rate"]:
-                post("cash_interest", dc=cash * terms["cash_rate"] / terms["day_count"])
-            if debt > 0 and terms["borrowing_rate"]:
-                post("borrowing_interest", dd=debt * terms["borrowing_rate"] / terms["day_count"])
-            short = -sum(q * price[a] for a, q in held.items() if q < 0)
-            if short > 0 and terms["stock_borrow_rate"]:
-                post("stock_borrow_fee", dc=-short * terms["stock_borrow_rate"] / terms["day_count"])
-        rows = by_day.get(day)
-        if rows is not None and day > first_target:
-            for r in rows[rows["what"] == "split"].itertuples():
-                if held.get(r.asset):
-                    post("split", r.asset, held[r.asset] * (r.x - 1))
-            for r in rows[rows["what"] == "dividend"].itertuples():
-                if q := held.get(r.asset, 0.0):
-                    due.append((r.d, r.asset, q * r.x))
-        for item in [x for x in due if x[0] <= day]:
-            due.remove(item)
-            post("dividend_payment" if item[2] >= 0 else "short_dividend_payment", item[1], dc=item[2])
-            if item[2] > 0 and terms["reinvest_dividends"]:
-                budget[item[1]] = budget.get(item[1], 0.0) + item[2]
-        prices = rows[rows["what"] == "price"] if rows is not None else None
-        if prices is not None and len(prices):
-            price |= dict(zip(prices["asset"], prices["x"], strict=True))
-            value = {a: q * price[a] for a, q in held.items() if q}
-            owed = sum(x[2] for x in due)
-            basket = rows[rows["what"] == "target"]
-            if len(basket):
-                equity = cash - debt + sum(value.values())
-                weights = dict(zip(basket["asset"], basket["x"], strict=True))
-                left = _solve_basket(equity, value, weights, float(basket["leverage"].iloc[0]), terms["rate"])
-                trades = {a: weights.get(a, 0.0) * float(basket["leverage"].iloc[0]) * left - value.get(a, 0.0) for a in sorted({*weights, *value})}
-                need = sum(trades.values()) + terms["rate"] * sum(map(abs, trades.values())) - cash
-                if need > 1e-9:
-                    post("borrowing", dc=need, dd=need)
-                for a, notional in sorted(trades.items(), key=lambda t: (t[1] > 0, t[0])):
-                    if abs(notional) > 1e-12:
-                        post("trade", a, notional / price[a], -notional)
-                        post("trade_cost", a, dc=-abs(notional) * terms["rate"])
-            if not len(basket) and day < last:  # a scheduled basket takes the cash; at the end it is held
-                for a in sorted(x for x in budget if x in set(prices["asset"]) and held.get(x, 0.0) > 0):
-                    if (spend := min(budget.pop(a), cash)) > 0:
-                        post("dividend_reinvestment", a, spend / price[a], -spend)
-            elif len(basket):
-                budget.clear()
-            if cash < -1e-9:
-                post("borrowing", dc=-cash, dd=-cash)
-            if debt > 0 and cash > 1e-9:
-                pay = min(cash, debt)
-                post("debt_repayment", dc=-pay, dd=-pay)
-            market = sum(q * price[a] for a, q in held.items() if q)
-            gross = sum(abs(q * price[a]) for a, q in held.items() if q)
-            equity = cash - debt + market + owed
-            out.append((run, "daily", seq, day, None, None, None, cash, debt, equity, market))
-            ratio = terms["maintenance_equity_ratio"]
-            if equity <= 0 or (ratio is not None and gross and equity < ratio * gross):
-                post("nonpositive_equity" if equity <= 0 else "maintenance_margin_breach")
-                break
-        day += pd.Timedelta(days=1)
-    frame = pd.DataFrame(out, columns=[c.split()[0] for c in LEDGER.split(", ")])
-    return frame.assign(session=frame["session"].dt.date)
-
-
-def audit(ledger: DataFrame, capital: float) -> DataFrame:
-    """run_id, session, cash_gap, debt_gap: recorded balances less the running sums of the posted deltas."""
-    order = Window.partitionBy("run_id").orderBy("sequence", F.when(F.col("kind") == "event", 0).otherwise(1)).rowsBetween(Window.unboundedPreceding, 0)
-    total = lambda c: F.sum(F.when(F.col("kind") == "event", F.col(c)).otherwise(0.0)).over(order)
-    d = ledger.withColumn("c", F.lit(capital) + total("cash")).withColumn("b", total("debt")).where("kind = 'daily'")
-    return d.select("run_id", "session", (F.col("cash") - F.col("c")).alias("cash_gap"), (F.col("debt") - F.col("b")).alias("debt_gap"))
+    p = targets.select("run_id", "session", "asset", (F.col("weight") * F.col("gross_leverage")).alias("p"))
+    keys = ["run_id", "session"]
+    by = Window.partitionBy(*keys)
+    d = before.select(*keys, "asset", "unit", "worth").join(p, [*keys, "asset"], "full")
+    d = d.withColumn("worth", F.max("worth").over(by)).where("worth is not null")  # the first basket has nothing before it
+    d = d.fillna(0.0, ["p", "unit"]).withColumn("b", F.try_divide("unit", "p"))
+    q = F.abs("p")
+    d = d.withColumn("fixed", rate * F.sum(F.when(F.col("p") == 0, F.abs("unit")).otherwise(0.0)).over(by))
+    upto = by.orderBy(F.col("b").asc_nulls_last(), "asset").rowsBetween(Window.unboundedPreceding, 0)
+    held, moved = F.when(F.col("p") != 0, q).otherwise(0.0), F.when(F.col("p") != 0, q * F.col("b")).otherwise(0.0)
+    # the sums of p and p b over points at or below each point, and over all
+    d = d.withColumn("p0", F.sum(held).over(upto)).withColumn("b0", F.sum(moved).over(upto)).withColumn("p1", F.sum(held).over(by)).withColumn("b1", F.sum(moved).over(by))
+    slope = lambda x, y: 1 + rate * (2 * x - y)
+    level = lambda x, y: F.col("worth") - F.col("fixed") + rate * (2 * x - y)
+    at_point = F.col("b") * slope(F.col("p0"), F.col("p1")) <= level(F.col("b0"), F.col("b1"))
+    a = d.groupBy(*keys).agg(
+        F.max_by(F.struct("p0", "b0"), F.when(at_point & (F.col("p") != 0), F.struct("b", "p0"))).alias("piece"),
+        F.max("p1").alias("p1"), F.max("b1").alias("b1"), F.max("worth").alias("worth"), F.max("fixed").alias("fixed"),
+    )
+    x, y = F.coalesce("piece.p0", F.lit(0.0)), F.coalesce("piece.b0", F.lit(0.0))
+    ratio = level(y, F.col("b1")) / slope(x, F.col("p1"))
+    return a.select(*keys, ratio.alias("ratio"), (F.col("worth") - ratio).alias("cost"))
+
+
+def _less_borrow_fees(day: DataFrame, base: DataFrame, financing: Financing) -> DataFrame:
+    """``day`` with the fees of lent shares, and the interest that they cost, taken from ``rest``."""
+    entered = base.groupBy("run_id", "start").agg(F.sum(F.greatest(-F.col("p"), F.lit(0.0))).alias("first_short"))
+    span = Window.partitionBy("run_id", "start").orderBy("session")
+    d = day.join(entered, ["run_id", "start"])
+    days = F.datediff("session", F.coalesce(F.lag("session").over(span), F.col("start")))
+    fee = F.coalesce(F.lag("short").over(span), F.col("first_short")) * days * (financing.stock_borrow_rate / financing.day_count)
+    d = d.withColumn("fee", fee / F.col("grown"))
+    paid = F.sum("fee").over(span.rowsBetween(Window.unboundedPreceding, 0)) * F.col("grown")
+    return d.withColumn("rest", F.col("rest") - paid).drop("fee", "first_short")
+
+
+def run_books(growth: DataFrame, targets: DataFrame, capital: float, financing: Financing, costs: TradeCosts) -> DataFrame:
+    """run_id, session, equity, market_value, gross, cash, debt, trade_cost, market_pnl, financing_pnl of every run and session.
+
+    ``growth`` is a ``growth_index``; ``targets`` has (run_id, session, asset, weight, gross_leverage): the basket bought at
+    that close, with weights that may be negative, for gross_leverage times the equity left after costs. Values are
+    after the trades of their session. A run ends with the first session at which equity is below the maintenance share
+    of its gross holdings, or gone.
+    """
+    keys, rate = ["run_id", "session"], costs.rate
+    p, basket = F.col("weight") * F.col("gross_leverage"), Window.partitionBy("run_id", "session")
+    bought = targets.withColumn("net", F.sum(p).over(basket)).withColumn("gross_p", F.sum(F.abs(p)).over(basket))
+    dates = bought.groupBy(*keys).agg(F.first("net").alias("net"), F.first("gross_p").alias("gross_p"))
+    days = growth.select("session").distinct()
+    runs = targets.groupBy("run_id").agg(F.min("session").alias("first"))
+    calendar = days.join(F.broadcast(runs), F.col("session") >= F.col("first")).drop("first")  # each session once for each run
+    earlier = Window.partitionBy("run_id").orderBy("session").rowsBetween(Window.unboundedPreceding, -1)
+    spans = calendar.join(dates.select(*keys, F.col("session").alias("basket")), keys, "left")
+    spans = spans.withColumn("start", F.last("basket", ignorenulls=True).over(earlier)).where("start is not null")
+
+    base = bought.join(growth, ["session", "asset"])
+    base = base.select("run_id", F.col("session").alias("start"), "asset", (p / F.col("index")).alias("units"), p.alias("p"), "net")
+    held = spans.join(base, ["run_id", "start"]).join(growth, ["session", "asset"])
+    rest = 1 - F.col("net")
+    yearly = F.when(rest < 0, financing.borrowing_rate).otherwise(financing.cash_rate) / financing.day_count
+    unit, grown = F.col("units") * F.col("index"), F.pow(1 + yearly, F.datediff("session", "start"))
+    held = held.select(*keys, "start", "basket", "asset", unit.alias("unit"), (rest * grown).alias("rest"), grown.alias("grown"))
+    day = held.groupBy(*keys, "start").agg(
+        F.sum("unit").alias("market"), F.sum(F.abs("unit")).alias("gross"), F.first("rest").alias("rest"), F.first("grown").alias("grown"),
+        F.sum(F.greatest(-F.col("unit"), F.lit(0.0))).alias("short"),
+    )
+    if financing.stock_borrow_rate:
+        day = _less_borrow_fees(day, base, financing)
+    day = day.withColumn("worth", F.col("market") + F.col("rest"))
+
+    before = held.where("basket is not null")
+    if financing.stock_borrow_rate:
+        before = before.join(day.select(*keys, "worth"), keys)
+    else:
+        before = before.withColumn("worth", F.sum("unit").over(basket) + F.col("rest"))
+    solved = _after_costs(before, targets, rate).withColumnRenamed("session", "start")
+    steps = dates.withColumnRenamed("session", "start").join(solved, ["run_id", "start"], "left")
+    entry = 1 / (1 + rate * F.col("gross_p"))  # the first basket is bought with money alone
+    steps = steps.withColumn("cost", F.coalesce("cost", 1 - entry)).withColumn("ratio", F.coalesce("ratio", entry))
+    order = Window.partitionBy("run_id").orderBy("start").rowsBetween(Window.unboundedPreceding, 0)
+    steps = steps.withColumn("scale", capital * F.product("ratio").over(order)).withColumn("paid", F.col("scale") / F.col("ratio") * F.col("cost"))
+
+    x = F.col("scale")
+    along = day.drop("short", "grown").join(steps.select("run_id", "start", "scale"), ["run_id", "start"]).select(
+        *keys, (x * F.col("worth")).alias("worth"), (x * F.col("market")).alias("market"), (x * F.col("gross")).alias("gross"), (x * F.col("rest")).alias("rest")
+    )
+    after = steps.select(
+        "run_id", F.col("start").alias("session"), x.alias("a_worth"), (x * F.col("net")).alias("a_market"), (x * F.col("gross_p")).alias("a_gross"),
+        (x * (1 - F.col("net"))).alias("a_rest"), "paid",
+    )
+    d = along.join(after, keys, "full")
+    now = lambda c: F.coalesce(f"a_{c}", c)
+    prior = Window.partitionBy("run_id").orderBy("session")
+    lost = now("worth") <= 0
+    if financing.maintenance_equity_ratio is not None:
+        lost = lost | (now("worth") < financing.maintenance_equity_ratio * now("gross"))
+    d = d.withColumn("over", F.max(F.when(lost, 1).otherwise(0)).over(prior.rowsBetween(Window.unboundedPreceding, -1))).where("coalesce(over, 0) = 0")
+    return d.select(
+        *keys, now("worth").alias("equity"), now("market").alias("market_value"), now("gross").alias("gross"),
+        F.greatest(now("rest"), F.lit(0.0)).alias("cash"), F.greatest(-now("rest"), F.lit(0.0)).alias("debt"), F.coalesce("paid", F.lit(0.0)).alias("trade_cost"),
+        (F.col("market") - F.lag(now("market")).over(prior)).alias("market_pnl"), (F.col("rest") - F.lag(now("rest")).over(prior)).alias("financing_pnl"),
+    )
+
+
+def audit(books: DataFrame, capital: float) -> DataFrame:
+    """run_id, session, equity_gap, balance_gap: equity less the capital and all P&L and costs up to then, and less its parts."""
+    run = Window.partitionBy("run_id").orderBy("session").rowsBetween(Window.unboundedPreceding, 0)
+    gained = F.coalesce("market_pnl", F.lit(0.0)) + F.coalesce("financing_pnl", F.lit(0.0)) - F.col("trade_cost")
+    d = books.withColumn("due", F.lit(float(capital)) + F.sum(gained).over(run))
+    parts = F.col("market_value") + F.col("cash") - F.col("debt")
+    return d.select("run_id", "session", (F.col("equity") - F.col("due")).alias("equity_gap"), (F.col("equity") - parts).alias("balance_gap"))

@@ -19,14 +19,22 @@ def _by(*keys: str):
 def net_asset_value(pnl: DataFrame, capital: float, keys: tuple[str, ...] = ("scenario",)) -> DataFrame:
     """keys, period_start, session, pnl, cumulative_pnl, equity, simple_return, wealth, drawdown.
 
-    The first denominator is the initial capital, which is also the first peak.
+    The first denominator is the initial capital, which is also the first peak. A return on a value of zero is
+    null, and so is what is derived from it (``nav_problems`` names such rows).
     """
     run = _by(*keys).rowsBetween(Window.unboundedPreceding, 0)
     d = pnl.withColumn("cumulative_pnl", F.sum("pnl").over(run))
     d = d.withColumn("equity", F.lit(capital) + F.col("cumulative_pnl"))
-    d = d.withColumn("simple_return", F.col("pnl") / (F.col("equity") - F.col("pnl")))
+    d = d.withColumn("simple_return", F.try_divide("pnl", F.col("equity") - F.col("pnl")))
     d = d.withColumn("wealth", F.col("equity") / capital)
-    return d.withColumn("drawdown", F.col("equity") / F.greatest(F.lit(capital), F.max("equity").over(run)) - 1)
+    return d.withColumn("drawdown", F.col("equity") / F.greatest(F.lit(float(capital)), F.max("equity").over(run)) - 1)
+
+
+def nav_problems(daily: DataFrame, keys: tuple[str, ...] = ("scenario",)) -> DataFrame:
+    """keys, session, problem: rows that started from a value of zero or less, or ended there."""
+    before = F.col("equity") - F.col("pnl")
+    problem = F.when(before <= 0, "nonpositive_start").when(F.col("equity") <= 0, "nonpositive_end")
+    return daily.select(*keys, "session", problem.alias("problem")).where(F.col("problem").isNotNull())
 
 
 def summary(daily: DataFrame, periods: float, minimum: float = 0.0, risk_free: float = 0.0, keys: tuple[str, ...] = ("scenario",)) -> DataFrame:

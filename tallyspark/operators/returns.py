@@ -32,22 +32,66 @@ def returns(panel: DataFrame, method: str = "simple", splits: DataFrame | None =
     return p.select(F.lag("session").over(by_asset()).alias("period_start"), "session", "asset", (change if method == "simple" else F.log1p(change)).alias("value"))
 
 
-def cumulative_returns(rets: DataFrame, method: str) -> DataFrame:
-    """``rets`` (simple returns) with ``cumulative``: sum, compound or wealth since the first session."""
-    v, to_now = F.coalesce("value", F.lit(0.0)), by_asset().rowsBetween(Window.unboundedPreceding, 0)
-    total = {"sum": F.sum(v).over(to_now), "compound": F.product(1 + v).over(to_now) - 1, "wealth": F.product(1 + v).over(to_now)}
-    if method not in total:
-        raise ValueError("method must be sum, compound or wealth")
-    return rets.withColumn("cumulative", total[method])
+def cumulative_returns(rets: DataFrame, method: str, kind: str = "simple") -> DataFrame:
+    """``rets`` with ``cumulative``: sum, compound or wealth since the first session of each asset.
+
+    ``kind`` names what ``value`` holds: simple or log returns. Wealth of log returns is the exponential of
+    their running sum. The first row of an asset, which has neither value nor period_start, stays null.
+    """
+    if method not in ("sum", "compound", "wealth") or kind not in ("simple", "log"):
+        raise ValueError("method must be sum, compound or wealth, and kind simple or log")
+    to_now = by_asset().rowsBetween(Window.unboundedPreceding, 0)
+    added = F.sum("value").over(to_now)
+    wealth = F.exp(added) if kind == "log" else F.product(1 + F.col("value")).over(to_now)
+    total = {"sum": added, "compound": wealth - 1, "wealth": wealth}[method]
+    return rets.withColumn("cumulative", F.when(F.col("value").isNotNull(), total))
+
+
+def return_problems(rets: DataFrame, kind: str = "simple") -> DataFrame:
+    """session, asset, problem: rows that cannot be accumulated.
+
+    ``leading_value``: the first row of an asset has a value or a start; ``missing_value``: a later one has none or
+    one that is not finite; ``gap``: an interval does not start where the one before ended; ``no_wealth``: a simple return
+    of -1 or less; ``repeated_key``: an asset has a session twice.
+    """
+    before = F.lag("session").over(by_asset())
+    v, start, first = F.col("value"), F.col("period_start"), before.isNull()
+    problem = (
+        F.when(before == F.col("session"), "repeated_key")
+        .when(first & (v.isNotNull() | start.isNotNull()), "leading_value")
+        .when(~first & (v.isNull() | F.isnan(v) | F.abs(v).eqNullSafe(F.lit(float("inf")))), "missing_value")
+        .when(~first & ~start.eqNullSafe(before), "gap")
+    )
+    problem = problem.when(v <= -1, "no_wealth") if kind == "simple" else problem
+    return rets.select("session", "asset", problem.alias("problem")).where(F.col("problem").isNotNull())
+
+
+def checked_returns(rets: DataFrame, kind: str = "simple") -> DataFrame:
+    """``rets`` unless it has problems: these raise, with the first offenders."""
+    if bad := return_problems(rets, kind).orderBy("asset", "session").limit(5).collect():
+        raise ValueError(f"returns cannot be accumulated, first offenders {[tuple(map(str, r)) for r in bad]}")
+    return rets
 
 
 def asset_correlation(rets: DataFrame) -> DataFrame:
-    """asset_x, asset_y, n_obs, correlation, status for all pairs, each with itself included."""
+    """asset_x, asset_y, n_obs, correlation, status for all pairs, each with itself included.
+
+    Pairs without a common session have no observations and the status ``empty_sample``. The matrix of assets is the
+    result itself, so its size is what the caller asks for.
+    """
     r = rets.where(F.col("value").isNotNull())
     x = r.select("session", F.col("asset").alias("asset_x"), F.col("value").alias("x"))
     y = r.select("session", F.col("asset").alias("asset_y"), F.col("value").alias("y"))
-    out = x.join(y, "session").groupBy("asset_x", "asset_y").agg(F.count("*").alias("n_obs"), correlation("x", "y").alias("correlation"))
-    status = F.when(F.col("n_obs") < 2, "insufficient_samples").when(F.col("correlation").isNull(), "zero_volatility").otherwise("ok")
+    met = x.join(y, "session").groupBy("asset_x", "asset_y").agg(F.count("*").alias("n_obs"), correlation("x", "y").alias("correlation"))
+    one = rets.select("asset").distinct()
+    pairs = one.select(F.col("asset").alias("asset_x")).join(one.select(F.col("asset").alias("asset_y")))
+    out = pairs.join(met, ["asset_x", "asset_y"], "left").withColumn("n_obs", F.coalesce("n_obs", F.lit(0).cast("long")))
+    status = (
+        F.when(F.col("n_obs") == 0, "empty_sample")
+        .when(F.col("n_obs") < 2, "insufficient_samples")
+        .when(F.col("correlation").isNull(), "zero_volatility")
+        .otherwise("ok")
+    )
     return out.withColumn("status", status)
 
 

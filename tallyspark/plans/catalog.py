@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tallyspark import contracts
 from tallyspark.functions.stats import correlation
-from tallyspark.operators import allocation, factors, intervals, ledger, reports, research
+from tallyspark.operators import allocation, factors, intervals, ledger, performance, reports, research, securities, signals
 from tallyspark.operators import returns as rets
 from tallyspark.sources import views
 
@@ -88,24 +88,58 @@ def total_returns(spark, d):
     return rounded(rets.returns(p, splits=views.panel_splits(p), dividends=views.panel_dividends(p)))
 
 
-CUMULATIVE = "SELECT period_start, session, asset, round(r, 9) AS value, round({}, 9) AS cumulative FROM r1 WINDOW w AS (PARTITION BY asset ORDER BY session)"
+CUMULATIVE = """SELECT period_start, session, asset, round({value}, 9) AS value, CASE WHEN r IS NOT NULL THEN round({total}, 9) END AS cumulative
+FROM r1 WINDOW w AS (PARTITION BY asset ORDER BY session)"""
 
 
-@query(CUMULATIVE.format("product(1 + coalesce(r, 0)) OVER w"))
+@query(CUMULATIVE.format(value="r", total="product(1 + r) OVER w"))
 def cumulative_wealth(spark, d):
     return rounded(rets.cumulative_returns(rets.returns(views.events_panel(spark, d)), "wealth"))
 
 
-@query(CUMULATIVE.format("product(1 + coalesce(r, 0)) OVER w - 1"))
+@query(CUMULATIVE.format(value="r", total="product(1 + r) OVER w - 1"))
 def cumulative_compound(spark, d):
     return rounded(rets.cumulative_returns(rets.returns(views.events_panel(spark, d)), "compound"))
 
 
-@query(CUMULATIVE.format("sum(coalesce(r, 0)) OVER w"))
+@query(CUMULATIVE.format(value="r", total="sum(r) OVER w"))
 def cumulative_sum(spark, d):
     return rounded(rets.cumulative_returns(rets.returns(views.events_panel(spark, d)), "sum"))
 
 
+@query("""SELECT period_start, session, asset, round(ln(1 + r), 9) AS value,
+ CASE WHEN r IS NOT NULL THEN round(close / first_value(close) OVER w, 9) END AS cumulative FROM r1 WINDOW w AS (PARTITION BY asset ORDER BY session)""")
+def cumulative_log_wealth(spark, d):
+    """Wealth of log returns: it must be the ratio of closes."""
+    return rounded(rets.cumulative_returns(rets.returns(views.events_panel(spark, d), "log"), "wealth", "log"))
+
+
+@query(""", b AS (SELECT *, row_number() OVER (PARTITION BY asset ORDER BY session) AS n FROM r1),
+x AS (SELECT session, asset, n, CASE WHEN n = 5 THEN session - 2 ELSE period_start END AS period_start, CASE WHEN n = 7 THEN NULL WHEN n = 9 THEN -1.5 ELSE r END AS r FROM b WHERE NOT (n = 1 AND asset = 'click'))
+SELECT session, asset, CASE WHEN asset = 'click' AND n = 2 THEN 'leading_value' WHEN n = 7 THEN 'missing_value' WHEN n = 5 THEN 'gap' WHEN n = 9 THEN 'no_wealth' END AS problem FROM x
+WHERE (asset = 'click' AND n = 2) OR n IN (5, 7, 9)""")
+def return_problems(spark, d):
+    """Each rule of accumulation with its offenders: a lost first row, a shifted start, a lost value, a loss of everything."""
+    r = views.numbered(rets.returns(views.events_panel(spark, d))).where("not (n = 1 and asset = 'click')")
+    n = F.col("n")
+    broken = r.withColumn("period_start", F.when(n == 5, F.date_sub("session", 2)).otherwise(F.col("period_start")))
+    return rets.return_problems(broken.withColumn("value", F.when(n == 9, -1.5).when(n != 7, F.col("value"))))
+
+
+@query("""SELECT a.asset AS asset_x, b.asset AS asset_y, count(p.rx) AS n_obs, CASE WHEN count(p.rx) > 1 THEN round(greatest(-1, least(1, corr(p.rx, p.ry))), 9) END AS correlation,
+ CASE count(p.rx) WHEN 0 THEN 'empty_sample' WHEN 1 THEN 'insufficient_samples' ELSE 'ok' END AS status
+FROM (SELECT DISTINCT asset FROM r1) a CROSS JOIN (SELECT DISTINCT asset FROM r1) b
+LEFT JOIN (SELECT x.asset AS ax, y.asset AS ay, x.r AS rx, y.r AS ry FROM r1 x JOIN r1 y ON x.session = y.session WHERE x.r IS NOT NULL AND y.r IS NOT NULL
+  AND (x.asset <> 'click' OR day(x.session) % 2 = 0) AND (y.asset <> 'click' OR day(y.session) % 2 = 0)
+  AND (x.asset <> 'view' OR day(x.session) % 2 = 1) AND (y.asset <> 'view' OR day(y.session) % 2 = 1)) p ON p.ax = a.asset AND p.ay = b.asset GROUP BY 1, 2""")
+def correlation_of_disjoint_assets(spark, d):
+    """Assets that share no session have an empty sample, not an absent row."""
+    r = rets.returns(views.events_panel(spark, d))
+    odd = F.dayofmonth("session") % 2
+    kept = (F.col("asset") != "click") | (odd == 0)
+    return rounded(rets.asset_correlation(r.withColumn("value", F.when(kept & ((F.col("asset") != "view") | (odd == 1)), F.col("value")))))
+
+
 @query("""SELECT x.asset AS asset_x, y.asset AS asset_y, count(*) AS n_obs, round(greatest(-1, least(1, corr(x.r, y.r))), 9) AS correlation, 'ok' AS status
 FROM r1 x JOIN r1 y ON x.session = y.session WHERE x.r IS NOT NULL AND y.r IS NOT NULL GROUP BY 1, 2""")
 def asset_correlation(spark, d):
@@ -189,6 +223,101 @@ def factor_joint_ols(spark, d):
     return rounded(factors.joint_ols(_factor_series(spark, d), ("first", "last")))
 
 
+FIT = """, f AS (SELECT p1.session, p1.r AS y, max(r1.r) FILTER (WHERE asset = (SELECT min(asset) FROM v1)) AS x, max(r1.r) FILTER (WHERE asset = (SELECT max(asset) FROM v1)) AS z FROM p1 JOIN r1 USING (session) GROUP BY 1, 2),
+m AS (SELECT covar_samp(x, y) AS xy, covar_samp(z, y) AS zy, covar_samp(x, z) AS xz, var_samp(x) AS xx, var_samp(z) AS zz, avg(x) AS mx, avg(y) AS my, avg(z) AS mz FROM f),
+b AS (SELECT (xy * zz - zy * xz) / (xx * zz - xz * xz) AS b1, (zy * xx - xy * xz) / (xx * zz - xz * xz) AS b2, * FROM m),
+t AS (SELECT session, x, z, y, my - b1 * mx - b2 * mz + b1 * x + b2 * z AS fitted FROM f, b)
+"""
+
+
+def _fit(spark, d):
+    s, names = _factor_series(spark, d), ("first", "last")
+    return factors.fitted(s, names, factors.joint_ols(s, names))
+
+
+@query(FIT + "SELECT session, round(fitted, 9) AS fitted, round(y - fitted, 9) AS residual FROM t")
+def factor_fitted(spark, d):
+    return rounded(_fit(spark, d).select("session", "fitted", "residual"))
+
+
+@query(FIT + """, a AS (SELECT count(*) AS n, sum((y - fitted) * (y - fitted)) AS sse, var_samp(y) * (count(*) - 1) AS sst FROM t)
+SELECT metric, round(value, 9) AS value, unit, n AS n_obs, 'ok' AS status FROM a, LATERAL (VALUES ('n_obs', n::DOUBLE, 'intervals'), ('n_factors', 2, 'count'), ('residual_df', n - 3, 'count'), ('r_squared', 1 - sse / sst, 'fraction'), ('sse', sse, 'fraction^2'),
+ ('annualized_idiosyncratic_volatility', sqrt(252 * sse / (n - 3)), 'fraction/sqrt(year)')) AS v(metric, value, unit)""")
+def factor_summary(spark, d):
+    return rounded(factors.fit_summary(_fit(spark, d), ("first", "last"), PERIODS))
+
+
+@query(FIT + """, u AS (SELECT session, unnest(['r', 'first', 'last']) AS s, unnest([y, x, z]) AS v FROM t)
+SELECT a.s AS series, b.s AS other_series, round(greatest(-1, least(1, corr(a.v, b.v))), 9) AS correlation, count(*) AS n_obs, 'ok' AS status FROM u a JOIN u b USING (session) GROUP BY 1, 2""")
+def factor_correlations(spark, d):
+    return rounded(factors.series_correlations(_factor_series(spark, d), ("r", "first", "last")))
+
+
+#: Securities of the events panel: click is suspended, view, purchase and signup end with a deal, error distributes clicks.
+SECURITIES = """, s1 AS (SELECT session, n FROM n1 WHERE asset = 'error'),
+q1 AS (SELECT n1.*, CASE WHEN n % 11 = 0 THEN 2.0::DOUBLE ELSE 1 END AS ratio, CASE WHEN n % 7 = 0 THEN 0.75::DOUBLE ELSE 0 END AS cash FROM n1
+  WHERE NOT (asset = 'click' AND n BETWEEN 10 AND 12) AND NOT (asset = 'view' AND n > 20) AND NOT (asset = 'purchase' AND n > 28) AND NOT (asset = 'signup' AND n > 9)),
+l1 AS (SELECT q1.*, lag(session) OVER w AS ps, lag(close) OVER w AS prior, CASE WHEN asset = 'error' AND n = 6 THEN 0.1 * (SELECT close FROM n1 WHERE asset = 'click' AND n = 6) / ratio WHEN asset = 'error' AND n = 10 THEN 0.1 * 7.0 / ratio ELSE 0 END AS extra,
+  CASE WHEN n = 1 THEN 'first_observation' WHEN asset = 'click' AND n = 13 THEN 'quote_gap' WHEN asset = 'error' AND n = 10 THEN 'supplied_mark_valuation' WHEN asset = 'error' AND n = 12 THEN 'unvalued_distribution' ELSE 'ok' END AS status FROM q1 WINDOW w AS (PARTITION BY asset ORDER BY session))
+"""
+
+
+def _securities(spark, d):
+    p = views.numbered(views.events_panel(spark, d).select("session", "asset", "close"))
+    days = p.where("asset = 'error'").select("session", "n")
+    at = lambda k: F.max(F.when(F.col("n") == k, F.col("session")))
+    dates = days.agg(*(at(k).alias(f"d{k}") for k in (1, 6, 9, 10, 11, 12, 20, 22, 24, 28)), F.date_add(F.max("session"), 10).alias("after"))
+
+    def rows(names: str, *values: str) -> DataFrame:
+        """A small table from rows of SQL expressions over the dates."""
+        structs = F.array(*(F.expr(f"named_struct({', '.join(f'{n!r}, {v}' for n, v in zip(names.split(), row.split('|'), strict=True))})") for row in values))
+        return dates.select(F.explode(structs).alias("x")).select("x.*")
+
+    none, no_day, no_text = "cast(null as double)", "cast(null as date)", "cast(null as string)"
+    secs = rows("asset first_session last_session terminated_date", f"'click'|d1|{no_day}|{no_day}", f"'error'|d1|{no_day}|{no_day}", "'view'|d1|d20|d24", f"'purchase'|d1|d28|{no_day}", "'signup'|d1|d9|d12")
+    halts = rows("asset first_session last_session", "'click'|d10|d12")
+    actions = rows(
+        "action_id action_type source_asset effective_date announced_at", "'a1'|'distribution'|'error'|d6|cast(d1 as timestamp)", "'a2'|'distribution'|'error'|d10|cast(d6 as timestamp)",
+        "'a3'|'distribution'|'error'|d12|cast(d6 as timestamp)", "'b1'|'acquisition'|'view'|d22|cast(d10 as timestamp)", "'b2'|'acquisition'|'purchase'|after|cast(d20 as timestamp)", "'b3'|'acquisition'|'signup'|d11|cast(d1 as timestamp)",
+    )
+    more = f"|{none}|{no_day}|{no_day}"
+    legs = rows(
+        "action_id leg_type asset units_per_source_share cash_per_source_share accrual_per_day accrual_start accrual_end", *(f"'a{k}'|'security'|'click'|0.1d|{none}{more}" for k in (1, 2, 3)),
+        f"'b1'|'cash'|{no_text}|{none}|0.5d{more}", f"'b1'|'security'|'error'|0.5d|{none}{more}", f"'b2'|'cash'|{no_text}|{none}|1.0d{more}", f"'b3'|'security'|'click'|1.0d|{none}{more}",
+    )
+    marks = rows("session asset mark", "d10|'click'|7.0d")
+    quoted = p.where("not (asset = 'click' and n between 10 and 12) and not (asset = 'view' and n > 20) and not (asset = 'purchase' and n > 28) and not (asset = 'signup' and n > 9)")
+    sessions = days.select("session", hours(F.lit(21), "session").alias("close_at"))
+    status = intervals.quote_status(sessions, secs, quoted, halts)
+    return p, status, quoted.select("session", "asset", "close"), actions, legs, marks, sessions
+
+
+@query(SECURITIES + """SELECT session, asset, ps AS period_start, CASE WHEN status NOT IN ('first_observation', 'quote_gap') THEN round(close / prior - 1, 9) END AS price_return,
+ CASE WHEN status IN ('ok', 'supplied_mark_valuation') THEN round((close + cash + extra) * ratio / prior - 1, 9) END AS total_return, status FROM l1
+UNION ALL SELECT (SELECT session FROM s1 WHERE n = 22), 'view', session, NULL, round((0.5 + 0.5 * (SELECT close FROM n1 WHERE asset = 'error' AND n = 22)) / close - 1, 9), 'acquisition_consideration' FROM n1 WHERE asset = 'view' AND n = 20
+UNION ALL SELECT (SELECT max(session) + 10 FROM s1), 'purchase', session, NULL, NULL, 'consideration_after_coverage' FROM n1 WHERE asset = 'purchase' AND n = 28
+UNION ALL SELECT (SELECT session FROM s1 WHERE n = 11), 'signup', session, NULL, NULL, 'unvalued_consideration' FROM n1 WHERE asset = 'signup' AND n = 9""")
+def security_returns(spark, d):
+    """Quoted and total returns across gaps, distributions and acquisitions: each of the eight statuses occurs."""
+    p, status, quoted, actions, legs, marks, _ = _securities(spark, d)
+    dividends = views.panel_dividends(p.drop("n"))
+    return rounded(securities.security_returns(status, quoted, views.panel_splits(p.drop("n")), dividends, actions, legs, marks))
+
+
+@query(SECURITIES + """SELECT asset, min(session) AS first_session, max(session) AS last_session, count(*) AS n_sessions, reason FROM (
+ SELECT a.asset, s1.session, CASE a.asset WHEN 'click' THEN 'suspended' ELSE 'unquoted_after_last_session' END AS reason FROM s1 CROSS JOIN (VALUES ('click', 10, 12), ('view', 21, 23), ('purchase', 29, 999), ('signup', 10, 11)) a(asset, low, high) WHERE n BETWEEN low AND high) GROUP BY asset, reason""")
+def quote_gaps(spark, d):
+    return securities.quote_gaps(_securities(spark, d)[1])
+
+
+@query(SECURITIES + """, k AS (SELECT * FROM (VALUES ('a1', 'error', 1, 6), ('a2', 'error', 6, 10), ('a3', 'error', 6, 12), ('b1', 'view', 10, 22), ('b2', 'purchase', 20, 999), ('b3', 'signup', 1, 11)) v(id, asset, known, due))
+SELECT session, asset, string_agg(id, ',' ORDER BY id) AS announced_actions FROM s1 JOIN k ON n >= known AND n < due GROUP BY 1, 2""")
+def announced_actions(spark, d):
+    """Actions known by each close and not yet effective."""
+    _, _, _, actions, _, _, sessions = _securities(spark, d)
+    return securities.announced(sessions, actions)
+
+
 def _pairs(spark, d):
     """Momentum signal of the brands (last month's return) and the return of the next month."""
     w = Window.partitionBy("asset").orderBy("session")
@@ -310,10 +439,27 @@ def _decision(spark, d) -> tuple[DataFrame, DataFrame, str]:
     return p, rets.returns(p).where(F.col("value").isNotNull()), str(p.agg(F.max("session")).first()[0])
 
 
-@query(CAPPED + "SELECT asset, round(volatility, 9) AS volatility, round(weight, 9) AS weight FROM w")
+@query(CAPPED + """SELECT asset, round(volatility * sqrt(252), 9) AS volatility, 20::BIGINT AS n_obs, round(inv / sum(inv) OVER (), 9) AS uncapped_weight, round(weight, 9) AS weight,
+ abs(weight - 0.25) <= 1e-12 AS at_cap FROM w JOIN (SELECT asset, inv FROM v) USING (asset)""")
 def inverse_vol_capped(spark, d):
     _, r, last = _decision(spark, d)
-    return rounded(allocation.inverse_volatility_weights(r, last, 20, 0.25))
+    return rounded(allocation.inverse_volatility_weights(r, last, 20, 0.25, PERIODS))
+
+
+@query("SELECT DISTINCT asset, round(1.0::DOUBLE / (SELECT count(DISTINCT asset) FROM v4), 12) AS weight FROM v4")
+def equal_weights(spark, d):
+    return rounded(allocation.equal_weights(views.brands_panel(spark, d)), 12)
+
+
+@query("""SELECT asset, CASE WHEN asset = 'click' THEN 'negative_weight' WHEN asset = 'view' THEN 'missing_weight' ELSE 'above_cap' END AS problem
+FROM (SELECT DISTINCT asset FROM v1) WHERE asset IN ('click', 'view', (SELECT max(asset) FROM v1 WHERE asset NOT IN ('click', 'view')))
+UNION ALL SELECT NULL, 'sum_not_one'""")
+def weight_problems(spark, d):
+    """Every rule of a weight table with its offender."""
+    a = views.events_panel(spark, d).select("asset").distinct()
+    last = a.where("asset not in ('click', 'view')").agg(F.max("asset").alias("last"))
+    w = a.join(F.broadcast(last)).select("asset", F.when(F.col("asset") == "click", -0.1).when(F.col("asset") == "last", 0.0).when(F.col("asset") == F.col("last"), 0.9).when(F.col("asset") != "view", 0.05).alias("weight"))
+    return allocation.weight_problems(w, 0.5)
 
 
 @query(LAST + """, c AS (SELECT x.asset AS a, covar_samp(x.r, y.r) AS c, y.asset AS b FROM u x JOIN u y USING (session) GROUP BY 1, 3), m AS (SELECT a AS asset, sum(c * 0.2::DOUBLE) * 0.2::DOUBLE AS share FROM c GROUP BY a)
@@ -395,13 +541,14 @@ def risk_free_intervals(spark, d):
 
 
 @query(""", w AS (SELECT DISTINCT asset, date_trunc('year', session)::DATE AS valid_from FROM v3), a AS (SELECT 'T-' || asset AS ticker, asset || '/' || CAST(year(valid_from) AS VARCHAR) AS asset, valid_from, (valid_from + INTERVAL 10 MONTH)::DATE AS valid_to FROM w),
-o AS (SELECT DISTINCT 'T-' || asset AS ticker, session AS date FROM v3)
-SELECT o.ticker, o.date, CASE WHEN count(a.asset) = 1 THEN min(a.asset) END AS asset, count(a.asset) AS n_matches FROM o LEFT JOIN a ON o.ticker = a.ticker AND o.date BETWEEN a.valid_from AND a.valid_to GROUP BY 1, 2""")
+o AS (SELECT row_number() OVER () AS k, 'T-' || asset AS ticker, session AS date FROM v3 CROSS JOIN (SELECT unnest([1, 2])))
+SELECT o.ticker, o.date, CASE WHEN count(DISTINCT a.asset) = 1 THEN min(a.asset) END AS asset, count(DISTINCT a.asset) AS n_matches FROM o LEFT JOIN a ON o.ticker = a.ticker AND o.date BETWEEN a.valid_from AND a.valid_to GROUP BY o.k, o.ticker, o.date""")
 def alias_interval_join(spark, d):
     p = views.orders_panel(spark, d)
     w = p.select("asset", F.to_date(F.date_trunc("year", "session")).alias("valid_from")).distinct()
     aliases = w.select(F.concat(F.lit("T-"), "asset").alias("ticker"), F.concat("asset", F.lit("/"), F.year("valid_from").cast("string")).alias("asset"), "valid_from", F.add_months("valid_from", 10).alias("valid_to"))
-    return intervals.resolve_aliases(p.select(F.concat(F.lit("T-"), "asset").alias("ticker"), F.col("session").alias("date")).distinct(), aliases)
+    observed = p.select(F.concat(F.lit("T-"), "asset").alias("ticker"), F.col("session").alias("date"))
+    return intervals.resolve_aliases(observed.unionByName(observed), aliases)  # each row is observed twice and stays two rows
 
 
 @query(""", c AS (SELECT s.session, a.asset, k, last FROM (SELECT session, row_number() OVER (ORDER BY session) AS k, count(*) OVER () AS last FROM (SELECT DISTINCT session FROM v3)) s CROSS JOIN (SELECT DISTINCT asset FROM v3) a),
@@ -409,18 +556,23 @@ t AS (SELECT c.session, c.asset, CASE WHEN c.asset LIKE '1%' AND k > last - 3 TH
 SELECT session, asset, status, status = 'quoted' AS tradable FROM t""")
 def quote_status(spark, d):
     p = views.orders_panel(spark, d)
-    s = [r[0] for r in p.select("session").distinct().orderBy("session").collect()]
-    at = lambda like, k: F.when(F.col("asset").like(like), F.lit(s[k]))
-    securities = p.select("asset").distinct().select("asset", F.coalesce(at("2%", 3), F.lit(s[0])).alias("first_session"), at("3%", -3).alias("last_session"), at("1%", -3).alias("terminated_date"))
-    halts = securities.where("asset like '5%'").select("asset", F.lit(s[9]).alias("first_session"), F.lit(s[13]).alias("last_session"))
+    days = p.select("session").distinct()
+    days = days.select("session", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("session")).alias("k"), F.count("*").over(Window.partitionBy(F.lit(0))).alias("last"))
+    day = lambda k: F.max(F.when(F.col("k") == k, F.col("session")))
+    marks = days.agg(day(1).alias("d1"), day(4).alias("d4"), day(10).alias("d10"), day(14).alias("d14"), day(F.col("last") - 2).alias("late"))
+    securities = p.select("asset").distinct().join(F.broadcast(marks))  # one row of dates
+    like = lambda pattern, c: F.when(F.col("asset").like(pattern), F.col(c))
+    halts = securities.where("asset like '5%'").select("asset", F.col("d10").alias("first_session"), F.col("d14").alias("last_session"))
+    securities = securities.select("asset", F.coalesce(like("2%", "d4"), "d1").alias("first_session"), like("3%", "late").alias("last_session"), like("1%", "late").alias("terminated_date"))
     return intervals.quote_status(p.select("session").distinct(), securities, p, halts)
 
 
 @query(", g AS (SELECT session, asset, lag(session) OVER (PARTITION BY asset ORDER BY session) AS p FROM v3) SELECT asset, session, p AS period_start, (p IS NULL OR p = (session - INTERVAL 1 MONTH)::DATE) AS contiguous FROM g")
 def interval_contiguity(spark, d):
     w = Window.partitionBy("asset").orderBy("session")
-    p = views.orders_panel(spark, d).select("asset", "session", F.lag("session").over(w).alias("period_start"))
-    return p.withColumn("contiguous", F.col("period_start").isNull() | (F.col("period_start") == F.add_months("session", -1)))
+    p = views.orders_panel(spark, d).select("asset", "session", F.lag("session").over(w).alias("p"))
+    p = p.withColumn("period_start", F.when(F.col("p").isNotNull(), F.add_months("session", -1)))  # months are due one after another
+    return intervals.contiguity(p, ("asset",)).select("asset", "session", F.col("p").alias("period_start"), "contiguous")
 
 
 HOLD = """, h AS (SELECT session, sum(q * close) AS market_value, sum(CASE WHEN n > 1 AND n % 7 = 0 THEN 0.75 * q ELSE 0 END) AS income FROM (SELECT n1.*, 0.2::DOUBLE * (100000 / (1 + 0.001::DOUBLE)) / first_value(close) OVER (PARTITION BY asset ORDER BY session) AS q FROM n1) GROUP BY session),
@@ -449,25 +601,54 @@ SELECT 'L' || CAST(lev AS VARCHAR) AS run_id, session, round(market_value, 4) AS
 def buy_and_hold_financed(spark, d):
     p = views.events_panel(spark, d).select("session", "asset", "close")
     runs = _targets(spark, d, "n = 1", [("L1.0", 1.0), ("L1.5", 1.5), ("L2.0", 2.0)])
-    out = ledger.run_ledger(p, runs, CAPITAL, ledger.Financing(borrowing_rate=0.05), ledger.TradeCosts(commission_bps=10)).where("kind = 'daily'")
+    out = ledger.run_books(ledger.growth_index(p), runs, CAPITAL, ledger.Financing(borrowing_rate=0.05), ledger.TradeCosts(commission_bps=10))
     return out.select("run_id", "session", *(F.round(c, 4).alias(c) for c in ("market_value", "debt", "equity")))
 
 
-@query()
+#: Books in SQL: every possible piece of each basket's equation is tried, and the one that solves it is taken.
+BOOKS = """, i1 AS (SELECT n, session, asset, product(1 + coalesce(t, 0)) OVER (PARTITION BY asset ORDER BY session) AS idx FROM (SELECT n, session, asset,
+  ((close + CASE WHEN n % 7 = 0 THEN 0.75 ELSE 0 END) * CASE WHEN n % 11 = 0 THEN 2.0::DOUBLE ELSE 1 END) / lag(close) OVER (PARTITION BY asset ORDER BY session) - 1 AS t FROM n1)),
+u1 AS (SELECT * FROM (VALUES {runs}) AS r(run_id, lev, short)),
+w1 AS (SELECT run_id, lev, i1.*, lev * CASE WHEN short AND asset = 'click' THEN -0.2::DOUBLE WHEN short THEN 0.3 ELSE 0.2 END AS p FROM i1 CROSS JOIN u1),
+k1 AS (SELECT *, CASE WHEN n > 1 THEN ((n - 2) // {every}) * {every} + 1 END AS sn FROM w1),
+h1 AS (SELECT k.run_id, k.lev, k.n, k.sn, k.session, s.session AS start, k.asset, k.p, k.p * k.idx / s.idx AS u FROM k1 k JOIN w1 s ON s.run_id = k.run_id AND s.asset = k.asset AND s.n = k.sn),
+x1 AS (SELECT run_id, n, sn, session, sum(u) AS market, sum(abs(u)) AS gross, sum(p) AS net, sum(abs(p)) AS gp,
+  (1 - sum(p)) * pow(1 + CASE WHEN sum(p) > 1 + 1e-12 THEN 0.05::DOUBLE ELSE 0.01 END / 365, max(session - start)) AS rest FROM h1 GROUP BY 1, 2, 3, 4),
+c1 AS (SELECT a.run_id, a.n, x1.market + x1.rest AS worth, (max(x1.market + x1.rest) + {rate} * sum(CASE WHEN b.u / b.p <= a.at THEN 1 ELSE -1 END * abs(b.p) * (b.u / b.p))) / (1 + {rate} * sum(CASE WHEN b.u / b.p <= a.at THEN 1 ELSE -1 END * abs(b.p))) AS ratio, a.at
+  FROM (SELECT run_id, n, u / p AS at FROM h1 WHERE n % {every} = 1 UNION ALL SELECT DISTINCT run_id, n, -1e9 FROM h1 WHERE n % {every} = 1) a JOIN h1 b USING (run_id, n) JOIN x1 USING (run_id, n) GROUP BY a.run_id, a.n, a.at, x1.market, x1.rest),
+r2 AS (SELECT run_id, n, arg_min(ratio, gap) AS ratio, arg_min(worth, gap) AS worth FROM (SELECT c.run_id AS run_id, c.n AS n, c.ratio, c.worth, c.at, abs(c.ratio + {rate} * sum(abs(h.p * c.ratio - h.u)) - c.worth) AS gap
+  FROM c1 c JOIN h1 h USING (run_id, n) GROUP BY c.run_id, c.n, c.ratio, c.worth, c.at) c1 GROUP BY 1, 2),
+s2 AS (SELECT run_id, n, ratio, 1.0::DOUBLE AS worth FROM (SELECT run_id, 1 AS n, 1 / (1 + {rate} * sum(abs(p))) AS ratio FROM w1 WHERE n = 1 GROUP BY 1) UNION ALL SELECT run_id, n, ratio, worth FROM r2),
+z2 AS (SELECT *, 100000 * product(ratio) OVER (PARTITION BY run_id ORDER BY n) AS scale FROM s2),
+y2 AS (SELECT w.run_id, w.n, w.session, z.scale AS equity, z.scale * w.net AS market_value, z.scale * w.gp AS gross, z.scale * (1 - w.net) AS rest, z.scale / z.ratio * (z.worth - z.ratio) AS trade_cost
+  FROM (SELECT run_id, n, session, sum(p) AS net, sum(abs(p)) AS gp FROM w1 WHERE n % {every} = 1 GROUP BY 1, 2, 3) w JOIN z2 z USING (run_id, n)
+  UNION ALL SELECT x.run_id, x.n, x.session, z.scale * (x.market + x.rest), z.scale * x.market, z.scale * x.gross, z.scale * x.rest, 0 FROM x1 x JOIN z2 z ON z.run_id = x.run_id AND z.n = x.sn WHERE x.n % {every} <> 1),
+q2 AS (SELECT *, coalesce(max(CASE WHEN equity <= 0 OR equity < {keep} * gross THEN 1 ELSE 0 END) OVER (PARTITION BY run_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS done FROM y2)
+"""
+
+
+@query(BOOKS.format(runs="('L1.0', 1.0::DOUBLE, false), ('L1.5', 1.5, false), ('L2.0', 2.0, false)", every=5, rate="0.001::DOUBLE", keep="0.49") + """
+SELECT run_id, session, round(equity, 4) AS equity, round(market_value, 4) AS market_value, round(greatest(rest, 0), 4) AS cash, round(greatest(-rest, 0), 4) AS debt, round(trade_cost, 4) AS trade_cost FROM q2 WHERE done = 0""")
 def scheduled_rebalance(spark, d):
-    """Rebalanced each fifth session at three leverages, with splits, dividends, interest and a margin stop."""
+    """Rebalanced each fifth session at three leverages, with splits, reinvested dividends, interest and a margin stop."""
     p = views.events_panel(spark, d)
     runs = _targets(spark, d, "n % 5 = 1", [("L1.0", 1.0), ("L1.5", 1.5), ("L2.0", 2.0)])
-    out = ledger.run_ledger(p.select("session", "asset", "close"), runs, CAPITAL, ledger.Financing(0.01, 0.05, maintenance_equity_ratio=0.25), ledger.TradeCosts(5, 2, 3), views.panel_splits(p), views.panel_dividends(p))
-    return rounded(out, 6)
+    growth = ledger.growth_index(p.select("session", "asset", "close"), views.panel_splits(p), views.panel_dividends(p))
+    out = ledger.run_books(growth, runs, CAPITAL, ledger.Financing(0.01, 0.05, maintenance_equity_ratio=0.49), ledger.TradeCosts(5, 2, 3))
+    return out.select("run_id", "session", *(F.round(c, 4).alias(c) for c in ("equity", "market_value", "cash", "debt", "trade_cost")))
 
 
-@query("SELECT 'short' AS run_id, session, true AS cash_reconciles, true AS debt_reconciles FROM (SELECT DISTINCT session FROM v1)")
+@query(BOOKS.format(runs="('short', 1.0::DOUBLE, true)", every=4, rate="0.0005::DOUBLE", keep="0") + """, o2 AS (SELECT *, lag(equity) OVER (ORDER BY n) AS e0 FROM q2)
+SELECT run_id, session, round(equity - coalesce(e0, 100000) + trade_cost, 4) AS earned, round(trade_cost, 4) AS trade_cost, 0.0::DOUBLE AS equity_gap, 0.0::DOUBLE AS balance_gap FROM o2""")
 def long_short_audit(spark, d):
-    """A long/short book: recorded balances equal the running sums of its posted events."""
-    p = views.events_panel(spark, d).select("session", "asset", "close")
-    book = ledger.run_ledger(p, _targets(spark, d, "n % 4 = 1", [("short", 1.0)], short=True), CAPITAL, ledger.Financing(0.01, 0.05), ledger.TradeCosts(5))
-    return ledger.audit(book, CAPITAL).select("run_id", "session", (F.abs("cash_gap") < 1e-6).alias("cash_reconciles"), (F.abs("debt_gap") < 1e-6).alias("debt_reconciles"))
+    """A long/short book by component: what it earned before costs, its costs, and that both explain its equity."""
+    p = views.events_panel(spark, d)
+    growth = ledger.growth_index(p.select("session", "asset", "close"), views.panel_splits(p), views.panel_dividends(p))
+    book = ledger.run_books(growth, _targets(spark, d, "n % 4 = 1", [("short", 1.0)], short=True), CAPITAL, ledger.Financing(0.01, 0.05), ledger.TradeCosts(5))
+    earned = F.coalesce("market_pnl", F.lit(0.0)) + F.coalesce("financing_pnl", F.lit(0.0))
+    parts = book.select("run_id", "session", F.round(earned, 4).alias("earned"), F.round("trade_cost", 4).alias("trade_cost"))
+    gaps = ledger.audit(book, CAPITAL)
+    return parts.join(gaps.select("run_id", "session", *(F.round(F.abs(c), 4).alias(c) for c in ("equity_gap", "balance_gap"))), ["run_id", "session"])
 
 
 @query("SELECT asset, round(corr(lp, lv), 9) AS correlation, count(*) AS n_obs FROM (SELECT asset, ln(close) AS lp, ln(dollar_volume) AS lv FROM v1) GROUP BY asset")
@@ -504,13 +685,109 @@ def position_attribution(spark, d):
     return p.where(F.col("before").isNotNull()).select("session", "asset", F.round(F.col("q") * (F.col("close") - F.col("before")), 6).alias("price_pnl"))
 
 
-@query(PAIRS + "SELECT signal_date, count(*) AS n_assets, min(n_assets) AS n_matched FROM m4 JOIN i4 USING (signal_date) GROUP BY signal_date")
+COARSE = PAIRS + """, c5 AS (SELECT signal_date, asset, floor(signal * 40) / 40 AS signal, forward_return FROM f4 WHERE signal IS NOT NULL OR forward_return IS NOT NULL),
+m5 AS (SELECT *, row_number() OVER (PARTITION BY signal_date ORDER BY signal, asset) - 1 AS i, count(*) OVER (PARTITION BY signal_date) AS n FROM c5 WHERE signal IS NOT NULL AND forward_return IS NOT NULL),
+l5 AS (SELECT *, CASE WHEN i < n // 5 THEN 1 WHEN i >= n - n // 5 THEN 5 ELSE 2 + (i - n // 5) * 3 // (n - 2 * (n // 5)) END AS label FROM m5),
+t5 AS (SELECT signal_date, signal, min(label) < max(label) AS torn FROM l5 GROUP BY 1, 2),
+s5 AS (SELECT l5.signal_date, CASE WHEN max(n) < 5 THEN 'insufficient_assets_for_quantiles' WHEN min(l5.signal) = max(l5.signal) THEN 'constant_signal' WHEN bool_or(torn) THEN 'tie_at_group_boundary' ELSE 'ok' END AS status
+  FROM l5 JOIN t5 ON t5.signal_date = l5.signal_date AND t5.signal = l5.signal GROUP BY 1),
+d5 AS (SELECT DISTINCT c5.signal_date, coalesce(status, 'insufficient_assets_for_quantiles') AS status FROM c5 LEFT JOIN s5 USING (signal_date)),
+g5 AS (SELECT d5.signal_date, CAST(q.q AS BIGINT) AS quantile, count(l5.asset) AS n_assets, avg(l5.signal) AS mean_signal, avg(forward_return) AS mean_forward_return, status
+  FROM d5 CROSS JOIN (SELECT unnest([1, 2, 3, 4, 5]) AS q) q LEFT JOIN l5 ON l5.signal_date = d5.signal_date AND l5.label = q.q AND status = 'ok' GROUP BY 1, 2, status),
+h5 AS (SELECT signal_date, max(n_assets) FILTER (WHERE quantile = 1) AS n_low, max(n_assets) FILTER (WHERE quantile = 5) AS n_high,
+  max(mean_forward_return) FILTER (WHERE quantile = 5) - max(mean_forward_return) FILTER (WHERE quantile = 1) AS high_minus_low, max(status) AS status FROM g5 GROUP BY 1)
+"""
+
+
+def _diagnosed(spark, d):
+    """Signals in steps of 1/40, which tie, outcomes, the matched rows in groups, and unmatched keys with their reasons."""
+    w = Window.partitionBy("asset").orderBy("session")
+    r = rets.returns(views.brands_panel(spark, d))
+    r = r.select(F.col("session").alias("signal_date"), "asset", (F.floor(F.col("value") * 40) / 40).alias("signal"), F.lead("value").over(w).alias("forward_return"))
+    s, o = r.where("signal is not null").drop("forward_return"), r.where("forward_return is not null").drop("signal")
+    ends = signals.unmatched(s, o).withColumn("reason", F.concat(F.lit("first or last month: "), "side"))
+    pairs, excluded = signals.reconciled(s, o, ends)
+    return s, o, signals.grouped(pairs, 5, "extremes", "reject_boundary_ties"), excluded
+
+
+@query(COARSE + """SELECT signal_date, quantile, n_assets, round(mean_signal, 9) AS mean_signal, round(mean_forward_return, 9) AS mean_forward_return, status FROM g5""")
+def signal_groups(spark, d):
+    """Extreme groups of every date, with the reason where a date is not grouped."""
+    s, o, labelled, _ = _diagnosed(spark, d)
+    dates = s.select("signal_date").unionByName(o.select("signal_date")).distinct()
+    return rounded(signals.group_table(labelled, dates, 5))
+
+
+@query(COARSE + "SELECT signal_date, n_low, n_high, round(high_minus_low, 9) AS high_minus_low, status FROM h5")
+def signal_spreads(spark, d):
+    s, o, labelled, _ = _diagnosed(spark, d)
+    dates = s.select("signal_date").unionByName(o.select("signal_date")).distinct()
+    return rounded(signals.spread_table(signals.group_table(labelled, dates, 5), 5))
+
+
+@query(COARSE + """SELECT c5.signal_date, count(signal) AS n_signals, count(forward_return) AS n_outcomes, count(*) FILTER (WHERE signal IS NOT NULL AND forward_return IS NOT NULL) AS n_matched,
+ count(*) FILTER (WHERE signal IS NULL OR forward_return IS NULL) AS n_excluded, count(*) FILTER (WHERE signal IS NOT NULL AND forward_return IS NOT NULL AND status <> 'ok') AS n_unassigned
+FROM c5 JOIN d5 USING (signal_date) GROUP BY 1""")
 def signal_coverage(spark, d):
-    """Signals by date, and those with an outcome, after the strict key check."""
-    p = _pairs(spark, d)
-    both = research.matched(p.drop("forward_return"), p.drop("signal"))
-    counts = both.groupBy("signal_date").agg(F.count("*").alias("n_matched"))
-    return p.groupBy("signal_date").agg(F.count("*").alias("n_assets")).join(counts, "signal_date")
+    """Signals, outcomes, matched, excluded and unassigned rows of every date that has either side."""
+    s, o, labelled, excluded = _diagnosed(spark, d)
+    return signals.coverage(s, o, labelled, excluded)
+
+
+@query(COARSE + """, a AS (SELECT count(high_minus_low) AS n, count(*) AS t, avg(high_minus_low) AS m, stddev_samp(high_minus_low) AS sd, avg(CASE WHEN high_minus_low > 0 THEN 1.0::DOUBLE WHEN high_minus_low IS NOT NULL THEN 0 END) AS p FROM h5)
+SELECT metric, round(value, 9) AS value, unit, n AS n_obs, status FROM a, LATERAL (VALUES ('mean_high_minus_low', m, 'fraction/holding_period', CASE WHEN n = 0 THEN 'no_evaluated_dates' ELSE 'ok' END),
+ ('high_minus_low_std', CASE WHEN n > 1 THEN sd END, 'fraction/holding_period', CASE WHEN n > 1 THEN 'ok' ELSE 'insufficient_dates' END), ('positive_high_minus_low_share', p, 'fraction', CASE WHEN n = 0 THEN 'no_evaluated_dates' ELSE 'ok' END),
+ ('evaluated_high_minus_low_dates', n::DOUBLE, 'dates', 'ok'), ('unevaluated_high_minus_low_dates', (t - n)::DOUBLE, 'dates', 'ok')) AS v(metric, value, unit, status)""")
+def signal_summary(spark, d):
+    s, o, labelled, _ = _diagnosed(spark, d)
+    dates = s.select("signal_date").unionByName(o.select("signal_date")).distinct()
+    spreads = signals.spread_table(signals.group_table(labelled, dates, 5), 5)
+    return rounded(signals.summary(spreads, "high_minus_low", "high_minus_low", "fraction/holding_period"))
+
+
+BENCH = DAILY + """, b1 AS (SELECT session, r AS b FROM r1 WHERE asset = (SELECT min(asset) FROM v1)), e2 AS (SELECT d1.*, b, product(1 + b) OVER (ORDER BY session) AS bw FROM d1 JOIN b1 USING (session))
+"""
+
+
+def _with_benchmark(spark, d):
+    r = rets.returns(views.events_panel(spark, d)).where(F.col("value").isNotNull())
+    b = r.groupBy("period_start", "session").agg(F.min_by("value", "asset").alias("b"))
+    return performance.aligned(daily(spark, d), b, "b")
+
+
+@query(BENCH + """, a AS (SELECT count(*) AS n, corr(b, sr) AS c, covar_samp(b, sr) / var_samp(b) AS beta, stddev_samp(sr - b) AS te, avg(sr - b) AS m, max_by(bw, session) AS bw, max_by(equity, session) AS e, max_by(wealth, session) AS w FROM e2)
+SELECT 'equal_weight' AS scenario, metric, round(value, 9) AS value, unit, n AS n_obs, 'ok' AS status FROM a, LATERAL (VALUES ('return_correlation', c, 'correlation'), ('beta', beta, 'ratio'), ('annualized_tracking_error', te * sqrt(252), 'fraction/sqrt(year)'),
+ ('information_ratio', m * sqrt(252) / te, 'ratio'), ('benchmark_compounded_return', bw - 1, 'fraction'), ('compounded_return_difference', 100 * (w - bw), 'percentage_points'), ('relative_wealth_return', e / (100000 * bw) - 1, 'fraction')) AS v(metric, value, unit)""")
+def benchmark_report(spark, d):
+    return rounded(performance.against_benchmark(_with_benchmark(spark, d), CAPITAL, PERIODS))
+
+
+@query(BENCH + """, u AS (SELECT session, period_start, 'portfolio' AS series, sr AS r FROM e2 UNION ALL SELECT session, period_start, 'benchmark', b FROM e2)
+SELECT 'equal_weight' AS scenario, min(period_start) AS session, series, 0.0::DOUBLE AS cumulative_simple_return, 0.0::DOUBLE AS compounded_return, 1.0::DOUBLE AS wealth FROM u GROUP BY series
+UNION ALL SELECT 'equal_weight', session, series, round(sum(r) OVER w, 9), round(product(1 + r) OVER w - 1, 9), round(product(1 + r) OVER w, 9) FROM u WINDOW w AS (PARTITION BY series ORDER BY session)""")
+def cumulative_table(spark, d):
+    """Portfolio and benchmark from a seed of 0, 0 and 1 at the start of the first interval."""
+    both = _with_benchmark(spark, d)
+    return rounded(performance.cumulative(both, "simple_return", "portfolio").unionByName(performance.cumulative(both, "b", "benchmark")))
+
+
+@query(BENCH + """, f AS (SELECT *, 0.0001 + day(session) / 1e6 AS rf FROM e2), a AS (SELECT count(*) AS n, avg(sr - rf) AS m, stddev_samp(sr - rf) AS v FROM f)
+SELECT 'equal_weight' AS scenario, 'sharpe' AS metric, round(m * sqrt(252) / v, 9) AS value, 'ratio' AS unit, n AS n_obs, 'ok' AS status FROM a""")
+def excess_sharpe(spark, d):
+    """Sharpe ratio over the volatility of excess returns, with a dated risk-free series."""
+    both = daily(spark, d).withColumn("rf", F.lit(0.0001) + F.dayofmonth("session") / 1e6)
+    return rounded(performance.summary(both, PERIODS, denominator="excess_returns").where("metric = 'sharpe'"))
+
+
+@query(BENCH + """, k AS (SELECT sr, pnl, row_number() OVER (ORDER BY sr DESC) AS i, row_number() OVER (ORDER BY pnl DESC) AS j, count(*) OVER () AS n FROM d1), l AS (SELECT unnest(['0.95', '0.5']) AS confidence),
+t AS (SELECT confidence, max(n) AS n, max(sr) FILTER (WHERE i = ceil(CAST(confidence AS DECIMAL(12,10)) * n)) AS vr, max(pnl) FILTER (WHERE j = ceil(CAST(confidence AS DECIMAL(12,10)) * n)) AS vp FROM k, l GROUP BY 1)
+SELECT 'equal_weight' AS scenario, confidence, round(vr, 9) AS var_return, round((SELECT avg(sr) FROM k WHERE sr <= vr), 9) AS etl_return, round(vp, 9) AS var_pnl, round((SELECT avg(pnl) FROM k WHERE pnl <= vp), 9) AS etl_pnl,
+ n AS n_obs, (SELECT count(*) FROM k WHERE sr <= vr) AS n_tail, (SELECT count(*) FROM k WHERE pnl <= vp) AS n_tail_pnl, 'ok' AS status FROM t
+UNION ALL SELECT 'nothing', confidence, NULL, NULL, NULL, NULL, 0, 0, 0, 'empty_sample' FROM l""")
+def tail_report(spark, d):
+    """Tails of returns and of money, and the status of a scenario without rows."""
+    scenarios = spark.createDataFrame([("equal_weight",), ("nothing",)], "scenario string")
+    return rounded(performance.tails(daily(spark, d), ("0.95", "0.5"), scenarios))
 
 
 @query("SELECT session, round(sum(abs(0.2::DOUBLE - 0.2::DOUBLE * (1 + r1.r) / (1 + p1.r))) / 2, 9) AS one_way_turnover FROM r1 JOIN p1 USING (session) WHERE r1.r IS NOT NULL GROUP BY session")

@@ -30,7 +30,15 @@ def test_simple_and_log_returns_of_the_tiny_panel(spark):
     logs = [r.value for r in rets.returns(p, "log").orderBy("session").collect()]
     assert np.allclose(logs[1:], [math.log(1.1), math.log(0.9)])
     wealth = [r.cumulative for r in rets.cumulative_returns(rets.returns(p), "wealth").orderBy("session").collect()]
-    assert np.allclose(wealth, [1, 1.1, 0.99])
+    assert wealth[0] is None and np.allclose(wealth[1:], [1.1, 0.99])
+    doubled = rets.returns(panel(spark, A=[100, 200, 400]), "log")
+    got = {m: [r.cumulative for r in rets.cumulative_returns(doubled, m, "log").orderBy("session").collect()] for m in ("sum", "compound", "wealth")}
+    assert all(v[0] is None for v in got.values()) and np.allclose(got["wealth"][1:], [2, 4]) and np.allclose(got["compound"][1:], [1, 3])
+    assert np.allclose(got["sum"][1:], [math.log(2), math.log(4)])
+    broken = rets.returns(p).withColumn("value", F.when(F.col("session") > D(1), F.lit(-1.0)).otherwise(F.col("value")))
+    with pytest.raises(ValueError, match="no_wealth"):
+        rets.checked_returns(broken)
+    assert rets.checked_returns(rets.returns(p)).count() == 3
     with pytest.raises(ValueError):
         rets.returns(p, "weekly")
 
@@ -114,6 +122,35 @@ def test_caps_are_filled_like_the_iterative_rule(spark):
         assert np.allclose([got[a] for a in "ABCDE"], [w[k] for k in range(5)])
 
 
+def test_impossible_weights_are_named_errors(spark):
+    x = spark.createDataFrame([(D(i), a, (-1.0) ** i * v) for i in range(12) for a, v in (("A", 0.01), ("B", 0.02), ("C", 0.04))], "session date, asset string, value double")
+    for cap, policy, n, word in ((0.25, "redistribute", 10, "infeasible"), (0.5, "raise", 10, "exceeds"), (0.5, "redistribute", 50, "insufficient")):
+        with pytest.raises(ValueError, match=word):
+            allocation.inverse_volatility_weights(x, str(D(11)), n, cap, cap_policy=policy)
+    flat = x.withColumn("value", F.when(F.col("asset") == "A", 0.0).otherwise(F.col("value")))
+    with pytest.raises(ValueError, match="positive asset volatility"):
+        allocation.inverse_volatility_weights(flat, str(D(11)), 10, 0.5)
+    got = {r.asset: r for r in allocation.inverse_volatility_weights(x, str(D(11)), 10, 0.4, 252.0).collect()}
+    assert math.isclose(sum(r.weight for r in got.values()), 1) and got["A"].at_cap and math.isclose(got["B"].weight, 0.4) and math.isclose(got["A"].uncapped_weight, 4 / 7)
+    w = spark.createDataFrame([("A", 0.5), ("A", 0.5), ("B", None)], "asset string, weight double")
+    assert {r.problem for r in allocation.weight_problems(w).collect()} == {"repeated_asset", "missing_weight"}
+    with pytest.raises(ValueError, match="infeasible"):
+        allocation.equal_weights(x, 0.2)
+
+
+def test_pairs_without_common_sessions_have_an_empty_sample(spark):
+    r = spark.createDataFrame([(D(0), "A", 0.1), (D(1), "B", 0.2)], "session date, asset string, value double")
+    got = {(x.asset_x, x.asset_y): (x.n_obs, x.correlation, x.status) for x in rets.asset_correlation(r).collect()}
+    assert got[("A", "B")] == (0, None, "empty_sample") and got[("A", "A")] == (1, None, "insufficient_samples") and len(got) == 4
+
+
+def test_a_value_of_zero_is_a_problem_and_no_crash(spark):
+    pnl = spark.createDataFrame([("s", D(0), D(1), -100.0), ("s", D(1), D(2), 5.0)], "scenario string, period_start date, session date, pnl double")
+    d = reports.net_asset_value(pnl, 100.0)
+    assert [r.simple_return for r in d.orderBy("session").collect()] == [-1.0, None]
+    assert [r.problem for r in reports.nav_problems(d).orderBy("session").collect()] == ["nonpositive_end", "nonpositive_start"]
+
+
 def test_asof_takes_the_last_published_rate_and_ages_it(spark):
     days = spark.createDataFrame([(D(i),) for i in range(1, 9)], "date date")
     rates = spark.createDataFrame([(D(0), 0.036, dt.datetime(2024, 1, 2, 13)), (D(2), 0.072, dt.datetime(2024, 1, 4, 13))], "observation_date date, sofr double, available_at timestamp")
@@ -128,6 +165,8 @@ def test_aliases_resolve_once_or_raise(spark):
     assert {(r.ticker, r.date): r.asset for r in got.collect()} == {("X", D(0)): "one", ("X", D(5)): "two", ("Y", D(0)): None}
     with pytest.raises(ValueError):
         intervals.require_resolved(got)
+    twice = intervals.resolve_aliases(o.unionByName(o.limit(1)), a.unionByName(a.limit(1)))
+    assert sorted((r.ticker, r.date, r.asset or "", r.n_matches) for r in twice.collect()) == [("X", D(0), "one", 1)] * 2 + [("X", D(5), "two", 1), ("Y", D(0), "", 0)]
 
 
 def test_calendars_join_by_union_and_intersection(spark):
@@ -149,35 +188,62 @@ def test_joint_fit_matches_least_squares_and_flags_rank(spark):
 
 def book(spark, p, weights, leverage, capital=100.0, fin=ledger.Financing(), costs=ledger.TradeCosts(), **actions):
     t = spark.createDataFrame([("r", D(k), a, w, leverage) for k, ws in weights.items() for a, w in ws.items()], "run_id string, session date, asset string, weight double, gross_leverage double")
-    return ledger.run_ledger(p, t, capital, fin, costs, **actions)
+    return ledger.run_books(ledger.growth_index(p, **actions), t, capital, fin, costs).orderBy("session")
 
 
-def test_ledger_levered_basket_pays_costs_and_interest(spark):
+def test_levered_books_pay_costs_and_interest(spark):
     p = panel(spark, A=[100, 110, 99])
-    rows = book(spark, p, {0: {"A": 1.0}}, 2.0, fin=ledger.Financing(borrowing_rate=0.0365), costs=ledger.TradeCosts(10)).where("kind = 'daily'").orderBy("session").collect()
+    rows = book(spark, p, {0: {"A": 1.0}}, 2.0, fin=ledger.Financing(borrowing_rate=0.0365), costs=ledger.TradeCosts(10)).collect()
     x = 100 / 1.002
     assert math.isclose(rows[0].equity, x, rel_tol=1e-9) and math.isclose(rows[0].debt, x, rel_tol=1e-9)
-    assert math.isclose(rows[1].equity, 2 * x * 1.1 - x * 1.0001, rel_tol=1e-9)
+    assert math.isclose(rows[1].equity, 2 * x * 1.1 - x * 1.0001, rel_tol=1e-9) and math.isclose(rows[0].trade_cost, 100 - x, rel_tol=1e-9)
 
 
-def test_ledger_splits_dividends_shorts_and_stops(spark):
+def test_books_with_splits_dividends_shorts_and_stops(spark):
     p = panel(spark, A=[100, 50, 60], B=[100, 100, 100])
     splits = spark.createDataFrame([("A", D(1), 2.0)], "asset string, effective_session date, ratio double")
     div = spark.createDataFrame([("A", D(1), D(2), 1.0)], "asset string, ex_session date, pay_date date, cash_per_share double")
-    rows = book(spark, p, {0: {"A": 0.5, "B": 0.5}}, 1.0, splits=splits, dividends=div).where("kind = 'daily'").orderBy("session").collect()
-    assert [round(r.equity, 9) for r in rows] == [100, 101, 111] and math.isclose(rows[2].cash, 1, abs_tol=1e-9)
-    short = book(spark, p, {0: {"A": -1.0, "B": 1.0}}, 1.0)
-    assert [round(r.equity, 9) for r in short.where("kind = 'daily'").orderBy("session").collect()] == [100, 150, 140]
-    assert ledger.audit(short, 100.0).where("abs(cash_gap) > 1e-9 or abs(debt_gap) > 1e-9").count() == 0
+    rows = book(spark, p, {0: {"A": 0.5, "B": 0.5}}, 1.0, splits=splits, dividends=div).collect()
+    assert np.allclose([r.equity for r in rows], [100, 50 + 50 * 1.02, 50 + 50 * 1.02 * 1.2]) and all(r.cash == 0 for r in rows)
+    short = book(spark, p, {0: {"A": -1.0, "B": 1.0}}, 1.0)  # nothing net: the capital stays in cash
+    assert np.allclose([r.equity for r in short.collect()], [100, 150, 140]) and short.first().cash == 100
+    assert ledger.audit(short, 100.0).where("abs(equity_gap) > 1e-9 or abs(balance_gap) > 1e-9").count() == 0
     stop = book(spark, panel(spark, A=[100, 60, 60]), {0: {"A": 1.0}}, 2.0, fin=ledger.Financing(maintenance_equity_ratio=0.3))
-    assert stop.where("event = 'maintenance_margin_breach'").count() == 1 and stop.where("kind = 'daily'").count() == 2
-
-
-def test_closed_form_equals_the_kernel(spark):
+    assert stop.count() == 2
+
+
+def test_baskets_are_solved_as_by_bisection(spark):
+    """Signed and unsigned baskets that change, against a fold with a numeric solver over the sessions."""
+    rng = np.random.default_rng(8)
+    prices = {a: np.exp(np.cumsum(rng.normal(0, 0.05, 13))) * 100 for a in "ABC"}
+    baskets = {0: {"A": 0.5, "B": 0.5}, 3: {"B": 1.2, "C": -0.2}, 6: {"A": 0.2, "B": 0.3, "C": 0.5}, 9: {"C": 1.0}}
+    for leverage, rate in ((1.0, 30), (1.8, 120), (0.5, 10)):
+        fin = ledger.Financing(0.02, 0.07)
+        got = book(spark, panel(spark, **prices), baskets, leverage, 1000.0, fin, ledger.TradeCosts(rate)).collect()
+        k, equity, held, rest, want = rate / 1e4, 1000.0, {}, 1000.0, []
+        for day in range(13):
+            if day:
+                rest *= 1 + (fin.borrowing_rate if rest < 0 else fin.cash_rate) / 365
+                held = {a: v * prices[a][day] / prices[a][day - 1] for a, v in held.items()}
+            equity = rest + sum(held.values())
+            if day in baskets:
+                w = {a: baskets[day].get(a, 0.0) * leverage for a in "ABC"}
+                low, high = 0.0, equity
+                for _ in range(200):
+                    x = (low + high) / 2
+                    over = x + k * sum(abs(w[a] * x - held.get(a, 0.0)) for a in "ABC") > equity
+                    low, high = (low, x) if over else (x, high)
+                equity, held = low, {a: v * low for a, v in w.items()}
+                rest = equity - sum(held.values())
+            want.append(equity)
+        assert np.allclose([r.equity for r in got], want)
+
+
+def test_closed_form_equals_the_books(spark):
     p = panel(spark, A=[100, 104, 99, 120], B=[50, 49, 53, 51])
     w = spark.createDataFrame([("A", 0.5), ("B", 0.5)], "asset string, weight double")
     a = [r.equity for r in ledger.buy_and_hold_unlevered(p, w, 1000.0, ledger.TradeCosts(20)).orderBy("session").collect()]
-    b = [r.equity for r in book(spark, p, {0: {"A": 0.5, "B": 0.5}}, 1.0, 1000.0, costs=ledger.TradeCosts(20)).where("kind = 'daily'").orderBy("session").collect()]
+    b = [r.equity for r in book(spark, p, {0: {"A": 0.5, "B": 0.5}}, 1.0, 1000.0, costs=ledger.TradeCosts(20)).collect()]
     assert np.allclose(a, b)
 
 
