@@ -381,14 +381,17 @@ def _split(spark, d):
     w = Window.partitionBy("asset").orderBy("session")
     labels = o.select("session", "asset", F.lead("session", 2).over(w).alias("label_end"), F.lead("available_at", 2).over(w).alias("available_at"), (F.lead("close", 2).over(w) / F.col("close") - 1).alias("target"))
     s = o.select("session", "close_at").distinct()
-    days = [r[0] for r in s.select("session").orderBy("session").collect()]
-    return research.chronological_split(_features(spark, d), labels, s, str(days[13]), str(days[20]), str(days[27]), gap=1)
+    one = Window.partitionBy(F.lit(0))
+    k = s.select("session", F.row_number().over(one.orderBy("session")).alias("k"), F.count("*").over(one).alias("n"))
+    upto = lambda share: F.max(F.when(F.col("k") <= F.ceil(F.col("n") * share), F.col("session"))).cast("string")
+    ends = k.agg(upto(0.5), upto(0.75), upto(1.0)).first()  # three dates: the split grows with the calendar
+    return research.chronological_split(_features(spark, d), labels, s, *ends, gap=1)
 
 
-SPLIT = FEATURES + """, s AS (SELECT session, row_number() OVER (ORDER BY session) AS k FROM (SELECT DISTINCT session FROM v1)),
+SPLIT = FEATURES + """, s AS (SELECT session, row_number() OVER (ORDER BY session) AS k, CAST(ceil(count(*) OVER () * 0.5) AS BIGINT) AS e1, CAST(ceil(count(*) OVER () * 0.75) AS BIGINT) AS e2, count(*) OVER () AS e3 FROM (SELECT DISTINCT session FROM v1)),
 l AS (SELECT session, asset, lead(session, 2) OVER w AS label_end, lead(at0, 2) OVER w AS label_at, lead(close, 2) OVER w / close - 1 AS target FROM o WINDOW w AS (PARTITION BY asset ORDER BY session)),
-j AS (SELECT f.*, k, label_end, label_at, target, CASE WHEN k <= 14 THEN 'train' WHEN k <= 21 THEN 'validation' ELSE 'test' END AS partition, CASE WHEN k <= 14 THEN 14 WHEN k <= 21 THEN 21 ELSE 28 END AS e FROM f JOIN s USING (session) JOIN l USING (session, asset) WHERE k <= 28),
-p AS (SELECT j.*, CASE WHEN status <> 'ready' THEN status WHEN j.k IN (15, 22) THEN 'boundary_gap' WHEN label_end > s.session THEN 'label_horizon_crosses_boundary' WHEN label_at > CAST(s.session AS TIMESTAMP) + INTERVAL 21 HOUR THEN 'label_unavailable_at_boundary' ELSE 'included' END AS reason FROM j JOIN s ON s.k = j.e)
+j AS (SELECT f.*, k, e1, e2, label_end, label_at, target, CASE WHEN k <= e1 THEN 'train' WHEN k <= e2 THEN 'validation' ELSE 'test' END AS partition, CASE WHEN k <= e1 THEN e1 WHEN k <= e2 THEN e2 ELSE e3 END AS e FROM f JOIN s USING (session) JOIN l USING (session, asset)),
+p AS (SELECT j.*, CASE WHEN status <> 'ready' THEN status WHEN j.k IN (j.e1 + 1, j.e2 + 1) THEN 'boundary_gap' WHEN label_end > s.session THEN 'label_horizon_crosses_boundary' WHEN label_at > CAST(s.session AS TIMESTAMP) + INTERVAL 21 HOUR THEN 'label_unavailable_at_boundary' ELSE 'included' END AS reason FROM j JOIN s ON s.k = j.e)
 """
 
 
