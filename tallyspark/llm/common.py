@@ -6,6 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,8 +47,35 @@ def written(df: DataFrame, label: str) -> DataFrame:
     An executor that is lost later costs nothing, as the files do not live on it.
     """
     path = f"{shared_dir(df.sparkSession)}/tally/{label}-{uuid.uuid4().hex}"
+    if _SCRATCH:
+        _SCRATCH[-1].append(path)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_path = path
+    return out
+
+
+#: Paths of tables written inside each open ``scratch``.
+_SCRATCH: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[DataFrame]]:
+    """Delete the tables written inside, when it ends, but for those put into the list it gives.
+
+    What is kept belongs to the scratch around it, if there is one: it goes when that one ends.
+    """
+    kept: list[DataFrame] = []
+    _SCRATCH.append([])
+    try:
+        yield kept
+    finally:
+        paths, needed = _SCRATCH.pop(), {d.written_path for d in kept}
+        if _SCRATCH:
+            _SCRATCH[-1].extend(needed)
+        for path in set(paths) - needed:
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:

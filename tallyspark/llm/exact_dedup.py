@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import BROADCAST_ROWS, SPACES, fresh, semi, table, written
+from tallyspark.llm.common import BROADCAST_ROWS, SPACES, fresh, scratch, semi, table, written
 from tallyspark.llm.repeats import may_repeat, repeat_filter
 
 #: A group of more rows is never shuffled to one task.
@@ -67,7 +67,9 @@ def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     if those are counted few, else spread over all partitions however large a group is; only rows that
     stay, and their repetitions, shuffle with their texts.
     """
-    _, sent, _, groups = _prepared(docs, id_col, text_col)
+    with scratch(docs.sparkSession) as kept:
+        _, sent, _, groups = _prepared(docs, id_col, text_col)
+        kept.append(groups)
     d, h = fresh(docs, "digest", "h")
     marked = docs.withColumn(d, digest(F.col(text_col))).withColumn(h, F.xxhash64(d))
     alone = marked.where(~may_repeat(sent, F.col(h)))

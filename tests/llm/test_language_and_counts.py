@@ -133,3 +133,23 @@ def test_repeated_labels_are_learnt_from_once(spark):
     again = quality.scored(frame, quality.learn(frame.unionByName(frame.where("doc_id = 4")), labels.unionByName(labels.where("doc_id < 9")), usable))
     a, b = ({r.doc_id: r.score for r in x.collect()} for x in (once, again))
     assert max(abs(a[k] - b[k]) for k in a) < 1e-6 and all((a[k] > 0.5) == bool(k % 2) for k in a)
+
+
+def test_tables_that_are_no_longer_needed_are_deleted(spark):
+    import os
+
+    from tallyspark.llm import ngram_join
+    from tallyspark.llm.common import scratch, shared_dir, written
+
+    folder = lambda: set(os.listdir(shared_dir(spark).removeprefix("file:") + "/tally"))
+    written(spark.range(3), "before")
+    before = folder()
+    with scratch(spark):
+        with scratch(spark) as kept:
+            a, b = written(spark.range(4), "a"), written(spark.range(5), "b")
+            kept.append(b)
+        assert folder() - before == {b.written_path.rsplit("/", 1)[-1]} and b.count() == 5
+    assert folder() == before
+    docs = spark.createDataFrame([(k, "one two three four five six seven eight") for k in range(9)], "doc_id long, text string")
+    left = ngram_join.one_of_each(docs)
+    assert left.count() == 1 and [p.split("-")[0] for p in folder() - before] == ["gone"]
