@@ -104,6 +104,39 @@ def impact_costs(orders: DataFrame, liquid: DataFrame, commission_bps: float, ha
     return d.select("asset", "signed_notional", "commission", "half_spread", "impact", (F.col("commission") + F.col("half_spread") + F.col("impact")).alias("total_cost"))
 
 
+def size_entry(weights: DataFrame, liquid: DataFrame, capital: float, leverage: float, commission_bps: float, half_spread_bps: float, coefficient: float) -> DataFrame:
+    """asset, signed_notional, total_cost, gross_notional, post_cost_equity: orders whose gross is ``leverage`` times the equity after their costs.
+
+    Costs of a gross notional g are a g + b g^(3/2) by the square-root law, so its root s solves the cubic
+    L b s^3 + (1 + L a) s^2 = L C, which is convex and rising for s > 0: Newton steps from above come down to it.
+    """
+    d = weights.join(liquid, "asset")
+    rate = (commission_bps + half_spread_bps) / 1e4
+    w, impact = F.col("weight"), coefficient * F.col("daily_volatility") / F.sqrt("dollar_adv")
+    one = d.agg(F.sum(w * rate).alias("a"), F.sum(impact * F.pow(w, F.lit(1.5))).alias("b"))
+    a, b = F.col("a") * leverage + 1, F.col("b") * leverage
+    step = lambda s, _: s - (b * s * s * s + a * s * s - leverage * capital) / (3 * b * s * s + 2 * a * s)
+    root = F.aggregate(F.sequence(F.lit(1), F.lit(60)), F.sqrt(F.lit(float(leverage * capital))), step)
+    gross = one.select((root * root).alias("gross_notional"))  # one row
+    d = d.join(F.broadcast(gross)).withColumn("signed_notional", w * F.col("gross_notional"))
+    q = F.col("signed_notional")
+    d = d.withColumn("total_cost", q * rate + impact * F.pow(q, F.lit(1.5)))
+    left = F.lit(float(capital)) - F.sum("total_cost").over(Window.partitionBy(F.lit(0)))
+    return d.select("asset", "signed_notional", "total_cost", "gross_notional", left.alias("post_cost_equity"))
+
+
+def selected(series: DataFrame, start: str, end: str) -> DataFrame:
+    """The intervals (period_start, session) from ``start`` to ``end``; both must be ends of intervals, and none may cross them."""
+    a, b = F.lit(start).cast("date"), F.lit(end).cast("date")
+    c = series.agg(
+        F.count_if((F.col("period_start") < a) & (F.col("session") > a)).alias("cross_start"), F.count_if((F.col("period_start") < b) & (F.col("session") > b)).alias("cross_end"),
+        F.count_if(F.col("period_start") == a).alias("starts"), F.count_if(F.col("session") == b).alias("ends"),
+    ).first()
+    if c["cross_start"] or c["cross_end"] or not c["starts"] or not c["ends"]:
+        raise ValueError(f"the window from {start} to {end} must begin and end with intervals of every series: {c.asDict()}")
+    return series.where((F.col("period_start") >= a) & (F.col("session") <= b))
+
+
 def combine(strategies: DataFrame, weights: dict[str, float], capital: float) -> DataFrame:
     """session, simple_return, wealth, equity of a fixed-weight mix of (session, strategy, r); every strategy every session."""
     w = strategies.sparkSession.createDataFrame(sorted(weights.items()), "strategy string, weight double")

@@ -82,6 +82,31 @@ def quote_status(sessions: DataFrame, securities: DataFrame, prices: DataFrame,
     return d.select("session", "asset", status.alias("status"), (status == "quoted").alias("tradable"))
 
 
+def session_slice(sessions: DataFrame, start: str, end: str) -> DataFrame:
+    """The sessions from ``start`` to ``end``; raises where the calendar does not reach from one to the other."""
+    a, b = F.lit(start).cast("date"), F.lit(end).cast("date")
+    span = sessions.agg((F.min("session") <= a).alias("low"), (F.max("session") >= b).alias("high")).first()
+    if not (span["low"] and span["high"]):
+        raise ValueError(f"the calendar does not cover {start} to {end}")
+    return sessions.where(F.col("session").between(a, b))
+
+
+def skipped_sessions(intervals: DataFrame, sessions: DataFrame) -> DataFrame:
+    """``intervals`` with ``n_skipped``: sessions of the calendar strictly between an interval's ends; null if an end is no session."""
+    k = sessions.select("session", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("session")).alias("k"))
+    d = intervals.join(F.broadcast(k.select(F.col("session").alias("__s"), F.col("k").alias("__k0"))), F.col("period_start") == F.col("__s"), "left")
+    d = d.drop("__s").join(F.broadcast(k.withColumnRenamed("k", "__k1")), "session", "left")
+    return d.withColumn("n_skipped", (F.col("__k1") - F.col("__k0") - 1).cast("long")).drop("__k0", "__k1")
+
+
+def security_status(status: DataFrame, aliases: DataFrame, known: DataFrame) -> DataFrame:
+    """A table of ``quote_status`` with the ticker and exchange valid on each session, and what was announced by its close."""
+    a = aliases.select(F.col("asset").alias("__asset"), "ticker", "exchange", "valid_from", "valid_to")
+    valid = (F.col("asset") == F.col("__asset")) & (F.col("session") >= F.col("valid_from")) & (F.col("session") <= F.coalesce("valid_to", F.lit("9999-12-31").cast("date")))
+    d = status.join(a, valid, "left").drop("__asset", "valid_from", "valid_to")
+    return d.join(known, ["session", "asset"], "left")
+
+
 def combined_calendar(calendars: list[DataFrame], how: str) -> DataFrame:
     """session, close_at of several calendars: their union or intersection, with the latest close."""
     if how not in ("union", "intersection"):

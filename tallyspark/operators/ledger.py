@@ -202,3 +202,36 @@ def audit(books: DataFrame, capital: float) -> DataFrame:
     d = books.withColumn("due", F.lit(float(capital)) + F.sum(gained).over(run))
     parts = F.col("market_value") + F.col("cash") - F.col("debt")
     return d.select("run_id", "session", (F.col("equity") - F.col("due")).alias("equity_gap"), (F.col("equity") - parts).alias("balance_gap"))
+
+
+def attribution(books: DataFrame) -> DataFrame:
+    """run_id, component, pnl: what the market, financing and trade costs added to each run; they sum to its P&L."""
+    parts = [("market", F.coalesce("market_pnl", F.lit(0.0))), ("financing", F.coalesce("financing_pnl", F.lit(0.0))), ("trade_cost", -F.col("trade_cost"))]
+    rows = F.explode(F.array(*(F.struct(F.lit(n).alias("component"), v.alias("pnl")) for n, v in parts))).alias("p")
+    return books.select("run_id", rows).groupBy("run_id", "p.component").agg(F.sum("p.pnl").alias("pnl"))
+
+
+def exposures(books: DataFrame) -> DataFrame:
+    """run_id, session, gross, net, cash, debt: each over equity, debt negative; null where equity is gone."""
+    over = lambda c: F.when(F.col("equity") > 0, F.col(c) / F.col("equity"))
+    return books.select("run_id", "session", over("gross").alias("gross"), over("market_value").alias("net"), over("cash").alias("cash"), (-over("debt")).alias("debt"))
+
+
+def balance_sheet(books: DataFrame) -> DataFrame:
+    """run_id, session, component, weight: holdings, cash and (negative) debt as parts of equity; they sum to one."""
+    e = exposures(books)
+    rows = F.array(*(F.struct(F.lit(n).alias("component"), F.col(c).alias("weight")) for n, c in (("holdings", "net"), ("account:cash", "cash"), ("account:debt", "debt"))))
+    return e.select("run_id", "session", F.explode(rows).alias("p")).select("run_id", "session", "p.*")
+
+
+def cost_rows(books: DataFrame) -> DataFrame:
+    """run_id, metric, value, unit, n_obs, status: what entry and financing cost, all trade costs, and the leverage at the end."""
+    a = books.groupBy("run_id").agg(
+        F.count("*").alias("n"), F.min_by("trade_cost", "session").alias("entry"), F.sum("trade_cost").alias("trades"),
+        F.sum(F.greatest(-F.coalesce("financing_pnl", F.lit(0.0)), F.lit(0.0))).alias("financing"),
+        F.max_by(F.when(F.col("equity") > 0, F.col("gross") / F.col("equity")), "session").alias("leverage"),
+    )
+    gone = F.when(F.col("leverage").isNull(), "nonpositive_equity").otherwise("ok")
+    rows = [("entry_cost", "entry", "money", F.lit("ok")), ("trade_cost", "trades", "money", F.lit("ok")), ("financing_cost", "financing", "money", F.lit("ok")), ("ending_leverage", "leverage", "ratio", gone)]
+    structs = [F.struct(F.lit(m).alias("metric"), F.col(c).alias("value"), F.lit(u).alias("unit"), F.col("n").alias("n_obs"), s.alias("status")) for m, c, u, s in rows]
+    return a.select("run_id", F.explode(F.array(*structs)).alias("m")).select("run_id", "m.*")

@@ -33,6 +33,21 @@ def reconciled(signals: DataFrame, outcomes: DataFrame, exclusions: DataFrame) -
     return signals.join(outcomes, KEYS), odd.join(exclusions.select(*KEYS, "reason"), KEYS)
 
 
+def outcome_problems(outcomes: DataFrame, same_session: bool = False) -> DataFrame:
+    """signal_date, asset, problem: intervals that end before they start, look back, start at the signal, or differ within a date.
+
+    ``same_session``: whether an outcome may start at the close of its signal's session.
+    """
+    start, end = F.col("period_start"), F.col("period_end")
+    date = outcomes.groupBy("signal_date").agg(F.count_distinct(F.struct("period_start", "period_end")).alias("intervals"))
+    d = outcomes.join(date, "signal_date")
+    problem = F.when(end <= start, "reversed_interval").when(start < F.col("signal_date"), "backward_looking")
+    if not same_session:
+        problem = problem.when(start == F.col("signal_date"), "starts_at_signal")
+    problem = problem.when(F.col("intervals") > 1, "mixed_intervals")
+    return d.select("signal_date", "asset", problem.alias("problem")).where(F.col("problem").isNotNull())
+
+
 def _label(i: Column, n: Column, q: int, grouping: str) -> Column:
     """The group of position i (from 0) of n, lowest signals first; null where a position belongs to none."""
     if grouping == "equal_count":

@@ -654,6 +654,84 @@ def long_short_audit(spark, d):
     return parts.join(gaps.select("run_id", "session", *(F.round(F.abs(c), 4).alias(c) for c in ("equity_gap", "balance_gap"))), ["run_id", "session"])
 
 
+THREE = BOOKS.format(runs="('L1.0', 1.0::DOUBLE, false), ('L1.5', 1.5, false), ('L2.0', 2.0, false)", every=5, rate="0.001::DOUBLE", keep="0") + """, o2 AS (SELECT *, lag(equity) OVER (PARTITION BY run_id ORDER BY n) AS e0, lag(market_value) OVER (PARTITION BY run_id ORDER BY n) AS m0, lag(rest) OVER (PARTITION BY run_id ORDER BY n) AS r0 FROM q2),
+f2 AS (SELECT o2.*, CASE WHEN n % 5 = 1 AND n > 1 THEN (SELECT x.rest * z.scale FROM x1 x JOIN z2 z ON z.run_id = x.run_id AND z.n = x.sn WHERE x.run_id = o2.run_id AND x.n = o2.n) - r0 ELSE rest - r0 END AS fin FROM o2)
+"""
+
+
+def _three_books(spark, d) -> DataFrame:
+    p = views.events_panel(spark, d)
+    runs = _targets(spark, d, "n % 5 = 1", [("L1.0", 1.0), ("L1.5", 1.5), ("L2.0", 2.0)])
+    growth = ledger.growth_index(p.select("session", "asset", "close"), views.panel_splits(p), views.panel_dividends(p))
+    return ledger.run_books(growth, runs, CAPITAL, ledger.Financing(0.01, 0.05), ledger.TradeCosts(5, 2, 3))
+
+
+@query(THREE + """, t2 AS (SELECT run_id, sum(coalesce(fin, 0)) AS f, sum(trade_cost) AS c, arg_max(equity, n) AS e FROM f2 GROUP BY run_id)
+SELECT run_id, component, round(pnl, 4) AS pnl FROM t2, LATERAL (VALUES ('market', e - 100000 - f + c), ('financing', f), ('trade_cost', -c)) AS v(component, pnl)""")
+def run_attribution(spark, d):
+    return rounded(ledger.attribution(_three_books(spark, d)), 4)
+
+
+@query(THREE + "SELECT run_id, session, round(gross / equity, 8) AS gross, round(market_value / equity, 8) AS net, round(greatest(rest, 0) / equity, 8) AS cash, round(least(rest, 0) / equity, 8) AS debt FROM q2")
+def exposures(spark, d):
+    return rounded(ledger.exposures(_three_books(spark, d)), 8)
+
+
+@query(THREE + "SELECT run_id, session, component, round(weight, 8) AS weight FROM q2, LATERAL (VALUES ('holdings', market_value / equity), ('account:cash', greatest(rest, 0) / equity), ('account:debt', least(rest, 0) / equity)) AS v(component, weight)")
+def balance_sheet(spark, d):
+    return rounded(ledger.balance_sheet(_three_books(spark, d)), 8)
+
+
+@query(THREE + """, t2 AS (SELECT run_id, count(*) AS n, sum(greatest(-coalesce(fin, 0), 0)) AS f, sum(trade_cost) AS c, arg_min(trade_cost, n) AS c0, arg_max(gross / equity, n) AS l FROM f2 GROUP BY run_id)
+SELECT run_id, metric, round(value, 4) AS value, unit, n AS n_obs, 'ok' AS status FROM t2, LATERAL (VALUES ('entry_cost', c0, 'money'), ('trade_cost', c, 'money'), ('financing_cost', f, 'money'), ('ending_leverage', l, 'ratio')) AS v(metric, value, unit)""")
+def run_costs(spark, d):
+    return rounded(ledger.cost_rows(_three_books(spark, d)), 4)
+
+
+@query(LIQUID + """, g2 AS (SELECT sum(0.2::DOUBLE * 0.0003) AS a, sum(0.5 * daily_volatility / sqrt(dollar_adv) * pow(0.2::DOUBLE, 1.5)) AS b FROM q),
+n2 AS (SELECT 0 AS k, sqrt(150000.0::DOUBLE) AS s, 1.5 * a + 1 AS a, 1.5 * b AS b FROM g2 UNION ALL SELECT k + 1, s - (b * s * s * s + a * s * s - 150000) / (3 * b * s * s + 2 * a * s), a, b FROM n2 WHERE k < 60),
+h2 AS (SELECT s * s AS g FROM n2 WHERE k = 60), o2 AS (SELECT asset, 0.2 * g AS q, g, 0.2 * g * 0.0003 + 0.5 * daily_volatility * 0.2 * g * sqrt(0.2 * g / dollar_adv) AS c FROM q, h2)
+SELECT asset, round(q, 4) AS signed_notional, round(c, 4) AS total_cost, round(g, 4) AS gross_notional, round(g / 1.5, 4) AS post_cost_equity FROM o2""")
+def entry_orders(spark, d):
+    """Orders at leverage 1.5 after square-root costs: gross is leverage times what is left, which the SQL states and the operator sums."""
+    p, r, last = _decision(spark, d)
+    w = p.select("asset").distinct().withColumn("weight", F.lit(0.2))
+    return rounded(allocation.size_entry(w, allocation.liquidity(r, p, last, 20), CAPITAL, 1.5, 1.0, 2.0, 0.5), 4)
+
+
+@query(", s AS (SELECT session, row_number() OVER (ORDER BY session) AS k FROM (SELECT DISTINCT session FROM v3)), g AS (SELECT session, asset, lag(session) OVER (PARTITION BY asset ORDER BY session) AS period_start FROM v3 WHERE NOT (asset LIKE '2%' AND month(session) % 4 = 0)) SELECT g.session, asset, period_start, CAST(s.k - t.k - 1 AS BIGINT) AS n_skipped FROM g JOIN s ON s.session = g.session LEFT JOIN s t ON t.session = period_start")
+def skipped_sessions(spark, d):
+    """Months that an interval of a priority jumps over."""
+    p = views.orders_panel(spark, d)
+    some = p.where("not (asset like '2%' and month(session) % 4 = 0)")
+    iv = some.select("session", "asset", F.lag("session").over(Window.partitionBy("asset").orderBy("session")).alias("period_start"))
+    return intervals.skipped_sessions(iv, p.select("session").distinct())
+
+
+@query(""", o AS (SELECT session AS signal_date, asset, CASE WHEN n = 3 THEN session ELSE session + 1 END AS ps, CASE WHEN n = 5 THEN session - 1 WHEN n = 7 AND asset = 'click' THEN session + 3 ELSE session + 2 END AS pe FROM n1),
+p AS (SELECT *, CASE WHEN n = 9 THEN signal_date - 2 ELSE ps END AS s FROM o JOIN (SELECT session AS d, asset AS a, n FROM n1) ON d = signal_date AND a = asset), c AS (SELECT signal_date, count(DISTINCT (s, pe)) AS k FROM p GROUP BY 1)
+SELECT signal_date, asset, CASE WHEN pe <= s THEN 'reversed_interval' WHEN s < signal_date THEN 'backward_looking' WHEN s = signal_date THEN 'starts_at_signal' ELSE 'mixed_intervals' END AS problem FROM p JOIN c USING (signal_date) WHERE pe <= s OR s <= signal_date OR k > 1""")
+def outcome_problems(spark, d):
+    """Every rule of an outcome's interval with its offenders."""
+    n = F.col("n")
+    o = views.numbered(views.events_panel(spark, d))
+    start = F.when(n == 9, F.date_sub("session", 2)).when(n == 3, F.col("session")).otherwise(F.date_add("session", 1))
+    end = F.when(n == 5, F.date_sub("session", 1)).when((n == 7) & (F.col("asset") == "click"), F.date_add("session", 3)).otherwise(F.date_add("session", 2))
+    return signals.outcome_problems(o.select(F.col("session").alias("signal_date"), "asset", start.alias("period_start"), end.alias("period_end")))
+
+
+@query(SECURITIES + """, k AS (SELECT * FROM (VALUES ('a1', 'error', 1, 6), ('a2', 'error', 6, 10), ('a3', 'error', 6, 12), ('b1', 'view', 10, 22), ('b2', 'purchase', 20, 999), ('b3', 'signup', 1, 11)) v(id, asset, known, due)),
+g AS (SELECT s1.session, s1.n, a.asset FROM s1 CROSS JOIN (SELECT DISTINCT asset FROM v1) a), h AS (SELECT session, asset, string_agg(id, ',' ORDER BY id) AS announced_actions FROM s1 JOIN k ON n >= known AND n < due GROUP BY 1, 2),
+t AS (SELECT *, CASE WHEN (asset = 'view' AND n >= 24) OR (asset = 'signup' AND n >= 12) THEN 'terminated' WHEN (asset = 'view' AND n > 20) OR (asset = 'purchase' AND n > 28) OR (asset = 'signup' AND n > 9) THEN 'unquoted_after_last_session' WHEN asset = 'click' AND n BETWEEN 10 AND 12 THEN 'suspended' ELSE 'quoted' END AS status FROM g)
+SELECT t.session, t.asset, status, status = 'quoted' AS tradable, CASE WHEN t.asset = 'click' AND n > 15 THEN NULL ELSE 'T-' || t.asset END AS ticker, CASE WHEN t.asset = 'click' AND n > 15 THEN NULL ELSE 'X' END AS exchange, announced_actions FROM t LEFT JOIN h USING (session, asset)""")
+def security_status(spark, d):
+    """Status of every session and security, the alias valid on it, and the actions known by its close."""
+    p, status, _, actions, _, _, sessions = _securities(spark, d)
+    first = p.groupBy("asset").agg(F.min("session").alias("valid_from"), F.max(F.when((F.col("asset") == "click") & (F.col("n") == 15), F.col("session"))).alias("valid_to"))
+    aliases = first.select("asset", F.concat(F.lit("T-"), "asset").alias("ticker"), F.lit("X").alias("exchange"), "valid_from", "valid_to")
+    return intervals.security_status(status, aliases, securities.announced(sessions, actions))
+
+
 @query("SELECT asset, round(corr(lp, lv), 9) AS correlation, count(*) AS n_obs FROM (SELECT asset, ln(close) AS lp, ln(dollar_volume) AS lv FROM v1) GROUP BY asset")
 def price_volume_correlation(spark, d):
     return rounded(views.events_panel(spark, d).groupBy("asset").agg(correlation(F.ln("close"), F.ln("dollar_volume")).alias("correlation"), F.count("*").alias("n_obs")))
