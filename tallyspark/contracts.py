@@ -54,13 +54,27 @@ class TableContract:
         return df.select(*self.columns)
 
 
-PRICES = TableContract("prices", {"session": "date", "asset": "string", "close": "double"}, ("session", "asset"), nonempty=True, positive=frozenset({"close"}))
+PRICES = TableContract(
+    "prices", {"session": "date", "asset": "string", "close": "double"}, ("session", "asset"), nonempty=True,
+    positive=frozenset({"close"}),
+)
 SESSIONS = TableContract("sessions", {"session": "date", "close_at": "timestamp"}, ("session",), nonempty=True)
-SPLITS = TableContract("splits", {"action_id": "string", "asset": "string", "effective_session": "date", "ratio": "double"}, ("action_id",), positive=frozenset({"ratio"}))
-DIVIDENDS = TableContract("dividends", {"action_id": "string", "asset": "string", "ex_session": "date", "pay_date": "date", "cash_per_share": "double"}, ("action_id",))
+SPLITS = TableContract(
+    "splits", {"action_id": "string", "asset": "string", "effective_session": "date", "ratio": "double"}, ("action_id",),
+    positive=frozenset({"ratio"}),
+)
+DIVIDENDS = TableContract(
+    "dividends",
+    {"action_id": "string", "asset": "string", "ex_session": "date", "pay_date": "date", "cash_per_share": "double"},
+    ("action_id",),
+)
 INTERVALS = TableContract("returns", {"period_start": "date", "session": "date", "simple_return": "double"}, ("session",), nonempty=True)
 SIGNALS = TableContract("signals", {"signal_date": "date", "asset": "string", "signal": "double"}, ("signal_date", "asset"), nonempty=True)
-OUTCOMES = TableContract("outcomes", {"signal_date": "date", "asset": "string", "period_start": "date", "period_end": "date", "forward_return": "double"}, ("signal_date", "asset"))
+OUTCOMES = TableContract(
+    "outcomes",
+    {"signal_date": "date", "asset": "string", "period_start": "date", "period_end": "date", "forward_return": "double"},
+    ("signal_date", "asset"),
+)
 
 
 def key_differences(left: DataFrame, right: DataFrame, keys: tuple[str, ...], labels=("missing", "unexpected")) -> DataFrame:

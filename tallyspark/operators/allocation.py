@@ -53,7 +53,9 @@ def inverse_volatility_weights(
     )
     s = v.agg(
         F.count("*").alias("assets"), F.min("n_obs").alias("least"),
-        F.count_if(F.coalesce(F.col("volatility"), F.lit(0.0)) <= 0).alias("flat"), F.sum(F.try_divide(F.lit(1.0), "volatility")).alias("total"),
+        F.count_if(
+            F.coalesce(F.col("volatility"), F.lit(0.0)) <= 0
+        ).alias("flat"), F.sum(F.try_divide(F.lit(1.0), "volatility")).alias("total"),
         F.max(F.try_divide(F.lit(1.0), "volatility")).alias("largest"),
     ).first()
     if not s["assets"] or s["least"] < sessions:
@@ -86,13 +88,22 @@ def risk_contributions(rets: DataFrame, weights: DataFrame, decision: str, sessi
     m = cov.join(w, "asset_y").groupBy(F.col("asset_x").alias("asset")).agg(F.sum(F.col("cov") * F.col("w")).alias("marginal"))
     m = m.join(F.broadcast(weights.select("asset", "weight")), "asset").withColumn("share", F.col("weight") * F.col("marginal"))
     total = F.sum("share").over(Window.partitionBy(F.lit(0)))
-    return m.select("asset", "weight", (F.try_divide(F.col("share"), F.sqrt(total)) * float(periods) ** 0.5).alias("volatility_contribution"), F.try_divide("share", total).alias("fraction"))
+    return m.select(
+        "asset", "weight",
+        (F.try_divide(F.col("share"), F.sqrt(total)) * float(periods) ** 0.5).alias("volatility_contribution"),
+        F.try_divide("share", total).alias("fraction"),
+    )
 
 
 def liquidity(rets: DataFrame, volume: DataFrame, decision: str, sessions: int) -> DataFrame:
     """asset, daily_volatility, dollar_adv, n_obs before the decision."""
-    d = lookback(rets.where(F.col("value").isNotNull()), decision, sessions).join(volume.select("session", "asset", "dollar_volume"), ["session", "asset"])
-    return d.groupBy("asset").agg(F.stddev_samp("value").alias("daily_volatility"), F.avg("dollar_volume").alias("dollar_adv"), F.count("*").alias("n_obs"))
+    d = lookback(rets.where(F.col("value").isNotNull()), decision, sessions).join(
+        volume.select("session", "asset", "dollar_volume"), ["session", "asset"],
+    )
+    return d.groupBy("asset").agg(
+        F.stddev_samp("value").alias("daily_volatility"), F.avg("dollar_volume").alias("dollar_adv"),
+        F.count("*").alias("n_obs"),
+    )
 
 
 def impact_costs(orders: DataFrame, liquid: DataFrame, commission_bps: float, half_spread_bps: float, coefficient: float) -> DataFrame:
@@ -101,10 +112,27 @@ def impact_costs(orders: DataFrame, liquid: DataFrame, commission_bps: float, ha
     d = orders.join(liquid, "asset")
     d = d.withColumn("commission", q * (commission_bps / 1e4)).withColumn("half_spread", q * (half_spread_bps / 1e4))
     d = d.withColumn("impact", q * coefficient * F.col("daily_volatility") * F.sqrt(q / F.col("dollar_adv")))
-    return d.select("asset", "signed_notional", "commission", "half_spread", "impact", (F.col("commission") + F.col("half_spread") + F.col("impact")).alias("total_cost"))
+    return d.select(
+        "asset", "signed_notional", "commission", "half_spread", "impact",
+        (F.col("commission") + F.col("half_spread") + F.col("impact")).alias("total_cost"),
+    )
+
+
+def restoring_turnover(rets: DataFrame, weights: DataFrame) -> DataFrame:
+    """session, one_way_turnover: half of what must be traded to bring drifted holdings back to (asset, weight).
+
+    ``rets`` has (session, asset, value) of one period; the basket starts each one at its weights.
+    """
+    d = rets.join(F.broadcast(weights), "asset").withColumn("grown", F.col("weight") * (1 + F.col("value")))
+    total = F.sum("grown").over(Window.partitionBy("session")) / F.sum("weight").over(Window.partitionBy("session"))
+    moved = F.abs(F.col("weight") - F.col("grown") / total)
+    return d.select("session", moved.alias("moved")).groupBy("session").agg((F.sum("moved") / 2).alias("one_way_turnover"))
 
 
-def size_entry(weights: DataFrame, liquid: DataFrame, capital: float, leverage: float, commission_bps: float, half_spread_bps: float, coefficient: float) -> DataFrame:
+def size_entry(
+    weights: DataFrame, liquid: DataFrame, capital: float, leverage: float, commission_bps: float, half_spread_bps: float,
+    coefficient: float,
+) -> DataFrame:
     """asset, signed_notional, total_cost, gross_notional, post_cost_equity: orders whose gross is ``leverage`` times the equity after their costs.
 
     Costs of a gross notional g are a g + b g^(3/2) by the square-root law, so its root s solves the cubic
@@ -129,7 +157,9 @@ def selected(series: DataFrame, start: str, end: str) -> DataFrame:
     """The intervals (period_start, session) from ``start`` to ``end``; both must be ends of intervals, and none may cross them."""
     a, b = F.lit(start).cast("date"), F.lit(end).cast("date")
     c = series.agg(
-        F.count_if((F.col("period_start") < a) & (F.col("session") > a)).alias("cross_start"), F.count_if((F.col("period_start") < b) & (F.col("session") > b)).alias("cross_end"),
+        F.count_if(
+            (F.col("period_start") < a) & (F.col("session") > a)
+        ).alias("cross_start"), F.count_if((F.col("period_start") < b) & (F.col("session") > b)).alias("cross_end"),
         F.count_if(F.col("period_start") == a).alias("starts"), F.count_if(F.col("session") == b).alias("ends"),
     ).first()
     if c["cross_start"] or c["cross_end"] or not c["starts"] or not c["ends"]:
@@ -140,8 +170,13 @@ def selected(series: DataFrame, start: str, end: str) -> DataFrame:
 def combine(strategies: DataFrame, weights: dict[str, float], capital: float) -> DataFrame:
     """session, simple_return, wealth, equity of a fixed-weight mix of (session, strategy, r); every strategy every session."""
     w = strategies.sparkSession.createDataFrame(sorted(weights.items()), "strategy string, weight double")
-    d = strategies.join(F.broadcast(w), "strategy").groupBy("session").agg(F.sum(F.col("weight") * F.col("r")).alias("simple_return"), F.lit(1).alias("run"))
-    d = d.withColumn("wealth", F.product(1 + F.col("simple_return")).over(Window.partitionBy("run").orderBy("session").rowsBetween(Window.unboundedPreceding, 0)))
+    d = strategies.join(F.broadcast(w), "strategy").groupBy("session").agg(
+        F.sum(F.col("weight") * F.col("r")).alias("simple_return"), F.lit(1).alias("run"),
+    )
+    d = d.withColumn(
+        "wealth",
+        F.product(1 + F.col("simple_return")).over(Window.partitionBy("run").orderBy("session").rowsBetween(Window.unboundedPreceding, 0)),
+    )
     return d.select("session", "simple_return", "wealth", (F.col("wealth") * capital).alias("equity"))
 
 
@@ -152,12 +187,20 @@ def information_ratio_weights(pair: DataFrame, periods: float, low: float = 0.0,
     bounds; the best ratio wins, then the smallest weight.
     """
     x = pair.select((F.col("a") - F.col("m")).alias("x"), (F.col("b") - F.col("m")).alias("y"))
-    s = x.agg(F.avg("x").alias("mx"), F.avg("y").alias("my"), F.var_samp("x").alias("vx"), F.var_samp("y").alias("vy"), F.covar_samp("x", "y").alias("c"))
+    s = x.agg(
+        F.avg("x").alias("mx"), F.avg("y").alias("my"), F.var_samp("x").alias("vx"), F.var_samp("y").alias("vy"),
+        F.covar_samp("x", "y").alias("c"),
+    )
     clip = lambda w: F.when(w.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), w)))
     p, q = F.col("mx") * F.col("vy") - F.col("my") * F.col("c"), F.col("my") * F.col("vx") - F.col("mx") * F.col("c")
     least = F.try_divide(F.col("vy") - F.col("c"), F.col("vx") + F.col("vy") - 2 * F.col("c"))
-    cands = [("lower", F.lit(low)), ("upper", F.lit(high)), ("stationary", clip(F.try_divide(p, p + q))), ("least_tracking_error", clip(least))]
-    d = s.select("*", F.explode(F.array(*(F.struct(F.lit(n).alias("candidate"), w.alias("weight")) for n, w in cands))).alias("k")).select("*", "k.*").where(F.col("weight").isNotNull())
+    cands = [
+        ("lower", F.lit(low)), ("upper", F.lit(high)), ("stationary", clip(F.try_divide(p, p + q))),
+        ("least_tracking_error", clip(least)),
+    ]
+    d = s.select(
+        "*", F.explode(F.array(*(F.struct(F.lit(n).alias("candidate"), w.alias("weight")) for n, w in cands))).alias("k"),
+    ).select("*", "k.*").where(F.col("weight").isNotNull())
     w = F.col("weight")
     var = w * w * F.col("vx") + (1 - w) * (1 - w) * F.col("vy") + 2 * w * (1 - w) * F.col("c")
     d = d.withColumn("information_ratio", F.try_divide((w * F.col("mx") + (1 - w) * F.col("my")) * float(periods) ** 0.5, F.sqrt(var)))

@@ -14,9 +14,17 @@ from tallyspark.functions.stats import correlation, slope
 
 def standalone(series: DataFrame, factors: tuple[str, ...], portfolio: str = "r") -> DataFrame:
     """factor, n_obs, beta, alpha, correlation, r_squared: one fit with intercept for each factor."""
-    long = series.select(portfolio, F.explode(F.array(*(F.struct(F.lit(f).alias("factor"), F.col(f).alias("x")) for f in factors))).alias("f")).select(portfolio, "f.*")
-    a = long.groupBy("factor").agg(F.count("*").alias("n_obs"), slope("x", portfolio).alias("beta"), F.avg("x").alias("mx"), F.avg(portfolio).alias("my"), correlation("x", portfolio).alias("correlation"))
-    return a.select("factor", "n_obs", "beta", (F.col("my") - F.col("beta") * F.col("mx")).alias("alpha"), "correlation", (F.col("correlation") * F.col("correlation")).alias("r_squared"))
+    long = series.select(
+        portfolio, F.explode(F.array(*(F.struct(F.lit(f).alias("factor"), F.col(f).alias("x")) for f in factors))).alias("f"),
+    ).select(portfolio, "f.*")
+    a = long.groupBy("factor").agg(
+        F.count("*").alias("n_obs"), slope("x", portfolio).alias("beta"), F.avg("x").alias("mx"), F.avg(portfolio).alias("my"),
+        correlation("x", portfolio).alias("correlation"),
+    )
+    return a.select(
+        "factor", "n_obs", "beta", (F.col("my") - F.col("beta") * F.col("mx")).alias("alpha"), "correlation",
+        (F.col("correlation") * F.col("correlation")).alias("r_squared"),
+    )
 
 
 def joint_ols(series: DataFrame, factors: tuple[str, ...], portfolio: str = "r") -> DataFrame:
@@ -27,7 +35,10 @@ def joint_ols(series: DataFrame, factors: tuple[str, ...], portfolio: str = "r")
     equations would square. Rank by pivots relative to the largest, after centring and scaling columns.
     """
     k, columns = len(factors), [*factors, portfolio]
-    stats = series.agg(F.count("*").alias("n"), *(F.avg(c).alias(f"m_{c}") for c in columns), *(F.stddev_samp(c).alias(f"s_{c}") for c in factors)).first().asDict()
+    stats = series.agg(
+        F.count("*").alias("n"), *(F.avg(c).alias(f"m_{c}") for c in columns),
+        *(F.stddev_samp(c).alias(f"s_{c}") for c in factors),
+    ).first().asDict()
     n, mean = stats["n"], np.array([stats[f"m_{c}"] or 0.0 for c in columns])
     scale = np.array([(stats[f"s_{c}"] or 0.0) * max(n - 1, 1) ** 0.5 for c in factors] + [1.0])
     session, schema = series.sparkSession, ", ".join(f"c{i} double" for i in range(k + 1))
@@ -51,7 +62,10 @@ def joint_ols(series: DataFrame, factors: tuple[str, ...], portfolio: str = "r")
         else:
             b = np.linalg.solve(r[:k, :k], r[:k, k]) / scale[:k]
             coefficient = [float(mean[k] - mean[:k] @ b), *map(float, b)]
-    return session.createDataFrame([(t, c, status) for t, c in zip(["intercept", *factors], coefficient, strict=True)], "term string, coefficient double, status string")
+    return session.createDataFrame(
+        [(t, c, status) for t, c in zip(["intercept", *factors], coefficient, strict=True)],
+        "term string, coefficient double, status string",
+    )
 
 
 def fitted(series: DataFrame, factors: tuple[str, ...], coefficients: DataFrame, portfolio: str = "r") -> DataFrame:
@@ -76,10 +90,15 @@ def fit_summary(fit: DataFrame, factors: tuple[str, ...], periods: float, portfo
     none = F.when(F.col("known") < n, "no_fit")
     idio = F.when(F.col("df") > 0, F.sqrt(F.col("sse") * float(periods) / F.nullif("df", F.lit(0))))
     rows = [
-        ("n_obs", n, "intervals", F.lit("ok")), ("n_factors", F.lit(k), "count", F.lit("ok")), ("residual_df", F.col("df"), "count", F.lit("ok")),
+        ("n_obs", n, "intervals", F.lit("ok")), ("n_factors", F.lit(k), "count", F.lit("ok")), (
+            "residual_df", F.col("df"), "count", F.lit("ok"),
+        ),
         ("r_squared", 1 - F.try_divide("sse", "sst"), "fraction", none.when(F.col("sst") == 0, "constant_dependent").otherwise("ok")),
         ("sse", F.col("sse"), "fraction^2", none.otherwise("ok")),
-        ("annualized_idiosyncratic_volatility", idio, "fraction/sqrt(year)", none.when(F.col("df") <= 0, "insufficient_residual_degrees_of_freedom").otherwise("ok")),
+        (
+            "annualized_idiosyncratic_volatility", idio, "fraction/sqrt(year)",
+            none.when(F.col("df") <= 0, "insufficient_residual_degrees_of_freedom").otherwise("ok"),
+        ),
     ]
     structs = [F.struct(F.lit(m).alias("metric"), v.cast("double").alias("value"), F.lit(u).alias("unit"), n.alias("n_obs"), s.alias("status")) for m, v, u, s in rows]
     return a.select(F.explode(F.array(*structs)).alias("m")).select("m.*")

@@ -16,7 +16,9 @@ def asof(left: DataFrame, right: DataFrame, at: str, known: str, value_columns:
     """
     keys = list(by)
     l = left.withColumn("__left", F.struct(*left.columns)).select(*keys, F.col(at).alias("__t"), F.lit(1).alias("__o"), "__left", F.lit(None).alias("__right"))  # noqa: E741
-    r = right.withColumn("__right", F.struct(*value_columns)).select(*keys, F.col(known).alias("__t"), F.lit(0).alias("__o"), F.lit(None).alias("__left"), "__right")
+    r = right.withColumn("__right", F.struct(*value_columns)).select(
+        *keys, F.col(known).alias("__t"), F.lit(0).alias("__o"), F.lit(None).alias("__left"), "__right",
+    )
     w = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("__t", "__o").rowsBetween(Window.unboundedPreceding, 0)
     u = l.unionByName(r).withColumn("__last", F.last("__right", ignorenulls=True).over(w)).where("__o = 1")
     return u.select("__left.*", *(F.col(f"__last.{c}").alias(c) for c in value_columns))
@@ -33,7 +35,10 @@ def rate_plan(days: DataFrame, rates: DataFrame, spread_bps: float, max_age_days
     d = d.withColumn("rate_age_days", F.datediff("date", "observation_date").cast("long"))
     status = F.when(F.col("sofr").isNull(), "no_rate").when(F.col("rate_age_days") > max_age_days, "stale").otherwise("ok")
     d = d.withColumn("status", status)
-    return d.select("date", "cutoff_at", "observation_date", "rate_age_days", F.when(status == "ok", F.col("sofr")).alias("sofr"), F.when(status == "ok", F.col("sofr") + spread_bps / 10_000).alias("borrowing_rate"), "status")
+    return d.select(
+        "date", "cutoff_at", "observation_date", "rate_age_days", F.when(status == "ok", F.col("sofr")).alias("sofr"),
+        F.when(status == "ok", F.col("sofr") + spread_bps / 10_000).alias("borrowing_rate"), "status",
+    )
 
 
 def resolve_aliases(observations: DataFrame, aliases: DataFrame, ticker: str = "ticker", day: str = "date") -> DataFrame:
@@ -44,10 +49,15 @@ def resolve_aliases(observations: DataFrame, aliases: DataFrame, ticker: str = "
     are counted once for each distinct (ticker, day) and joined back, so repeated observations stay as many rows.
     """
     a = aliases.select(F.col(ticker).alias("__ticker"), "asset", "valid_from", "valid_to")
-    on = (F.col(ticker) == F.col("__ticker")) & (F.col(day) >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col(day) <= F.col("valid_to")))
+    on = (F.col(ticker) == F.col("__ticker")) & (F.col(day) >= F.col("valid_from")) & (
+        F.col("valid_to").isNull() | (F.col(day) <= F.col("valid_to"))
+    )
     days = observations.select(ticker, day).distinct()
     found = days.join(a, on, "left").groupBy(ticker, day).agg(F.count_distinct("asset").alias("n_matches"), F.min("asset").alias("asset"))
-    found = found.select(F.col(ticker).alias("__t"), F.col(day).alias("__d"), F.when(F.col("n_matches") == 1, F.col("asset")).alias("asset"), "n_matches")
+    found = found.select(
+        F.col(ticker).alias("__t"), F.col(day).alias("__d"), F.when(F.col("n_matches") == 1, F.col("asset")).alias("asset"),
+        "n_matches",
+    )
     same = F.col(ticker).eqNullSafe(F.col("__t")) & F.col(day).eqNullSafe(F.col("__d"))
     return observations.join(found, same).drop("__t", "__d")
 
@@ -69,7 +79,9 @@ def quote_status(sessions: DataFrame, securities: DataFrame, prices: DataFrame,
     terminated, not_listed, unquoted_after_last_session, suspended, quoted; ``missing`` if a quote was due."""
     grid = sessions.select("session").join(F.broadcast(securities))
     s = suspensions.select(F.col("asset").alias("s_asset"), F.col("first_session").alias("s_from"), F.col("last_session").alias("s_to"))
-    halted = grid.join(s, (F.col("asset") == F.col("s_asset")) & F.col("session").between(F.col("s_from"), F.col("s_to")), "left_semi").select("session", "asset", F.lit(True).alias("halted"))
+    halted = grid.join(
+        s, (F.col("asset") == F.col("s_asset")) & F.col("session").between(F.col("s_from"), F.col("s_to")), "left_semi",
+    ).select("session", "asset", F.lit(True).alias("halted"))
     d = grid.join(halted, ["session", "asset"], "left").join(prices.select("session", "asset", "close"), ["session", "asset"], "left")
     status = (
         F.when(F.col("session") >= F.col("terminated_date"), "terminated")
@@ -94,7 +106,10 @@ def session_slice(sessions: DataFrame, start: str, end: str) -> DataFrame:
 def skipped_sessions(intervals: DataFrame, sessions: DataFrame) -> DataFrame:
     """``intervals`` with ``n_skipped``: sessions of the calendar strictly between an interval's ends; null if an end is no session."""
     k = sessions.select("session", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("session")).alias("k"))
-    d = intervals.join(F.broadcast(k.select(F.col("session").alias("__s"), F.col("k").alias("__k0"))), F.col("period_start") == F.col("__s"), "left")
+    d = intervals.join(
+        F.broadcast(k.select(F.col("session").alias("__s"), F.col("k").alias("__k0"))), F.col("period_start") == F.col("__s"),
+        "left",
+    )
     d = d.drop("__s").join(F.broadcast(k.withColumnRenamed("k", "__k1")), "session", "left")
     return d.withColumn("n_skipped", (F.col("__k1") - F.col("__k0") - 1).cast("long")).drop("__k0", "__k1")
 
@@ -102,7 +117,9 @@ def skipped_sessions(intervals: DataFrame, sessions: DataFrame) -> DataFrame:
 def security_status(status: DataFrame, aliases: DataFrame, known: DataFrame) -> DataFrame:
     """A table of ``quote_status`` with the ticker and exchange valid on each session, and what was announced by its close."""
     a = aliases.select(F.col("asset").alias("__asset"), "ticker", "exchange", "valid_from", "valid_to")
-    valid = (F.col("asset") == F.col("__asset")) & (F.col("session") >= F.col("valid_from")) & (F.col("session") <= F.coalesce("valid_to", F.lit("9999-12-31").cast("date")))
+    valid = (F.col("asset") == F.col("__asset")) & (F.col("session") >= F.col("valid_from")) & (
+        F.col("session") <= F.coalesce("valid_to", F.lit("9999-12-31").cast("date"))
+    )
     d = status.join(a, valid, "left").drop("__asset", "valid_from", "valid_to")
     return d.join(known, ["session", "asset"], "left")
 

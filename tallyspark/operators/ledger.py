@@ -53,7 +53,9 @@ class TradeCosts:
         return (self.commission_bps + self.half_spread_bps + self.impact_bps) / 10_000
 
 
-def buy_and_hold_unlevered(panel: DataFrame, weights: DataFrame, capital: float, costs: TradeCosts, dividends: DataFrame | None = None) -> DataFrame:
+def buy_and_hold_unlevered(
+    panel: DataFrame, weights: DataFrame, capital: float, costs: TradeCosts, dividends: DataFrame | None = None,
+) -> DataFrame:
     """session, equity, cash, market_value, pnl of a basket bought at the first close without debt (closed form).
 
     Gross notional is ``capital / (1 + sum w k)``, so costs are paid out of the capital. Dividends accrue at the ex
@@ -67,14 +69,20 @@ def buy_and_hold_unlevered(panel: DataFrame, weights: DataFrame, capital: float,
     p = p.withColumn("value", F.col("quantity") * F.col("close"))
     if dividends is not None:
         d = dividends.groupBy("asset", F.col("ex_session").alias("session")).agg(F.sum("cash_per_share").alias("cash"))
-        p = p.join(d, ["asset", "session"], "left").withColumn("income", F.when(F.col("session") > F.col("entry"), F.coalesce("cash", F.lit(0.0)) * F.col("quantity")).otherwise(0.0))
+        p = p.join(d, ["asset", "session"], "left").withColumn(
+            "income",
+            F.when(F.col("session") > F.col("entry"), F.coalesce("cash", F.lit(0.0)) * F.col("quantity")).otherwise(0.0),
+        )
     else:
         p = p.withColumn("income", F.lit(0.0))
     day = p.groupBy("session").agg(F.sum("value").alias("market_value"), F.sum("income").alias("income"), F.lit(1).alias("run"))
     run = Window.partitionBy("run").orderBy("session")
     day = day.withColumn("cash", F.sum("income").over(run.rowsBetween(Window.unboundedPreceding, 0)))
     day = day.withColumn("equity", F.col("market_value") + F.col("cash"))
-    return day.select("session", "equity", "cash", "market_value", (F.col("equity") - F.coalesce(F.lag("equity").over(run), F.lit(capital))).alias("pnl"))
+    return day.select(
+        "session", "equity", "cash", "market_value",
+        (F.col("equity") - F.coalesce(F.lag("equity").over(run), F.lit(capital))).alias("pnl"),
+    )
 
 
 def growth_index(panel: DataFrame, splits: DataFrame | None = None, dividends: DataFrame | None = None) -> DataFrame:
@@ -171,7 +179,9 @@ def run_books(growth: DataFrame, targets: DataFrame, capital: float, financing:
     entry = 1 / (1 + rate * F.col("gross_p"))  # the first basket is bought with money alone
     steps = steps.withColumn("cost", F.coalesce("cost", 1 - entry)).withColumn("ratio", F.coalesce("ratio", entry))
     order = Window.partitionBy("run_id").orderBy("start").rowsBetween(Window.unboundedPreceding, 0)
-    steps = steps.withColumn("scale", capital * F.product("ratio").over(order)).withColumn("paid", F.col("scale") / F.col("ratio") * F.col("cost"))
+    steps = steps.withColumn("scale", capital * F.product("ratio").over(order)).withColumn(
+        "paid", F.col("scale") / F.col("ratio") * F.col("cost"),
+    )
 
     x = F.col("scale")
     along = day.drop("short", "grown").join(steps.select("run_id", "start", "scale"), ["run_id", "start"]).select(
@@ -187,11 +197,15 @@ def run_books(growth: DataFrame, targets: DataFrame, capital: float, financing:
     lost = now("worth") <= 0
     if financing.maintenance_equity_ratio is not None:
         lost = lost | (now("worth") < financing.maintenance_equity_ratio * now("gross"))
-    d = d.withColumn("over", F.max(F.when(lost, 1).otherwise(0)).over(prior.rowsBetween(Window.unboundedPreceding, -1))).where("coalesce(over, 0) = 0")
+    d = d.withColumn(
+        "over", F.max(F.when(lost, 1).otherwise(0)).over(prior.rowsBetween(Window.unboundedPreceding, -1)),
+    ).where("coalesce(over, 0) = 0")
     return d.select(
         *keys, now("worth").alias("equity"), now("market").alias("market_value"), now("gross").alias("gross"),
         F.greatest(now("rest"), F.lit(0.0)).alias("cash"), F.greatest(-now("rest"), F.lit(0.0)).alias("debt"), F.coalesce("paid", F.lit(0.0)).alias("trade_cost"),
-        (F.col("market") - F.lag(now("market")).over(prior)).alias("market_pnl"), (F.col("rest") - F.lag(now("rest")).over(prior)).alias("financing_pnl"),
+        (
+            F.col("market") - F.lag(now("market")).over(prior)
+        ).alias("market_pnl"), (F.col("rest") - F.lag(now("rest")).over(prior)).alias("financing_pnl"),
     )
 
 
@@ -201,12 +215,26 @@ def audit(books: DataFrame, capital: float) -> DataFrame:
     gained = F.coalesce("market_pnl", F.lit(0.0)) + F.coalesce("financing_pnl", F.lit(0.0)) - F.col("trade_cost")
     d = books.withColumn("due", F.lit(float(capital)) + F.sum(gained).over(run))
     parts = F.col("market_value") + F.col("cash") - F.col("debt")
-    return d.select("run_id", "session", (F.col("equity") - F.col("due")).alias("equity_gap"), (F.col("equity") - parts).alias("balance_gap"))
+    return d.select(
+        "run_id", "session", (F.col("equity") - F.col("due")).alias("equity_gap"),
+        (F.col("equity") - parts).alias("balance_gap"),
+    )
+
+
+def position_pnl(panel: DataFrame, quantities: DataFrame) -> DataFrame:
+    """session, asset, price_pnl: what each close added to a holding of (asset, quantity) since the close before."""
+    held = panel.join(quantities, "asset").withColumn("before", F.lag("close").over(Window.partitionBy("asset").orderBy("session")))
+    return held.where(F.col("before").isNotNull()).select(
+        "session", "asset", (F.col("quantity") * (F.col("close") - F.col("before"))).alias("price_pnl")
+    )
 
 
 def attribution(books: DataFrame) -> DataFrame:
     """run_id, component, pnl: what the market, financing and trade costs added to each run; they sum to its P&L."""
-    parts = [("market", F.coalesce("market_pnl", F.lit(0.0))), ("financing", F.coalesce("financing_pnl", F.lit(0.0))), ("trade_cost", -F.col("trade_cost"))]
+    parts = [
+        ("market", F.coalesce("market_pnl", F.lit(0.0))), ("financing", F.coalesce("financing_pnl", F.lit(0.0))),
+        ("trade_cost", -F.col("trade_cost")),
+    ]
     rows = F.explode(F.array(*(F.struct(F.lit(n).alias("component"), v.alias("pnl")) for n, v in parts))).alias("p")
     return books.select("run_id", rows).groupBy("run_id", "p.component").agg(F.sum("p.pnl").alias("pnl"))
 
@@ -214,13 +242,18 @@ def attribution(books: DataFrame) -> DataFrame:
 def exposures(books: DataFrame) -> DataFrame:
     """run_id, session, gross, net, cash, debt: each over equity, debt negative; null where equity is gone."""
     over = lambda c: F.when(F.col("equity") > 0, F.col(c) / F.col("equity"))
-    return books.select("run_id", "session", over("gross").alias("gross"), over("market_value").alias("net"), over("cash").alias("cash"), (-over("debt")).alias("debt"))
+    return books.select(
+        "run_id", "session", over("gross").alias("gross"), over("market_value").alias("net"), over("cash").alias("cash"),
+        (-over("debt")).alias("debt"),
+    )
 
 
 def balance_sheet(books: DataFrame) -> DataFrame:
     """run_id, session, component, weight: holdings, cash and (negative) debt as parts of equity; they sum to one."""
     e = exposures(books)
-    rows = F.array(*(F.struct(F.lit(n).alias("component"), F.col(c).alias("weight")) for n, c in (("holdings", "net"), ("account:cash", "cash"), ("account:debt", "debt"))))
+    rows = F.array(
+        *(F.struct(F.lit(n).alias("component"), F.col(c).alias("weight")) for n, c in (("holdings", "net"), ("account:cash", "cash"), ("account:debt", "debt")))
+    )
     return e.select("run_id", "session", F.explode(rows).alias("p")).select("run_id", "session", "p.*")
 
 
@@ -232,6 +265,9 @@ def cost_rows(books: DataFrame) -> DataFrame:
         F.max_by(F.when(F.col("equity") > 0, F.col("gross") / F.col("equity")), "session").alias("leverage"),
     )
     gone = F.when(F.col("leverage").isNull(), "nonpositive_equity").otherwise("ok")
-    rows = [("entry_cost", "entry", "money", F.lit("ok")), ("trade_cost", "trades", "money", F.lit("ok")), ("financing_cost", "financing", "money", F.lit("ok")), ("ending_leverage", "leverage", "ratio", gone)]
+    rows = [
+        ("entry_cost", "entry", "money", F.lit("ok")), ("trade_cost", "trades", "money", F.lit("ok")),
+        ("financing_cost", "financing", "money", F.lit("ok")), ("ending_leverage", "leverage", "ratio", gone),
+    ]
     structs = [F.struct(F.lit(m).alias("metric"), F.col(c).alias("value"), F.lit(u).alias("unit"), F.col("n").alias("n_obs"), s.alias("status")) for m, c, u, s in rows]
     return a.select("run_id", F.explode(F.array(*structs)).alias("m")).select("run_id", "m.*")

@@ -19,7 +19,10 @@ KEYS = ("scenario",)
 def metric_rows(a: DataFrame, keys: tuple[str, ...], rows: list[tuple[str, Column, str, Column]], n: str = "n_obs") -> DataFrame:
     """keys, metric, value, unit, n_obs, status from one row of aggregates for each key."""
     structs = [
-        F.struct(F.lit(m).alias("metric"), v.cast("double").alias("value"), F.lit(u).alias("unit"), F.col(n).alias("n_obs"), s.alias("status"))
+        F.struct(
+            F.lit(m).alias("metric"), v.cast("double").alias("value"), F.lit(u).alias("unit"), F.col(n).alias("n_obs"),
+            s.alias("status"),
+        )
         for m, v, u, s in rows
     ]
     return a.select(*keys, F.explode(F.array(*structs)).alias("m")).select(*keys, "m.*")
@@ -47,7 +50,10 @@ def scalar_risk_free(daily: DataFrame, annual_effective: float, periods: float)
     return daily.withColumn("rf", F.expm1(F.log1p(F.lit(float(annual_effective))) / float(periods)))
 
 
-def summary(daily: DataFrame, periods: float, minimum: float = 0.0, denominator: str = "portfolio_returns", keys: tuple[str, ...] = KEYS) -> DataFrame:
+def summary(
+    daily: DataFrame, periods: float, minimum: float = 0.0, denominator: str = "portfolio_returns",
+    keys: tuple[str, ...] = KEYS,
+) -> DataFrame:
     """The nine metrics of ``reports.summary`` with dated risk-free returns in ``rf``.
 
     ``denominator``: the Sharpe ratio is over the volatility of the returns, or over that of the excess returns.
@@ -88,7 +94,10 @@ def against_benchmark(daily: DataFrame, capital: float, periods: float, keys: tu
         ("return_correlation", F.col("corr"), "correlation", few.when(flat, "zero_volatility").otherwise("ok")),
         ("beta", F.col("beta"), "ratio", few.when(F.col("b_vol") == 0, "zero_benchmark_variance").otherwise("ok")),
         ("annualized_tracking_error", F.col("tracking") * root, "fraction/sqrt(year)", few.otherwise("ok")),
-        ("information_ratio", F.try_divide(F.col("mean") * root, F.col("tracking")), "ratio", few.when(F.col("tracking") == 0, "zero_tracking_error").otherwise("ok")),
+        (
+            "information_ratio", F.try_divide(F.col("mean") * root, F.col("tracking")), "ratio",
+            few.when(F.col("tracking") == 0, "zero_tracking_error").otherwise("ok"),
+        ),
         ("benchmark_compounded_return", F.col("b_wealth") - 1, "fraction", ok),
         ("compounded_return_difference", 100 * (F.col("wealth") - F.col("b_wealth")), "percentage_points", ok),
         ("relative_wealth_return", F.try_divide(F.col("equity"), capital * F.col("b_wealth")) - 1, "fraction", ok),
@@ -99,8 +108,13 @@ def against_benchmark(daily: DataFrame, capital: float, periods: float, keys: tu
 def benchmark_daily(daily: DataFrame, capital: float, keys: tuple[str, ...] = KEYS) -> DataFrame:
     """The benchmark as a daily series of its own, for the same reports: equity starts at the capital."""
     run = Window.partitionBy(*keys).orderBy("session").rowsBetween(Window.unboundedPreceding, 0)
-    d = daily.select(*keys, "period_start", "session", F.col("b").alias("simple_return"), F.product(1 + F.col("b")).over(run).alias("wealth"))
-    d = d.withColumn("equity", F.lit(float(capital)) * F.col("wealth")).withColumn("pnl", F.col("equity") - F.col("equity") / (1 + F.col("simple_return")))
+    d = daily.select(
+        *keys, "period_start", "session", F.col("b").alias("simple_return"),
+        F.product(1 + F.col("b")).over(run).alias("wealth"),
+    )
+    d = d.withColumn("equity", F.lit(float(capital)) * F.col("wealth")).withColumn(
+        "pnl", F.col("equity") - F.col("equity") / (1 + F.col("simple_return")),
+    )
     return d.withColumn("drawdown", F.col("equity") / F.greatest(F.lit(float(capital)), F.max("equity").over(run)) - 1)
 
 
@@ -111,7 +125,9 @@ def tails(daily: DataFrame, confidences: tuple[str, ...], scenarios: DataFrame |
     row have the status ``empty_sample``.
     """
     r = reports.tail_risk(daily, confidences, keys).withColumnsRenamed({"threshold": "var_return", "tail_mean": "etl_return"})
-    p = reports.tail_risk(daily, confidences, keys, "pnl").withColumnsRenamed({"threshold": "var_pnl", "tail_mean": "etl_pnl", "n_tail": "n_tail_pnl"})
+    p = reports.tail_risk(daily, confidences, keys, "pnl").withColumnsRenamed(
+        {"threshold": "var_pnl", "tail_mean": "etl_pnl", "n_tail": "n_tail_pnl"}
+    )
     n = daily.groupBy(*keys).agg(F.count("*").alias("n_obs"))
     out = r.join(p, [*keys, "confidence"]).join(n, list(keys)).withColumn("status", F.lit("ok"))
     if scenarios is not None:

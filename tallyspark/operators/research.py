@@ -15,7 +15,9 @@ def by_date():
 def matched(signals: DataFrame, outcomes: DataFrame, exclusions: DataFrame | None = None) -> DataFrame:
     """Inner join on (signal_date, asset); every key only one side has must be excluded by name, or it raises."""
     keys = ["signal_date", "asset"]
-    odd = signals.select(*keys).join(outcomes.select(*keys), keys, "left_anti").unionByName(outcomes.select(*keys).join(signals.select(*keys), keys, "left_anti"))
+    odd = signals.select(*keys).join(outcomes.select(*keys), keys, "left_anti").unionByName(
+        outcomes.select(*keys).join(signals.select(*keys), keys, "left_anti")
+    )
     if exclusions is not None:
         odd = odd.join(exclusions.select(*keys), keys, "left_anti")
     if bad := odd.limit(5).collect():
@@ -26,8 +28,13 @@ def matched(signals: DataFrame, outcomes: DataFrame, exclusions: DataFrame | Non
 def rank_ic(pairs: DataFrame) -> DataFrame:
     """signal_date, n_assets, rank_ic, status: Spearman correlation of signal and forward return by date, ties averaged."""
     d = pairs.withColumn("x", average_rank("signal", "signal_date")).withColumn("y", average_rank("forward_return", "signal_date"))
-    a = d.groupBy("signal_date").agg(F.count("*").alias("n_assets"), correlation("x", "y").alias("ic"), F.min("signal").alias("s0"), F.max("signal").alias("s1"), F.min("forward_return").alias("f0"), F.max("forward_return").alias("f1"))
-    status = F.when(F.col("n_assets") < 2, "insufficient_assets").when(F.col("s0") == F.col("s1"), "constant_signal").when(F.col("f0") == F.col("f1"), "constant_outcome").otherwise("ok")
+    a = d.groupBy("signal_date").agg(
+        F.count("*").alias("n_assets"), correlation("x", "y").alias("ic"), F.min("signal").alias("s0"),
+        F.max("signal").alias("s1"), F.min("forward_return").alias("f0"), F.max("forward_return").alias("f1"),
+    )
+    status = F.when(F.col("n_assets") < 2, "insufficient_assets").when(F.col("s0") == F.col("s1"), "constant_signal").when(
+        F.col("f0") == F.col("f1"), "constant_outcome",
+    ).otherwise("ok")
     return a.select("signal_date", "n_assets", F.when(status == "ok", F.col("ic")).alias("rank_ic"), status.alias("status"))
 
 
@@ -36,7 +43,10 @@ def quantiles(pairs: DataFrame, q: int) -> DataFrame:
     d = pairs.withColumn("i", F.row_number().over(by_date().orderBy("signal", "asset")) - 1).withColumn("n", F.count("*").over(by_date()))
     d = d.withColumn("flat", F.min("signal").over(by_date()) == F.max("signal").over(by_date())).where((F.col("n") >= q) & ~F.col("flat"))
     d = d.withColumn("quantile", (F.floor(F.col("i") * q / F.col("n")) + 1).cast("long"))
-    return d.groupBy("signal_date", "quantile").agg(F.count("*").alias("n_assets"), F.avg("signal").alias("mean_signal"), F.avg("forward_return").alias("mean_forward_return"))
+    return d.groupBy("signal_date", "quantile").agg(
+        F.count("*").alias("n_assets"), F.avg("signal").alias("mean_signal"),
+        F.avg("forward_return").alias("mean_forward_return"),
+    )
 
 
 def spreads(groups: DataFrame, q: int) -> DataFrame:
@@ -47,8 +57,15 @@ def spreads(groups: DataFrame, q: int) -> DataFrame:
 
 def over_dates(by_date: DataFrame, value: str, label: str) -> DataFrame:
     """metric, value, n_obs: mean, sample standard deviation and share of positive values over evaluated dates."""
-    a = by_date.where(F.col(value).isNotNull()).agg(F.count("*").alias("n"), F.avg(value).alias("m"), F.stddev_samp(value).alias("s"), F.avg(F.when(F.col(value) > 0, 1.0).otherwise(0.0)).alias("p"))
-    rows = [F.struct(F.lit(f"mean_{label}").alias("metric"), F.col("m").alias("value"), F.col("n").alias("n_obs")), F.struct(F.lit(f"{label}_std").alias("metric"), F.col("s").alias("value"), F.col("n").alias("n_obs")), F.struct(F.lit(f"positive_{label}_share").alias("metric"), F.col("p").alias("value"), F.col("n").alias("n_obs"))]
+    a = by_date.where(F.col(value).isNotNull()).agg(
+        F.count("*").alias("n"), F.avg(value).alias("m"), F.stddev_samp(value).alias("s"),
+        F.avg(F.when(F.col(value) > 0, 1.0).otherwise(0.0)).alias("p"),
+    )
+    rows = [
+        F.struct(F.lit(f"mean_{label}").alias("metric"), F.col("m").alias("value"), F.col("n").alias("n_obs")),
+        F.struct(F.lit(f"{label}_std").alias("metric"), F.col("s").alias("value"), F.col("n").alias("n_obs")),
+        F.struct(F.lit(f"positive_{label}_share").alias("metric"), F.col("p").alias("value"), F.col("n").alias("n_obs")),
+    ]
     return a.select(F.explode(F.array(*rows)).alias("m")).select("m.*")
 
 
@@ -70,20 +87,34 @@ def lagged_features(observations: DataFrame, columns: tuple[str, ...], lags: tup
     return d.withColumn("status", status).drop("close_at", *(f"__at{n}" for n in lags))
 
 
-def chronological_split(features: DataFrame, labels: DataFrame, sessions: DataFrame, train_end: str, validation_end: str, test_end: str, gap: int = 0) -> DataFrame:
+def chronological_split(
+    features: DataFrame, labels: DataFrame, sessions: DataFrame, train_end: str, validation_end: str, test_end: str,
+    gap: int = 0,
+) -> DataFrame:
     """``features`` with label columns, partition and reason; only rows with reason ``included`` may be used.
 
     Reasons in their order: the feature status, boundary_gap, label_horizon_crosses_boundary,
     label_unavailable_at_boundary. Boundaries are sessions; the gap counts sessions after a boundary.
     """
-    s = sessions.select("session", F.col("close_at").alias("end_close"), F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("session")).alias("k"))
+    s = sessions.select(
+        "session", F.col("close_at").alias("end_close"),
+        F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("session")).alias("k"),
+    )
     ends = [F.lit(e).cast("date") for e in (train_end, validation_end, test_end)]
     part = F.when(F.col("session") <= ends[0], "train").when(F.col("session") <= ends[1], "validation").otherwise("test")
     end = F.when(F.col("session") <= ends[0], ends[0]).when(F.col("session") <= ends[1], ends[1]).otherwise(ends[2])
-    d = features.where(F.col("session") <= ends[2]).join(labels.withColumnRenamed("available_at", "label_available_at"), ["session", "asset"], "left")
+    d = features.where(F.col("session") <= ends[2]).join(
+        labels.withColumnRenamed("available_at", "label_available_at"), ["session", "asset"], "left",
+    )
     d = d.withColumn("partition", part).withColumn("boundary", end)
-    d = d.join(F.broadcast(s.select("session", "k")), "session").join(F.broadcast(s.select(F.col("session").alias("boundary"), "end_close")), "boundary")
-    starts = F.broadcast(s.where(F.col("session").isin(train_end, validation_end)).select(F.when(F.col("session") == ends[0], "validation").otherwise("test").alias("partition"), F.col("k").alias("k0")))
+    d = d.join(F.broadcast(s.select("session", "k")), "session").join(
+        F.broadcast(s.select(F.col("session").alias("boundary"), "end_close")), "boundary",
+    )
+    starts = F.broadcast(
+        s.where(F.col("session").isin(train_end, validation_end)).select(
+            F.when(F.col("session") == ends[0], "validation").otherwise("test").alias("partition"), F.col("k").alias("k0"),
+        )
+    )
     d = d.join(starts, "partition", "left")
     reason = (
         F.when(F.col("status") != "ready", F.col("status"))
@@ -109,14 +140,21 @@ def standardize(split: DataFrame, columns: tuple[str, ...], zero_variance: str =
 def candidate_losses(predictions: DataFrame, targets: DataFrame, metric: str = "mse") -> DataFrame:
     """candidate, loss, n_obs, selected: the lowest loss, then the first candidate by name, is selected."""
     e = F.col("prediction") - F.col("target")
-    d = predictions.join(targets, ["session", "asset"]).groupBy("candidate").agg(F.avg(e * e if metric == "mse" else F.abs(e)).alias("loss"), F.count("*").alias("n_obs"))
+    d = predictions.join(targets, ["session", "asset"]).groupBy("candidate").agg(
+        F.avg(e * e if metric == "mse" else F.abs(e)).alias("loss"), F.count("*").alias("n_obs"),
+    )
     return d.withColumn("selected", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("loss", "candidate")) == 1)
 
 
 def signal_targets(signals: DataFrame, sessions: DataFrame, rebalance: str = "each_signal") -> DataFrame:
     """decision_session, session (the next one), asset, weight, gross_leverage, action (target or unchanged_target)."""
-    nxt = sessions.select(F.col("session").alias("decision_session"), F.lead("session").over(Window.partitionBy(F.lit(0)).orderBy("session")).alias("session"))
-    by_date = signals.groupBy("decision_session").agg(F.sort_array(F.collect_list(F.struct("asset", "weight", "gross_leverage"))).alias("basket"))
+    nxt = sessions.select(
+        F.col("session").alias("decision_session"),
+        F.lead("session").over(Window.partitionBy(F.lit(0)).orderBy("session")).alias("session"),
+    )
+    by_date = signals.groupBy("decision_session").agg(
+        F.sort_array(F.collect_list(F.struct("asset", "weight", "gross_leverage"))).alias("basket")
+    )
     before = F.lag("basket").over(Window.partitionBy(F.lit(0)).orderBy("decision_session"))
     changed = F.lit(True) if rebalance == "each_signal" else ~F.col("basket").eqNullSafe(before)
     acts = by_date.withColumn("action", F.when(changed, "target").otherwise("unchanged_target")).select("decision_session", "action")

@@ -29,7 +29,10 @@ def returns(panel: DataFrame, method: str = "simple", splits: DataFrame | None =
         worth = worth * F.coalesce("ratio", F.lit(1.0))
     before = F.lag("close").over(by_asset())
     change = (worth - before) / before
-    return p.select(F.lag("session").over(by_asset()).alias("period_start"), "session", "asset", (change if method == "simple" else F.log1p(change)).alias("value"))
+    return p.select(
+        F.lag("session").over(by_asset()).alias("period_start"), "session", "asset",
+        (change if method == "simple" else F.log1p(change)).alias("value"),
+    )
 
 
 def cumulative_returns(rets: DataFrame, method: str, kind: str = "simple") -> DataFrame:
@@ -95,7 +98,9 @@ def asset_correlation(rets: DataFrame) -> DataFrame:
     return out.withColumn("status", status)
 
 
-def risk_free_returns(daily_rates: DataFrame, intervals: DataFrame, day_count: int = 365, compounding: str = "daily", timezone: str = "UTC") -> DataFrame:
+def risk_free_returns(
+    daily_rates: DataFrame, intervals: DataFrame, day_count: int = 365, compounding: str = "daily", timezone: str = "UTC",
+) -> DataFrame:
     """period_start, session, n_days, simple_return: rates of each calendar date of the interval, its first excluded.
 
     A rate counts only if it is available by the local midnight that starts its date; a date without

@@ -15,7 +15,9 @@ from tallyspark.operators.lifecycle import cash_amount
 def known_values(prices: DataFrame, marks: DataFrame) -> DataFrame:
     """session, asset, value, marked: a quote where there is one, else a supplied mark."""
     q = prices.select("session", "asset", F.col("close").alias("value"), F.lit(False).alias("marked"))
-    m = marks.join(prices, ["session", "asset"], "left_anti").select("session", "asset", F.col("mark").alias("value"), F.lit(True).alias("marked"))
+    m = marks.join(prices, ["session", "asset"], "left_anti").select(
+        "session", "asset", F.col("mark").alias("value"), F.lit(True).alias("marked"),
+    )
     return q.unionByName(m)
 
 
@@ -31,7 +33,9 @@ def security_returns(
     the effective date.
     """
     by_asset = Window.partitionBy("asset").orderBy("session")
-    days = status.where("status in ('quoted', 'suspended', 'unquoted_after_last_session')").join(prices.select("session", "asset", "close"), ["session", "asset"], "left")
+    days = status.where("status in ('quoted', 'suspended', 'unquoted_after_last_session')").join(
+        prices.select("session", "asset", "close"), ["session", "asset"], "left",
+    )
     gaps = F.sum(F.when(F.col("status") != "quoted", 1).otherwise(0)).over(by_asset.rowsBetween(Window.unboundedPreceding, 0))
     q = days.withColumn("gaps", gaps).where("status = 'quoted'")
     q = q.withColumn("period_start", F.lag("session").over(by_asset)).withColumn("prior", F.lag("close").over(by_asset))
@@ -76,14 +80,20 @@ def _considerations(status: DataFrame, prices: DataFrame, actions: DataFrame, le
     last = status.where("status = 'quoted'").join(prices, ["session", "asset"]).groupBy("asset").agg(
         F.max("session").alias("period_start"), F.max_by("close", "session").alias("prior")
     )
-    deals = actions.where("action_type = 'acquisition'").select("action_id", F.col("source_asset").alias("asset"), "effective_date").join(last, "asset")
+    deals = actions.where("action_type = 'acquisition'").select(
+        "action_id", F.col("source_asset").alias("asset"), "effective_date",
+    ).join(last, "asset")
     days = status.select(F.col("session").alias("day")).distinct()
     settle = deals.join(days, F.col("day") >= F.col("effective_date"), "left").groupBy(*deals.columns).agg(F.min("day").alias("settle"))
     parts = settle.join(legs.withColumnRenamed("asset", "leg_asset"), "action_id")
     parts = parts.join(worth, (F.col("leg_asset") == F.col("v_asset")) & (F.col("settle") == F.col("v_session")), "left")
     paid = F.when(F.col("leg_type") == "cash", cash_amount()).otherwise(F.col("units_per_source_share") * F.col("value"))
-    a = parts.groupBy("asset", "period_start", "prior", "effective_date", "settle").agg(F.sum(paid).alias("paid"), F.max(paid.isNull()).alias("unvalued"))
-    note = F.when(F.col("settle").isNull(), "consideration_after_coverage").when(F.col("unvalued"), "unvalued_consideration").otherwise("acquisition_consideration")
+    a = parts.groupBy("asset", "period_start", "prior", "effective_date", "settle").agg(
+        F.sum(paid).alias("paid"), F.max(paid.isNull()).alias("unvalued"),
+    )
+    note = F.when(
+        F.col("settle").isNull(), "consideration_after_coverage",
+    ).when(F.col("unvalued"), "unvalued_consideration").otherwise("acquisition_consideration")
     return a.select(
         F.coalesce("settle", "effective_date").alias("session"), "asset", "period_start", F.lit(None).cast("double").alias("price_return"),
         F.when(note == "acquisition_consideration", F.col("paid") / F.col("prior") - 1).alias("total_return"), note.alias("status"),
@@ -108,4 +118,6 @@ def quote_gaps(status: DataFrame) -> DataFrame:
     changed = F.when(F.col("status").eqNullSafe(F.lag("status").over(by_asset)), 0).otherwise(1)
     spells = status.withColumn("spell", F.sum(changed).over(by_asset.rowsBetween(Window.unboundedPreceding, 0)))
     spells = spells.where("status not in ('quoted', 'not_listed', 'terminated')").groupBy("asset", "spell", F.col("status").alias("reason"))
-    return spells.agg(F.min("session").alias("first_session"), F.max("session").alias("last_session"), F.count("*").alias("n_sessions")).drop("spell")
+    return spells.agg(
+        F.min("session").alias("first_session"), F.max("session").alias("last_session"), F.count("*").alias("n_sessions"),
+    ).drop("spell")

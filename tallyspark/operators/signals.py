@@ -84,7 +84,9 @@ def grouped(pairs: DataFrame, q: int, grouping: str = "equal_count", ties: str =
 def group_table(labelled: DataFrame, dates: DataFrame, q: int) -> DataFrame:
     """signal_date, quantile, n_assets, mean_signal, mean_forward_return, status: q rows for each of ``dates``."""
     by_date = labelled.groupBy("signal_date").agg(F.max("group_status").alias("status"))
-    grid = dates.join(by_date, "signal_date", "left").withColumn("quantile", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(q).cast("long"))))
+    grid = dates.join(by_date, "signal_date", "left").withColumn(
+        "quantile", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(q).cast("long"))),
+    )
     means = labelled.where("label is not null").groupBy("signal_date", F.col("label").alias("quantile")).agg(
         F.count("*").alias("n_assets"), F.avg("signal").alias("mean_signal"), F.avg("forward_return").alias("mean_forward_return")
     )

@@ -38,7 +38,12 @@ class ResearchStudy:
 
     def _record(self, event: str, losses: list, metric: str, status: str, parameters: dict) -> None:
         for r in losses:
-            self.rows.append((len(self.rows) + 1, event, r.candidate, metric, r.loss, r.n_obs, status, self.split_id, json.dumps(parameters | {"selected": bool(r.selected)}, sort_keys=True)))
+            self.rows.append(
+                (
+                    len(self.rows) + 1, event, r.candidate, metric, r.loss, r.n_obs, status, self.split_id,
+                    json.dumps(parameters | {"selected": bool(r.selected)}, sort_keys=True),
+                )
+            )
 
     def _losses(self, predictions: DataFrame, partition: str, metric: str) -> list:
         rows = self.split.where(f"partition = '{partition}' and reason = 'included'").select("session", "asset", "target")

@@ -14,7 +14,10 @@ def chart_bars(responses: DataFrame, column: str = "body") -> DataFrame:
     q = F.col("c.indicators.quote")[0]
     bars = F.arrays_zip(F.col("c.timestamp").alias("t"), q["close"].alias("close"), q["volume"].alias("volume"))
     d = d.select(F.col("c.meta.symbol").alias("symbol"), F.col("c.meta.exchangeTimezoneName").alias("zone"), F.explode(bars).alias("b"))
-    return d.select("symbol", F.to_date(F.from_utc_timestamp(F.timestamp_seconds("b.t"), F.col("zone"))).alias("session"), F.col("b.close").alias("close"), F.col("b.volume").alias("volume"))
+    return d.select(
+        "symbol", F.to_date(F.from_utc_timestamp(F.timestamp_seconds("b.t"), F.col("zone"))).alias("session"),
+        F.col("b.close").alias("close"), F.col("b.volume").alias("volume"),
+    )
 
 
 def raw_closes(bars: DataFrame, factors: DataFrame) -> DataFrame:
@@ -33,5 +36,7 @@ def coverage(observed: DataFrame, expected: DataFrame, first: str, last: str, ex
         d = d.join(F.broadcast(exclusions.select("asset", "session").distinct().withColumn("x", F.lit(True))), ["asset", "session"], "left")
     else:
         d = d.withColumn("x", F.lit(None).cast("boolean"))
-    status = F.when(~F.col("session").between(first, last), "outside_coverage").when(F.col("x"), "excluded").when(F.col("o").isNull(), "missing").when(F.col("e").isNull(), "unexpected").otherwise("ok")
+    status = F.when(
+        ~F.col("session").between(first, last), "outside_coverage",
+    ).when(F.col("x"), "excluded").when(F.col("o").isNull(), "missing").when(F.col("e").isNull(), "unexpected").otherwise("ok")
     return d.select("asset", "session", status.alias("status"))

@@ -14,7 +14,10 @@ from tallyspark.contracts import ContractError
 def identity(df: DataFrame) -> dict:
     """rows, schema and digest of a table, independent of row order and partitioning, in one aggregate."""
     columns = sorted(df.columns)
-    row = df.agg(F.count("*").alias("rows"), F.sum(F.xxhash64(*columns).cast("decimal(38,0)")).alias("a"), F.sum(F.xxhash64(F.lit(7), *columns).cast("decimal(38,0)")).alias("b")).first()
+    row = df.agg(
+        F.count("*").alias("rows"), F.sum(F.xxhash64(*columns).cast("decimal(38,0)")).alias("a"),
+        F.sum(F.xxhash64(F.lit(7), *columns).cast("decimal(38,0)")).alias("b"),
+    ).first()
     schema = {c: df.schema[c].dataType.simpleString() for c in columns}
     digest = hashlib.sha256(json.dumps([row["rows"], str(row["a"]), str(row["b"]), schema], sort_keys=True).encode()).hexdigest()
     return {"rows": row["rows"], "schema": schema, "sha256": digest}
@@ -27,7 +30,9 @@ def save_snapshot(tables: dict[str, DataFrame], metadata: dict, path: str) -> st
         df.write.mode("errorifexists").parquet(f"{path}/{name}")
     manifest = {"format": 1, "metadata": metadata, "tables": {n: identity(spark.read.parquet(f"{path}/{n}")) for n in tables}}
     manifest["snapshot_id"] = hashlib.sha256(json.dumps(manifest, sort_keys=True, allow_nan=False).encode()).hexdigest()
-    spark.createDataFrame([(json.dumps(manifest, sort_keys=True),)], "value string").coalesce(1).write.mode("errorifexists").text(f"{path}/manifest")
+    spark.createDataFrame(
+        [(json.dumps(manifest, sort_keys=True),)], "value string",
+    ).coalesce(1).write.mode("errorifexists").text(f"{path}/manifest")
     return manifest["snapshot_id"]
 
 

@@ -11,11 +11,17 @@ AT = lambda n: dt.datetime(2024, 1, 1, 12) + dt.timedelta(days=n)
 
 
 def security(asset, kind="equity", last=None, end=None, valuation="none"):
-    return {"asset": asset, "security_type": kind, "first_session": D(0), "last_session": last, "terminated_date": end, "unquoted_valuation": valuation, "source": "x"}
+    return {
+        "asset": asset, "security_type": kind, "first_session": D(0), "last_session": last, "terminated_date": end,
+        "unquoted_valuation": valuation, "source": "x",
+    }
 
 
 def action(name, kind, source, at, basis, record=None):
-    return {"action_id": name, "action_type": kind, "source_asset": source, "announced_at": AT(0), "effective_date": D(at), "entitlement_basis": basis, "record_date": record, "classification_source": "x"}
+    return {
+        "action_id": name, "action_type": kind, "source_asset": source, "announced_at": AT(0), "effective_date": D(at),
+        "entitlement_basis": basis, "record_date": record, "classification_source": "x",
+    }
 
 
 def leg(name, deal, kind, due, **more):
@@ -23,7 +29,11 @@ def leg(name, deal, kind, due, **more):
 
 
 def warrant(asset, under="A", units=1.0, style="american", settlement="physical", first=1, expiry=8):
-    return {"asset": asset, "underlying_asset": under, "units_per_warrant": units, "exercise_price": 5.0, "exercisable_from": D(first), "expiry_date": D(expiry), "exercise_style": style, "settlement": settlement, "source": "x"}
+    return {
+        "asset": asset, "underlying_asset": under, "units_per_warrant": units, "exercise_price": 5.0,
+        "exercisable_from": D(first), "expiry_date": D(expiry), "exercise_style": style, "settlement": settlement,
+        "source": "x",
+    }
 
 
 def market(spark, securities, prices, splits=(), dividends=(), **tables):
@@ -42,9 +52,14 @@ def quotes(**last):
 
 def test_a_sound_market_breaks_no_rule(spark):
     t = market(
-        spark, [security("A"), security("B", last=D(5), end=D(6)), security("W", "warrant", D(8), D(9), "supplied_mark")], quotes(A=10, B=6, W=9),
+        spark, [
+            security("A"), security("B", last=D(5), end=D(6)), security("W", "warrant", D(8), D(9), "supplied_mark"),
+        ], quotes(A=10, B=6, W=9),
         corporate_actions=[action("b", "cash_acquisition", "B", 6, "effective_date"), action("d", "distribution", "A", 3, "ex_date", D(4))],
-        action_legs=[leg("l1", "b", "cash", 7, cash_per_source_share=4.0), leg("l2", "d", "security", 3, asset="W", units_per_source_share=0.5, fraction_policy="fractional")],
+        action_legs=[
+            leg("l1", "b", "cash", 7, cash_per_source_share=4.0),
+            leg("l2", "d", "security", 3, asset="W", units_per_source_share=0.5, fraction_policy="fractional"),
+        ],
         warrants=[warrant("W")],
     )
     assert lifecycle.market_violations(t).collect() == []
@@ -55,7 +70,9 @@ def test_every_rule_names_its_offender(spark):
         spark,
         [
             security("A"), security("B", last=D(5), end=D(6)), security("C", end=D(9)), security("E", last=D(4), end=D(5)), security("F", "fund", valuation="guess"), security("G", "warrant"), security("H", last=D(7), end=D(8)),
-            security("W", "warrant", D(8), D(9), "supplied_mark"), security("V", "warrant", D(8), D(10)), security("M", valuation="supplied_mark", last=D(6)), security("S"),
+            security(
+                "W", "warrant", D(8), D(9), "supplied_mark",
+            ), security("V", "warrant", D(8), D(10)), security("M", valuation="supplied_mark", last=D(6)), security("S"),
         ],
         quotes(A=10, B=8, C=9, E=5, F=10, G=10, H=8, W=9, V=9, M=7, S=9, X=1),
         splits=[("s1", "A", D(2)), ("s2", "B", D(7)), ("b", "S", D(4))],
@@ -63,13 +80,23 @@ def test_every_rule_names_its_offender(spark):
         suspensions=[{"asset": "A", "first_session": D(40), "last_session": D(41), "reason": "r", "source": "x"}],
         aliases=[{"asset": "A", "ticker": t, "exchange": "X", "valid_from": D(0), "valid_to": None, "source": "x"} for t in ("p", "q")],
         corporate_actions=[
-            action("b", "cash_acquisition", "B", 6, "ex_date"), action("b2", "cash_acquisition", "B", 3, "effective_date"), action("k", "stock_acquisition", "H", 8, "effective_date"), action("x", "merger", "A", 2, "record_date"),
-            action("d1", "distribution", "A", 5, "effective_date"), action("d2", "distribution", "A", 5, "ex_date", D(4)), action("d3", "distribution", "B", 9, "due_bill", D(9)), action("d4", "distribution", "F", 3, "ex_date", D(3)),
+            action("b", "cash_acquisition", "B", 6, "ex_date"), action(
+                "b2", "cash_acquisition", "B", 3, "effective_date",
+            ), action("k", "stock_acquisition", "H", 8, "effective_date"), action("x", "merger", "A", 2, "record_date"),
+            action(
+                "d1", "distribution", "A", 5, "effective_date",
+            ), action("d2", "distribution", "A", 5, "ex_date", D(4)), action("d3", "distribution", "B", 9, "due_bill", D(9)), action("d4", "distribution", "F", 3, "ex_date", D(3)),
         ],
         action_legs=[
-            leg("l1", "b", "security", 2, asset="B", units_per_source_share=1.0, cash_per_source_share=1.0), leg("l2", "k", "cash", 8, asset="A", cash_per_source_share=-1.0), leg("l3", "x", "bonds", 2),
-            leg("l4", "d1", "cash", 5, cash_per_source_share=1.0, accrual_per_day=1.0, accrual_end=D(7)), leg("l5", "d2", "security", 9, asset="E", units_per_source_share=1.0, fraction_policy="cash_in_lieu"),
-            leg("l6", "d4", "security", 6, asset="S", units_per_source_share=1.0, fraction_policy="fractional"), leg("l7", "d3", "security", 9, asset="S", units_per_source_share=1.0, fraction_policy="fractional"),
+            leg(
+                "l1", "b", "security", 2, asset="B", units_per_source_share=1.0, cash_per_source_share=1.0,
+            ), leg("l2", "k", "cash", 8, asset="A", cash_per_source_share=-1.0), leg("l3", "x", "bonds", 2),
+            leg("l4", "d1", "cash", 5, cash_per_source_share=1.0, accrual_per_day=1.0, accrual_end=D(7)), leg(
+                "l5", "d2", "security", 9, asset="E", units_per_source_share=1.0, fraction_policy="cash_in_lieu",
+            ),
+            leg(
+                "l6", "d4", "security", 6, asset="S", units_per_source_share=1.0, fraction_policy="fractional",
+            ), leg("l7", "d3", "security", 9, asset="S", units_per_source_share=1.0, fraction_policy="fractional"),
         ],
         warrants=[warrant("W", "F", 0.0, "bermudan", "cash", 9, 8), warrant("V", "A"), warrant("A")],
         valuation_marks=[{"session": D(3), "asset": a, "mark": m, "method": "m", "source": "x"} for a, m in (("A", 1.0), ("M", 0.0))],

@@ -57,7 +57,10 @@ def test_exclusions_name_the_unmatched_keys_and_no_others(spark):
 
 @pytest.fixture
 def daily(spark):
-    pnl = spark.createDataFrame([("s", D(0), D(1), -10.0), ("s", D(1), D(2), 20.0), ("s", D(2), D(3), -5.0)], "scenario string, period_start date, session date, pnl double")
+    pnl = spark.createDataFrame(
+        [("s", D(0), D(1), -10.0), ("s", D(1), D(2), 20.0), ("s", D(2), D(3), -5.0)],
+        "scenario string, period_start date, session date, pnl double",
+    )
     return reports.net_asset_value(pnl, 100.0)
 
 
@@ -67,10 +70,16 @@ def test_benchmark_report_and_seeded_tables(spark, daily):
     m = {r.metric: r.value for r in performance.against_benchmark(d, 100.0, 4.0).collect()}
     x, y = np.array([-0.1, 20 / 90, -5 / 110]), np.array([0.02, -0.01, 0.03])
     grown = np.prod(1 + y)
-    assert math.isclose(m["beta"], np.cov(x, y)[0, 1] / y.var(ddof=1)) and math.isclose(m["information_ratio"], 2 * (x - y).mean() / (x - y).std(ddof=1))
-    assert math.isclose(m["compounded_return_difference"], 100 * (1.05 - grown)) and math.isclose(m["relative_wealth_return"], 1.05 / grown - 1)
+    assert math.isclose(m["beta"], np.cov(x, y)[0, 1] / y.var(ddof=1)) and math.isclose(
+        m["information_ratio"], 2 * (x - y).mean() / (x - y).std(ddof=1),
+    )
+    assert math.isclose(
+        m["compounded_return_difference"], 100 * (1.05 - grown),
+    ) and math.isclose(m["relative_wealth_return"], 1.05 / grown - 1)
     seeded = performance.cumulative(d, "b", "benchmark").orderBy("session").collect()
-    assert tuple(seeded[0])[1:] == (D(0), "benchmark", 0.0, 0.0, 1.0) and math.isclose(seeded[3].wealth, grown) and math.isclose(seeded[3].cumulative_simple_return, 0.04)
+    assert tuple(seeded[0])[1:] == (D(0), "benchmark", 0.0, 0.0, 1.0) and math.isclose(seeded[3].wealth, grown) and math.isclose(
+        seeded[3].cumulative_simple_return, 0.04,
+    )
     own = {r.metric: r.value for r in reports.summary(performance.benchmark_daily(d, 100.0), 4.0).collect()}
     assert math.isclose(own["ending_equity"], 100 * grown) and math.isclose(own["cumulative_pnl"], 100 * grown - 100)
     with pytest.raises(ValueError, match="intervals"):
@@ -114,7 +123,9 @@ def test_fits_have_residuals_and_idiosyncratic_volatility(spark):
     m = {r.metric: r.value for r in factors.fit_summary(fit, ("f", "g"), 252.0).collect()}
     a = np.column_stack([np.ones(50), x])
     e = y - a @ np.linalg.lstsq(a, y, rcond=None)[0]
-    assert math.isclose(m["r_squared"], 1 - (e @ e) / ((y - y.mean()) @ (y - y.mean()))) and math.isclose(m["annualized_idiosyncratic_volatility"], math.sqrt(252 * (e @ e) / 47))
+    assert math.isclose(m["r_squared"], 1 - (e @ e) / ((y - y.mean()) @ (y - y.mean()))) and math.isclose(
+        m["annualized_idiosyncratic_volatility"], math.sqrt(252 * (e @ e) / 47),
+    )
     flat = s.withColumn("g", F.col("f"))
     none = factors.fitted(flat, ("f", "g"), factors.joint_ols(flat, ("f", "g")))
     assert {r.metric: r.status for r in factors.fit_summary(none, ("f", "g"), 252.0).collect()}["r_squared"] == "no_fit"
@@ -126,4 +137,6 @@ def test_fits_have_residuals_and_idiosyncratic_volatility(spark):
 def test_gaps_are_spells_without_quotes(spark):
     rows = [(D(k), "A", s) for k, s in enumerate(["not_listed", "quoted", "suspended", "suspended", "quoted", "unquoted_after_last_session", "terminated"])]
     got = securities.quote_gaps(spark.createDataFrame(rows, "session date, asset string, status string")).orderBy("first_session").collect()
-    assert [(r.first_session, r.last_session, r.n_sessions, r.reason) for r in got] == [(D(2), D(3), 2, "suspended"), (D(5), D(5), 1, "unquoted_after_last_session")]
+    assert [(r.first_session, r.last_session, r.n_sessions, r.reason) for r in got] == [
+        (D(2), D(3), 2, "suspended"), (D(5), D(5), 1, "unquoted_after_last_session"),
+    ]

@@ -55,8 +55,12 @@ def test_contracts_name_the_offence(spark):
     good = panel(spark, A=[1, 2])
     assert contracts.PRICES.check(good).columns == ["session", "asset", "close"]
     for bad, word in (
-        (good.withColumn("x", F.lit(1)), "schema"), (good.limit(0), "empty"), (good.unionByName(good), "unique"), (good.withColumn("close", F.lit(float("nan"))), "nonfinite"),
-        (good.withColumn("asset", F.lit(" ")), "blank"), (good.withColumn("close", -F.col("close")), "nonpositive"), (good.withColumn("asset", F.lit(None).cast("string")), "null"),
+        (good.withColumn("x", F.lit(1)), "schema"), (good.limit(0), "empty"), (good.unionByName(good), "unique"), (
+            good.withColumn("close", F.lit(float("nan"))), "nonfinite",
+        ),
+        (good.withColumn("asset", F.lit(" ")), "blank"), (good.withColumn("close", -F.col("close")), "nonpositive"), (
+            good.withColumn("asset", F.lit(None).cast("string")), "null",
+        ),
     ):
         with pytest.raises(contracts.ContractError, match=word):
             contracts.PRICES.check(bad)
@@ -75,7 +79,10 @@ def test_degenerate_samples_give_null(spark):
 
 
 def test_report_of_a_hand_calculated_series(spark):
-    pnl = spark.createDataFrame([("s", D(0), D(1), -10.0), ("s", D(1), D(2), 20.0), ("s", D(2), D(3), -5.0)], "scenario string, period_start date, session date, pnl double")
+    pnl = spark.createDataFrame(
+        [("s", D(0), D(1), -10.0), ("s", D(1), D(2), 20.0), ("s", D(2), D(3), -5.0)],
+        "scenario string, period_start date, session date, pnl double",
+    )
     d = reports.net_asset_value(pnl, 100.0)
     m = {r.metric: r for r in reports.summary(d, 4.0).collect()}
     r = np.array([-0.1, 20 / 90, -5 / 110])
@@ -109,7 +116,9 @@ def test_rank_ic_and_quantiles(spark):
 def test_caps_are_filled_like_the_iterative_rule(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(30, 5)) * [0.01, 0.02, 0.05, 0.08, 0.1]
-    r = spark.createDataFrame([(D(i), "ABCDE"[k], float(x[i, k])) for i in range(30) for k in range(5)], "session date, asset string, value double")
+    r = spark.createDataFrame(
+        [(D(i), "ABCDE"[k], float(x[i, k])) for i in range(30) for k in range(5)], "session date, asset string, value double",
+    )
     for cap in (0.25, 0.4, 1.0):
         inv = 1 / x[5:29].std(axis=0, ddof=1)
         free, w = set(range(5)), {}
@@ -123,8 +132,13 @@ def test_caps_are_filled_like_the_iterative_rule(spark):
 
 
 def test_impossible_weights_are_named_errors(spark):
-    x = spark.createDataFrame([(D(i), a, (-1.0) ** i * v) for i in range(12) for a, v in (("A", 0.01), ("B", 0.02), ("C", 0.04))], "session date, asset string, value double")
-    for cap, policy, n, word in ((0.25, "redistribute", 10, "infeasible"), (0.5, "raise", 10, "exceeds"), (0.5, "redistribute", 50, "insufficient")):
+    x = spark.createDataFrame(
+        [(D(i), a, (-1.0) ** i * v) for i in range(12) for a, v in (("A", 0.01), ("B", 0.02), ("C", 0.04))],
+        "session date, asset string, value double",
+    )
+    for cap, policy, n, word in (
+        (0.25, "redistribute", 10, "infeasible"), (0.5, "raise", 10, "exceeds"), (0.5, "redistribute", 50, "insufficient"),
+    ):
         with pytest.raises(ValueError, match=word):
             allocation.inverse_volatility_weights(x, str(D(11)), n, cap, cap_policy=policy)
     flat = x.withColumn("value", F.when(F.col("asset") == "A", 0.0).otherwise(F.col("value")))
@@ -145,7 +159,9 @@ def test_pairs_without_common_sessions_have_an_empty_sample(spark):
 
 
 def test_a_value_of_zero_is_a_problem_and_no_crash(spark):
-    pnl = spark.createDataFrame([("s", D(0), D(1), -100.0), ("s", D(1), D(2), 5.0)], "scenario string, period_start date, session date, pnl double")
+    pnl = spark.createDataFrame(
+        [("s", D(0), D(1), -100.0), ("s", D(1), D(2), 5.0)], "scenario string, period_start date, session date, pnl double",
+    )
     d = reports.net_asset_value(pnl, 100.0)
     assert [r.simple_return for r in d.orderBy("session").collect()] == [-1.0, None]
     assert [r.problem for r in reports.nav_problems(d).orderBy("session").collect()] == ["nonpositive_end", "nonpositive_start"]
@@ -153,14 +169,19 @@ def test_a_value_of_zero_is_a_problem_and_no_crash(spark):
 
 def test_asof_takes_the_last_published_rate_and_ages_it(spark):
     days = spark.createDataFrame([(D(i),) for i in range(1, 9)], "date date")
-    rates = spark.createDataFrame([(D(0), 0.036, dt.datetime(2024, 1, 2, 13)), (D(2), 0.072, dt.datetime(2024, 1, 4, 13))], "observation_date date, sofr double, available_at timestamp")
+    rates = spark.createDataFrame(
+        [(D(0), 0.036, dt.datetime(2024, 1, 2, 13)), (D(2), 0.072, dt.datetime(2024, 1, 4, 13))],
+        "observation_date date, sofr double, available_at timestamp",
+    )
     got = {r.date: (r.sofr, r.status) for r in intervals.rate_plan(days, rates, 0.0, 4).collect()}
     assert got[D(1)] == (None, "no_rate") and got[D(2)] == (0.036, "ok") and got[D(4)] == (0.072, "ok") and got[D(7)] == (None, "stale")
 
 
 def test_aliases_resolve_once_or_raise(spark):
     o = spark.createDataFrame([("X", D(0)), ("X", D(5)), ("Y", D(0))], "ticker string, date date")
-    a = spark.createDataFrame([("X", "one", D(0), D(3)), ("X", "two", D(4), None)], "ticker string, asset string, valid_from date, valid_to date")
+    a = spark.createDataFrame(
+        [("X", "one", D(0), D(3)), ("X", "two", D(4), None)], "ticker string, asset string, valid_from date, valid_to date",
+    )
     got = intervals.resolve_aliases(o, a)
     assert {(r.ticker, r.date): r.asset for r in got.collect()} == {("X", D(0)): "one", ("X", D(5)): "two", ("Y", D(0)): None}
     with pytest.raises(ValueError):
@@ -187,7 +208,10 @@ def test_joint_fit_matches_least_squares_and_flags_rank(spark):
 
 
 def book(spark, p, weights, leverage, capital=100.0, fin=ledger.Financing(), costs=ledger.TradeCosts(), **actions):
-    t = spark.createDataFrame([("r", D(k), a, w, leverage) for k, ws in weights.items() for a, w in ws.items()], "run_id string, session date, asset string, weight double, gross_leverage double")
+    t = spark.createDataFrame(
+        [("r", D(k), a, w, leverage) for k, ws in weights.items() for a, w in ws.items()],
+        "run_id string, session date, asset string, weight double, gross_leverage double",
+    )
     return ledger.run_books(ledger.growth_index(p, **actions), t, capital, fin, costs).orderBy("session")
 
 
@@ -259,7 +283,12 @@ def test_snapshots_round_trip_and_detect_changes(spark, tmp_path):
 
 
 def test_provider_bars_are_local_dates(spark):
-    body = json.dumps({"meta": {"symbol": "X", "exchangeTimezoneName": "America/New_York"}, "timestamp": [1704207600, 1704310200], "indicators": {"quote": [{"close": [1.5, None], "volume": [10, 20]}]}})
+    body = json.dumps(
+        {
+            "meta": {"symbol": "X", "exchangeTimezoneName": "America/New_York"}, "timestamp": [1704207600, 1704310200],
+            "indicators": {"quote": [{"close": [1.5, None], "volume": [10, 20]}]},
+        }
+    )
     got = provider.chart_bars(spark.createDataFrame([(body,)], "body string")).orderBy("session").collect()
     assert [(r.session, r.close) for r in got] == [(dt.date(2024, 1, 2), 1.5), (dt.date(2024, 1, 3), None)]
     o = spark.createDataFrame([("X", D(1)), ("X", D(9))], "asset string, session date")
