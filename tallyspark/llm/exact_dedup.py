@@ -33,7 +33,9 @@ def _prepared(docs: DataFrame, id_col: str, text_col: str):
     hashed = written(hashed.select("*", F.xxhash64("digest").alias("h"), F.monotonically_increasing_id().alias("row")), "hashed")
     sent = docs.sparkSession.sparkContext.broadcast(repeat_filter(hashed.select("h"), hashed.count()))
     maybe = hashed.where(may_repeat(sent, F.col("h")))
-    groups = maybe.groupBy("digest").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("first"), F.count("*").alias("n"))
+    groups = maybe.groupBy("digest").agg(
+        F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("first"), F.count("*").alias("n"),
+    )
     groups = written(groups.select("digest", F.col("first.id").alias("keep"), F.col("first.row").alias("keep_row"), "n"), "groups")
     return hashed, sent, maybe, groups
 
@@ -44,7 +46,10 @@ def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     alone = hashed.where(~may_repeat(sent, F.col("h"))).select(
         "id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.col("digest").alias("text_sha256")
     )
-    met = _met(maybe, groups).select("id", F.col("keep").alias("keep_id"), F.col("n").alias("group_size"), (F.col("row") == F.col("keep_row")).alias("kept"), F.col("digest").alias("text_sha256"))
+    met = _met(maybe, groups).select(
+        "id", F.col("keep").alias("keep_id"), F.col("n").alias("group_size"), (F.col("row") == F.col("keep_row")).alias("kept"),
+        F.col("digest").alias("text_sha256"),
+    )
     return alone.unionByName(met).withColumnRenamed("id", id_col)
 
 

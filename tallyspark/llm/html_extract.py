@@ -81,7 +81,9 @@ NAMED = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([
 PLACE, TARGET = (re.compile(rf"(?:^|\s)(?:{names})(?=\s|$|=)", re.I) for names in ("name|id", "href"))
 COMMENT = re.compile("comment|reply", re.I)
 HIDDEN = re.compile(r"""(?:^|\s)(?:hidden(?=\s|$|=)|aria-hidden\s*=\s*["']?true|style\s*=\s*["'][^"']*display\s*:\s*none)""", re.I)
-MARK = re.compile(r"<(?:(!--)|(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>|([!?/][^>]*+)>)")
+MARK = re.compile(
+    r"<(?:(!--)|(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>|([!?/][^>]*+)>)"
+)
 CLOSERS = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*+>?", re.I) for name in RAW}
 
 FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "mark", "article", "heading")
@@ -120,7 +122,10 @@ PAGES = (
     ((4, 0, 0, 0, 1, 1), (7, 0, 0, 0, 0, 1), (9, 0, 0, 0, 0, 1)),
     ((6, 0, 0, 0, 0, 1), (8, 0, 0, 0, 0, 1)),
     ((18, 0, 0, 0, 0, 1),),
-    ((2, 1, 0, 0, 0, 0), (2, 1, 0, 0, 0, 0), (11, 0, 0, 0, 0, 1), (7, 0, 0, 0, 0, 1), (60, 0, 0, 0, 0, 1), (4, 0, 0, 0, 0, 1), (33, 0.1, 0, 0, 0, 1)),
+    (
+        (2, 1, 0, 0, 0, 0), (2, 1, 0, 0, 0, 0), (11, 0, 0, 0, 0, 1), (7, 0, 0, 0, 0, 1), (60, 0, 0, 0, 0, 1),
+        (4, 0, 0, 0, 0, 1), (33, 0.1, 0, 0, 0, 1),
+    ),
     ((3, 1, 0, 0, 0, 0), (2, 0, 0, 0, 0, 0), (3, 1, 0, 0, 0, 0), (5, 0, 0, 0, 0, 0), (3, 1, 0, 0, 0, 0), (3, 1, 0, 0, 1, 0), (25, 0.2, 0, 0, 0, 1),
      (20, 0, 0, 0, 0, 1), (40, 0, 0, 0, 0, 1), (6, 0.9, 0, 0, 0, 0), (2, 1, 0, 0, 0, 0)),
     # headings of articles stand before text, those of menus before links
@@ -222,7 +227,9 @@ class Scanner:
             return
         _, mark, article, heading, link, outermost, scopes = self.open[-1] if self.open else OUTSIDE
         own = self._mark(name, attributes, article)
-        if own < 2 and (name in ("article", "main") or (not mark and name in ("div", "section", "td") and ARTICLE_NAMES.search(_names(attributes)))):
+        if own < 2 and (
+            name in ("article", "main") or (not mark and name in ("div", "section", "td") and ARTICLE_NAMES.search(_names(attributes)))
+        ):
             mark = 0 if outermost in FURNITURE else mark  # an element that was left open does not swallow the article
             article = True
         mark = max(mark, own)
@@ -333,7 +340,10 @@ def extracted(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [main_text(p.as_py() or "", tree) for p in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], ["id", "page_url", "text", "n_chars"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())],
+                ["id", "page_url", "text", "n_chars"],
+            )
 
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("page_url"), F.col(html_col).alias("html"))
     out = rows.mapInArrow(extract, f"id {rows.schema['id'].dataType.simpleString()}, page_url string, text string, n_chars long")

@@ -149,7 +149,9 @@ class KneserNey:
             prob = np.zeros((len(union), len(self.languages)))
             left = np.ones((len(contexts), len(self.languages)))
             shorter = union & ((1 << (self.width * (m - 1))) - 1)
-            base = np.full((len(union), len(self.languages)), 2.0**-self.uniform) if m == 1 else below["p"][np.searchsorted(below["g"], shorter)]
+            base = np.full(
+                (len(union), len(self.languages)), 2.0**-self.uniform,
+            ) if m == 1 else below["p"][np.searchsorted(below["g"], shorter)]
             for k, c in enumerate(counted):
                 g, n, ones = c[m]
                 discount = ones
@@ -283,10 +285,16 @@ class Identifier:
         return names, score, low, (n == 0) | (beyond > 0)
 
 
-def learn(docs: DataFrame, learn_from: Column, per_language: int = DOCS_PER_LANGUAGE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Identifier | None:
+def learn(
+    docs: DataFrame, learn_from: Column, per_language: int = DOCS_PER_LANGUAGE, id_col: str = "doc_id", text_col: str = "text",
+    lang_col: str = "lang",
+) -> Identifier | None:
     """Fit on at most ``per_language`` whole documents of each language among rows where ``learn_from`` holds."""
     rows = docs.where(learn_from & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    rows = rows.select(F.col(lang_col).alias("lang"), F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.col(text_col)).alias("h"))
+    rows = rows.select(
+        F.col(lang_col).alias("lang"), F.col(id_col).alias("id"),
+        F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.col(text_col)).alias("h"),
+    )
     # Only ids whose hash is small enough for about four times the bound go on, so what meets in a language's task does not grow.
     # Repeated rows count once in all of this; the size only has to be about right, so it is estimated without a shuffle of hashes.
     sizes = rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("size"))
@@ -294,8 +302,13 @@ def learn(docs: DataFrame, learn_from: Column, per_language: int = DOCS_PER_LANG
     rows = rows.join(F.broadcast(sizes), "lang").where(share * F.col("size") <= 4.0 * per_language).select("lang", "h").distinct()
     picked = rows.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("n") <= per_language)
     # at most per_language rows for each language, so this broadcast is bounded
-    sample = docs.where(learn_from).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.col(text_col)).alias("h"))
-    sample = sample.join(F.broadcast(picked.select("lang", "h")), ["lang", "h"], "left_semi").groupBy("lang", "h").agg(F.min("text").alias("text"))
+    sample = docs.where(learn_from).select(
+        F.col(lang_col).alias("lang"), F.col(text_col).alias("text"),
+        F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.col(text_col)).alias("h"),
+    )
+    sample = sample.join(
+        F.broadcast(picked.select("lang", "h")), ["lang", "h"], "left_semi",
+    ).groupBy("lang", "h").agg(F.min("text").alias("text"))
     texts: dict[str, dict[int, str]] = {}
     for r in sample.collect():
         texts.setdefault(r["lang"], {})[r["h"]] = r["text"]
@@ -304,7 +317,10 @@ def learn(docs: DataFrame, learn_from: Column, per_language: int = DOCS_PER_LANG
     return Identifier(chosen) if chosen else None
 
 
-def identified(docs: DataFrame, identifier: Identifier | None, text_col: str = "text", names: tuple[str, str, str] = ("lang_pred", "score", "rejected")) -> DataFrame:
+def identified(
+    docs: DataFrame, identifier: Identifier | None, text_col: str = "text",
+    names: tuple[str, str, str] = ("lang_pred", "score", "rejected"),
+) -> DataFrame:
     """``docs`` with the predicted language, its score and whether it is rejected; no row is shuffled."""
     sent = docs.sparkSession.sparkContext.broadcast(identifier)
     taken, free = {c.lower() for c in docs.columns}, []
@@ -322,7 +338,9 @@ def identified(docs: DataFrame, identifier: Identifier | None, text_col: str = "
                 lang, score, _, out = known.predict(texts)
             else:
                 lang, score, out = [UND] * len(texts), np.zeros(len(texts)), np.ones(len(texts), bool)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score), pa.array(out)], [*batch.schema.names, *free])
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(lang, pa.string()), pa.array(score), pa.array(out)], [*batch.schema.names, *free],
+            )
 
     added = [StructField(name, kind) for name, kind in zip(free, (StringType(), DoubleType(), BooleanType()), strict=True)]
     return docs.mapInArrow(predict, StructType([*docs.schema.fields, *added]))

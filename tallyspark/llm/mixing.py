@@ -40,7 +40,9 @@ def source_targets(sizes: DataFrame, share: float, weights=WEIGHTS, slopes=SLOPE
     s = s.withColumn("cap", F.col("source_size") * F.lit(float(max_epochs))).withColumn("full_at", F.col("cap") / F.col("weight"))
     by_cap = one.orderBy("full_at", "rank")
     before, after = by_cap.rowsBetween(Window.unboundedPreceding, -1), by_cap.rowsBetween(0, Window.unboundedFollowing)
-    level = (F.sum("source_size").over(one) * F.lit(float(share)) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("weight").over(after)
+    level = (
+        F.sum("source_size").over(one) * F.lit(float(share)) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))
+    ) / F.sum("weight").over(after)
     s = s.withColumn("level", level)
     # levels rise until the first source that stays below its cap; that source's level holds for all later ones
     s = s.withColumn("level", F.min(F.when(F.col("level") <= F.col("full_at"), F.struct("full_at", "rank", "level"))).over(one)["level"])
@@ -56,12 +58,21 @@ def mix(docs: DataFrame, share: float = 1.5, weights=WEIGHTS, slopes=SLOPES, max
     ``order_hex``: hexadecimal digits of the order key that make a bucket (3: 4,096 for each source).
     """
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.col("text"), F.lit("")))
-    d = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(NOT_SPACES)), F.lit(0)).cast("long").alias("size"), key.alias("key"))
+    d = docs.select(
+        "doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(NOT_SPACES)), F.lit(0)).cast("long").alias("size"),
+        key.alias("key"),
+    )
     d = written(d.withColumn("bucket", F.substring("key", 1, order_hex)), "sizes")
     totals = d.groupBy("source", "bucket").agg(F.sum("size").alias("size"))
     ahead = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = totals.select("source", "bucket", F.coalesce(F.sum("size").over(ahead), F.lit(0)).alias("ahead"))
-    plan = written(starts.join(source_targets(totals, share, weights, slopes, max_epochs).withColumnRenamed("source", "src"), F.col("source").eqNullSafe(F.col("src"))).drop("src"), "plan")
+    plan = written(
+        starts.join(
+            source_targets(totals, share, weights, slopes, max_epochs).withColumnRenamed("source", "src"),
+            F.col("source").eqNullSafe(F.col("src")),
+        ).drop("src"),
+        "plan",
+    )
     plan = plan.select(F.col("source").alias("p_source"), F.col("bucket").alias("p_bucket"), "ahead", "source_size", "target", "slope")
     inside = Window.partitionBy("source", "bucket").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     d = d.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
@@ -77,7 +88,10 @@ def mix(docs: DataFrame, share: float = 1.5, weights=WEIGHTS, slopes=SLOPES, max
     taken, again = take(0), F.lit(None).cast("double")
     for k in range(1, max_epochs):
         taken, again = taken + take(k), F.coalesce(when(k), again)
-    out = d.select("doc_id", "size", "source", "source_size", "target", taken.alias("taken"), when(0).alias("position"), again.alias("position_again"), "key")
+    out = d.select(
+        "doc_id", "size", "source", "source_size", "target", taken.alias("taken"), when(0).alias("position"),
+        again.alias("position_again"), "key",
+    )
     return out.orderBy(F.col("position").asc_nulls_last(), "key", "doc_id").drop("key")
 
 
@@ -91,13 +105,15 @@ WITH d AS (
          CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size
   FROM documents
 ), r AS (
-  SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source IS NULL, source) - 1 AS rank FROM d GROUP BY source
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source IS NULL, source) - 1 AS rank
+  FROM d GROUP BY source
 ), w AS (
   SELECT *, CAST([3, 1, 2][rank % 3 + 1] AS DOUBLE) AS weight, CAST([-0.5, 0.0, 0.5][rank % 3 + 1] AS DOUBLE) AS slope,
          2.0::DOUBLE * source_size AS cap FROM r
 ), f AS (
   SELECT *, cap / weight AS full_at,
-         (sum(source_size) OVER () * 1.5::DOUBLE - coalesce(sum(cap) OVER (ORDER BY cap / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+         (sum(source_size) OVER () * 1.5::DOUBLE - coalesce(sum(cap) OVER (ORDER BY cap / weight, rank ROWS BETWEEN UNBOUNDED
+  PRECEDING AND 1 PRECEDING), 0))
          / sum(weight) OVER (ORDER BY cap / weight, rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
   FROM w
 ), l AS (SELECT level FROM f WHERE level <= full_at ORDER BY full_at, rank LIMIT 1),
@@ -105,14 +121,17 @@ s AS (
   SELECT source, source_size, slope, CASE WHEN full_at < l.level THEN cap ELSE l.level * weight END AS target FROM f, l
 ), c AS (
   SELECT d.doc_id, d.size, d.source, s.source_size, s.target, s.slope, CAST(floor(s.target) AS BIGINT) AS goal,
-         CAST(coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY key, d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start
+         CAST(coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY key, d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING
+  AND 1 PRECEDING), 0) AS BIGINT) AS start
   FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source
 ), t AS (
   SELECT *, greatest(0, least(size, goal - start)) AS first, greatest(0, least(size, goal - source_size - start)) AS second,
          start / goal::DOUBLE AS y, (source_size + start) / goal::DOUBLE AS z FROM c
 )
 SELECT doc_id, size, source, source_size, target, CAST(first + second AS BIGINT) AS taken,
-       CASE WHEN first > 0 THEN round(2 * y / ((1 - slope) + sqrt((1 - slope) * (1 - slope) + 4 * slope * y)), 9) END AS position,
-       CASE WHEN second > 0 THEN round(2 * z / ((1 - slope) + sqrt((1 - slope) * (1 - slope) + 4 * slope * z)), 9) END AS position_again
+       CASE WHEN first > 0 THEN round(2 * y / ((1 - slope) + sqrt((1 - slope) * (1 - slope) + 4 * slope * y)), 9) END AS
+  position,
+       CASE WHEN second > 0 THEN round(2 * z / ((1 - slope) + sqrt((1 - slope) * (1 - slope) + 4 * slope * z)), 9) END AS
+  position_again
 FROM t
 """

@@ -268,7 +268,10 @@ def _points(rows: DataFrame, size: int, num: int, den: int, plane) -> DataFrame:
                 ["id", "digest", "n", "name", "sig", "keys", "point"],
             )
 
-    return rows.mapInArrow(scan, f"id {rows.schema['id'].dataType.simpleString()}, digest long, n long, name string, sig long, keys array<long>, point binary")
+    return rows.mapInArrow(
+        scan,
+        f"id {rows.schema['id'].dataType.simpleString()}, digest long, n long, name string, sig long, keys array<long>, point binary",
+    )
 
 
 def _sets(rows: DataFrame, size: int, wanted: DataFrame) -> DataFrame:
@@ -282,7 +285,9 @@ def _sets(rows: DataFrame, size: int, wanted: DataFrame) -> DataFrame:
             new = [(_short(name), name, s.tobytes()) for s, name, first in sets if first]
             if new:
                 kinds = (pa.int64(), pa.string(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*new, strict=True), kinds, strict=True)], ["s", "name", "shingles"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, k) for c, k in zip(zip(*new, strict=True), kinds, strict=True)], ["s", "name", "shingles"],
+                )
 
     return rows.mapInArrow(scan, "s long, name string, shingles binary")
 
@@ -338,7 +343,9 @@ def _roles(members: DataFrame, hubs: DataFrame, points: DataFrame, sets_of, num:
     pairs = pairs.join(sets.select(F.col("s").alias("hub"), F.col("name").alias("b")), "hub")
     met = _mapped(pairs.select("hub", "sig", "a", "b", "own", "of_hub"), links, "hub long, sig long, a string, b string, linked boolean")
     linked = written(met.where("linked"), "linked")
-    centres = members.where("sig = hub").join(hubs, "hub", "left_semi").select("hub", "sig", "n", F.lit(True).alias("linked"), F.lit(True).alias("near"))
+    centres = members.where("sig = hub").join(hubs, "hub", "left_semi").select(
+        "hub", "sig", "n", F.lit(True).alias("linked"), F.lit(True).alias("near"),
+    )
     others = spokes.join(linked.select("hub", "sig", "linked"), ["hub", "sig"], "left")
     others = others.select("hub", "sig", "n", F.coalesce("linked", F.lit(False)).alias("linked"), "near")
     return written(centres.unionByName(others), "roles"), linked.select("a", "b")
@@ -369,7 +376,10 @@ def _tiled(roles: DataFrame, num: int, den: int) -> DataFrame:
 
     free, close, held = own("free"), own("close"), own("held")
     among = [
-        F.transform(upto(k("free", 0)), lambda s: task(0, b, F.least(free, s), b, F.greatest(free, s), F.when(free == s, 0).when(free < s, 1).otherwise(2))),
+        F.transform(
+            upto(k("free", 0)),
+            lambda s: task(0, b, F.least(free, s), b, F.greatest(free, s), F.when(free == s, 0).when(free < s, 1).otherwise(2)),
+        ),
         F.transform(upto(k("free", 1)), lambda s: task(0, b, free, b + 1, s, 1)),
         F.transform(upto(k("free", -1)), lambda s: task(0, b - 1, s, b, free, 2)),
     ]
@@ -438,14 +448,22 @@ def _merged(groups: DataFrame) -> DataFrame:
     found = components(whole.join(low, "group").select(F.col("sig").alias("a"), "b"))
     found = found.unionByName(found.select(F.col("root").alias("node"), "root").distinct())
     fits = found.groupBy("root").count().where(F.col("count") <= TILE)
-    small = written(found.join(fits, "root").select(F.concat(F.lit("merged "), F.col("root").cast("string")).alias("group"), F.lit(0).alias("side"), F.col("node").alias("sig")), "merged")
+    small = written(
+        found.join(fits, "root").select(
+            F.concat(F.lit("merged "), F.col("root").cast("string")).alias("group"), F.lit(0).alias("side"),
+            F.col("node").alias("sig"),
+        ),
+        "merged",
+    )
     rest = whole.join(small.select("sig"), "sig", "left_anti")
     return written(small.unionByName(rest).unionByName(groups.where("side <> 0")), "candidates")
 
 
 def _columns(rows: list[tuple], names: tuple[str, ...]) -> pa.RecordBatch:
     kinds = {"side": pa.int32(), "sig": pa.int64()}
-    return pa.RecordBatch.from_arrays([pa.array(c, kinds.get(n, pa.string())) for c, n in zip(zip(*rows, strict=True), names, strict=True)], list(names))
+    return pa.RecordBatch.from_arrays(
+        [pa.array(c, kinds.get(n, pa.string())) for c, n in zip(zip(*rows, strict=True), names, strict=True)], list(names),
+    )
 
 
 def _edges(groups: DataFrame, num: int, den: int) -> DataFrame:
@@ -474,9 +492,14 @@ def components(edges: DataFrame) -> DataFrame:
     while before[0]:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = written(both.groupBy(F.col("u").alias("x")).agg(F.least(F.min("v"), F.first("u")).alias("m")), "low")
-        large = written(both.join(low, F.col("u") == F.col("x")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
+        large = written(
+            both.join(low, F.col("u") == F.col("x")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(),
+            "large",
+        )
         low = written(large.groupBy(F.col("u").alias("x")).agg(F.min("v").alias("m")), "low")
-        small = large.join(low, F.col("u") == F.col("x")).select("v", "m").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = large.join(low, F.col("u") == F.col("x")).select("v", "m").where("v <> m").select(
+            F.col("v").alias("u"), F.col("m").alias("v"),
+        )
         e = written(small.unionByName(low.select(F.col("x").alias("u"), F.col("m").alias("v"))).distinct(), "edges")
         now = state(e)
         if now == before:
@@ -490,7 +513,9 @@ def joined(docs: DataFrame, size: int = 3, num: int = 90, den: int = 100, id_col
     with scratch(docs.sparkSession) as kept:
         rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("digest"), F.col(text_col).cast("string").alias("text"))
         sent = docs.sparkSession.sparkContext.broadcast
-        keys = _keys(rows, size, num, den).groupBy("key").agg(F.min("sig").alias("hub"), F.max("sig").alias("last")).where("hub <> last").select(F.col("key").alias("k"), "hub")
+        keys = _keys(rows, size, num, den).groupBy("key").agg(
+            F.min("sig").alias("hub"), F.max("sig").alias("last"),
+        ).where("hub <> last").select(F.col("key").alias("k"), "hub")
         keys = written(keys, "keys")
         read = written(_points(rows, size, num, den, sent(repeat_filter(keys.select("k"), keys.count(), once=True))), "points")
         members = read.where(F.size("keys") > 0).select("sig", "n", F.explode("keys").alias("key"))
@@ -514,10 +539,16 @@ def joined(docs: DataFrame, size: int = 3, num: int = 90, den: int = 100, id_col
         found = components(found if edges is None else found.unionByName(edges))
         labels = read.select("id", "digest", "n", "name").join(found, F.col("name") == F.col("node"), "left")
         labels = written(labels.select("id", "digest", "n", F.coalesce("root", "name").alias("label")), "labels")
-        first = written(labels.where(F.col("label").isNotNull()).groupBy(F.col("label").alias("l")).agg(F.min("id").alias("first")), "firsts")
+        first = written(
+            labels.where(F.col("label").isNotNull()).groupBy(F.col("label").alias("l")).agg(F.min("id").alias("first")),
+            "firsts",
+        )
         kept += [labels, first]
     out = labels.join(first, F.col("label") == F.col("l"), "left")
-    return out.select(F.col("id").alias(id_col), "digest", F.col("n").alias("n_shingles"), F.when(F.col("label").isNull(), F.col("id")).otherwise(F.col("first")).alias("component_id"))
+    return out.select(
+        F.col("id").alias(id_col), "digest", F.col("n").alias("n_shingles"),
+        F.when(F.col("label").isNull(), F.col("id")).otherwise(F.col("first")).alias("component_id"),
+    )
 
 
 def one_of_each(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -527,7 +558,9 @@ def one_of_each(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100, i
         gone = written(gone.select(F.col(id_col).alias("gone_id"), F.col("digest").alias("gone_digest")).distinct(), "gone")
         kept.append(gone)
     (d,) = fresh(docs, "digest")
-    return semi(docs.withColumn(d, F.xxhash64(text_col)), gone, [(id_col, "gone_id"), (d, "gone_digest")], "left_anti").select(*docs.columns)
+    return semi(
+        docs.withColumn(d, F.xxhash64(text_col)), gone, [(id_col, "gone_id"), (d, "gone_digest")], "left_anti",
+    ).select(*docs.columns)
 
 
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -536,18 +569,22 @@ def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP8_SQL = r"""
 WITH RECURSIVE d AS (
-  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[^\x20\x09-\x0D]+') AS w FROM documents
 ), s AS (
   SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
-         ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS g FROM d
+         ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS g
+  FROM d
 ), n AS (SELECT doc_id, len(g) AS n FROM s),
 t AS (SELECT doc_id, unnest(g) AS g FROM s),
 b AS (
-  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared FROM t x JOIN t y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY x.doc_id, y.doc_id
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared FROM t x JOIN t y ON x.g = y.g AND x.doc_id <> y.doc_id
+  GROUP BY x.doc_id, y.doc_id
 ), l AS (
   SELECT a, b FROM b JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * shared >= 90 * (x.n + y.n - shared)
 ), r AS (
   SELECT doc_id AS a, doc_id AS b FROM n UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a
 )
-SELECT n.doc_id, n.n AS n_shingles, c.component_id FROM n JOIN (SELECT a, min(b) AS component_id FROM r GROUP BY a) c ON c.a = n.doc_id
+SELECT n.doc_id, n.n AS n_shingles, c.component_id FROM n JOIN (SELECT a, min(b) AS component_id
+  FROM r GROUP BY a) c ON c.a = n.doc_id
 """

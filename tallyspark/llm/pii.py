@@ -35,7 +35,10 @@ CUES = (
     "account", "acct", "konto", "cuenta", "compte", "iban", "passport", "reisepass", "pasaporte", "passeport", "ssn", "customer",
     "kunde", "cliente", "client", "user id", "userid", "card number",
 )
-SECRET_CUES = ("token", "secret", "password", "passwd", "passwort", "api key", "api_key", "api-key", "apikey", "access key", "access_key", "private key")
+SECRET_CUES = (
+    "token", "secret", "password", "passwd", "passwort", "api key", "api_key", "api-key", "apikey", "access key", "access_key",
+    "private key",
+)
 #: How secrets of known shape begin, and all of their form.
 SHAPES = {
     "akia": r"AKIA[0-9A-Z]{16}", "asia": r"ASIA[0-9A-Z]{16}", "aiza": r"AIza[0-9A-Za-z_-]{35}", "ghp_": r"ghp_[0-9A-Za-z]{36}", "gho_": r"gho_[0-9A-Za-z]{36}",
@@ -183,11 +186,16 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             counts = [pa.array([len(f[k]) for f in found], pa.int64()) for k in KINDS]
             counts.append(pa.array([sum(map(len, f.values())) for f in found], pa.int64()))
             digests = [hashlib.sha256(joined(f, BASE).encode()).hexdigest() for f in found]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *counts, pa.array(digests, pa.string()), pa.array([joined(f, KINDS) for f in found], pa.string())], ["id", *NUMBERS, "base_sha256", "spans"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), *counts, pa.array(digests, pa.string()), pa.array([joined(f, KINDS) for f in found], pa.string())],
+                ["id", *NUMBERS, "base_sha256", "spans"],
+            )
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(scan, f"id {kind}, {', '.join(f'{n} long' for n in NUMBERS)}, base_sha256 string, spans string").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(
+        scan, f"id {kind}, {', '.join(f'{n} long' for n in NUMBERS)}, base_sha256 string, spans string",
+    ).withColumnRenamed("id", id_col)
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -35,13 +35,19 @@ SAMPLE = 6000
 EPOCHS = 6
 SLICE = 256
 MEMO = 400_000
-STATISTICS = ("bytes", "words", "word_length", "upper", "digits", "stops", "marks", "symbols", "bars", "lines", "distinct_words", "top_word", "distinct_lines", "stop_lines")
+STATISTICS = (
+    "bytes", "words", "word_length", "upper", "digits", "stops", "marks", "symbols", "bars", "lines", "distinct_words",
+    "top_word", "distinct_lines", "stop_lines",
+)
 
 
 def _classes() -> np.ndarray:
     """Class of each byte: 0 other, 1 upper case, 2 digit, 3 sentence stop, 4 exclamation or question mark, 5 symbol, 6 bar, 7 line end."""
     out = np.zeros(256, np.uint8)
-    for group, k in ((range(65, 91), 1), (range(48, 58), 2), (b".,;:", 3), (b"!?", 4), (b"#$%&*+/<=>@\\^_`{}~[]()\"", 5), (b"|", 6), (b"\n", 7)):
+    for group, k in (
+        (range(65, 91), 1), (range(48, 58), 2), (b".,;:", 3), (b"!?", 4), (b"#$%&*+/<=>@\\^_`{}~[]()\"", 5), (b"|", 6),
+        (b"\n", 7),
+    ):
         out[list(group)] = k
     return out
 
@@ -89,7 +95,9 @@ class Machine:
         """Feature numbers of the statistics of each document; missing values have the last bin."""
         out = np.empty(stats.shape, np.int64)
         for k, e in enumerate(self.edges):
-            out[:, k] = WORDS + k * (BINS + 1) + np.where(np.isnan(stats[:, k]), BINS, np.searchsorted(e, np.nan_to_num(stats[:, k]), side="right"))
+            out[:, k] = WORDS + k * (BINS + 1) + np.where(
+                np.isnan(stats[:, k]), BINS, np.searchsorted(e, np.nan_to_num(stats[:, k]), side="right"),
+            )
         return out
 
     def rows(self, doc, bucket, value, stats) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -109,7 +117,10 @@ class Machine:
         pairs = 0.5 * (total * total - np.add.reduceat(vx * vx, start, axis=0)).sum(axis=1)
         return self.w0 + np.add.reduceat(self.w[i] * x, start) + pairs, total
 
-    def fit(self, start, i, x, y: np.ndarray, epochs: int = EPOCHS, batch: int = 64, rate: float = 0.08, decay: float = 1e-4, seed: int = 7) -> None:
+    def fit(
+        self, start, i, x, y: np.ndarray, epochs: int = EPOCHS, batch: int = 64, rate: float = 0.08, decay: float = 1e-4,
+        seed: int = 7,
+    ) -> None:
         rng, end = np.random.default_rng(seed), np.append(start[1:], len(i))
         gw, gv, g0 = np.full(self.w.shape, 1e-3, np.float32), np.full(self.v.shape, 1e-3, np.float32), 1e-3
         self.w0 = float(np.log((y.mean() + 1e-3) / (1 - y.mean() + 1e-3)))
@@ -126,7 +137,9 @@ class Machine:
                 by = np.argsort(b_i, kind="stable")
                 u, first = np.unique(b_i[by], return_index=True)
                 dw = np.add.reduceat(e[by], first) + decay * self.w[u]
-                dv = np.add.reduceat((e[:, None] * (np.repeat(total, size, axis=0) - self.v[b_i] * b_x[:, None]))[by], first, axis=0) + decay * self.v[u]
+                dv = np.add.reduceat(
+                    (e[:, None] * (np.repeat(total, size, axis=0) - self.v[b_i] * b_x[:, None]))[by], first, axis=0,
+                ) + decay * self.v[u]
                 gw[u] += dw * dw
                 gv[u] += dv * dv
                 self.w[u] -= rate * dw / np.sqrt(gw[u])
@@ -147,14 +160,24 @@ def _texts_and_meta(batch: pa.RecordBatch, first: int) -> tuple[list[bytes], np.
     return texts, np.array(meta).reshape(len(meta), len(texts)).T
 
 
-def learn(docs: DataFrame, labels: DataFrame, usable: Column, meta: tuple[str, ...] = ("n_chars",), sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Machine | None:
+def learn(
+    docs: DataFrame, labels: DataFrame, usable: Column, meta: tuple[str, ...] = ("n_chars",), sample: int = SAMPLE,
+    id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
+) -> Machine | None:
     """Fit on at most ``sample`` labelled documents among those whose id is ``usable`` (a condition on ``doc_id``)."""
-    lab = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("double").alias("label")).where(usable & F.col("doc_id").isNotNull() & F.col("label").isNotNull())
+    lab = labels.select(
+        F.col(id_col).alias("doc_id"), F.col(label_col).cast("double").alias("label"),
+    ).where(usable & F.col("doc_id").isNotNull() & F.col("label").isNotNull())
     lab = lab.groupBy("doc_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"), *(F.col(c).cast("double").alias(f"meta{k}") for k, c in enumerate(meta)))
+    rows = docs.select(
+        F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"),
+        *(F.col(c).cast("double").alias(f"meta{k}") for k, c in enumerate(meta)),
+    )
     rows = rows.join(F.broadcast(lab), "doc_id")  # at most ``sample`` labels
     kept = ["text", *(f"meta{k}" for k in range(len(meta)))]
-    rows = rows.groupBy("doc_id", "label").agg(F.min(F.struct(F.xxhash64(*kept).alias("h"), *kept)).alias("row")).select("doc_id", "label", *(f"row.{c}" for c in kept))
+    rows = rows.groupBy("doc_id", "label").agg(
+        F.min(F.struct(F.xxhash64(*kept).alias("h"), *kept)).alias("row")
+    ).select("doc_id", "label", *(f"row.{c}" for c in kept))
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         featurise = Featuriser()
@@ -166,25 +189,47 @@ def learn(docs: DataFrame, labels: DataFrame, usable: Column, meta: tuple[str, .
                 cut = np.searchsorted(doc, np.arange(1, len(texts)))
                 lists = [[x.tolist() for x in np.split(a, cut)] for a in (bucket, value)]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array(lists[0], pa.list_(pa.int64())), pa.array(lists[1], pa.list_(pa.float64())), pa.array(np.hstack([stats, more]).tolist(), pa.list_(pa.float64()))],
+                    [
+                        part.column(0), part.column(1), pa.array(lists[0], pa.list_(pa.int64())),
+                        pa.array(lists[1], pa.list_(pa.float64())),
+                        pa.array(np.hstack([stats, more]).tolist(), pa.list_(pa.float64())),
+                    ],
                     ["doc_id", "label", "bucket", "value", "stats"],
                 )
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    got = rows.mapInArrow(extract, f"doc_id {kind}, label double, bucket array<long>, value array<double>, stats array<double>").toArrow().sort_by("doc_id")
+    got = rows.mapInArrow(
+        extract, f"doc_id {kind}, label double, bucket array<long>, value array<double>, stats array<double>",
+    ).toArrow().sort_by("doc_id")
     if not got.num_rows:
         return None
     y, stats = got["label"].to_numpy().clip(0, 1), np.array(got["stats"].to_pylist())
     sizes = np.array(got["bucket"].combine_chunks().value_lengths())
-    machine = Machine(np.array([np.nan_to_num(np.nanquantile(s, np.arange(1, BINS) / BINS)) if (~np.isnan(s)).any() else np.zeros(BINS - 1) for s in stats.T]))
-    machine.fit(*machine.rows(np.repeat(np.arange(len(y)), sizes), got["bucket"].combine_chunks().flatten().to_numpy(), got["value"].combine_chunks().flatten().to_numpy(), stats), y)
+    machine = Machine(
+        np.array(
+            [np.nan_to_num(np.nanquantile(s, np.arange(1, BINS) / BINS)) if (~np.isnan(s)).any() else np.zeros(BINS - 1) for s in stats.T]
+        )
+    )
+    machine.fit(
+        *machine.rows(
+            np.repeat(np.arange(len(y)), sizes), got["bucket"].combine_chunks().flatten().to_numpy(),
+            got["value"].combine_chunks().flatten().to_numpy(), stats,
+        ),
+        y,
+    )
     return machine
 
 
-def scored(docs: DataFrame, machine: Machine | None, meta: tuple[str, ...] = ("n_chars",), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scored(
+    docs: DataFrame, machine: Machine | None, meta: tuple[str, ...] = ("n_chars",), id_col: str = "doc_id",
+    text_col: str = "text",
+) -> DataFrame:
     """id and score of every document."""
     sent = docs.sparkSession.sparkContext.broadcast(machine)
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"), *(F.col(c).cast("double").alias(f"meta{k}") for k, c in enumerate(meta)))
+    rows = docs.select(
+        F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"),
+        *(F.col(c).cast("double").alias(f"meta{k}") for k, c in enumerate(meta)),
+    )
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fitted, featurise = sent.value, Featuriser()
@@ -203,4 +248,7 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     machine = learn(docs, table(spark, sf_dir, "labels"), crc_bucket(F.col("doc_id"), 4) != 2)
     out = scored(docs, machine)
-    return out.select("doc_id", (crc_bucket(F.col("doc_id"), 4) == 2).alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
+    return out.select(
+        "doc_id", (crc_bucket(F.col("doc_id"), 4) == 2).alias("held_out"), "score",
+        F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"),
+    )

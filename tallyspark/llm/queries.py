@@ -23,4 +23,7 @@ QUERIES = {
     "op9_html_extract": op9_html_extract,
     "op10_decontaminate": op10_decontaminate,
 }
-SQL = {"op2_warc": OP2_SQL, "op4_curriculum_mix": OP4_SQL, "op7_exact_dedup": OP7_SQL, "op8_ngram_jaccard": OP8_SQL, "op10_decontaminate": OP10_SQL}
+SQL = {
+    "op2_warc": OP2_SQL, "op4_curriculum_mix": OP4_SQL, "op7_exact_dedup": OP7_SQL, "op8_ngram_jaccard": OP8_SQL,
+    "op10_decontaminate": OP10_SQL,
+}

@@ -160,7 +160,10 @@ class TokenCounter:
         return out
 
 
-def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 2048, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
+def token_counts(
+    docs: DataFrame, tokenizer_path: str, limit: int = 2048, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK,
+    overlap: int = OVERLAP,
+) -> DataFrame:
     """id, n_bytes, n_tokens, n_chunks, n_widened, over_limit of each document. The tokenizer's file is read where each executor finds it."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,10 +176,15 @@ def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 2048, id_col
                 part = batch.slice(at, SLICE)
                 texts = [t or "" for t in part.column(1).to_pylist()]
                 counts = [pa.array(c, pa.int64()) for c in zip(*counter.counted(texts), strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), *counts], ["id", "n_bytes", "n_tokens", "n_chunks", "n_widened"])
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), part.column(2), *counts], ["id", "n_bytes", "n_tokens", "n_chunks", "n_widened"],
+                )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.octet_length(F.coalesce(F.col(text_col), F.lit(""))).cast("long").alias("n_bytes"))
+    rows = docs.select(
+        F.col(id_col).alias("id"), F.col(text_col).alias("text"),
+        F.octet_length(F.coalesce(F.col(text_col), F.lit(""))).cast("long").alias("n_bytes"),
+    )
     out = rows.mapInArrow(count, f"id {kind}, n_bytes long, n_tokens long, n_chunks long, n_widened long")
     return out.withColumn("over_limit", F.col("n_tokens") > limit).withColumnRenamed("id", id_col)
 

@@ -66,12 +66,16 @@ def _shared_payloads(pages: DataFrame):
     small = written(small.where(F.col("size") >= MIN_REVISIT), "digests")
     sent = pages.sparkSession.sparkContext.broadcast(repeat_filter(small.select("h"), small.count()))
     maybe = small.where(may_repeat(sent, F.col("h")))
-    first = maybe.groupBy("digest").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    first = maybe.groupBy("digest").agg(
+        F.min(F.struct(F.col("id").isNull().alias("none"), "id")).alias("first"), F.count("*").alias("n"),
+    ).where("n > 1")
     largest = small.agg(F.max("size")).first()[0] or 0
     return largest, sent, written(first.select(F.col("digest").alias("first_digest"), F.col("first.id").alias("first_id")), "firsts")
 
 
-def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", time_col: str | None = None) -> str:
+def write_archives(
+    pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", time_col: str | None = None,
+) -> str:
     """Write all pages as WARC files into the shared folder; returns their folder."""
     payload, ident = F.coalesce(F.col(html_col), F.lit("")), F.col(id_col)
     numeric = F.coalesce(ident.try_cast("long"), F.lit(0))
@@ -87,12 +91,16 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
         maybe = (F.col("size") >= MIN_REVISIT) & may_repeat(sent, F.xxhash64("digest"))
         none = F.lit(None).cast(rows.schema["id"].dataType)
         alone = rows.where(~maybe).withColumn("first_id", none).withColumn("again", F.lit(False))
-        met = rows.where(maybe).join(first, F.col("digest") == F.col("first_digest"), "left").withColumn("again", F.col("first_digest").isNotNull() & ~F.col("id").eqNullSafe(F.col("first_id"))).drop("first_digest")
+        met = rows.where(maybe).join(first, F.col("digest") == F.col("first_digest"), "left").withColumn(
+            "again", F.col("first_digest").isNotNull() & ~F.col("id").eqNullSafe(F.col("first_id")),
+        ).drop("first_digest")
         path = f"{shared_dir(pages.sparkSession)}/tally/warc-{uuid.uuid4().hex}"
         records = alone.unionByName(met)
         for low, high in zip((-1, *SIZE_CLASSES), (*SIZE_CLASSES, None), strict=True):
             if low < largest:
-                some = records.where((F.col("size") > low) & (F.col("size") <= high if high else F.lit(True))).select(_record().alias("value"))
+                some = records.where(
+                    (F.col("size") > low) & (F.col("size") <= high if high else F.lit(True))
+                ).select(_record().alias("value"))
                 most = max(1, ARCHIVE_BYTES // high) if high else 1
                 some.write.option("lineSep", END).option("maxRecordsPerFile", most).text(f"{path}/over-{low + 1}")
     return path
@@ -104,14 +112,22 @@ def _record():
     ident = F.coalesce(F.col("id").cast("string"), F.lit(""))
     url = F.regexp_replace(F.coalesce("url", F.concat(F.lit("urn:page:"), ident)), r"[\x00-\x20\x7F]", "%20")
     body = F.when(F.col("again"), F.lit("")).otherwise(F.col("payload"))
-    http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("size").cast("string"), F.lit(END))
-    refers = F.concat(F.lit("\r\nWARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest\r\nWARC-Refers-To: "), name(F.col("first_id")), F.lit("\r\nX-Refers-To-Page: "), F.coalesce(F.col("first_id").cast("string"), F.lit("")))
+    http = F.concat(
+        F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("size").cast("string"),
+        F.lit(END),
+    )
+    refers = F.concat(
+        F.lit("\r\nWARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest\r\nWARC-Refers-To: "),
+        name(F.col("first_id")), F.lit("\r\nX-Refers-To-Page: "), F.coalesce(F.col("first_id").cast("string"), F.lit("")),
+    )
     return F.concat(
         F.lit("WARC/1.1\r\nWARC-Type: "), F.when(F.col("again"), "revisit").otherwise("response"),
         F.lit("\r\nWARC-Record-ID: "), name(F.col("id")), F.lit("\r\nX-Page: "), ident,
         F.lit("\r\nWARC-Target-URI: "), url, F.lit("\r\nWARC-Date: "), F.date_format("at", "yyyy-MM-dd'T'HH:mm:ss'Z'"),
         F.lit("\r\nWARC-Payload-Digest: sha256:"), F.col("digest"), F.when(F.col("again"), refers).otherwise(""),
-        F.lit("\r\nContent-Type: application/http; msgtype=response\r\nContent-Length: "), (F.octet_length(http) + F.octet_length(body)).cast("string"), F.lit(END), http, body,
+        F.lit(
+            "\r\nContent-Type: application/http; msgtype=response\r\nContent-Length: "
+        ), (F.octet_length(http) + F.octet_length(body)).cast("string"), F.lit(END), http, body,
     )
 
 
@@ -234,7 +250,10 @@ def merged(blocks: Iterator[list[tuple]], key=_key) -> Iterator[tuple]:
             coming = next(blocks, None)
 
 
-def capture_history(spark: SparkSession, folder: str, id_type: str = "bigint", rows_per_range: int = ROWS_PER_RANGE, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def capture_history(
+    spark: SparkSession, folder: str, id_type: str = "bigint", rows_per_range: int = ROWS_PER_RANGE,
+    block_rows: int = BLOCK_ROWS,
+) -> DataFrame:
     """All captures of the archives in ``folder``, ordered by URL key, timestamp and id across partitions."""
     whole = id_type in ("bigint", "int", "smallint", "tinyint")
     kind = "bigint" if whole else "string"
@@ -299,7 +318,9 @@ def capture_history(spark: SparkSession, folder: str, id_type: str = "bigint", r
 def _batch(rows: list[tuple], fields: list[str], whole: bool) -> pa.RecordBatch:
     numbers = {"payload_bytes", "offset", "length", *(("page_id", "refers_to") if whole else ())}
     columns = zip(*rows, strict=True)
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if f in numbers else pa.string()) for c, f in zip(columns, fields, strict=True)], fields)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(c, pa.int64() if f in numbers else pa.string()) for c, f in zip(columns, fields, strict=True)], fields,
+    )
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -309,7 +330,10 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP2_SQL = r"""
-WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
-f AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS first FROM p)
-SELECT page_id, payload_bytes, payload_digest, CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN first <> page_id THEN first END AS refers_to FROM f
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest
+  FROM pages),
+f AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS first
+  FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE
+  WHEN first <> page_id THEN first END AS refers_to FROM f
 """

@@ -12,21 +12,50 @@ MORE = "Nobody had asked the miller, who went on grinding what little came, and
 MENU = "".join(f'<li><a href="/{k}">Topic {k}</a></li>' for k in range(7))
 #: Pages and the text of each that is the article's.
 CASES = {
-    "no marks, short": ("<div>First words of a small note.</div><div>And its second line here.</div>", "First words of a small note.\nAnd its second line here."),
+    "no marks, short": (
+        "<div>First words of a small note.</div><div>And its second line here.</div>",
+        "First words of a small note.\nAnd its second line here.",
+    ),
     "story": ('<div class="story"><p>Two birds.</p><p>One wire.</p></div>', "Two birds.\nOne wire."),
-    "aside note in article": (f'<article><p>{LONG}</p><p class="note side">A remark beside the text.</p><p>{MORE}</p></article>', f"{LONG}\nA remark beside the text.\n{MORE}"),
-    "doubtful container": (f'<main><p>{LONG}</p><div class="widget">{MORE} {LONG}</div><p>{MORE}</p></main>', f"{LONG}\n{MORE} {LONG}\n{MORE}"),
+    "aside note in article": (
+        f'<article><p>{LONG}</p><p class="note side">A remark beside the text.</p><p>{MORE}</p></article>',
+        f"{LONG}\nA remark beside the text.\n{MORE}",
+    ),
+    "doubtful container": (
+        f'<main><p>{LONG}</p><div class="widget">{MORE} {LONG}</div><p>{MORE}</p></main>', f"{LONG}\n{MORE} {LONG}\n{MORE}",
+    ),
     "menu in article": (f"<article><h1>Mills</h1><ul>{MENU}</ul><p>{LONG}</p></article>", f"Mills\n{LONG}"),
-    "menu without marks": (f"<div><ul>{MENU}</ul></div><h2>Mills of the valley</h2><div>{LONG}</div><div>{MORE}</div><div><ul>{MENU}</ul></div>", f"Mills of the valley\n{LONG}\n{MORE}"),
-    "comments": (f'<main><h1>Mills</h1><p>{LONG}</p><section id="comments"><h3>Comments</h3><p>{MORE}</p><p>{LONG}</p></section></main>', f"Mills\n{LONG}"),
+    "menu without marks": (
+        f"<div><ul>{MENU}</ul></div><h2>Mills of the valley</h2><div>{LONG}</div><div>{MORE}</div><div><ul>{MENU}</ul></div>",
+        f"Mills of the valley\n{LONG}\n{MORE}",
+    ),
+    "comments": (
+        f'<main><h1>Mills</h1><p>{LONG}</p><section id="comments"><h3>Comments</h3><p>{MORE}</p><p>{LONG}</p></section></main>',
+        f"Mills\n{LONG}",
+    ),
     "comment articles": (f'<article><p>{LONG}</p></article><article class="comment">{MORE}</article>', LONG),
     "notice": (f'<div class="notice">Service is down on Sunday from two to four.</div><article><p>{LONG}</p></article>', LONG),
-    "advert": (f'<article><p>{LONG}</p><div class="ad">Buy two mills and get the third one free.</div><p>{MORE}</p></article>', f"{LONG}\n{MORE}"),
+    "advert": (
+        f'<article><p>{LONG}</p><div class="ad">Buy two mills and get the third one free.</div><p>{MORE}</p></article>',
+        f"{LONG}\n{MORE}",
+    ),
     "form": (f'<article><p>{LONG}</p></article><form><p>Your name and what you want to say</p><select><option>x</select></form>', LONG),
-    "sidebar": (f'<div class="sidebar"><p>{MORE}</p><p>{LONG}</p></div><div class="content"><p>Short one.</p><p>{LONG}</p></div>', f"Short one.\n{LONG}"),
-    "links in text": ('<article><p>See <a href="/a">the mill</a> and <a href="/b">the dam</a> near it.</p><p>Ok.</p></article>', "See the mill and the dam near it.\nOk."),
-    "references": ("<article><p>a &lt;b&gt; &amp;&#233; c</p>\n<p>x<!-- no --> y</p><script>var t='</p>';</script></article><footer>&copy; us</footer>", "a <b> &é c\nx y"),
-    "header and footer": (f"<header><p>{MORE}</p></header><main><header><h1>Mills</h1></header><p>{LONG}</p></main><footer><p>{MORE}</p></footer>", f"Mills\n{LONG}"),
+    "sidebar": (
+        f'<div class="sidebar"><p>{MORE}</p><p>{LONG}</p></div><div class="content"><p>Short one.</p><p>{LONG}</p></div>',
+        f"Short one.\n{LONG}",
+    ),
+    "links in text": (
+        '<article><p>See <a href="/a">the mill</a> and <a href="/b">the dam</a> near it.</p><p>Ok.</p></article>',
+        "See the mill and the dam near it.\nOk.",
+    ),
+    "references": (
+        "<article><p>a &lt;b&gt; &amp;&#233; c</p>\n<p>x<!-- no --> y</p><script>var t='</p>';</script></article><footer>&copy; us</footer>",
+        "a <b> &é c\nx y",
+    ),
+    "header and footer": (
+        f"<header><p>{MORE}</p></header><main><header><h1>Mills</h1></header><p>{LONG}</p></main><footer><p>{MORE}</p></footer>",
+        f"Mills\n{LONG}",
+    ),
 }
 
 

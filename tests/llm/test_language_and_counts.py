@@ -74,10 +74,16 @@ def speaker(rng, syllables):
 def test_foreign_and_junk_texts_go_and_known_ones_stay(spark):
     rng = random.Random(9)
     known = {"aa": speaker(rng, ["lor", "em", "ip", "sum", "dol", "a"]), "bb": speaker(rng, ["the", "an", "er", "in", "on", "s"])}
-    foreign = [speaker(rng, ["qy", "xz", "wk", "vj"]), speaker(rng, ["zyg", "krz", "szcz", "ow"]), speaker(rng, ["мир", "дом"]), speaker(rng, ["ee", "oo", "uu"])]
+    foreign = [
+        speaker(rng, ["qy", "xz", "wk", "vj"]), speaker(rng, ["zyg", "krz", "szcz", "ow"]), speaker(rng, ["мир", "дом"]),
+        speaker(rng, ["ee", "oo", "uu"]),
+    ]
     rows = [(k, speak(rng.randrange(5, 90)), lang) for k, (lang, speak) in enumerate(list(known.items()) * 150)]
     bad = [(1000 + k, speak(rng.randrange(10, 60)), None) for k, speak in enumerate(foreign * 10)]
-    bad += [(2000, "for(i=0;i<n;i++){x[i]^=y[j]&z;}", None), (2001, "q" * 500, None), (2002, "!!! 123", None), (2003, None, "aa"), (2004, "", None)]
+    bad += [
+        (2000, "for(i=0;i<n;i++){x[i]^=y[j]&z;}", None), (2001, "q" * 500, None), (2002, "!!! 123", None), (2003, None, "aa"),
+        (2004, "", None),
+    ]
     frame = spark.createDataFrame(rows + bad, "doc_id long, text string, lang string")
     kept = {r.doc_id for r in language_id.in_known_languages(frame).collect()}
     held = {r[0] for r in rows}
@@ -102,7 +108,10 @@ def test_chunks_and_widenings_are_told(spark):
 
 
 def test_null_ids_do_not_share_a_bucket(spark):
-    frame = spark.createDataFrame([(None, f"text number {k} of many", "a") for k in range(300)] + [(None, None, "a")], "doc_id long, text string, source string")
+    frame = spark.createDataFrame(
+        [(None, f"text number {k} of many", "a") for k in range(300)] + [(None, None, "a")],
+        "doc_id long, text string, source string",
+    )
     got = mixing.mix(frame)
     assert got.count() == 301 and got.agg(F.sum("taken")).first()[0] == 1500 * 3 // 2
     places = [r.position for r in got.collect() if r.position is not None]
@@ -130,7 +139,10 @@ def test_repeated_labels_are_learnt_from_once(spark):
     labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, quality int")
     usable = language_id.crc_bucket(F.col("doc_id"), 4) != 2
     once = quality.scored(frame, quality.learn(frame, labels, usable))
-    again = quality.scored(frame, quality.learn(frame.unionByName(frame.where("doc_id = 4")), labels.unionByName(labels.where("doc_id < 9")), usable))
+    again = quality.scored(
+        frame,
+        quality.learn(frame.unionByName(frame.where("doc_id = 4")), labels.unionByName(labels.where("doc_id < 9")), usable),
+    )
     a, b = ({r.doc_id: r.score for r in x.collect()} for x in (once, again))
     assert max(abs(a[k] - b[k]) for k in a) < 1e-6 and all((a[k] > 0.5) == bool(k % 2) for k in a)
 
