@@ -58,7 +58,7 @@ def _met(maybe: DataFrame, groups: DataFrame) -> DataFrame:
 
     There are at most rows / HOT large groups, so a text that a third of all rows have never meets in one task.
     """
-    if groups.count() <= BROADCAST_ROWS:
+    if groups.count() <= BROADCAST_ROWS // 5:  # about 15 MB of digests and ids at most
         return maybe.join(F.broadcast(groups), "digest")
     hot = F.broadcast(groups.where(F.col("n") > HOT))
     cold = maybe.join(hot, "digest", "left_anti").join(groups.where(F.col("n") <= HOT), "digest")
