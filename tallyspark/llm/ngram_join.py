@@ -73,7 +73,7 @@ class Shingler:
         self.size = size
 
     def __call__(self, texts: pa.Array) -> list[np.ndarray]:
-        texts = pc.fill_null(texts, "")
+        texts = pc.fill_null(texts.cast(pa.string()), "")
         at = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1]
         raw = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[at[0] : at[-1]]
         h, ends = self._words(raw, at - at[0])
@@ -87,19 +87,28 @@ class Shingler:
         return out
 
     @staticmethod
-    def _words(raw: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of all words, each a sum over its bytes and their places, and how many end before each edge of a text."""
+    def _words(raw: np.ndarray, edges: np.ndarray, step: int = PART) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of all words, each a sum over its bytes and their places, and how many start before each edge of a text.
+
+        Sums are taken over ``step`` bytes at a time, so the memory for a very long text is that of its words.
+        """
         inside = ~SPACE[raw]
         begins = inside.copy()
         begins[1:] &= ~inside[:-1]
         first = edges[:-1][edges[:-1] < len(raw)]
         begins[first] = inside[first]
-        ends = np.searchsorted(np.flatnonzero(begins), edges)
-        letters, starts = LOWER[raw[inside]].astype(np.uint64), np.flatnonzero(begins[inside])
-        if not len(starts):
-            return np.zeros(0, np.uint64), ends
-        place = np.arange(len(letters)) - np.repeat(starts, np.diff(np.append(starts, len(letters))))
-        return mix(np.add.reduceat(mix((place.astype(np.uint64) << np.uint64(8) | letters) * ONE + TWO), starts) * ONE), ends
+        starts = np.flatnonzero(begins)
+        sums, before = np.zeros(len(starts), np.uint64), 0
+        for at in range(0, len(raw), step):
+            some, begun = inside[at : at + step], begins[at : at + step]
+            place = np.flatnonzero(some)
+            if len(place):
+                word = before + np.cumsum(begun)[place] - 1
+                x = (place + at - starts[word]).astype(np.uint64) << np.uint64(8) | LOWER[raw[at + place]]
+                cuts = np.flatnonzero(np.diff(word, prepend=-1))
+                sums[word[cuts]] += np.add.reduceat(mix(x * ONE + TWO), cuts)
+            before += int(begun.sum())
+        return mix(sums * ONE), np.searchsorted(starts, edges)
 
     @staticmethod
     def _windows(h: np.ndarray, n: int) -> np.ndarray:

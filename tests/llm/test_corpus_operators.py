@@ -207,6 +207,13 @@ def test_counts_beyond_two_bytes_keep_their_candidates(spark):
 
 def test_shingles_are_those_of_the_words():
     texts = [" Ab  cd\tEF gh\x0bij ab cd ", None, "", "\n", "x", "É é x9 É", "ab cd ef gh ij", "w" * 70_000 + " b c"]
+    raw = np.frombuffer(b"".join((t or "").encode() for t in texts), np.uint8)
+    edges = np.cumsum([0, *(len((t or "").encode()) for t in texts)])
+    whole = ngram_join.Shingler._words(raw, edges)
+    for step in (1, 3, 1000):
+        assert all(np.array_equal(x, y) for x, y in zip(whole, ngram_join.Shingler._words(raw, edges, step), strict=True))
+    large = ngram_join.Shingler(3)(pa.array(texts, pa.large_string()))
+    assert all(np.array_equal(x, y) for x, y in zip(large, ngram_join.Shingler(3)(pa.array(texts)), strict=True))
     sets = ngram_join.Shingler(3)(pa.array(["skipped", *texts])[1:])
     words = [(t or "").encode().lower().split() for t in texts]
     assert [len(s) for s in sets] == [len({tuple(w[i : i + 3]) for i in range(len(w) - 2)}) if len(w) > 2 else min(len(w), 1) for w in words]
