@@ -135,16 +135,19 @@ def _less_borrow_fees(day: DataFrame, base: DataFrame, financing: Financing) ->
     return d.withColumn("rest", F.col("rest") - paid).drop("fee", "first_short")
 
 
-def run_books(growth: DataFrame, targets: DataFrame, capital: float, financing: Financing, costs: TradeCosts) -> DataFrame:
+def run_books(growth: DataFrame, targets: DataFrame, capital: float, financing: Financing, costs: TradeCosts, hold: bool = False) -> DataFrame:
     """run_id, session, equity, market_value, gross, cash, debt, trade_cost, market_pnl, financing_pnl of every run and session.
 
     ``growth`` is a ``growth_index``; ``targets`` has (run_id, session, asset, weight, gross_leverage): the basket bought at
     that close, with weights that may be negative, for gross_leverage times the equity left after costs. Values are
     after the trades of their session. A run ends with the first session at which equity is below the maintenance share
-    of its gross holdings, or gone.
+    of its gross holdings, or gone. With ``hold`` only the first basket of each run is bought, and held to the end.
     """
     keys, rate = ["run_id", "session"], costs.rate
     p, basket = F.col("weight") * F.col("gross_leverage"), Window.partitionBy("run_id", "session")
+    if hold:
+        first = F.min("session").over(Window.partitionBy("run_id"))
+        targets = targets.withColumn("first", first).where("session = first").drop("first")
     bought = targets.withColumn("net", F.sum(p).over(basket)).withColumn("gross_p", F.sum(F.abs(p)).over(basket))
     dates = bought.groupBy(*keys).agg(F.first("net").alias("net"), F.first("gross_p").alias("gross_p"))
     days = growth.select("session").distinct()
@@ -169,13 +172,17 @@ def run_books(growth: DataFrame, targets: DataFrame, capital: float, financing:
         day = _less_borrow_fees(day, base, financing)
     day = day.withColumn("worth", F.col("market") + F.col("rest"))
 
-    before = held.where("basket is not null")
-    if financing.stock_borrow_rate:
-        before = before.join(day.select(*keys, "worth"), keys)
+    steps = dates.withColumnRenamed("session", "start")
+    if hold:
+        steps = steps.withColumns({"ratio": F.lit(None).cast("double"), "cost": F.lit(None).cast("double")})
     else:
-        before = before.withColumn("worth", F.sum("unit").over(basket) + F.col("rest"))
-    solved = _after_costs(before, targets, rate).withColumnRenamed("session", "start")
-    steps = dates.withColumnRenamed("session", "start").join(solved, ["run_id", "start"], "left")
+        before = held.where("basket is not null")
+        if financing.stock_borrow_rate:
+            before = before.join(day.select(*keys, "worth"), keys)
+        else:
+            before = before.withColumn("worth", F.sum("unit").over(basket) + F.col("rest"))
+        solved = _after_costs(before, targets, rate).withColumnRenamed("session", "start")
+        steps = steps.join(solved, ["run_id", "start"], "left")
     entry = 1 / (1 + rate * F.col("gross_p"))  # the first basket is bought with money alone
     steps = steps.withColumn("cost", F.coalesce("cost", 1 - entry)).withColumn("ratio", F.coalesce("ratio", entry))
     order = Window.partitionBy("run_id").orderBy("start").rowsBetween(Window.unboundedPreceding, 0)

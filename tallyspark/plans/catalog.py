@@ -824,7 +824,7 @@ def buy_and_hold_financed(spark, d):
     p = views.events_panel(spark, d).select("session", "asset", "close")
     runs = _targets(spark, d, "n = 1", [("L1.0", 1.0), ("L1.5", 1.5), ("L2.0", 2.0)])
     out = ledger.run_books(
-        ledger.growth_index(p), runs, CAPITAL, ledger.Financing(borrowing_rate=0.05), ledger.TradeCosts(commission_bps=10),
+        ledger.growth_index(p), runs, CAPITAL, ledger.Financing(borrowing_rate=0.05), ledger.TradeCosts(commission_bps=10), hold=True,
     )
     return out.select("run_id", "session", *(F.round(c, 4).alias(c) for c in ("market_value", "debt", "equity")))
 
