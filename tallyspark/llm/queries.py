@@ -7,6 +7,7 @@ from tallyspark.llm.language_id import op5_language_id
 from tallyspark.llm.mixing import OP4_SQL, op4_curriculum_mix
 from tallyspark.llm.ngram_join import OP8_SQL, op8_ngram_jaccard
 from tallyspark.llm.pii import op6_pii
+from tallyspark.llm.piece_codec import op13_sentencepiece
 from tallyspark.llm.quality import op1_quality
 from tallyspark.llm.token_count import op3_token_count
 from tallyspark.llm.warc import OP2_SQL, op2_warc
@@ -22,6 +23,7 @@ QUERIES = {
     "op8_ngram_jaccard": op8_ngram_jaccard,
     "op9_html_extract": op9_html_extract,
     "op10_decontaminate": op10_decontaminate,
+    "op13_sentencepiece": op13_sentencepiece,
 }
 SQL = {
     "op2_warc": OP2_SQL, "op4_curriculum_mix": OP4_SQL, "op7_exact_dedup": OP7_SQL, "op8_ngram_jaccard": OP8_SQL,
