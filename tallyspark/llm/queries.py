@@ -1,6 +1,7 @@
 """The queries of this subpackage and the SQL that DuckDB can run for them."""
 
 from tallyspark.llm.decontaminate import OP10_SQL, op10_decontaminate
+from tallyspark.llm.divergence import OP11_SQL, op11_source_divergence
 from tallyspark.llm.exact_dedup import OP7_SQL, op7_exact_dedup
 from tallyspark.llm.html_extract import op9_html_extract
 from tallyspark.llm.language_id import op5_language_id
@@ -23,9 +24,10 @@ QUERIES = {
     "op8_ngram_jaccard": op8_ngram_jaccard,
     "op9_html_extract": op9_html_extract,
     "op10_decontaminate": op10_decontaminate,
+    "op11_source_divergence": op11_source_divergence,
     "op13_sentencepiece": op13_sentencepiece,
 }
 SQL = {
     "op2_warc": OP2_SQL, "op4_curriculum_mix": OP4_SQL, "op7_exact_dedup": OP7_SQL, "op8_ngram_jaccard": OP8_SQL,
-    "op10_decontaminate": OP10_SQL,
+    "op10_decontaminate": OP10_SQL, "op11_source_divergence": OP11_SQL,
 }
