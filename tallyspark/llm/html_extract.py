@@ -2,8 +2,8 @@
 
 A page is cut into flat blocks at block-level tags. Each block has its number of words and its link density
 (share of words inside links), those of the blocks before and after it, and three hints: how strongly the
-containers it stands in are marked as furniture (2: by their tag, as navigation, footers and forms are, or by an
-unmistakable name; 1: by a name that articles use too, such as ``notice`` or ``widget``), whether they are marked as
+containers it stands in are marked as furniture (2: by their tag, as navigation, footers and forms are, or by a
+name of nothing but words of furniture; 1: by a name that articles use too, such as ``notice`` or ``related-work``), whether they are marked as
 the article, and whether it is a heading. A decision tree, grown by Gini impurity from the small labelled
 table PAGES, tells article text from the rest. Names and tags are inputs to it like the others: runs of links inside
 an article are a menu, long text without links in a container of a doubtful name is text, and pages that mark
@@ -62,16 +62,21 @@ IMPLIED = {
 }
 for _name in "address article aside blockquote center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main menu nav ol p pre section summary table ul".split():
     IMPLIED[_name] = [*IMPLIED.get(_name, []), (PARAGRAPH, {"p"})]
-#: Words in class, id or role that mark furniture for sure, those that articles use too, and those of articles.
+#: Words in class, id or role that mark furniture, those that articles use too, and those of articles.
 _NAME = r"(?:^|[\s_-])(?:{})(?:$|[\s_-])"
-FURNITURE_NAMES = re.compile(
-    _NAME.format(
-        r"ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner\w*|cookies?|consent|gdpr|sidebar|menu|nav\w*|breadcrumbs?"
-        r"|footer|masthead|topbar|toolbar|comments?|respond|replies|disqus|share|social|related|recommend\w*"
-        r"|subscribe|newsletter|signup|login|search|popup|modal|pagination|pager|complementary|contentinfo|dialog"
-    ),
-    re.I,
+FURNITURE_WORD = (
+    r"ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner\w*|cookies?|consent|gdpr|sidebar|menu|nav\w*|breadcrumbs?"
+    r"|footer|masthead|topbar|toolbar|comments?|respond|replies|disqus|share|social|related|recommend\w*"
+    r"|subscribe|newsletter|signup|login|search|popup|modal|pagination|pager|complementary|contentinfo|dialog"
+)
+#: Words that say nothing of what stands in an element, beside a word of furniture.
+PLAIN_WORD = (
+    r"site|page|main|global|top|bottom|left|right|upper|lower|inner|outer|primary|secondary|box|block|boxes|section|list|area|wrap|wrapper|container"
+    r"|group|grid|row|col|column|bar|panel|slot|unit|zone|links?|posts?|articles?|stories|items?|widget|header|body|form|field|btn|button|icons?|overlay|text|\w*\d\w*"
 )
+FURNITURE_NAMES = re.compile(_NAME.format(FURNITURE_WORD), re.I)
+#: A name made of such words alone is sure; beside any other word ("related-work", "comments-policy") it is doubtful.
+SURE_NAME = re.compile(rf"(?:(?:{FURNITURE_WORD}|{PLAIN_WORD})(?:[_-]+|$))+", re.I)
 DOUBTFUL_NAMES = re.compile(_NAME.format(r"notice|alert|side|header|widget|skip|tags"), re.I)
 ARTICLE_NAMES = re.compile(_NAME.format(r"article\w*|story\w*|post|entry|content|prose|bodytext"), re.I)
 #: Elements too small to be a container of furniture by a doubtful name.
@@ -132,6 +137,22 @@ PAGES = (
     ((2, 1, 0, 0, 0, 0), (3, 0, 0, 0, 1, 0), (2, 1, 0, 0, 0, 0), (2, 1, 0, 0, 0, 0), (5, 0, 0, 0, 1, 1), (50, 0, 0, 0, 0, 1), (3, 0, 0, 0, 1, 1),
      (22, 0, 0, 0, 0, 1), (4, 0.2, 0, 0, 1, 0), (3, 1, 0, 0, 0, 0), (4, 1, 0, 0, 0, 0)),
     ((9, 0, 0, 1, 1, 1), (1, 0, 0, 1, 0, 1), (5, 0, 0, 1, 1, 1), (2, 0, 0, 1, 0, 1), (12, 0, 2, 0, 0, 0), (1, 1, 2, 0, 0, 0)),
+    # marked links between paragraphs of the article: adverts, share boxes, buttons, menus and related boxes
+    ((60, 0, 0, 1, 0, 1), (3, 1, 2, 1, 0, 0), (55, 0, 0, 1, 0, 1)),
+    ((9, 0, 0, 1, 1, 1), (70, 0.05, 0, 1, 0, 1), (5, 1, 2, 1, 0, 0), (40, 0, 0, 1, 0, 1), (2, 1, 2, 1, 0, 0), (33, 0, 0, 1, 0, 1), (12, 0.9, 2, 1, 0, 0),
+     (25, 0, 0, 1, 0, 1), (4, 0.7, 2, 1, 0, 0), (3, 0.5, 2, 1, 0, 0)),
+    ((45, 0, 0, 1, 0, 1), (1, 1, 2, 1, 0, 0), (1, 1, 2, 1, 0, 0), (38, 0, 0, 1, 0, 1), (30, 1, 2, 1, 0, 0), (50, 0.1, 0, 1, 0, 1), (8, 1, 1, 1, 0, 0), (41, 0, 0, 1, 0, 1)),
+    ((28, 0, 0, 0, 0, 1), (4, 1, 2, 0, 0, 0), (36, 0, 0, 0, 0, 1), (7, 0.8, 2, 0, 0, 0), (20, 0, 0, 0, 0, 1)),
+    # paragraphs of the article that are links throughout: one between texts, or the last after text
+    ((50, 0, 0, 1, 0, 1), (14, 1, 0, 1, 0, 1), (44, 0, 0, 1, 0, 1), (8, 1, 0, 1, 0, 1), (30, 0.1, 0, 1, 0, 1), (4, 1, 0, 1, 0, 1), (5, 0, 2, 0, 0, 0)),
+    ((8, 0, 0, 1, 1, 1), (20, 0, 0, 1, 0, 1), (6, 0, 0, 1, 0, 1), (5, 1, 0, 1, 0, 1)),
+    ((8, 0, 0, 1, 1, 1), (25, 0, 0, 1, 0, 1), (3, 0, 0, 1, 0, 1), (2, 1, 0, 1, 0, 1), (2, 1, 2, 0, 0, 0)),
+    # while the first and the last of several links are a menu's
+    ((1, 0, 0, 1, 1, 1), (2, 1, 0, 1, 0, 0), (2, 1, 0, 1, 0, 0), (2, 1, 0, 1, 0, 0), (22, 0, 0, 1, 0, 1), (35, 0, 0, 1, 0, 1), (4, 1, 0, 1, 0, 0), (5, 1, 0, 1, 0, 0),
+     (2, 1, 0, 1, 0, 0), (40, 0, 0, 1, 0, 1)),
+    ((3, 0, 0, 1, 1, 1), (6, 1, 0, 1, 0, 0), (7, 1, 0, 1, 0, 0), (18, 0, 0, 1, 0, 1), (1, 1, 0, 1, 0, 0), (1, 1, 0, 1, 0, 0), (9, 0, 0, 1, 0, 1)),
+    # names that only hold a word of furniture over long text of the article
+    ((31, 0, 0, 1, 0, 1), (45, 0, 1, 1, 0, 1), (60, 0.05, 1, 1, 0, 1), (22, 0, 0, 1, 0, 1), (48, 0, 1, 1, 0, 1)),
 )
 
 
@@ -252,8 +273,8 @@ class Scanner:
             return 0
         if name == "header":
             return 0 if article else 2
-        if FURNITURE_NAMES.search(names):
-            return 2
+        if named := [n for n in names.split() if FURNITURE_NAMES.search(n)]:
+            return 2 if any(map(SURE_NAME.fullmatch, named)) else 1
         return int(name not in PHRASES and bool(DOUBTFUL_NAMES.search(names)))
 
     def end(self, name: str) -> None:

@@ -56,6 +56,20 @@ CASES = {
         f"<header><p>{MORE}</p></header><main><header><h1>Mills</h1></header><p>{LONG}</p></main><footer><p>{MORE}</p></footer>",
         f"Mills\n{LONG}",
     ),
+    **{
+        f"linked {name} in article": (f'<article><p>{LONG}</p>{box}<p>{MORE}</p></article>', f"{LONG}\n{MORE}")
+        for name, box in {
+            "advert": '<aside class="ad"><a href="/x">Buy now cheap</a></aside>', "share": '<div class="share"><a href="/x">Share this story</a></div>',
+            "form": '<form><a href="/x">Sign up</a></form>', "nav": '<nav><a href="/p">Prev</a> <a href="/n">Next</a></nav>',
+            "related": '<div class="related-posts"><a href="/x">Ten mills to see</a></div>', "promo": '<div id="promo-box"><a href="/x">Only today</a> half price</div>',
+        }.items()
+    },
+    "related work": (f'<article><p>{LONG}</p><section class="related-work"><p>{MORE} {LONG}</p></section><p>{MORE}</p></article>', f"{LONG}\n{MORE} {LONG}\n{MORE}"),
+    "comments policy": (f'<article><p>{LONG}</p><section id="comments-policy"><p>{MORE} {MORE}</p></section></article>', f"{LONG}\n{MORE} {MORE}"),
+    "search results": (f'<article><p>{LONG}</p><div class="search-results"><p>{MORE} {LONG}</p></div><p>{LONG}</p></article>', f"{LONG}\n{MORE} {LONG}\n{LONG}"),
+    "linked paragraph": (f'<article><p>{LONG}</p><p><a href="/m">What the miller wrote of it in spring</a></p><p>{MORE}</p></article>', f"{LONG}\nWhat the miller wrote of it in spring\n{MORE}"),
+    "link as last item": (f'<article><p>{LONG}</p><ul><li>Old mills of the valley</li><li><a href="/m">The book of weights</a></li></ul></article><footer>us</footer>', f"{LONG}\nOld mills of the valley\nThe book of weights"),
+    "long advert in article": (f'<article><p>{LONG}</p><div class="ad-slot"><p>{MORE}</p></div><p>{LONG}</p></article>', f"{LONG}\n{LONG}"),
 }
 
 
