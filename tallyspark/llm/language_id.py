@@ -13,9 +13,11 @@ Models are fitted on at most DOCS_PER_LANGUAGE whole documents of each language
 hash of their id), a bound that is a parameter. A quarter of them is held back to calibrate. The temperature turns
 cross-entropies into shares of the languages. Rejection compares two kinds of texts, at lengths from a word to pages:
 held-back texts in their own language, and held-back texts when their language is not among the models, which is how
-a text in a language never learnt looks. The limit at each length lies halfway between the highest cross-entropy of
-the first kind and the lowest of the second, but never below the first: what is like the training texts stays. The
-score is the share of the language times how surely the text is within that limit (a half at the limit itself), so
+a text in a language never learnt looks. The limit at each length lies halfway between the highest cross-entropies of
+the first kind and the lowest of the second (quantiles), but SLACK above the first at least: what is like the training texts stays.
+Before all that, texts of a language that a model of the others finds far stranger than most are left out (``_usual``), so that
+junk among the training texts neither enters the models nor lifts the limits. At most LANGUAGES languages, those with most texts,
+are learnt. The score is the share of the language times how surely the text is within that limit (a half at the limit itself), so
 rejected texts score below a half.
 
 Edge cases: null text, and text without a letter, is ``und`` with score 0 and rejected; rows with a null
@@ -232,12 +234,19 @@ def _parts(sizes: list[int]) -> Iterator[list[int]]:
 
 #: Lengths in characters at which rejection is calibrated, and snippets of each held-back text at each.
 LENGTHS, SNIPPETS = (8, 16, 32, 64, 128, 256, 512, 1024, 4096), 4
+#: Share of snippets at either end that calibration passes over, and how far above nearly all others a text to learn from may be.
+TAIL, STRANGE = 0.0005, 4.0
+#: How far above the held-back texts the limit is at least, as a factor: texts a little stranger than all of a few hundred stay.
+SLACK = 1.15
+#: Languages that are learnt at most: those with the most texts.
+LANGUAGES = 256
 
 
 class Identifier:
     """Models with their calibration."""
 
     def __init__(self, texts: dict[str, list[str]]):
+        texts = {k: self._usual(t) for k, t in texts.items()}
         held = {k: t[::4] if len(t) > 8 else t for k, t in texts.items()}
         fit = {k: [x for i, x in enumerate(t) if i % 4] if len(t) > 8 else t for k, t in texts.items()}
         self.model = KneserNey(fit)
@@ -249,6 +258,22 @@ class Identifier:
         self.power = best[1]
         self.limits, self.spread = self._calibrated(held)
 
+    @staticmethod
+    def _usual(texts: list[str]) -> list[str]:
+        """``texts`` without those that a model of the language's other texts finds far stranger than nine tenths of them.
+
+        Each half is read by a model of the other half, so a stray text (junk, code, another language) does not vouch for itself.
+        """
+        if len(texts) <= 16:
+            return texts
+        bits = np.zeros(len(texts))
+        for half in (0, 1):
+            model = KneserNey({"": texts[1 - half :: 2]})
+            h, n = model.entropies(Coder(model.alphabet), texts[half::2])
+            bits[half::2] = np.where(n > 0, h[:, 0], np.inf)
+        middle, high = np.quantile(bits, [0.5, 0.85], method="lower")
+        return [t for t, b in zip(texts, bits, strict=True) if b <= middle + STRANGE * max(high - middle, 0.05 * middle)]
+
     def _calibrated(self, held: dict[str, list[str]]) -> tuple[np.ndarray, float]:
         """Bits for each character beyond which a text is in none of the languages, at each of LENGTHS; and their scale."""
         limits, spread, high = [], [], 0.0
@@ -261,8 +286,10 @@ class Identifier:
                 own.append(h.min(axis=1))
                 foreign.append(np.delete(h, k, axis=1).min(axis=1) if h.shape[1] > 1 else np.full(len(h), self.model.uniform))
             own, foreign = np.concatenate(own), np.concatenate(foreign)
-            high = max(high, own.max(initial=0.0))  # shorter texts vary more, so their limit is no lower
-            limits.append(max(high, (high + foreign.min(initial=self.model.uniform)) / 2))
+            # Quantiles, as a few strange texts may be left; shorter texts vary more, so their limit is no lower.
+            high = max(high, np.quantile(own, 1 - TAIL) if len(own) else 0.0)
+            near = np.quantile(foreign, 10 * TAIL) if len(foreign) else self.model.uniform
+            limits.append(max(SLACK * high, (high + near) / 2))
             spread.append(own.std() if len(own) else 0.0)
         return np.array(limits[::-1]), max(float(np.mean(spread)), 1e-3)
 
@@ -297,7 +324,7 @@ def learn(
     )
     # Only ids whose hash is small enough for about four times the bound go on, so what meets in a language's task does not grow.
     # Repeated rows count once in all of this; the size only has to be about right, so it is estimated without a shuffle of hashes.
-    sizes = rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("size"))
+    sizes = rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("size")).orderBy(F.desc("size"), "lang").limit(LANGUAGES)
     share = (F.col("h").cast("double") + 2.0**63) / 2.0**64
     rows = rows.join(F.broadcast(sizes), "lang").where(share * F.col("size") <= 4.0 * per_language).select("lang", "h").distinct()
     picked = rows.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("n") <= per_language)

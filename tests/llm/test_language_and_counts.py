@@ -165,3 +165,30 @@ def test_tables_that_are_no_longer_needed_are_deleted(spark):
     docs = spark.createDataFrame([(k, "one two three four five six seven eight") for k in range(9)], "doc_id long, text string")
     left = ngram_join.one_of_each(docs)
     assert left.count() == 1 and [p.split("-")[0] for p in folder() - before] == ["gone"]
+
+
+def test_junk_among_the_training_texts_does_not_lift_the_limits(spark):
+    """5 % of junk, code and foreign text in training: what is foreign still goes, and known texts stay."""
+    rng = random.Random(12)
+    known = {"aa": speaker(rng, ["lor", "em", "ip", "sum", "dol", "a"]), "bb": speaker(rng, ["the", "an", "er", "in", "on", "s"])}
+    junk = lambda: " ".join("".join(rng.choice("qwxzvkjpyg0147#&%") for _ in range(9)) for _ in range(30))
+    rows = [(k, junk() if k % 20 < 2 and k % 40 < 21 else speak(rng.randrange(20, 90)), lang) for k, (lang, speak) in enumerate(list(known.items()) * 300)]
+    foreign = [
+        "Nel mezzo del cammin di nostra vita mi ritrovai per una selva oscura", "De kat zit op de mat en kijkt naar buiten waar het regent",
+        "Wczoraj wieczorem poszliśmy do kina na nowy film", "Os meninos foram para a escola muito cedo hoje de manhã", "Jag tycker mycket om att läsa böcker på kvällen",
+        "int main(int argc, char **argv) { return printf(argv[0]); }", "deadbeef0123456789abcdefcafebabe", "zxqv jkwq vbnm qwrtp lkjhg fdsaz xcvbq",
+    ]
+    bad = [(10_000 + k, t, None) for k, t in enumerate(foreign + [junk() for _ in range(40)])]
+    frame = spark.createDataFrame(rows + bad, "doc_id long, text string, lang string")
+    learnt = language_id.learn(frame, language_id.crc_bucket(F.col("doc_id"), 5) != 0)
+    out = {r.doc_id: r.rejected for r in language_id.identified(frame, learnt).collect()}
+    clean = [k for k, t, _ in rows if not set(t) & set("0147#&%qwxzvk")]
+    assert sum(out[k] for k in clean) <= 0.01 * len(clean)
+    assert sum(out[k] for k, *_ in bad) >= 0.95 * len(bad)
+
+
+def test_languages_learnt_are_those_with_most_texts(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "LANGUAGES", 2)
+    rows = [(k, f"some text number {'abc'[k % 3] * (k + 1)}", f"l{k % 4}" if k % 4 < 2 else f"x{k}") for k in range(60)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert language_id.learn(frame, F.lit(True)).model.languages == ["l0", "l1"]
