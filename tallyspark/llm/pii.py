@@ -3,10 +3,11 @@
 One pass of an Aho-Corasick automaton over the text in lower case finds at-signs, plus signs, URL schemes,
 identifier cues, prefixes of known secrets, and pairs of digits (side by side, or with a dot, a blank or a hyphen
 between them); each anchor has a parser that expands it to the left and right and validates what it got.
-Every parser is linear in the text, also for texts of one character repeated, and none has a limit to the length
-of what it finds. Kinds in their order: email, ip, card, phone (the base kinds), then those that the method adds:
-address (URLs), account (numbers and words with digits after a cue, IBANs) and secret (keys and tokens of a known
-shape, PEM blocks, whatever stands behind ``password`` and its like after a colon or an equals sign).
+All parsers together are linear in the text, whatever it repeats (what a parser has read in vain is not read again), and
+none has a limit to the length of what it finds. Kinds in their order: email, ip, card, phone (the base kinds), then those that the method adds:
+address (URLs), account (numbers and words with digits after a cue, also behind ``is`` or ``number``; IBANs with or
+without one) and secret (keys and tokens of a known shape, PEM blocks, what stands behind ``password`` and its like after a
+colon or an equals sign, unless it is a bare word of prose).
 
 Edge cases: null and empty texts have no spans (``base_sha256`` is that of the empty string, ``spans`` is
 empty); spans are in code points, end exclusive; repeated rows each get a row; extra columns are passed
@@ -53,11 +54,27 @@ DOTTED = re.compile(r"[0-9]++(?:\.[0-9]++)*")
 RUN = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 HOST = re.compile(r"(?:[^\s/?#<>\"'@]++@)?(?:\[[0-9A-Fa-f:.]+\]|[^\W_][\w-]*+(?:\.[\w-]++)*)(?::[0-9]{1,5})?(?:[/?#][^\s<>\"']*)?")
-CUE = r"[ \t]{0,4}(?:(?:no|nr|num|number|id|code)\b\.?)?[ \t]{0,4}[:=#]?[ \t]{0,4}[\"']?"
+#: Words that stand between a cue and its number.
+CUE = (
+    r"(?:[ \t]{0,4}(?:no|nr|num|number|id|code|nummer|numero|número|numéro)\b\.?)?(?:[ \t]{1,4}(?:is|was|are|ist|lautet|es|est)\b)?"
+    r"[ \t]{0,4}[:=#]?[ \t]{0,4}[\"']?"
+)
 IBAN = r"[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
+WORD = re.compile("[A-Za-z0-9-]+")
+#: Characters of an IBAN by country.
+IBAN_LENGTHS = {
+    "AD": 24, "AT": 20, "BE": 16, "BG": 22, "CH": 21, "CY": 28, "CZ": 24, "DE": 22, "DK": 18, "EE": 20, "ES": 24, "FI": 18, "FR": 27, "GB": 22, "GR": 27,
+    "HR": 21, "HU": 28, "IE": 22, "IS": 26, "IT": 27, "LI": 21, "LT": 20, "LU": 20, "LV": 21, "MC": 27, "MT": 31, "NL": 18, "NO": 15, "PL": 28, "PT": 25,
+    "RO": 24, "SE": 24, "SI": 19, "SK": 24, "SM": 27, "TR": 26,
+}
+IBAN_FORMS = {k: re.compile(rf"{k}[0-9]{{2}}(?: ?[A-Z0-9]){{{n - 4}}}(?![A-Za-z0-9])") for k, n in IBAN_LENGTHS.items()}
+#: A day written in eight digits is no account.
+DAY = re.compile(r"(?:19|20)[0-9]{2}(?:0[1-9]|1[0-2])(?:0[1-9]|[12][0-9]|3[01])")
+#: What secrets of known shape are made of.
+TOKEN = re.compile(r"[0-9A-Za-z_.-]*+")
 AFTER_CUE = re.compile(rf"{CUE}(?:({IBAN})|([A-Za-z0-9][A-Za-z0-9-]*+))")
 #: Behind a secret's cue: anything quoted or not after a colon or an equals sign, else a long word with a digit.
-AFTER_SECRET = re.compile(r"[ \t]{0,4}[\"']?[ \t]{0,4}[:=][ \t]{0,4}[\"']?([^\s\"'<>,;]{6,}+)|[ \t]{1,4}([A-Za-z0-9_+/-]{16,}+)", re.A)
+AFTER_SECRET = re.compile(r"[ \t]{0,4}[\"']?[ \t]{0,4}[:=][ \t]{0,4}[\"']?([^\s\"'<>,;]{6,}+)|[ \t]{1,4}([A-Za-z0-9_+/.-]{16,}+)", re.A)
 
 
 def automaton() -> ahocorasick.Automaton:
@@ -66,6 +83,7 @@ def automaton() -> ahocorasick.Automaton:
     words += [*((c, "cue") for c in SECRET_CUES), *((c, "secret") for c in SHAPES)]
     words += [(a + between + b, "card") for between in ("", " ", "-") for a in digits for b in digits]
     words += [(f"{a}.{b}", "ip") for a in digits for b in digits]
+    words += [(chr(a) + b, "iban") for a in range(97, 123) for b in digits]
     found = ahocorasick.Automaton()
     for word, what in words:
         found.add_word(word, (what, word))
@@ -97,16 +115,25 @@ def _email(text: str, at: int, low: int) -> tuple[int, int] | None:
     return (start, m.end()) if m else None
 
 
-def _account(text: str, cue: int, end: int) -> tuple[int, int] | None:
+def _account(text: str, cue: int, end: int) -> tuple[tuple[int, int] | None, int]:
+    """The account behind a cue, and how far was read: a word that is none holds none either."""
     if cue and text[cue - 1].isalnum():
-        return None
+        return None, end
     m = AFTER_CUE.match(text, end)
     if m is None:
-        return None
+        return None, end
     if m[1] and iban(m[1]):
-        return m.span(1)
-    word = re.compile("[A-Za-z0-9-]+").match(text, m.start(m.lastindex))
-    return word.span() if sum(c.isdigit() for c in word[0]) >= 4 and len(word[0]) >= 6 else None
+        return m.span(1), m.end(1)
+    word = WORD.match(text, m.start(m.lastindex))
+    good = sum(c.isdigit() for c in word[0]) >= 4 and len(word[0]) >= 6 and not DAY.fullmatch(word[0])
+    return word.span() if good else None, word.end()
+
+
+def _iban(text: str, at: int) -> tuple[int, int] | None:
+    """An IBAN whose second letter stands at ``at``: it needs no cue, as its country's length and check digits tell it."""
+    form = at and not (at > 1 and text[at - 2].isalnum()) and IBAN_FORMS.get(text[at - 1 : at + 1])
+    m = form.match(text, at - 1) if form else None
+    return m.span() if m and iban(m[0]) else None
 
 
 def _secret(text: str, cue: int, end: int) -> tuple[int, int] | None:
@@ -116,7 +143,9 @@ def _secret(text: str, cue: int, end: int) -> tuple[int, int] | None:
     if m is None or (m[2] and not any(map(str.isdigit, m[2]))):
         return None
     a, b = m.span(m.lastindex)
-    return a, a + len(text[a:b].rstrip(".!?)]}"))
+    b = a + len(text[a:b].rstrip(".!?)]}"))
+    prose = m[1] and text[a:b].isalpha() and text[a - 1] not in "\"'" and "=" not in text[end:a]
+    return None if prose else (a, b)
 
 
 def _ips(text: str, at: int, low: int) -> tuple[list[tuple[int, int]], int]:
@@ -138,10 +167,11 @@ def spans(text: str, anchors: ahocorasick.Automaton) -> dict[str, list[tuple[int
     """Spans of each kind, in order of their start; none overlap within a kind."""
     out: dict[str, list[tuple[int, int]]] = {k: [] for k in KINDS}
     over = dict.fromkeys(KINDS, 0)  # how far each kind has read
+    vain: dict[str, int] = {}  # how far a secret's form was read and not found, by how it begins
     for last, (what, word) in anchors.iter(lower(text)):
         at, end = last - len(word) + 1, last + 1
-        kind = "secret" if what == "cue" else what
-        if at < over[kind]:
+        kind = {"cue": "secret", "iban": "account"}.get(what, what)
+        if at < over[kind] or at < vain.get(word, 0):
             continue
         got = None
         if what == "email":
@@ -164,8 +194,13 @@ def spans(text: str, anchors: ahocorasick.Automaton) -> dict[str, list[tuple[int
         elif what == "secret":
             m = FORMS[word].match(text, at) if not (at and text[at - 1].isalnum()) else None
             got = m and m.span()
+            if m is None and word in ("eyj", "xoxb-", "xoxp-", "glpat-"):
+                vain[word] = max(end, TOKEN.match(text, at).end()) if not (at and text[at - 1].isalnum()) else end
+        elif what == "account":
+            got, read = _account(text, at, end)
+            over[kind] = max(over[kind], read) if got is None else over[kind]
         else:
-            got = (_secret if what == "cue" else _account)(text, at, end)
+            got = _iban(text, at) if what == "iban" else _secret(text, at, end)
         if got and got[0] >= over[kind] or got and kind in ("phone", "card"):
             out[kind].append(got)
             over[kind] = got[1]

@@ -192,3 +192,40 @@ def test_languages_learnt_are_those_with_most_texts(spark, monkeypatch):
     rows = [(k, f"some text number {'abc'[k % 3] * (k + 1)}", f"l{k % 4}" if k % 4 < 2 else f"x{k}") for k in range(60)]
     frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     assert language_id.learn(frame, F.lit(True)).model.languages == ["l0", "l1"]
+
+
+PROSE = (
+    "The secret: nobody knows it. A client 20240506 meeting was moved. Our password: please ask at the desk, and the token: well, lost. "
+    "The account of the year 1998 was long; customer number one came by. An api key: what is that? Chapter 12, A1 road, B52 and DE89 are no accounts. "
+)
+
+
+def test_personal_data_in_sentences(spark):
+    from tallyspark.llm import pii
+
+    anchors = pii.automaton()
+    found = lambda t: {k: [t[a:b] for a, b in v] for k, v in pii.spans(t, anchors).items() if v}
+    assert found(PROSE) == {}
+    for text, kind, want in (
+        ("My SSN is 123-45-6789, keep it.", "account", "123-45-6789"), ("the account number is 12345678", "account", "12345678"),
+        ("Kontonummer ist 99887766", "account", "99887766"), ("pay to DE89 3704 0044 0532 0130 00 now", "account", "DE89 3704 0044 0532 0130 00"),
+        ("GB82WEST12345698765432.", "account", "GB82WEST12345698765432"), ("password: hunter2", "secret", "hunter2"), ("password=hunter", "secret", "hunter"),
+        ('secret: "nobody"', "secret", "nobody"), ("jwt eyJhbGciOiJIUzI1.eyJzdWIiOiIxMjM0.SflKxwRJSMeKKF2QT4", "secret", "eyJhbGciOiJIUzI1.eyJzdWIiOiIxMjM0.SflKxwRJSMeKKF2QT4"),
+    ):
+        assert found(text)[kind] == [want], text
+
+
+def test_no_anchor_makes_scanning_more_than_linear():
+    import time
+
+    from tallyspark.llm import pii
+
+    anchors = pii.automaton()
+    hostile = ["eyJ-", "eyJaaaaaaaaa.", "x-accountaaaa-", "ssn-", "xoxb-", "glpat-", "-----BEGIN ", "http://", "ssh://a", "a@", "@", "+1", "+1(", "12", "1.2.", "token/", "account:", "password=", "AKIA", "DE89 ", "secret: "]
+    for part in hostile:
+        took = []
+        for n in (100_000, 1_000_000):
+            text, began = part * (n // len(part)), time.process_time()
+            pii.spans(text, anchors)
+            took.append(time.process_time() - began)
+        assert took[1] < 4 and took[1] < 40 * max(took[0], 0.02), part
