@@ -87,7 +87,7 @@ def word_counts(docs: DataFrame, least: int = 7, drop: int | None = 31, id_col:
 
 
 def _nodes(keys: DataFrame, shallow: int) -> DataFrame:
-    """key, position, node, next: every prefix of each key of ``shallow`` code points or more, and the letter behind it ('' at the end)."""
+    """key, position, node, next: every prefix of each key of ``shallow`` code points or more, and the letter behind it (0 at the end)."""
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -97,20 +97,20 @@ def _nodes(keys: DataFrame, shallow: int) -> DataFrame:
                 for at in range(shallow, len(word) + 1):
                     if at > NAMED:
                         digest.update(word[at - 1].encode())
-                    values = key, at, word[:at] if at <= NAMED else f"{at}#{digest.hexdigest()}", word[at : at + 1]
+                    values = key, at, word[:at] if at <= NAMED else f"{at}#{digest.hexdigest()}", ord(word[at]) if at < len(word) else 0
                     for column, v in zip(out, values, strict=True):
                         column.append(v)
                 if len(out[0]) > 100_000:
-                    yield pa.RecordBatch.from_arrays(list(map(pa.array, out)), names)
+                    yield pa.RecordBatch.from_arrays(list(map(pa.array, out, kinds)), names)
                     out = [[], [], [], []]
             if out[0]:
-                yield pa.RecordBatch.from_arrays(list(map(pa.array, out)), names)
+                yield pa.RecordBatch.from_arrays(list(map(pa.array, out, kinds)), names)
 
     def name(word: str) -> str:
         return word if len(word) <= NAMED else f"{len(word)}#{hashlib.md5(word.encode()).hexdigest()}"
 
-    names = ["key", "position", "node", "next"]
-    return keys.select("word").mapInArrow(prefixes, "key string, position long, node string, next string")
+    names, kinds = ["key", "position", "node", "next"], [pa.string(), pa.int64(), pa.string(), pa.int32()]
+    return keys.select("word").mapInArrow(prefixes, "key string, position long, node string, next int")
 
 
 def _key(word: str = "word"):
@@ -124,16 +124,15 @@ def trie(keys: DataFrame, shallow: int) -> tuple[DataFrame, DataFrame]:
     """
     nodes = written(_nodes(keys, shallow), "nodes")
     forks = nodes.groupBy("node").agg(F.min("next").alias("low"), F.max("next").alias("high"), F.min("position").alias("position"))
-    forks = forks.where((F.col("low") != F.col("high")) | (F.col("low") == "") | (F.col("position") == shallow)).select("node")
+    forks = forks.where((F.col("low") != F.col("high")) | (F.col("low") == 0) | (F.col("position") == shallow)).select("node")
     own = nodes.select("key", "position", "node").join(forks, "node").groupBy("key").agg(F.sort_array(F.collect_list(F.struct("position", "node"))).alias("path"))
     own = own.join(keys.withColumn("key", _key()), "key").drop("key")
     steps = own.select(
         "word", "n", "said", F.posexplode("path").alias("k", "at"), F.col("path"),
     ).select("word", "n", "said", F.col("at.position").alias("position"), F.col("at.node").alias("node"), F.get("path", F.col("k") + 1).alias("to"))
     steps = written(steps.withColumn("label", F.expr("substring(word, position + 1, coalesce(to.position - position, 0))")), "steps")
-    inner = steps.where(F.col("to").isNotNull()).groupBy("node", F.substring("label", 1, 1).alias("first")).agg(
-        F.min("label").alias("label"), F.min("to.node").alias("child"), F.lit(None).cast("string").alias("said"), F.lit(None).cast("long").alias("said_n"),
-    )
+    inner = steps.where(F.col("to").isNotNull()).select("node", F.substring("label", 1, 1).alias("first"), "label", F.col("to.node").alias("child")).distinct()
+    inner = inner.select("*", F.lit(None).cast("string").alias("said"), F.lit(None).cast("long").alias("said_n"))
     ends = steps.where(F.col("to").isNull()).select("node", F.lit("").alias("first"), F.lit("").alias("label"), F.lit(None).cast("string").alias("child"), "said", F.col("n").alias("said_n"))
     return written(inner.unionByName(ends), "edges"), steps
 
