@@ -27,47 +27,94 @@ def standalone(series: DataFrame, factors: tuple[str, ...], portfolio: str = "r"
     )
 
 
-def joint_ols(series: DataFrame, factors: tuple[str, ...], portfolio: str = "r") -> DataFrame:
-    """term, coefficient, status of the joint fit with intercept.
+def _triangles(rows: DataFrame, columns: list[str], mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    """The triangle of a QR of the centred and scaled columns: by partition, then by 32 partitions of triangles, then of those."""
+    names = [f"c{i}" for i in range(len(columns))]
+    schema = ", ".join(f"{n} double" for n in names)
 
-    Each partition reduces its rows to the triangle of a QR of [1, factors, r] (at most k + 2 rows), the triangles
-    are stacked and reduced once more on the driver. That keeps the conditioning of the data, which normal
-    equations would square. Rank by pivots relative to the largest, after centring and scaling columns.
+    def reduce(shift: np.ndarray, by: np.ndarray):
+        def triangle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            r = np.zeros((0, len(names)))
+            for b in batches:
+                r = np.linalg.qr(np.vstack([r, (b.to_numpy(float) - shift) / by]), mode="r")
+            yield pd.DataFrame(r, columns=names)
+
+        return triangle
+
+    first = rows.select(*columns).mapInPandas(reduce(mean, scale), schema)
+    second = first.repartition(32).mapInPandas(reduce(np.zeros(len(names)), np.ones(len(names))), schema)
+    return np.linalg.qr(np.vstack([np.zeros((0, len(names))), second.toPandas().to_numpy()]), mode="r")
+
+
+def pivoted(r: np.ndarray) -> tuple[list[int], np.ndarray, np.ndarray]:
+    """Householder QR of all columns but the last, that of the largest remaining norm first: order, triangle, and the last column turned alike."""
+    a, k = r.copy(), r.shape[1] - 1
+    order = list(range(k))
+    for j in range(min(a.shape[0], k)):
+        best = j + int(np.argmax(np.linalg.norm(a[j:, j:k], axis=0)))
+        a[:, [j, best]], order[j], order[best] = a[:, [best, j]], order[best], order[j]
+        v = a[j:, j].copy()
+        alpha = np.linalg.norm(v)
+        if alpha == 0:
+            break
+        v[0] += np.copysign(alpha, v[0])
+        a[j:, j:] -= np.outer(v, 2 * (v @ a[j:, j:]) / (v @ v))
+    return order, a[:, :k], a[:, k]
+
+
+def design_fit(series: DataFrame, factors: tuple[str, ...], portfolio: str = "r") -> dict:
+    """The joint fit with intercept as a small dictionary: coefficients (or None), status, rank, tolerance, constant factors, n.
+
+    Factors are centred and brought to unit norm; those that never change are constant and count as zero. The rank is
+    that of the pivots of a column-pivoted QR above ``max(n, k) * epsilon`` times the largest, and one for the intercept. Fewer
+    rows than coefficients are ``insufficient_observations``, a lower rank is ``rank_deficient``; as many rows as coefficients fit.
     """
     k, columns = len(factors), [*factors, portfolio]
-    stats = series.agg(
-        F.count("*").alias("n"), *(F.avg(c).alias(f"m_{c}") for c in columns),
-        *(F.stddev_samp(c).alias(f"s_{c}") for c in factors),
-    ).first().asDict()
+    each = [(F.avg(c).alias(f"m_{c}"), F.var_samp(c).alias(f"v_{c}"), (F.min(c) == F.max(c)).alias(f"c_{c}")) for c in columns]
+    stats = series.agg(F.count("*").alias("n"), *(x for e in each for x in e)).first().asDict()
     n, mean = stats["n"], np.array([stats[f"m_{c}"] or 0.0 for c in columns])
-    scale = np.array([(stats[f"s_{c}"] or 0.0) * max(n - 1, 1) ** 0.5 for c in factors] + [1.0])
-    session, schema = series.sparkSession, ", ".join(f"c{i} double" for i in range(k + 1))
-    coefficient, status = [None] * (k + 1), "ok"
-    if n <= k + 1:
-        status = "insufficient_observations"
-    elif (scale == 0).any():
-        status = "rank_deficient"
+    constant = [c for c in factors if stats[f"c_{c}"]]
+    norm = np.array([0.0 if c in constant else ((stats[f"v_{c}"] or 0.0) * max(n - 1, 0)) ** 0.5 for c in factors])
+    out = {"coefficients": None, "n": n, "rank": 1, "tolerance": 0.0, "constant_factors": constant, "status": "ok"}
+    if n:
+        r = _triangles(series, columns, mean, np.append(np.where(norm > 0, norm, 1.0), 1.0))
+        r[:, :k][:, norm == 0] = 0.0
+        order, triangle, turned = pivoted(r)
+        pivots = np.abs(np.diagonal(triangle))
+        out["tolerance"] = float(max(n, k) * np.finfo(float).eps * (pivots[0] if len(pivots) else 0.0))
+        out["rank"] = 1 + int((pivots > out["tolerance"]).sum())
+    if n < k + 1:
+        out["status"] = "insufficient_observations"
+    elif out["rank"] < k + 1:
+        out["status"] = "rank_deficient"
     else:
+        b = np.zeros(k)
+        b[order] = np.linalg.solve(triangle[:k, :k], turned[:k]) / norm[order]
+        out["coefficients"] = [float(mean[k] - mean[:k] @ b), *map(float, b)]
+    return out
 
-        def triangle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            r = np.zeros((0, k + 1))
-            for b in batches:
-                r = np.linalg.qr(np.vstack([r, (b.to_numpy(float) - mean) / scale]), mode="r")
-            yield pd.DataFrame(r, columns=[f"c{i}" for i in range(k + 1)])
-
-        r = np.linalg.qr(series.select(*columns).mapInPandas(triangle, schema).toPandas().to_numpy(), mode="r")
-        pivots = np.linalg.svd(r[:k, :k], compute_uv=False)
-        if pivots[-1] <= max(n, k) * np.finfo(float).eps * pivots[0]:
-            status = "rank_deficient"
-        else:
-            b = np.linalg.solve(r[:k, :k], r[:k, k]) / scale[:k]
-            coefficient = [float(mean[k] - mean[:k] @ b), *map(float, b)]
-    return session.createDataFrame(
-        [(t, c, status) for t, c in zip(["intercept", *factors], coefficient, strict=True)],
+
+def joint_ols(series: DataFrame, factors: tuple[str, ...], portfolio: str = "r") -> DataFrame:
+    """term, coefficient, status of the joint fit with intercept (``design_fit``).
+
+    Rows meet in triangles of at most k + 1 rows a partition, which keeps the conditioning of the data; normal
+    equations would square it.
+    """
+    fit = design_fit(series, factors, portfolio)
+    values = fit["coefficients"] or [None] * (len(factors) + 1)
+    return series.sparkSession.createDataFrame(
+        [(t, c, fit["status"]) for t, c in zip(["intercept", *factors], values, strict=True)],
         "term string, coefficient double, status string",
     )
 
 
+def design(series: DataFrame, factors: tuple[str, ...], portfolio: str = "r") -> DataFrame:
+    """status, n_obs, rank, n_constant, constant_factors of a design: one row."""
+    f = design_fit(series, factors, portfolio)
+    row = (f["status"], f["n"], f["rank"], len(f["constant_factors"]), ",".join(f["constant_factors"]))
+    return series.sparkSession.createDataFrame([row], "status string, n_obs long, rank int, n_constant int, constant_factors string")
+
+
 def fitted(series: DataFrame, factors: tuple[str, ...], coefficients: DataFrame, portfolio: str = "r") -> DataFrame:
     """``series`` with ``fitted`` and ``residual`` of a joint fit; null where the fit has no coefficients."""
     c = {r["term"]: r["coefficient"] for r in coefficients.collect()}  # one row for each factor and the intercept
