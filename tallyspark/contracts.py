@@ -12,6 +12,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyspark.lineage import small
+
 
 class ContractError(ValueError):
     """A table breaks its contract."""
@@ -85,8 +87,15 @@ def key_differences(left: DataFrame, right: DataFrame, keys: tuple[str, ...], la
 
 def panel_completeness(prices: DataFrame, sessions: DataFrame, assets: DataFrame) -> DataFrame:
     """(session, asset, problem): cells a full panel of sessions by assets lacks, and prices outside it."""
-    cells = sessions.select("session").distinct().join(F.broadcast(assets.select("asset").distinct()))
-    return key_differences(cells, prices, ("session", "asset"))
+    days, names, have = sessions.select("session").distinct(), assets.select("asset").distinct(), prices.select("session", "asset").distinct()
+    inside = have.join(days, "session", "left_semi").join(names, "asset", "left_semi")
+    full = days.agg(F.count("*").alias("all"))
+    counted = names.join(inside.groupBy("asset").agg(F.count("*").alias("n")), "asset", "left").join(F.broadcast(full))  # one row
+    lacking = counted.where(F.coalesce("n", F.lit(0)) < F.col("all")).select("asset")
+    # Only assets that lack a session meet the calendar; their cells are what is looked for, or nearly so.
+    missing = lacking.join(small(days)).join(inside, ["session", "asset"], "left_anti").select("session", "asset", F.lit("missing").alias("problem"))
+    off = have.join(days, "session", "left_anti").unionByName(have.join(days, "session", "left_semi").join(names, "asset", "left_anti"))
+    return missing.unionByName(off.select("session", "asset", F.lit("unexpected").alias("problem")))
 
 
 def check_panel(prices: DataFrame, sessions: DataFrame, splits: DataFrame, dividends: DataFrame, timezone: str = "UTC") -> None:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyspark.lineage import small
+
 
 def lookback(rows: DataFrame, decision: str, sessions: int) -> DataFrame:
     """Rows of the last ``sessions`` sessions strictly before the decision."""
@@ -78,25 +80,93 @@ def inverse_volatility_weights(
     return out.withColumn("at_cap", F.abs(F.col("weight") - cap) <= 1e-12)
 
 
-def risk_contributions(rets: DataFrame, weights: DataFrame, decision: str, sessions: int, periods: float) -> DataFrame:
-    """asset, weight, volatility_contribution, fraction: Euler shares of the annual portfolio volatility."""
-    d = lookback(rets, decision, sessions)
-    x = d.select("session", F.col("asset").alias("asset_x"), F.col("value").alias("x"))
-    y = d.select("session", F.col("asset").alias("asset_y"), F.col("value").alias("y"))
-    cov = x.join(y, "session").groupBy("asset_x", "asset_y").agg(F.covar_samp("x", "y").alias("cov"))
-    w = F.broadcast(weights.select(F.col("asset").alias("asset_y"), F.col("weight").alias("w")))
-    m = cov.join(w, "asset_y").groupBy(F.col("asset_x").alias("asset")).agg(F.sum(F.col("cov") * F.col("w")).alias("marginal"))
-    m = m.join(F.broadcast(weights.select("asset", "weight")), "asset").withColumn("share", F.col("weight") * F.col("marginal"))
-    total = F.sum("share").over(Window.partitionBy(F.lit(0)))
+def incomplete_window(rets: DataFrame, decision: str, sessions: int) -> DataFrame:
+    """asset, n_obs of assets that have fewer than ``sessions`` values in the window before the decision."""
+    d = lookback(rets, decision, sessions).groupBy("asset").agg(F.count("value").alias("n_obs"))
+    return d.where(F.col("n_obs") < sessions)
+
+
+def risk_report(rets: DataFrame, weights: DataFrame, decision: str, sessions: int, periods: float, leverage: float = 1.0) -> DataFrame:
+    """asset, equity_weight, marginal_volatility, volatility_contribution, fraction_of_total, n_obs, status.
+
+    Weights are brought to a sum of ``leverage`` and must cover every asset of the window, else ValueError, as for assets
+    with too few returns. A marginal is the covariance with the portfolio's own returns over its volatility, so there are
+    as many numbers as returns, not as pairs of assets. A portfolio that does not move has nulls and a status.
+    """
+    if bad := incomplete_window(rets, decision, sessions).limit(5).collect():
+        raise ValueError(f"insufficient return observations before the decision: {[tuple(r) for r in bad]}")
+    d = lookback(rets, decision, sessions).select("session", "asset", "value")
+    w = weights.select("asset", "weight")
+    ours, theirs = d.select("asset").distinct(), w.select("asset").distinct()
+    if bad := ours.join(theirs, "asset", "left_anti").unionByName(theirs.join(ours, "asset", "left_anti")).limit(5).collect():
+        raise ValueError(f"risk weights must cover every return asset, including explicit zeros: {[r[0] for r in bad]}")
+    total = w.agg(F.sum("weight")).first()[0]
+    w = w.select("asset", (F.col("weight") / total * float(leverage)).alias("equity_weight"))
+    d = d.join(small(w), "asset")
+    held = d.groupBy("session").agg(F.sum(F.col("equity_weight") * F.col("value")).alias("portfolio"))  # one row for each session of the window
+    vol = held.agg((F.stddev_samp("portfolio") * float(periods) ** 0.5).alias("volatility"))
+    m = d.join(F.broadcast(held), "session").groupBy("asset").agg(
+        F.max("equity_weight").alias("equity_weight"), (F.covar_samp("value", "portfolio") * float(periods)).alias("cov"), F.count("*").alias("n_obs"),
+    ).join(F.broadcast(vol))  # fmt: skip  one row
+    moves = F.col("volatility") > 0
+    marginal = F.when(moves, F.try_divide("cov", "volatility"))
+    contribution = F.col("equity_weight") * marginal
     return m.select(
-        "asset", "weight",
-        (F.try_divide(F.col("share"), F.sqrt(total)) * float(periods) ** 0.5).alias("volatility_contribution"),
-        F.try_divide("share", total).alias("fraction"),
+        "asset", "equity_weight", marginal.alias("marginal_volatility"), contribution.alias("volatility_contribution"),
+        F.when(moves, F.try_divide(contribution, F.col("volatility"))).alias("fraction_of_total"), "n_obs",
+        F.when(moves, "ok").otherwise("zero_portfolio_volatility").alias("status"),
     )
 
 
-def liquidity(rets: DataFrame, volume: DataFrame, decision: str, sessions: int) -> DataFrame:
-    """asset, daily_volatility, dollar_adv, n_obs before the decision."""
+def covariances(rets: DataFrame, decision: str, sessions: int, periods: float) -> DataFrame:
+    """asset, other_asset, annualized_covariance of every pair of assets of the window: the matrix is the result."""
+    d = lookback(rets, decision, sessions).select("session", "asset", "value")
+    other = d.select("session", F.col("asset").alias("other_asset"), F.col("value").alias("other"))
+    return d.join(other, "session").groupBy("asset", "other_asset").agg((F.covar_samp("value", "other") * float(periods)).alias("annualized_covariance"))
+
+
+def risk_contributions(rets: DataFrame, weights: DataFrame, decision: str, sessions: int, periods: float) -> DataFrame:
+    """asset, weight, volatility_contribution, fraction: Euler shares of the annual portfolio volatility, of weights that sum to one."""
+    d = risk_report(rets, weights, decision, sessions, periods)
+    return d.select("asset", F.col("equity_weight").alias("weight"), "volatility_contribution", F.col("fraction_of_total").alias("fraction"))
+
+
+def liquidity_problems(rets: DataFrame, volume: DataFrame, decision: str, sessions: int, timezone: str = "UTC") -> DataFrame:
+    """asset, session, problem of what keeps liquidity from being estimated.
+
+    Over the last ``sessions`` sessions before the decision every asset needs one return and one volume, and no volume may belong
+    to another asset: ``missing_return``, ``missing_volume``, ``unexpected_volume``, ``repeated_volume``, ``negative_volume``. Volumes with
+    an ``available_at`` after the local midnight that starts the decision are ``unavailable``; an asset whose volumes are
+    all zero has ``nonpositive_average`` and no session.
+    """
+    r = lookback(rets.where(F.col("value").isNotNull()), decision, sessions).select("session", "asset").distinct()
+    days, assets = r.select("session").distinct(), r.select("asset").distinct()
+    per = r.groupBy("asset").agg(F.count("*").alias("n")).join(F.broadcast(days.agg(F.count("*").alias("all"))))  # one row
+    lacks = per.where(F.col("n") < F.col("all")).select("asset").join(days).join(r, ["session", "asset"], "left_anti")  # only for assets that lack some
+    v = volume.join(F.broadcast(days), "session", "left_semi")  # at most ``sessions`` rows
+    late = F.lit(False)
+    if "available_at" in volume.columns:
+        late = F.col("available_at") > F.to_utc_timestamp(F.lit(decision).cast("timestamp"), timezone)
+    n = F.count("*").over(Window.partitionBy("session", "asset"))
+    problem = F.when(n > 1, "repeated_volume").when(F.col("dollar_volume").isNull(), "missing_volume").when(F.col("dollar_volume") < 0, "negative_volume").when(late, "unavailable")
+    v = v.withColumn("problem", problem)
+    mean = v.groupBy("asset").agg(F.avg("dollar_volume").alias("mean")).join(assets, "asset", "left_semi").where(F.col("mean") <= 0)
+    parts = [
+        lacks.select("asset", "session", F.lit("missing_return").alias("problem")), v.where(F.col("problem").isNotNull()).select("asset", "session", "problem").distinct(),
+        r.join(v, ["session", "asset"], "left_anti").select("asset", "session", F.lit("missing_volume").alias("problem")),
+        v.join(assets, "asset", "left_anti").select("asset", "session", F.lit("unexpected_volume").alias("problem")),
+        mean.select("asset", F.lit(None).cast("date").alias("session"), F.lit("nonpositive_average").alias("problem")),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def liquidity(rets: DataFrame, volume: DataFrame, decision: str, sessions: int, timezone: str = "UTC") -> DataFrame:
+    """asset, daily_volatility, dollar_adv, n_obs before the decision; ValueError where ``liquidity_problems`` has a row."""
+    if bad := liquidity_problems(rets, volume, decision, sessions, timezone).orderBy("asset", "session").limit(5).collect():
+        raise ValueError(f"liquidity needs complete returns and volumes known before the decision: {[tuple(map(str, r)) for r in bad]}")
     d = lookback(rets.where(F.col("value").isNotNull()), decision, sessions).join(
         volume.select("session", "asset", "dollar_volume"), ["session", "asset"],
     )
@@ -111,7 +181,9 @@ def impact_costs(orders: DataFrame, liquid: DataFrame, commission_bps: float, ha
     q = F.abs("signed_notional")
     d = orders.join(liquid, "asset")
     d = d.withColumn("commission", q * (commission_bps / 1e4)).withColumn("half_spread", q * (half_spread_bps / 1e4))
-    d = d.withColumn("impact", q * coefficient * F.col("daily_volatility") * F.sqrt(q / F.col("dollar_adv")))
+    no_volume = F.raise_error(F.concat(F.lit("impact costs need a positive average dollar volume of "), F.col("asset"))).cast("double")
+    depth = F.when(F.col("dollar_adv") > 0, F.col("dollar_adv")).otherwise(no_volume)
+    d = d.withColumn("impact", q * coefficient * F.col("daily_volatility") * F.sqrt(q / depth))
     return d.select(
         "asset", "signed_notional", "commission", "half_spread", "impact",
         (F.col("commission") + F.col("half_spread") + F.col("impact")).alias("total_cost"),
@@ -123,7 +195,7 @@ def restoring_turnover(rets: DataFrame, weights: DataFrame) -> DataFrame:
 
     ``rets`` has (session, asset, value) of one period; the basket starts each one at its weights.
     """
-    d = rets.join(F.broadcast(weights), "asset").withColumn("grown", F.col("weight") * (1 + F.col("value")))
+    d = rets.join(small(weights), "asset").withColumn("grown", F.col("weight") * (1 + F.col("value")))
     total = F.sum("grown").over(Window.partitionBy("session")) / F.sum("weight").over(Window.partitionBy("session"))
     moved = F.abs(F.col("weight") - F.col("grown") / total)
     return d.select("session", moved.alias("moved")).groupBy("session").agg((F.sum("moved") / 2).alias("one_way_turnover"))

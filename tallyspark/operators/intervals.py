@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyspark.lineage import small
+
 
 def asof(left: DataFrame, right: DataFrame, at: str, known: str, value_columns: tuple[str, ...], by: tuple[str, ...] = ()) -> DataFrame:
     """``left`` with the columns of the last ``right`` row whose ``known`` is not after ``at`` (same ``by``); null if none.
@@ -77,7 +79,7 @@ def contiguity(intervals: DataFrame, keys: tuple[str, ...]) -> DataFrame:
 def quote_status(sessions: DataFrame, securities: DataFrame, prices: DataFrame, suspensions: DataFrame) -> DataFrame:
     """session, asset, status, tradable of every session and security, by priority:
     terminated, not_listed, unquoted_after_last_session, suspended, quoted; ``missing`` if a quote was due."""
-    grid = sessions.select("session").join(F.broadcast(securities))
+    grid = small(sessions.select("session")).join(securities)  # every session of every security is the result
     s = suspensions.select(F.col("asset").alias("s_asset"), F.col("first_session").alias("s_from"), F.col("last_session").alias("s_to"))
     halted = grid.join(
         s, (F.col("asset") == F.col("s_asset")) & F.col("session").between(F.col("s_from"), F.col("s_to")), "left_semi",
@@ -130,3 +132,10 @@ def combined_calendar(calendars: list[DataFrame], how: str) -> DataFrame:
         raise ValueError("how must be union or intersection")
     d = reduce(DataFrame.unionByName, calendars).groupBy("session").agg(F.max("close_at").alias("close_at"), F.count("*").alias("n"))
     return (d if how == "union" else d.where(F.col("n") == len(calendars))).drop("n")
+
+
+def shared_calendar(sessions: DataFrame, by: str) -> DataFrame:
+    """session, close_at of the sessions that every value of ``by`` has, with the latest close: any number of calendars in one grouping."""
+    d = sessions.groupBy("session").agg(F.max("close_at").alias("close_at"), F.count_distinct(by).alias("n"))
+    every = sessions.agg(F.count_distinct(by).alias("every"))
+    return d.join(F.broadcast(every), F.col("n") == F.col("every")).select("session", "close_at")  # one row

@@ -14,6 +14,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyspark.lineage import small
+
 from tallyspark.operators.returns import returns
 
 
@@ -62,7 +64,7 @@ def buy_and_hold_unlevered(
     date to holdings from before it and are cash from then on.
     """
     entry = panel.agg(F.min("session").alias("entry"))
-    p = panel.join(F.broadcast(entry)).join(F.broadcast(weights), "asset")
+    p = panel.join(F.broadcast(entry)).join(small(weights), "asset")
     gross = capital / (1 + costs.rate)  # weights sum to one
     by_asset = Window.partitionBy("asset").orderBy("session")
     p = p.withColumn("quantity", F.col("weight") * gross / F.first("close").over(by_asset))
@@ -152,7 +154,7 @@ def run_books(growth: DataFrame, targets: DataFrame, capital: float, financing:
     dates = bought.groupBy(*keys).agg(F.first("net").alias("net"), F.first("gross_p").alias("gross_p"))
     days = growth.select("session").distinct()
     runs = targets.groupBy("run_id").agg(F.min("session").alias("first"))
-    calendar = days.join(F.broadcast(runs), F.col("session") >= F.col("first")).drop("first")  # each session once for each run
+    calendar = days.join(small(runs), F.col("session") >= F.col("first")).drop("first")  # each session once for each run
     earlier = Window.partitionBy("run_id").orderBy("session").rowsBetween(Window.unboundedPreceding, -1)
     spans = calendar.join(dates.select(*keys, F.col("session").alias("basket")), keys, "left")
     spans = spans.withColumn("start", F.last("basket", ignorenulls=True).over(earlier)).where("start is not null")

@@ -10,6 +10,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyspark.functions.stats import adjusted_kurtosis, adjusted_skewness, correlation, slope
+from tallyspark.operators import selection
+
+
+#: Rows of a group that one task may order by value.
+SORTED = 1_000_000
 
 
 def _by(*keys: str):
@@ -105,8 +110,12 @@ def tail_risk(
 ) -> DataFrame:
     """keys, confidence, threshold, tail_mean, n_tail: value at the descending rank ceil(c n), and the mean at or below it.
 
-    Confidences are decimal strings, so that the rank is exact (0.07 of 100 is 7, not 8).
+    Confidences are decimal strings, so that the rank is exact (0.07 of 100 is 7, not 8). Where a group has more than SORTED rows,
+    ranks are found by counting (``selection``), so no task orders a whole group; the results are the same.
     """
+    largest = daily.groupBy(*keys).count().agg(F.max("count")).first()[0]
+    if (largest or 0) > SORTED:
+        return selection.tail_by_counts(daily, confidences, keys, value)
     levels = daily.sparkSession.createDataFrame([(c,) for c in confidences], "confidence string")
     d = daily.select(
         *keys, F.col(value).alias("v"), F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(value))).alias("rank"),
@@ -153,13 +162,6 @@ def against_benchmark(series: DataFrame, periods: float, keys: tuple[str, ...])
     )
 
 
-def compare(reports: dict[str, DataFrame]) -> DataFrame:
-    """Metric rows of several reports in one table, by scenario label."""
-    from functools import reduce
-
-    return reduce(DataFrame.unionByName, [d.withColumn("scenario", F.lit(k)) for k, d in sorted(reports.items())])
-
-
 def histogram(values: DataFrame, value: str, bins: int, keys: tuple[str, ...]) -> DataFrame:
     """keys, bin (from 1), low, high, n: equal bins between the smallest and largest value; the last is closed."""
     edges = values.groupBy(*keys).agg(F.min(value).alias("lo"), F.max(value).alias("hi"))

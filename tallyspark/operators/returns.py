@@ -29,12 +29,52 @@ def returns(panel: DataFrame, method: str = "simple", splits: DataFrame | None =
         worth = worth * F.coalesce("ratio", F.lit(1.0))
     before = F.lag("close").over(by_asset())
     change = (worth - before) / before
+    # log1p keeps small changes, the difference of logarithms extreme ones
+    logs = F.when((change > -1) & (change < float("inf")), F.log1p(change)).otherwise(F.ln(worth) - F.ln(before))
     return p.select(
-        F.lag("session").over(by_asset()).alias("period_start"), "session", "asset",
-        (change if method == "simple" else F.log1p(change)).alias("value"),
+        F.lag("session").over(by_asset()).alias("period_start"), "session", "asset", (change if method == "simple" else logs).alias("value"),
     )
 
 
+#: Price bases that serve each basis of returns.
+BASES = {"price": ("raw", "split_adjusted"), "total_return": ("total_return_adjusted",)}
+
+
+def outside_wealth(panel: DataFrame, rets: DataFrame) -> DataFrame:
+    """session, asset, problem: prices or returns beyond representable positive wealth.
+
+    ``nonpositive_price``: a close that is null, not finite, zero or less; ``outside_wealth``: a later return that is null or not
+    finite, or a simple one of -1 or less.
+    """
+    c, v, inf = F.col("close"), F.col("value"), float("inf")
+    odd = panel.where(c.isNull() | F.isnan(c) | (c <= 0) | (c == inf)).select("session", "asset", F.lit("nonpositive_price").alias("problem"))
+    bad = rets.where(F.col("period_start").isNotNull() & (v.isNull() | F.isnan(v) | (F.abs(v) == inf) | (v <= -1)))
+    return odd.unionByName(bad.select("session", "asset", F.lit("outside_wealth").alias("problem")))
+
+
+def market_returns(
+    panel: DataFrame, price_basis: str, basis: str, method: str = "simple", dividend_policy: str | None = None, splits: DataFrame | None = None,
+    dividends: DataFrame | None = None,
+) -> DataFrame:
+    """``returns`` of a panel whose ``price_basis`` is stated, guarded: bases that do not go together and impossible returns raise.
+
+    Price returns take raw or split-adjusted closes (raw ones keep the jumps of splits). Total returns take closes that are
+    adjusted for them, or raw ones with their splits and dividends and the policy ``reinvest_ex_close``, which nothing else may state.
+    """
+    reinvests = basis == "total_return" and price_basis == "raw"
+    if reinvests and dividend_policy != "reinvest_ex_close":
+        raise ValueError("total returns of raw prices need dividend_policy='reinvest_ex_close'")
+    if not reinvests and dividend_policy is not None:
+        raise ValueError("a dividend policy belongs to total returns of raw prices only")
+    if not reinvests and price_basis not in BASES.get(basis, ()):
+        raise ValueError(f"returns on the basis {basis} cannot be taken from prices that are {price_basis}")
+    out = returns(panel, method, splits if reinvests else None, dividends if reinvests else None)
+    simple = out if method == "simple" else out.withColumn("value", F.expm1("value"))
+    if bad := outside_wealth(panel, simple).orderBy("asset", "session").limit(5).collect():
+        raise ValueError(f"returns outside representable positive wealth, first offenders {[tuple(map(str, r)) for r in bad]}")
+    return out
+
+
 def cumulative_returns(rets: DataFrame, method: str, kind: str = "simple") -> DataFrame:
     """``rets`` with ``cumulative``: sum, compound or wealth since the first session of each asset.
 

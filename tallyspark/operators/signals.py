@@ -22,8 +22,10 @@ def unmatched(signals: DataFrame, outcomes: DataFrame) -> DataFrame:
 def reconciled(signals: DataFrame, outcomes: DataFrame, exclusions: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The matched rows, and the unmatched ones with their reasons.
 
-    Raises for an unmatched key without a reason, and for a reason given to a matched key.
+    Raises for an unmatched key without a reason, for a reason given to a matched key, and for a key excluded twice.
     """
+    if twice := exclusions.groupBy(*KEYS).count().where("count > 1").limit(5).collect():
+        raise ValueError(f"exclusions must name each key once, got {[tuple(map(str, r)) for r in twice]}")
     odd = unmatched(signals, outcomes)
     unexplained = odd.join(exclusions.select(*KEYS), KEYS, "left_anti").withColumn("what", F.lit("unexplained"))
     needless = exclusions.select(*KEYS).join(odd.select(*KEYS), KEYS, "left_anti")

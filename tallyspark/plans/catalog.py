@@ -1026,8 +1026,7 @@ def price_volume_correlation(spark, d):
 def calendar_intersection(spark, d):
     """Months quoted for every priority, with the latest of their closes (later for a higher priority number)."""
     p = views.orders_panel(spark, d).withColumn("close_at", hours(F.substring("asset", 1, 1).cast("int") + 15, "session"))
-    names = [r[0] for r in p.select("asset").distinct().orderBy("asset").collect()]
-    out = intervals.combined_calendar([p.where(F.col("asset") == a).select("session", "close_at") for a in names], "intersection")
+    out = intervals.shared_calendar(p.select("asset", "session", "close_at"), "asset")
     return out.withColumn("close_at", F.date_format("close_at", "yyyy-MM-dd HH:mm:ss"))
 
 

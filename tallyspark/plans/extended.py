@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyspark.functions import exact
-from tallyspark.operators import coverage, factors, reachability, selection
+from tallyspark.operators import allocation, coverage, factors, reachability, selection
+from tallyspark.operators import returns as rets
 from tallyspark.plans.catalog import FIT, _factor_series, query, rounded
 from tallyspark.sources import views
 
@@ -137,3 +138,69 @@ SELECT term, round(c, 6) AS coefficient, 'ok' AS status FROM h, LATERAL (VALUES
 def factor_exact_fit(spark, d):
     """As many sessions as coefficients: the plane through three points."""
     return rounded(factors.joint_ols(_factor_series(spark, d).orderBy("session").limit(3), ("first", "last")), 6)
+
+
+@query(""", x AS (SELECT session, asset, CASE WHEN n = 4 AND asset = 'click' THEN -1.0 WHEN n = 6 AND asset = 'view' THEN NULL WHEN n = 8 AND asset = 'error' THEN 0.0 ELSE close END AS close FROM n1),
+y AS (SELECT *, lag(session) OVER w AS ps, (close - lag(close) OVER w) / nullif(lag(close) OVER w, 0) AS v FROM x WINDOW w AS (PARTITION BY asset ORDER BY session))
+SELECT session, asset, 'nonpositive_price' AS problem FROM x WHERE close IS NULL OR close <= 0
+UNION ALL SELECT session, asset, 'outside_wealth' FROM y WHERE ps IS NOT NULL AND (v IS NULL OR v <= -1)""")
+def return_guards(spark, d):
+    """What keeps a panel from having returns: a negative, a missing and a zero close, and what follows from them."""
+    p, n = views.numbered(views.events_panel(spark, d)), F.col("n")
+    at = lambda k, a: (n == k) & (F.col("asset") == a)
+    close = F.when(at(4, "click"), -1.0).when(at(6, "view"), None).when(at(8, "error"), 0.0).otherwise(F.col("close"))
+    p = p.withColumn("close", close)
+    before = F.lag("close").over(rets.by_asset())
+    value = F.try_divide(F.col("close") - before, before)
+    r = p.select("session", "asset", F.lag("session").over(rets.by_asset()).alias("period_start"), value.alias("value"))
+    return rets.outside_wealth(p, r)
+
+
+LAST = "(SELECT max(session) FROM v1)"
+
+
+@query(f""", w AS (SELECT DISTINCT session FROM r1 WHERE r IS NOT NULL AND session < {LAST} ORDER BY session DESC LIMIT 10),
+k AS (SELECT asset, session, dollar_volume, row_number() OVER (PARTITION BY asset ORDER BY session DESC) AS k FROM r1 JOIN w USING (session))
+SELECT asset, session, 'missing_volume' AS problem FROM k WHERE asset = 'click' AND k IN (2, 5)
+UNION ALL SELECT asset, session, 'negative_volume' FROM k WHERE asset = 'view' AND k = 3
+UNION ALL SELECT asset, session, 'unavailable' FROM k WHERE asset = 'error' AND k = 1
+UNION ALL SELECT 'stranger', session, 'unexpected_volume' FROM k WHERE asset = 'view' AND k = 4
+UNION ALL SELECT asset, session, 'missing_return' FROM k WHERE asset = 'signup' AND k = 6
+UNION ALL SELECT asset, session, 'unexpected_volume' FROM k WHERE FALSE
+UNION ALL SELECT 'purchase', NULL, 'nonpositive_average'""")
+def liquidity_guards(spark, d):
+    """Each rule of liquidity with an offender: volumes lost, negative, late, of a stranger, all zero, and a lost return."""
+    p = views.events_panel(spark, d)
+    r = rets.returns(p)
+    last = p.agg(F.max("session")).first()[0]
+    days = r.where("value is not null").select("session").distinct().where(F.col("session") < F.lit(last)).orderBy(F.desc("session")).limit(10)
+    k = r.join(F.broadcast(days), "session", "left_semi").withColumn("k", F.row_number().over(Window.partitionBy("asset").orderBy(F.desc("session"))))
+    v = k.select("session", "asset", "k").join(p.select("session", "asset", "dollar_volume"), ["session", "asset"])
+    is_ = lambda a, *ks: (F.col("asset") == a) & F.col("k").isin(*ks)
+    volume = F.when(is_("view", 3), -1.0).when(F.col("asset") == "purchase", 0.0).otherwise(F.col("dollar_volume"))
+    known = F.when(is_("error", 1), F.lit(last).cast("timestamp") + F.expr("INTERVAL 1 HOUR")).otherwise(F.col("session").cast("timestamp"))
+    v = v.where(~is_("click", 2, 5)).withColumn("dollar_volume", volume).withColumn("available_at", known)
+    v = v.unionByName(v.where(is_("view", 4)).withColumn("asset", F.lit("stranger")))
+    lost = k.where(is_("signup", 6)).select("session", "asset")
+    return allocation.liquidity_problems(r.join(lost, ["session", "asset"], "left_anti"), v, str(last), 10)
+
+
+@query(f""", w AS (SELECT DISTINCT session FROM r1 WHERE session < {LAST} ORDER BY session DESC LIMIT 15),
+x AS (SELECT session, asset, r FROM r1 JOIN w USING (session)), e AS (SELECT asset, (row_number() OVER (ORDER BY asset) - 1) AS u FROM (SELECT DISTINCT asset FROM v1)),
+g AS (SELECT asset, u / (SELECT sum(u) FROM e) * 1.5 AS w FROM e), pf AS (SELECT session, sum(w * r) AS p FROM x JOIN g USING (asset) GROUP BY session),
+s AS (SELECT stddev_samp(p) * sqrt(252) AS vol FROM pf), c AS (SELECT asset, covar_samp(r, p) * 252 AS cov, count(*) AS n FROM x JOIN pf USING (session) GROUP BY asset)
+SELECT asset, round(w, 9) AS equity_weight, round(cov / vol, 9) AS marginal_volatility, round(w * cov / vol, 9) AS volatility_contribution,
+  round(w * cov / vol / vol, 9) AS fraction_of_total, n AS n_obs, 'ok' AS status FROM c JOIN g USING (asset), s""")
+def risk_report(spark, d):
+    """Marginal and total contributions at one and a half times equity, one asset with a weight of zero."""
+    p = views.events_panel(spark, d)
+    last = str(p.agg(F.max("session")).first()[0])
+    w = p.select("asset").distinct().withColumn("weight", (F.row_number().over(Window.orderBy("asset")) - 1).cast("double"))
+    return rounded(allocation.risk_report(rets.returns(p), w, last, 15, 252.0, 1.5))
+
+
+@query(f""", w AS (SELECT DISTINCT session FROM r1 WHERE session < {LAST} ORDER BY session DESC LIMIT 15), x AS (SELECT session, asset, r FROM r1 JOIN w USING (session))
+SELECT a.asset, b.asset AS other_asset, round(covar_samp(a.r, b.r) * 252, 9) AS annualized_covariance FROM x a JOIN x b USING (session) GROUP BY 1, 2""")
+def covariance_table(spark, d):
+    p = views.events_panel(spark, d)
+    return rounded(allocation.covariances(rets.returns(p), str(p.agg(F.max("session")).first()[0]), 15, 252.0))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyspark.lineage import small
+
 CHART = "struct<meta:struct<symbol:string,exchangeTimezoneName:string>,timestamp:array<long>,indicators:struct<quote:array<struct<close:array<double>,volume:array<long>>>>>"
 
 
@@ -33,7 +35,7 @@ def coverage(observed: DataFrame, expected: DataFrame, first: str, last: str, ex
     o = observed.select("asset", "session").distinct().withColumn("o", F.lit(True))
     d = o.join(expected.select("asset", "session").distinct().withColumn("e", F.lit(True)), ["asset", "session"], "full_outer")
     if exclusions is not None:
-        d = d.join(F.broadcast(exclusions.select("asset", "session").distinct().withColumn("x", F.lit(True))), ["asset", "session"], "left")
+        d = d.join(small(exclusions.select("asset", "session").distinct().withColumn("x", F.lit(True))), ["asset", "session"], "left")
     else:
         d = d.withColumn("x", F.lit(None).cast("boolean"))
     status = F.when(

@@ -22,15 +22,6 @@ def events_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def lineitem_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Monthly mean unit price of each return flag."""
-    x = table(spark, sf_dir, "lineitem").select(
-        F.to_date(F.date_trunc("month", "l_shipdate")).alias("session"), F.col("l_returnflag").alias("asset"),
-        "l_extendedprice", "l_quantity",
-    )
-    return x.groupBy("session", "asset").agg((_money("l_extendedprice") / _money("l_quantity")).alias("close"))
-
-
 def orders_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Monthly mean order value of each priority; has gaps at small scale."""
     x = table(spark, sf_dir, "orders").select(
