@@ -7,8 +7,9 @@ the trie is thin, instead of at its root, where each letter has an edge.
 
 The trie is a table of edges (node, first letter, label, child). Nodes that neither branch nor end a word are
 passed over by labels of several letters, so a long word has as many edges as it has branches, and the search as many
-levels. Nodes are named by their prefix, or by its length and digest if it is long. Where a word ends, its node has an
-edge without letters that carries the word.
+levels. Nodes are 64-bit hashes of their prefix; were two alike, their edges would mix, which loses no path, and found pairs
+are compared in the end. Where a word ends, its node has an edge without letters that carries the word. Edges know the letters
+behind their child, so a state that cannot go on is not written.
 
 The frontier is a table of states (word, position, node, edits). It starts with every word at its own nodes behind the half, with
 no edit. Level by level it is joined with the edges on the node:
@@ -46,8 +47,10 @@ from tallyspark.llm.common import BROADCAST_ROWS, scratch, table, written
 
 #: Words that a task counts before it hands them on.
 HELD = 500_000
-#: Prefixes of more code points are named by a digest.
-NAMED = 24
+#: Words of more code points are named by a digest in the table of prefixes.
+NAMED = 48
+#: Fixed odd factor of the polynomial that hashes prefixes, modulo 2 to the power of 64.
+FACTOR, MASK = 0x9E3779B97F4A7C15, (1 << 64) - 1
 #: A node with more states is dealt over so many parts.
 HOT, SALTS = 50_000, 32
 
@@ -87,54 +90,66 @@ def word_counts(docs: DataFrame, least: int = 7, drop: int | None = 31, id_col:
 
 
 def _nodes(keys: DataFrame, shallow: int) -> DataFrame:
-    """key, position, node, next: every prefix of each key of ``shallow`` code points or more, and the letter behind it (0 at the end)."""
+    """key, n, position, node, next: every prefix of each word of ``shallow`` code points or more, and the letter behind it (0 at the end).
+
+    ``node`` is a 64-bit hash of the prefix, made letter by letter. ``key`` is the word, or length and digest of a long one.
+    """
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [[], [], [], []]
-            for word in batch.column(0).to_pylist():
-                key, digest = name(word), hashlib.md5(word[:NAMED].encode())
-                for at in range(shallow, len(word) + 1):
-                    if at > NAMED:
-                        digest.update(word[at - 1].encode())
-                    values = key, at, word[:at] if at <= NAMED else f"{at}#{digest.hexdigest()}", ord(word[at]) if at < len(word) else 0
-                    for column, v in zip(out, values, strict=True):
-                        column.append(v)
+            out: list[list] = [[], [], [], [], []]
+            for word, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                codes, node = [*map(ord, word), 0], 0
+                for c in codes[: shallow - 1]:
+                    node = (node * FACTOR + c) & MASK
+                ends = range(shallow, len(word) + 1)
+                for at in ends:
+                    node = (node * FACTOR + codes[at - 1]) & MASK
+                    out[3].append(node - (node >> 63 << 64))
+                key = word if len(word) <= NAMED else f"{len(word)}#{hashlib.md5(word.encode()).hexdigest()}"
+                for column, values in zip((0, 1, 2, 4), ([key] * len(ends), [n] * len(ends), ends, codes[shallow:]), strict=True):
+                    out[column].extend(values)
                 if len(out[0]) > 100_000:
                     yield pa.RecordBatch.from_arrays(list(map(pa.array, out, kinds)), names)
-                    out = [[], [], [], []]
+                    out = [[], [], [], [], []]
             if out[0]:
                 yield pa.RecordBatch.from_arrays(list(map(pa.array, out, kinds)), names)
 
-    def name(word: str) -> str:
-        return word if len(word) <= NAMED else f"{len(word)}#{hashlib.md5(word.encode()).hexdigest()}"
-
-    names, kinds = ["key", "position", "node", "next"], [pa.string(), pa.int64(), pa.string(), pa.int32()]
-    return keys.select("word").mapInArrow(prefixes, "key string, position long, node string, next int")
+    names, kinds = ["key", "n", "position", "node", "next"], [pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int32()]
+    return keys.select("word", "n").mapInArrow(prefixes, "key string, n long, position int, node long, next int")
 
 
-def _key(word: str = "word"):
-    return F.expr(f"CASE WHEN char_length({word}) <= {NAMED} THEN {word} ELSE concat(char_length({word}), '#', md5({word})) END")
+def _said(word: str = "word"):
+    """The word that a key of the trie stands for."""
+    return F.expr(f"CASE WHEN {word} LIKE '>%' THEN substring({word}, 2) ELSE reverse(substring({word}, 2)) END")
 
 
 def trie(keys: DataFrame, shallow: int) -> tuple[DataFrame, DataFrame]:
-    """The edges below depth ``shallow``, and the nodes of each key with what follows: (word, n, position, node, rest).
+    """The edges below depth ``shallow``, and the nodes of each key (word, n): word, n, position, node.
 
-    ``keys``: word, n, said (what an end reports). Edges: node, first, label, child, said, said_n.
+    Edges: node, first (code point, 0 at an end), label, child, fan (the letters behind the child, ``.`` for an end), found and
+    found_n (the word that ends there).
     """
     nodes = written(_nodes(keys, shallow), "nodes")
     forks = nodes.groupBy("node").agg(F.min("next").alias("low"), F.max("next").alias("high"), F.min("position").alias("position"))
     forks = forks.where((F.col("low") != F.col("high")) | (F.col("low") == 0) | (F.col("position") == shallow)).select("node")
-    own = nodes.select("key", "position", "node").join(forks, "node").groupBy("key").agg(F.sort_array(F.collect_list(F.struct("position", "node"))).alias("path"))
-    own = own.join(keys.withColumn("key", _key()), "key").drop("key")
-    steps = own.select(
-        "word", "n", "said", F.posexplode("path").alias("k", "at"), F.col("path"),
-    ).select("word", "n", "said", F.col("at.position").alias("position"), F.col("at.node").alias("node"), F.get("path", F.col("k") + 1).alias("to"))
+    own = nodes.select("key", "n", "position", "node").join(forks, "node").groupBy("key").agg(
+        F.max("n").alias("n"), F.sort_array(F.collect_list(F.struct("position", "node"))).alias("path")
+    )
+    long = F.col("key").contains("#")  # only these were renamed, as no letter is a number sign
+    name = F.concat(F.char_length("word"), F.lit("#"), F.md5("word"))
+    renamed = keys.where(F.char_length("word") > NAMED).select("word", name.alias("key"))
+    own = own.where(~long).withColumn("word", F.col("key")).unionByName(own.where(long).join(renamed, "key")).drop("key")
+    steps = own.select("word", "n", "path", F.posexplode("path").alias("k", "at")).select(
+        "word", "n", F.col("at.position").alias("position"), F.col("at.node").alias("node"), F.get("path", F.col("k") + 1).alias("to")
+    )
     steps = written(steps.withColumn("label", F.expr("substring(word, position + 1, coalesce(to.position - position, 0))")), "steps")
-    inner = steps.where(F.col("to").isNotNull()).select("node", F.substring("label", 1, 1).alias("first"), "label", F.col("to.node").alias("child")).distinct()
-    inner = inner.select("*", F.lit(None).cast("string").alias("said"), F.lit(None).cast("long").alias("said_n"))
-    ends = steps.where(F.col("to").isNull()).select("node", F.lit("").alias("first"), F.lit("").alias("label"), F.lit(None).cast("string").alias("child"), "said", F.col("n").alias("said_n"))
-    return written(inner.unionByName(ends), "edges"), steps
+    inner = steps.where(F.col("to").isNotNull()).select("node", F.ascii("label").alias("first"), "label", F.col("to.node").alias("child")).distinct()
+    ends = steps.where(F.col("to").isNull()).select("node", F.lit(0).alias("first"), F.lit("").alias("label"), F.lit(None).cast("long").alias("child"), _said().alias("found"), F.col("n").alias("found_n"))
+    fans = inner.select("node", F.substring("label", 1, 1).alias("letter")).unionByName(ends.select("node", F.lit(".").alias("letter")))
+    fans = fans.groupBy(F.col("node").alias("child")).agg(F.array_join(F.collect_set("letter"), "").alias("fan"))
+    edges = inner.join(fans, "child").select("node", "first", "label", "child", "fan", F.lit(None).cast("string").alias("found"), F.lit(None).cast("long").alias("found_n"))
+    return written(edges.unionByName(ends.withColumn("fan", F.lit(None).cast("string")).select(*edges.columns)), "edges"), steps
 
 
 def _dealt(states: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -150,36 +165,36 @@ def _dealt(states: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def near_pairs(words: DataFrame) -> DataFrame:
     """a, a_n, b, b_n: each pair of near words once, of ``words`` (word, n)."""
-    said = F.col("word").alias("said")
-    keys = words.select(F.concat(F.lit(">"), "word").alias("word"), "n", said).unionByName(words.select(F.concat(F.lit("<"), F.reverse("word")).alias("word"), "n", said))
-    keys = written(keys, "keys")
+    keys = written(words.select(F.explode(F.array(F.concat(F.lit(">"), "word"), F.concat(F.lit("<"), F.reverse("word")))).alias("word"), "n"), "keys")
     shortest = words.agg(F.min(F.char_length("word"))).first()[0]
     if shortest is None:
         return words.selectExpr("word AS a", "n AS a_n", "word AS b", "n AS b_n")
     edges, steps = trie(keys, 1 + shortest // 2)
     letters = F.char_length("word") - 1
     half = F.when(F.col("word").startswith(">"), F.floor(letters / 2)).otherwise(F.ceil(letters / 2))
-    own = steps.where((F.col("position") > half) & (F.col("position") <= letters)).select("word", "said", "n", "position", "node")
-    states, e = _dealt(own, edges.alias("e"))
+    own = steps.where((F.col("position") > half) & (F.col("position") <= letters)).select("word", "n", "position", "node")
+    states, e = _dealt(own, edges)
     here, after = (F.expr(f"substring(word, position + {k}, 1)") for k in (1, 2))
-    rest = lambda k: F.expr(f"substring(word, position + {k}, char_length(label))")
-    other = F.col("first") > here
-    skips = (F.col("first") == after) & (here != after) & (rest(2) == F.col("label"))
-    changed = other & (rest(2) == F.expr("concat(substring(label, 2), substring(word, position + 1 + char_length(label), 1))"))
-    met = states.join(e.withColumnsRenamed({"said": "found", "said_n": "found_n"}), ["node", "salt"])
+    rest = F.expr("substring(word, position + 2, char_length(label))")
+    skips = (F.col("first") == F.ascii(after)) & (here != after) & (rest == F.col("label"))
+    changed = (F.col("first") > F.ascii(here)) & (rest == F.expr("concat(substring(label, 2), substring(word, position + 1 + char_length(label), 1))"))
     behind = F.col("position") + F.char_length("label")  # one edge may do both
-    met = met.where(skips | changed).withColumn("position", F.explode(F.array_compact(F.array(F.when(skips, behind + 1), F.when(changed, behind)))))
+    met = states.join(e, ["node", "salt"]).where(skips | changed)
+    met = met.withColumn("position", F.explode(F.array_compact(F.array(F.when(skips, behind + 1), F.when(changed, behind)))))
+    following = F.expr("CASE WHEN position >= char_length(word) THEN '.' ELSE substring(word, position + 1, 1) END")
+    goes_on = F.col("found").isNotNull() | (F.instr("fan", following) > 0)  # what the child lacks need not be written
     found = None
     while True:
-        met = written(met.select("word", "said", "n", "position", F.col("child").alias("node"), "found", "found_n"), "states")
-        pairs = met.where(F.col("found").isNotNull()).select(F.col("said").alias("a"), F.col("n").alias("a_n"), F.col("found").alias("b"), F.col("found_n").alias("b_n"))
+        met = written(met.where(goes_on).select("word", "n", "position", F.col("child").alias("node"), "found", "found_n"), "states")
+        pairs = met.where(F.col("found").isNotNull()).select(_said().alias("a"), F.col("n").alias("a_n"), F.col("found").alias("b"), F.col("found_n").alias("b_n"))
         found = pairs if found is None else found.unionByName(pairs)
         states = met.where(F.col("found").isNull()).drop("found", "found_n")
         if states.isEmpty():
-            return found.distinct()
-        states, e = _dealt(states.withColumn("first", F.expr("substring(word, position + 1, 1)")), edges)
-        met = states.join(e.withColumnsRenamed({"said": "found", "said_n": "found_n"}), ["node", "first", "salt"])
-        met = met.where(F.expr("substring(word, position + 1, char_length(label)) = label")).withColumn("position", F.col("position") + F.char_length("label"))
+            # Two prefixes of one hash could only add pairs: no path is lost, and these go.
+            return found.where(F.levenshtein("a", "b", 1) == 1).distinct()
+        states, e = _dealt(states.withColumn("first", F.ascii(F.expr("substring(word, position + 1, 1)"))), edges)
+        met = states.join(e, ["node", "first", "salt"]).where(F.expr("substring(word, position + 1, char_length(label)) = label"))
+        met = met.withColumn("position", F.col("position") + F.char_length("label"))
 
 
 def variants(words: DataFrame, ratio: int = 10) -> DataFrame:
