@@ -40,7 +40,7 @@ def returns(panel: DataFrame, method: str = "simple", splits: DataFrame | None =
 BASES = {"price": ("raw", "split_adjusted"), "total_return": ("total_return_adjusted",)}
 
 
-def outside_wealth(panel: DataFrame, rets: DataFrame) -> DataFrame:
+def outside_wealth(panel: DataFrame, rets: DataFrame, method: str = "simple") -> DataFrame:
     """session, asset, problem: prices or returns beyond representable positive wealth.
 
     ``nonpositive_price``: a close that is null, not finite, zero or less; ``outside_wealth``: a later return that is null or not
@@ -48,7 +48,8 @@ def outside_wealth(panel: DataFrame, rets: DataFrame) -> DataFrame:
     """
     c, v, inf = F.col("close"), F.col("value"), float("inf")
     odd = panel.where(c.isNull() | F.isnan(c) | (c <= 0) | (c == inf)).select("session", "asset", F.lit("nonpositive_price").alias("problem"))
-    bad = rets.where(F.col("period_start").isNotNull() & (v.isNull() | F.isnan(v) | (F.abs(v) == inf) | (v <= -1)))
+    lost = v <= -1 if method == "simple" else F.lit(False)
+    bad = rets.where(F.col("period_start").isNotNull() & (v.isNull() | F.isnan(v) | (F.abs(v) == inf) | lost))
     return odd.unionByName(bad.select("session", "asset", F.lit("outside_wealth").alias("problem")))
 
 
@@ -69,8 +70,7 @@ def market_returns(
     if not reinvests and price_basis not in BASES.get(basis, ()):
         raise ValueError(f"returns on the basis {basis} cannot be taken from prices that are {price_basis}")
     out = returns(panel, method, splits if reinvests else None, dividends if reinvests else None)
-    simple = out if method == "simple" else out.withColumn("value", F.expm1("value"))
-    if bad := outside_wealth(panel, simple).orderBy("asset", "session").limit(5).collect():
+    if bad := outside_wealth(panel, out, method).orderBy("asset", "session").limit(5).collect():
         raise ValueError(f"returns outside representable positive wealth, first offenders {[tuple(map(str, r)) for r in bad]}")
     return out
 
