@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyspark.functions import exact
-from tallyspark.operators import allocation, coverage, factors, reachability, selection
+from tallyspark.operators import allocation, comparison, coverage, dated_costs, factors, mixes, reachability, runs, selection
 from tallyspark.operators import returns as rets
-from tallyspark.plans.catalog import FIT, _factor_series, query, rounded
+from tallyspark.plans.catalog import CAPITAL, DAILY, FIT, _factor_series, daily, equal_weight, query, rounded
 from tallyspark.sources import views
 
 #: Action legs of the parts: each line gives its part's holders the part of the order's next line. Some parts are warrants.
@@ -204,3 +204,142 @@ SELECT a.asset, b.asset AS other_asset, round(covar_samp(a.r, b.r) * 252, 9) AS
 def covariance_table(spark, d):
     p = views.events_panel(spark, d)
     return rounded(allocation.covariances(rets.returns(p), str(p.agg(F.max("session")).first()[0]), 15, 252.0))
+
+
+RUN = DAILY + """, o AS (SELECT *, row_number() OVER (ORDER BY session) AS n FROM d1)
+"""
+
+
+@query(RUN + """SELECT 'equal_weight' AS scenario, session, rule FROM o, LATERAL (VALUES (5, 'cumulative_pnl'), (8, 'opening_equity'), (11, 'valuation_missing_close'),
+  (12, 'close_valuation'), (3, 'valuation_unexpected_pre_rebalance'), (6, 'valuation_missing_pre_reinvestment')) AS v(k, rule) WHERE n = k
+UNION ALL SELECT 'equal_weight', NULL, 'stop_without_reason' UNION ALL SELECT 'equal_weight', period_start, 'entry_valuation' FROM o WHERE n = 1""")
+def run_problems(spark, d):
+    """A sound run with eight faults: in its money, its valuations and what it says of itself."""
+    o = daily(spark, d).withColumn("n", F.row_number().over(Window.partitionBy("scenario").orderBy("session")))
+    n, before = F.col("n"), F.col("equity") - F.col("pnl")
+    to_now = Window.partitionBy("scenario").orderBy("session").rowsBetween(Window.unboundedPreceding, 0)
+    records = o.select(
+        "scenario", "period_start", "session", (before + F.when(n == 8, 1.0).otherwise(0.0)).alias("opening_equity"), "equity", "pnl", "simple_return",
+        (F.col("cumulative_pnl") + F.when(n == 5, 1.0).otherwise(0.0)).alias("cumulative_pnl"), F.sum("simple_return").over(to_now).alias("cumulative_simple_return"),
+        (F.col("wealth") - 1).alias("compounded_return"),
+    )
+    row = lambda phase, equity, place: F.struct(F.lit(phase).alias("phase"), equity.alias("equity"), place.alias("place"))
+    entry = o.where("n = 1").select("scenario", F.col("period_start").alias("session"), F.explode(F.array(row("pre_entry", F.lit(CAPITAL + 5), F.lit(0)), row("post_entry", F.lit(CAPITAL), F.lit(1)))).alias("v"))
+    more = o.where("n = 3").select("scenario", "session", row("pre_rebalance", F.col("equity"), n * 2 + 1).alias("v"))
+    closes = o.where("n <> 11").select("scenario", "session", row("close", F.col("equity") + F.when(n == 12, 1.0).otherwise(0.0), n * 2 + 2).alias("v"))
+    valuations = entry.unionByName(more).unionByName(closes).select("scenario", "session", "v.*")
+    ends = o.groupBy("scenario").agg(F.min("period_start").alias("entry_session"), F.max("session").alias("actual_end_session"))
+    table = ends.select(
+        "scenario", F.lit(CAPITAL).alias("capital"), "entry_session", F.date_add("actual_end_session", 5).alias("end_session"), "actual_end_session", F.lit("stopped").alias("status"),
+        F.lit(" ").alias("stop_reason"), F.col("actual_end_session").alias("stop_session"),
+    )
+    return runs.run_problems(records, valuations, table, o.where("n = 6").select("scenario", "session", F.lit("reinvestment").alias("kind")))
+
+
+def _three_reports(spark, d) -> DataFrame:
+    """The equal-weight run, one that ends two sessions earlier, and one with another return on its fourth session."""
+    o = daily(spark, d).select("period_start", "session", "simple_return", F.row_number().over(Window.partitionBy("scenario").orderBy("session")).alias("n"))
+    last = o.agg(F.max("n").alias("last"))
+    o = o.join(F.broadcast(last))  # one row
+    value = F.when((F.col("scenario") == "other") & (F.col("n") == 4), 0.5).otherwise(F.col("simple_return"))
+    o = o.withColumn("scenario", F.explode(F.array(*map(F.lit, ("base", "short", "other"))))).withColumn("simple_return", value)
+    return o.where("scenario <> 'short' or n <= last - 2").select("scenario", "period_start", "session", "simple_return")
+
+
+@query(RUN + """SELECT v.scenario, period_start, session, v.side FROM o, LATERAL (VALUES ('short', 'only_reference'), ('other', 'values_differ')) AS v(scenario, side)
+  WHERE CASE v.scenario WHEN 'short' THEN n > (SELECT max(n) FROM o) - 2 ELSE n = 4 END""")
+def report_differences(spark, d):
+    """Intervals and returns in which two reports differ from a third."""
+    return comparison.interval_differences(_three_reports(spark, d), "base", ("simple_return",))
+
+
+@query("SELECT * FROM (VALUES ('short', 'coverage'), ('short', 'returns'), ('other', 'returns'), ('other', 'currency')) AS v(scenario, field)")
+def report_fields(spark, d):
+    """Fields in which reports differ, found by the digests of their series and by their settings."""
+    s = _three_reports(spark, d)
+    settings = s.select("scenario").distinct().select("scenario", F.lit("currency").alias("field"), F.when(F.col("scenario") == "other", "EUR").otherwise("USD").alias("content"))
+    sig = comparison.content_key(s, "coverage").unionByName(comparison.content_key(s, "returns", ("simple_return",))).unionByName(settings)
+    return comparison.differences(sig, "base").select("scenario", "field")
+
+
+MIX = """, f AS (SELECT p1.session, p1.period_start, p1.r AS m, max(r1.r) FILTER (WHERE asset = (SELECT min(asset) FROM v1)) AS a, max(r1.r) FILTER (WHERE asset = (SELECT max(asset) FROM v1)) AS b
+  FROM p1 JOIN r1 USING (session) GROUP BY 1, 2, 3)
+"""
+
+
+def _two_strategies(spark, d) -> DataFrame:
+    """session, period_start, a, b, m: the returns of the first and the last asset, and of all of them."""
+    r = rets.returns(views.events_panel(spark, d)).where(F.col("value").isNotNull())
+    wide = r.groupBy("session").agg(F.min_by("value", "asset").alias("a"), F.max_by("value", "asset").alias("b"))
+    return wide.join(equal_weight(spark, d).select("session", "period_start", F.col("r").alias("m")), "session")
+
+
+@query(MIX + """, c AS (SELECT *, 0.3 * a + 0.7 * b AS x FROM f), g AS (SELECT *, 1000 * coalesce(product(1 + x) OVER (ORDER BY session ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 1) AS opening FROM c)
+SELECT period_start, session, s.strategy, s.weight, round(s.r, 9) AS strategy_return, round(s.weight * s.r, 9) AS return_contribution, round(s.r - m, 9) AS active_return, round(s.weight * (s.r - m), 9) AS active_contribution,
+  round(opening * s.weight, 6) AS sleeve_opening, round(opening * s.weight * s.r, 6) AS pnl_contribution FROM g, LATERAL (VALUES ('a', 0.3::DOUBLE, a), ('b', 0.7::DOUBLE, b)) AS s(strategy, weight, r)""")
+def mix_contributions(spark, d):
+    """What each of two strategies adds to a mix, to its active return and to its money."""
+    f = _two_strategies(spark, d)
+    long = f.select("period_start", "session", F.explode(F.array(*(F.struct(F.lit(k).alias("strategy"), F.col(k).alias("r")) for k in "ab"))).alias("s")).select("period_start", "session", "s.*")
+    ends = long.agg(F.min("period_start").alias("a"), F.max("session").alias("b")).first()
+    out = mixes.contributions(mixes.window_of(long, str(ends["a"]), str(ends["b"])), {"a": 0.3, "b": 0.7}, f.select("period_start", "session", F.col("m").alias("b")), 1000.0)
+    return rounded(out).withColumns({c: F.round(c, 6) for c in ("sleeve_opening", "pnl_contribution")})
+
+
+@query(MIX + """, s AS (SELECT avg(a - m) AS mx, avg(b - m) AS my, var_samp(a - m) AS vx, var_samp(b - m) AS vy, covar_samp(a - m, b - m) AS c FROM f),
+k AS (SELECT *, (mx * vy - my * c) / (mx * vy - my * c + my * vx - mx * c) AS st, (vy - c) / (vx + vy - 2 * c) AS lt FROM s),
+w AS (SELECT s.*, v.candidate, v.weight FROM k AS s, LATERAL (VALUES ('lower_endpoint', 0.1::DOUBLE), ('upper_endpoint', 0.8), ('stationary', CASE WHEN st > 0.1 AND st < 0.8 THEN st END),
+  ('minimum_tracking_error', CASE WHEN lt > 0.1 AND lt < 0.8 THEN lt END)) AS v(candidate, weight) WHERE weight IS NOT NULL),
+r AS (SELECT *, weight * mx + (1 - weight) * my AS mean, weight * weight * vx + (1 - weight) * (1 - weight) * vy + 2 * weight * (1 - weight) * c AS var FROM w)
+SELECT candidate, round(weight, 9) AS weight, round(mean * 252, 9) AS active_mean, round(sqrt(var * 252), 9) AS tracking_error, round(mean * sqrt(252) / sqrt(var), 9) AS information_ratio, 'ok' AS candidate_status,
+  mean / sqrt(var) = max(mean / sqrt(var)) OVER () AS selected, 'ok' AS status, 'unique' AS optimum FROM r""")
+def mix_optimum(spark, d):
+    """Candidates for the best information ratio of a mix of two assets within bounds."""
+    return rounded(mixes.optimum(_two_strategies(spark, d).select("session", "a", "b", "m"), 252.0, 0.1, 0.8))
+
+
+DATED = """, x AS (SELECT *, row_number() OVER (PARTITION BY asset ORDER BY session) AS n, lead(session) OVER (PARTITION BY asset ORDER BY session) AS next FROM r1),
+z AS (SELECT *, stddev_samp(r) OVER w AS vol, avg(dollar_volume) OVER w AS adv, count(r) OVER w AS known FROM x WINDOW w AS (PARTITION BY asset ORDER BY session ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING)),
+b AS (SELECT session AS decision, next AS session, asset, n, vol, adv, close FROM z WHERE known = 5 AND next IS NOT NULL)
+"""
+
+
+def _dated(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Executions at the session after each decision, models from the five sessions before it, and the calendar."""
+    w = Window.partitionBy("asset").orderBy("session")
+    p = views.events_panel(spark, d)
+    x = rets.returns(p).join(p.select("session", "asset", "dollar_volume", "close"), ["session", "asset"])
+    five = w.rowsBetween(-5, -1)
+    x = x.select(
+        "asset", "session", "close", F.row_number().over(w).alias("n"), F.lead("session").over(w).alias("next"), F.stddev_samp("value").over(five).alias("daily_volatility"),
+        F.avg("dollar_volume").over(five).alias("dollar_adv"), F.count("value").over(five).alias("known"), F.min("session").over(five).alias("sample_start"), F.max("session").over(five).alias("sample_end"),
+    ).where("known = 5 and next is not null")
+    models = x.select(
+        F.col("session").alias("decision"), "asset", "n", "daily_volatility", "dollar_adv", "sample_start", "sample_end", (F.col("sample_end").cast("timestamp") + F.expr("INTERVAL 22 HOURS")).alias("available_at"),
+    )
+    executions = x.select(F.col("next").alias("session"), F.col("session").alias("decision"), "asset", (F.col("close") * 100).alias("signed_notional"))
+    return executions, models, p.select("session").distinct().withColumn("close_at", F.col("session").cast("timestamp") + F.expr("INTERVAL 21 HOURS"))
+
+
+@query(DATED + """SELECT session, decision, asset, round(close * 100 * 0.0003, 9) AS direct_costs, round(close * 100 * 0.5 * vol * sqrt(close * 100 / adv), 6) AS impact FROM b""")
+def dated_costs_of_executions(spark, d):
+    """Costs of every execution by the parameters of exactly its decision."""
+    executions, models, sessions = _dated(spark, d)
+    out = dated_costs.dated_impact(dated_costs.bound_costs(executions, models.drop("n"), sessions), 1.0, 2.0, 0.5)
+    return out.select("session", "decision", "asset", F.round(F.col("commission") + F.col("half_spread"), 9).alias("direct_costs"), F.round("impact", 6).alias("impact"))
+
+
+@query(DATED + """SELECT decision, asset, rule FROM b, LATERAL (VALUES (9, 'click', 'asset_without_parameters'), (10, 'view', 'unusable_parameters'), (11, 'error', 'sample_not_before_decision'),
+  (11, 'error', 'available_before_sample_ends'), (12, 'signup', 'available_after_decision'), (13, 'view', 'sample_off_sessions'), (14, 'click', 'repeated_parameters')) AS v(k, who, rule) WHERE n = k AND asset = who
+UNION ALL SELECT DISTINCT decision, NULL, 'decision_without_model' FROM b WHERE n = 15""")
+def cost_binding_problems(spark, d):
+    """Models that lack an asset or a decision, know too much, or sample what is no session."""
+    executions, m, sessions = _dated(spark, d)
+    at = lambda k, a: (F.col("n") == k) & (F.col("asset") == a)
+    m = m.where(~at(9, "click") & (F.col("n") != 15))
+    m = m.unionByName(m.where(at(14, "click"))).withColumns({
+        "dollar_adv": F.when(at(10, "view"), 0.0).otherwise(F.col("dollar_adv")), "sample_end": F.when(at(11, "error"), F.col("decision")).otherwise(F.col("sample_end")),
+        "available_at": F.when(at(12, "signup"), F.col("decision").cast("timestamp") + F.expr("INTERVAL 22 HOURS")).otherwise(F.col("available_at")),
+        "sample_start": F.when(at(13, "view"), F.date_sub("sample_start", 400)).otherwise(F.col("sample_start")),
+    })
+    return dated_costs.binding_problems(executions, m.drop("n"), sessions)
