@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyspark.functions import exact
+from tallyspark.lineage import temporary
 from tallyspark.operators import allocation, comparison, coverage, dated_costs, factors, mixes, reachability, runs, selection
 from tallyspark.operators import returns as rets
 from tallyspark.plans.catalog import CAPITAL, DAILY, FIT, _factor_series, daily, equal_weight, query, rounded
-from tallyspark.sources import views
+from tallyspark.sources import provider, snapshots, views
 
 #: Action legs of the parts: each line gives its part's holders the part of the order's next line. Some parts are warrants.
 LEGS = """, q AS (SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS action_id, l_partkey AS source, CAST(l_shipdate AS DATE) AS effective_date,
@@ -343,3 +344,59 @@ def cost_binding_problems(spark, d):
         "sample_start": F.when(at(13, "view"), F.date_sub("sample_start", 400)).otherwise(F.col("sample_start")),
     })
     return dated_costs.binding_problems(executions, m.drop("n"), sessions)
+
+
+def _provider(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Chart responses of the events panel (split-adjusted closes, volumes, event maps), and its splits and dividends."""
+    p = views.events_panel(spark, d)
+    splits, dividends = views.panel_splits(p), views.panel_dividends(p)
+    factors = provider.split_factors(p.select(F.col("asset").alias("symbol"), "session"), splits)
+    at = lambda c: F.unix_seconds(F.col(c).cast("timestamp")) + 14 * 3600
+    b = p.join(factors.withColumnRenamed("symbol", "asset"), ["asset", "session"]).select("asset", "session", (F.col("close") / F.col("factor")).alias("close"), F.round(F.col("dollar_volume") * 100).cast("long").alias("volume"))
+    bars = b.groupBy("asset").agg(F.sort_array(F.collect_list(F.struct(at("session").alias("t"), "close", "volume"))).alias("bars"))  # an asset's days
+    key = lambda c: at(c).cast("string")
+    s = splits.groupBy("asset").agg(F.map_from_entries(F.collect_list(F.struct(key("effective_session"), F.struct(at("effective_session").alias("date"), F.col("ratio").alias("numerator"), F.lit(1.0).alias("denominator"))))).alias("splits"))
+    c = dividends.groupBy("asset", "ex_session").agg(F.sum("cash_per_share").alias("cash"))
+    c = c.groupBy("asset").agg(F.map_from_entries(F.collect_list(F.struct(key("ex_session"), F.struct(at("ex_session").alias("date"), F.col("cash").alias("amount"))))).alias("dividends"))
+    x = bars.join(s, "asset", "left").join(c, "asset", "left")
+    quote = F.struct(F.col("bars.close").alias("close"), F.col("bars.volume").alias("volume"))
+    body = F.to_json(F.struct(
+        F.struct(F.col("asset").alias("symbol"), F.lit("America/New_York").alias("exchangeTimezoneName")).alias("meta"), F.col("bars.t").alias("timestamp"),
+        F.struct(F.array(quote).alias("quote"), F.array(F.struct(F.col("bars.close").alias("adjclose"))).alias("adjclose")).alias("indicators"), F.struct("splits", "dividends").alias("events"),
+    ))
+    return x.select(body.alias("body")), splits, dividends
+
+
+@query(""", s AS (SELECT n1.*, CASE WHEN n % 11 = 0 THEN 2.0::DOUBLE ELSE 1 END AS ratio FROM n1),
+f AS (SELECT *, coalesce(product(ratio) OVER (PARTITION BY asset ORDER BY session DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 1) AS factor FROM s)
+SELECT asset AS symbol, session, round(close, 9) AS close, round(floor(dollar_volume * 100 + 0.5) / factor, 6) AS share_volume, round(floor(dollar_volume * 100 + 0.5) / factor * close, 4) AS dollar_volume FROM f""")
+def provider_bars(spark, d):
+    """Raw closes and volumes out of split-adjusted charts, by backward products of the splits in their event maps."""
+    responses, _, _ = _provider(spark, d)
+    bars, events = provider.chart_bars(responses), provider.chart_events(responses)
+    splits = events.where("kind = 'split'").select(F.col("symbol").alias("asset"), F.col("session").alias("effective_session"), F.col("value").alias("ratio"))
+    out = provider.raw_bars(bars, provider.split_factors(bars, splits), "split_adjusted")
+    return out.select("symbol", "session", F.round("close", 9).alias("close"), F.round("share_volume", 6).alias("share_volume"), F.round("dollar_volume", 4).alias("dollar_volume"))
+
+
+@query("""SELECT asset AS symbol, session, kind, problem FROM n1, LATERAL (VALUES (11, 'click', 'split', 'not_in_table'), (22, 'view', 'split', 'value_differs'), (14, 'error', 'dividend', 'value_differs'),
+  (7, 'signup', 'dividend', 'not_in_table'), (9, 'purchase', 'dividend', 'not_at_provider')) AS v(k, who, kind, problem) WHERE n = k AND asset = who""")
+def provider_event_problems(spark, d):
+    """Events of charts against tables that lack a split and a dividend, have one too many, and others of another size."""
+    responses, splits, dividends = _provider(spark, d)
+    n = views.numbered(views.events_panel(spark, d)).select("asset", "session", "n")
+    s = splits.join(n.withColumnRenamed("session", "effective_session"), ["asset", "effective_session"]).where("not (asset = 'click' and n = 11)")
+    s = s.withColumn("ratio", F.when((F.col("asset") == "view") & (F.col("n") == 22), 3.0).otherwise(F.col("ratio")))
+    c = dividends.join(n.withColumnRenamed("session", "ex_session"), ["asset", "ex_session"]).where("not (asset = 'signup' and n = 7) and not (asset = 'error' and n = 14 and cash_per_share = 0.25)")
+    more = n.where("asset = 'purchase' and n = 9").select("asset", F.col("session").alias("ex_session"), F.lit(1.0).alias("cash_per_share"))
+    return provider.event_problems(provider.chart_events(responses), s, c.select("asset", "ex_session", "cash_per_share").unionByName(more))
+
+
+@query("""SELECT 'dividends' AS name, 2 * count(*) AS rows FROM n1 WHERE n % 7 = 0 UNION ALL SELECT 'prices', count(*) FROM v1 UNION ALL SELECT 'splits', count(*) FROM n1 WHERE n % 11 = 0""")
+def snapshot_rows(spark, d):
+    """Rows of the tables of a snapshot, counted and digested by the writes themselves; the snapshot is loaded, checked and taken away again."""
+    p = views.events_panel(spark, d)
+    with temporary(spark) as folder:
+        snapshots.save_snapshot({"prices": p, "splits": views.panel_splits(p), "dividends": views.panel_dividends(p)}, {"currency": "USD"}, f"{folder}/snapshot")
+        snapshots.load_snapshot(spark, f"{folder}/snapshot")
+        return snapshots.observed_rows(spark, f"{folder}/snapshot")
