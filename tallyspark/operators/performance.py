@@ -52,7 +52,7 @@ def scalar_risk_free(daily: DataFrame, annual_effective: float, periods: float)
 
 def summary(
     daily: DataFrame, periods: float, minimum: float = 0.0, denominator: str = "portfolio_returns",
-    keys: tuple[str, ...] = KEYS,
+    keys: tuple[str, ...] = KEYS, exact: bool = False,
 ) -> DataFrame:
     """The nine metrics of ``reports.summary`` with dated risk-free returns in ``rf``.
 
@@ -60,7 +60,7 @@ def summary(
     """
     if denominator not in DENOMINATORS:
         raise ValueError(f"denominator must be one of {DENOMINATORS}")
-    base = reports.summary(daily, periods, minimum=minimum, keys=keys).where("metric <> 'sharpe'")
+    base = reports.summary(daily, periods, minimum=minimum, keys=keys, exact=exact).where("metric <> 'sharpe'")
     excess = F.col("simple_return") - F.col("rf")
     over = excess if denominator == "excess_returns" else F.col("simple_return")
     a = daily.groupBy(*keys).agg(F.count("*").alias("n_obs"), F.avg(excess).alias("mean"), F.stddev_samp(over).alias("vol"))

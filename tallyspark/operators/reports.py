@@ -9,7 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyspark.functions.exact import exact_sums
 from tallyspark.functions.stats import adjusted_kurtosis, adjusted_skewness, correlation, slope
+from tallyspark.lineage import small
 from tallyspark.operators import selection
 
 
@@ -43,12 +45,13 @@ def nav_problems(daily: DataFrame, keys: tuple[str, ...] = ("scenario",)) -> Dat
 
 
 def summary(
-    daily: DataFrame, periods: float, minimum: float = 0.0, risk_free: float = 0.0, keys: tuple[str, ...] = ("scenario",),
+    daily: DataFrame, periods: float, minimum: float = 0.0, risk_free: float = 0.0, keys: tuple[str, ...] = ("scenario",), exact: bool = False,
 ) -> DataFrame:
     """keys, metric, value, unit, n_obs, status; ``minimum`` and ``risk_free`` are returns of one period.
 
     Volatility has one degree of freedom less than observations; the Sharpe ratio is over the volatility of
-    the returns; Sortino's downside is over all observations. Undefined metrics are null with a status.
+    the returns; Sortino's downside is over all observations. Undefined metrics are null with a status. With ``exact`` all
+    sums are exact (``exact_sums``): the report has the same bits for any partitioning.
     """
     r, root = F.col("simple_return"), float(periods) ** 0.5
     a = daily.groupBy(*keys).agg(
@@ -58,6 +61,8 @@ def summary(
             F.avg(F.pow(F.least(r - minimum, F.lit(0.0)), F.lit(2.0)))
         ).alias("down"),
     )
+    if exact:
+        a = _exact(daily, a, periods, minimum, keys)
     few, n = F.col("n") < 2, F.col("n")
     flat = F.when(few, "insufficient_samples").when(F.col("vol") == 0, "zero_volatility").otherwise("ok")
     rows = [
@@ -79,6 +84,20 @@ def summary(
     return a.select(*keys, F.explode(F.array(*structs)).alias("m")).select(*keys, "m.*")
 
 
+def _exact(daily: DataFrame, a: DataFrame, periods: float, minimum: float, keys: tuple[str, ...]) -> DataFrame:
+    """The aggregates of ``summary`` with every sum made exactly; deviations are from the exact mean, in a second pass."""
+    on, r = list(keys), F.col("simple_return")
+    short = F.least(r - minimum, F.lit(0.0))
+    sums = exact_sums(daily, keys, {"s_pnl": F.col("pnl"), "s_r": r, "s_down": short * short})
+    a = a.join(sums, on).withColumn("mean", F.col("s_r") / F.col("n"))
+    off = r - F.col("mean")
+    spread = exact_sums(daily.join(small(a.select(*keys, "mean")), on), keys, {"s_off": off * off})
+    return a.join(spread, on).withColumns({
+        "cumulative_pnl": F.col("s_pnl"), "cumulative_simple_return": F.col("s_r"), "annualized_arithmetic_mean": F.col("mean") * periods,
+        "vol": F.sqrt(F.try_divide(F.col("s_off"), F.col("n") - 1)), "down": F.sqrt(F.col("s_down") / F.col("n")),
+    })
+
+
 def rolling_risk(
     daily: DataFrame, window: int, periods: float, keys: tuple[str, ...] = ("scenario",), benchmark: str | None = None,
 ) -> DataFrame:

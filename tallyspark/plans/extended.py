@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from tallyspark.functions import exact
 from tallyspark.lineage import temporary
-from tallyspark.operators import allocation, comparison, coverage, dated_costs, factors, mixes, reachability, runs, selection
+from tallyspark.operators import allocation, comparison, coverage, dated_costs, factors, mixes, reachability, reports, runs, selection
 from tallyspark.operators import returns as rets
+from tallyspark.plans import catalog
 from tallyspark.plans.catalog import CAPITAL, DAILY, FIT, _factor_series, daily, equal_weight, query, rounded
 from tallyspark.sources import provider, snapshots, views
 
@@ -400,3 +401,9 @@ def snapshot_rows(spark, d):
         snapshots.save_snapshot({"prices": p, "splits": views.panel_splits(p), "dividends": views.panel_dividends(p)}, {"currency": "USD"}, f"{folder}/snapshot")
         snapshots.load_snapshot(spark, f"{folder}/snapshot")
         return snapshots.observed_rows(spark, f"{folder}/snapshot")
+
+
+@query(catalog.SQL["series_report"].removeprefix("WITH RECURSIVE " + views.SQL.strip() + "\n"))
+def series_report_exact(spark, d):
+    """The report of the equal-weight run with exact sums: what rounding gives to nine digits, for any partitioning."""
+    return rounded(reports.summary(daily(spark, d), 252.0, minimum=0.0001, risk_free=0.00005, exact=True))

@@ -158,3 +158,26 @@ def test_fits_at_the_edge_of_identification(spark):
     y = z @ [1, 2e5, -3e-5, 0.5] + 3 + rng.normal(size=400) * 0.01
     many = fit(y, **{f"f{k}": z[:, k] for k in range(4)})
     assert np.allclose(many["coefficients"], np.linalg.lstsq(np.column_stack([np.ones(400), z]), y, rcond=None)[0], rtol=1e-8) and many["rank"] == 5
+
+
+def test_reports_have_the_same_bits_for_any_partitioning(spark):
+    rng = random.Random(8)
+    rows, equity, peak = [], 1000.0, 1000.0
+    for k in range(400):
+        pnl = rng.choice([1e6, -1e6, 1e-6, 3.3]) * rng.random()
+        r = rng.gauss(0, 0.01)
+        equity += pnl
+        peak = max(peak, equity)
+        rows.append(("s", dt.date(2020, 1, 1) + dt.timedelta(days=k), dt.date(2020, 1, 2) + dt.timedelta(days=k), pnl, equity, r, equity / 1000, equity / peak - 1))
+    made = []
+    for parts in (1, 3, 8):
+        random.Random(parts).shuffle(rows)
+        df = spark.createDataFrame(rows, "scenario string, period_start date, session date, pnl double, equity double, simple_return double, wealth double, drawdown double").repartition(parts)
+        made.append({r.metric: r.value for r in reports.summary(df, 252.0, exact=True).collect()})
+    assert made[0] == made[1] == made[2]
+    xs = [r[5] for r in rows]
+    mean = math.fsum(xs) / len(xs)
+    assert made[0]["cumulative_pnl"] == math.fsum(r[3] for r in rows) and made[0]["cumulative_simple_return"] == math.fsum(xs)
+    assert made[0]["annualized_volatility"] == math.sqrt(math.fsum((x - mean) * (x - mean) for x in xs) / (len(xs) - 1)) * 252**0.5
+    plain = {r.metric: r.value for r in reports.summary(df, 252.0).collect()}
+    assert all(math.isclose(plain[k], made[0][k], rel_tol=1e-9, abs_tol=1e-6) for k in plain)
