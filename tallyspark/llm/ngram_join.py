@@ -25,7 +25,9 @@ group is ever in one task as a whole, and each task returns at most a spanning f
 
 Edge cases: null and empty texts have an empty set, link with nothing and are their own component; texts
 with fewer words than a shingle are one shingle; null ids never name a component that has another id;
-rows that repeat an id and text are one document; an empty table gives an empty result.
+rows that repeat an id and text are one document; an empty table gives an empty result. Sets are named by 64-bit hashes
+while candidates are searched: of two different sets of one hash only one would be met (among a billion sets a chance of three
+in a hundred that there is such a pair at all); what is verified is compared in full.
 """
 
 from __future__ import annotations
