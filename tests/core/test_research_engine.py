@@ -204,7 +204,8 @@ def test_joint_fit_matches_least_squares_and_flags_rank(spark):
     want = np.linalg.lstsq(np.column_stack([np.ones(200), x]), y, rcond=None)[0]
     assert np.allclose([r.coefficient for r in factors.joint_ols(s, ("f", "g")).collect()], want)
     assert {r.status for r in factors.joint_ols(s.withColumn("g", 2 * F.col("f")), ("f", "g")).collect()} == {"rank_deficient"}
-    assert {r.status for r in factors.joint_ols(s.limit(3), ("f", "g")).collect()} == {"insufficient_observations"}
+    assert {r.status for r in factors.joint_ols(s.limit(2), ("f", "g")).collect()} == {"insufficient_observations"}
+    assert {r.status for r in factors.joint_ols(s.limit(3), ("f", "g")).collect()} == {"ok"}  # as many rows as coefficients
 
 
 def book(spark, p, weights, leverage, capital=100.0, fin=ledger.Financing(), costs=ledger.TradeCosts(), **actions):
