@@ -30,9 +30,11 @@ def chart_bars(responses: DataFrame, column: str = "body", first: str | None = N
 
     With ``first`` and ``last`` only bars of these local dates, both included, as providers pad what they are asked for.
     """
-    d, q = _charts(responses, column), F.col("indicators.quote")[0]
+    d, q = _charts(responses, column), F.get("indicators.quote", 0)
+    given = lambda c, kind: F.coalesce(c, F.array().cast(f"array<{kind}>"))  # noqa: E731  a series that is absent has nulls
     bars = F.arrays_zip(
-        F.col("timestamp").alias("t"), q["close"].alias("close"), F.col("indicators.adjclose")[0]["adjclose"].alias("adjusted"), q["volume"].alias("volume")
+        F.col("timestamp").alias("t"), given(q["close"], "double").alias("close"),
+        given(F.get("indicators.adjclose", 0)["adjclose"], "double").alias("adjusted"), given(q["volume"], "long").alias("volume"),
     )
     d = d.select("symbol", "zone", F.explode(bars).alias("b"))
     d = d.select("symbol", _local("b.t", F.col("zone")).alias("session"), F.col("b.close").alias("close"), F.col("b.adjusted").alias("adjusted_close"), F.col("b.volume").alias("volume"))
