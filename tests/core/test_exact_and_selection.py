@@ -107,6 +107,36 @@ def test_closure_with_cycles_warrants_and_several_starts(spark):
     assert reachability.reachable(edges, df([], "run string, asset string")).count() == 0
 
 
+@pytest.fixture
+def rows_cut(monkeypatch):
+    """How many rows each table has that the closure cuts from its lineage."""
+    rows = []
+
+    def counting(df, cut=reachability.cut):
+        out = cut(df)
+        rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(reachability, "cut", counting)
+    return rows
+
+
+def test_closure_of_many_runs_has_no_row_for_each_run_and_asset(spark, rows_cut):
+    df = lambda rows, schema: spark.createDataFrame(rows, schema)
+    star = [("hub", f"a{k}") for k in range(30)] + [(f"a{k}", "hub") for k in range(30)]
+    starts = [(f"r{k}", "hub") for k in range(40)]
+    got = reachability.reachable(df(star, "source string, target string"), df(starts, "run string, asset string"))
+    assert {tuple(r) for r in got.collect()} == brute_closure(star, starts) and got.count() == 40 * 31
+    assert max(rows_cut) == 60  # the edges; a round has a row for each asset
+    rng = random.Random(9)
+    edges = [(rng.randrange(50), rng.randrange(50)) for _ in range(70)]
+    starts = [(k, rng.randrange(50)) for k in range(300) for _ in range(1 + k % 2)]  # more runs than bits, in several blocks
+    got = [tuple(r) for r in reachability.reachable(df(edges, "source long, target long"), df(starts, "run long, asset long")).collect()]
+    assert set(got) == brute_closure(edges, starts) and len(got) == len(set(got))
+    places = reachability.numbered_runs(df(starts, "run long, asset long")).collect()
+    assert len({(r.block, r.bit) for r in places}) == len({r.run for r in places}) == 300 and {r.bit for r in places} <= set(range(64))
+
+
 def test_coverage_names_ranges(spark):
     rng, day = random.Random(5), lambda k: dt.date(2024, 1, 1) + dt.timedelta(days=k)
     spans = {"full": (0, 20), "holes": (0, 30), "none": (5, 9), "ended": (10, 9), "early": (3, 6)}
