@@ -137,6 +137,30 @@ def test_closure_of_many_runs_has_no_row_for_each_run_and_asset(spark, rows_cut)
     assert len({(r.block, r.bit) for r in places}) == len({r.run for r in places}) == 300 and {r.bit for r in places} <= set(range(64))
 
 
+def test_effective_summary_has_no_row_for_each_run_and_action(spark, rows_cut):
+    rng, day = random.Random(10), lambda k: dt.date(2024, 1, 1) + dt.timedelta(days=k)
+    df = lambda rows, schema: spark.createDataFrame(rows, schema)
+    edges = [(rng.randrange(30), rng.randrange(30)) for _ in range(45)]
+    starts = [(f"r{k}", rng.randrange(30)) for k in range(90)]
+    spans = [(f"r{k}", day(rng.randrange(30)), day(rng.randrange(60))) for k in range(85)]  # some are empty, some runs have none
+    actions = [(f"{rng.randrange(150)}", rng.randrange(32), day(rng.randrange(70))) for _ in range(260)] + [("0", 1, None), (None, 2, day(20))]
+    c = reachability.closure(df(edges, "source long, target long"), df(starts, "run string, asset long"))
+    a, s = df(actions, "action_id string, source_asset long, effective_date date"), df(spans, "run string, entry date, end date")
+    rows_cut.clear()
+    got = {tuple(r) for r in reachability.effective_summary(c, a, s).collect()}
+    reach, want = brute_closure(edges, starts), {}
+    for run, entry, end in spans:
+        own = {asset for r, asset, _ in reach if r == run}
+        hits = [(i, d) for i, asset, d in actions if asset in own and d and entry < d <= end]
+        if hits:
+            want[run] = (run, len({i for i, _ in hits if i is not None}), min(d for _, d in hits), max(d for _, d in hits))
+    assert got == set(want.values()) and len(got) > 40
+    blocks = c.runs.select("block").distinct().count()
+    assert rows_cut and max(rows_cut) <= len(actions) * blocks < sum(n for _, n, _, _ in want.values())
+    plain = reachability.effective_actions(c.rounds.join(c.runs, "block").where(reachability.MARKED), a, s).groupBy("run")
+    assert {tuple(r) for r in plain.agg(F.count_distinct("action_id"), F.min("effective_date"), F.max("effective_date")).collect()} == got
+
+
 def test_coverage_names_ranges(spark):
     rng, day = random.Random(5), lambda k: dt.date(2024, 1, 1) + dt.timedelta(days=k)
     spans = {"full": (0, 20), "holes": (0, 30), "none": (5, 9), "ended": (10, 9), "early": (3, 6)}
